@@ -176,3 +176,30 @@ def binary(values: list[bytes]) -> pa.Array:
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+class KeyIndex:
+    """Positions of 64-bit keys: a slot table on the low bits, and a sorted list of keys that lost their slot."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.keys = keys
+        self.mask = U64((1 << bits) - 1)
+        self.slot = np.zeros(1 << bits, np.int32)
+        low = (keys & self.mask).astype(np.int64)
+        self.slot[low[::-1]] = np.arange(len(low), 0, -1)
+        lost = np.flatnonzero(self.slot[low] != np.arange(1, len(low) + 1))
+        self.lost = lost[np.argsort(keys[lost])]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """For each hash the position of its key, or -1."""
+        at = self.slot[(h & self.mask).astype(np.int64)].astype(np.int64) - 1
+        if not len(self.keys):
+            return at
+        at[self.keys[at] != h] = -1
+        if len(self.lost):
+            miss = np.flatnonzero(at < 0)
+            k = self.keys[self.lost]
+            p = np.minimum(np.searchsorted(k, h[miss]), len(k) - 1)
+            hit = k[p] == h[miss]
+            at[miss[hit]] = self.lost[p[hit]]
+        return at

@@ -33,29 +33,6 @@ class FactorModel:
     v: np.ndarray
     w0: float
 
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """A slot table from the low bits of a hash to its key; keys that lose their slot go to `rest`."""
-        slot = np.zeros(1 << _SLOTS, np.int32)
-        low = (self.keys & tn.U64((1 << _SLOTS) - 1)).astype(np.int64)
-        slot[low[::-1]] = np.arange(len(low), 0, -1)
-        lost = np.flatnonzero(slot[low] != np.arange(1, len(low) + 1))
-        return slot, lost
-
-    def find(self, h: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """For each hash the position of its key, or -1."""
-        slot, lost = index
-        at = slot[(h & tn.U64((1 << _SLOTS) - 1)).astype(np.int64)].astype(np.int64) - 1
-        if not len(self.keys):
-            return at
-        at[self.keys[at] != h] = -1
-        if len(lost):
-            k = self.keys[lost]
-            order = np.argsort(k)
-            p = np.minimum(np.searchsorted(k[order], h), len(k) - 1)
-            hit = k[order][p] == h
-            at[hit] = lost[order][p[hit]]
-        return at
-
     def raw(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores before the sigmoid; row i holds the distinct terms[first[i]:first[i+1]]."""
         v = self.v[terms]
@@ -171,10 +148,10 @@ def score(docs: DataFrame, model: FactorModel, *, id_col: str = "doc_id", text_c
     out = source.drop("_text").withColumn("score", F.lit(0.0))
 
     def score_task(batches):
-        index = model.index()
+        index = tn.KeyIndex(model.keys, _SLOTS)
         for part in tn.slices(batches, "_text"):
             words, h = tn.word_hashes(part.column(part.num_columns - 1))
-            at = model.find(h, index)
+            at = index.find(h)
             hit = at >= 0
             terms, first = distinct_terms(words.rows()[hit], at[hit], part.num_rows, max(len(model.keys), 1))
             p = 1 / (1 + np.exp(-np.clip(model.raw(terms, first), -30, 30)))
