@@ -186,7 +186,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_
 
     block = block.groupBy("block", "dim").applyInArrow(floors, "block long, dim long, q_ids binary, q binary, floor binary")
     # Each shard is listed once per block; this is the blocked search of all queries over all rows.
-    tasks = shard.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(block, ["block", "dim"])
+    tasks = shard.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(block, ["block", "dim"])
 
     def emit(q_ids, top):
         a, b = np.nonzero(np.isfinite(top.score))
@@ -225,9 +225,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score

@@ -1,8 +1,8 @@
 """Personal data: fixed patterns plus a linear-chain conditional random field over word shapes.
 
 Four kinds have a fixed base pattern (see `base_spans`).  The field adds spans of the same kinds that the
-patterns miss: numbers in brackets or without a plus sign, addresses with a written-out "at", and so
-on.  Its features are the shape of a word and of its neighbours and a few cue words; it is trained by
+patterns miss: phone numbers in brackets or without a plus sign, addresses at a host without a dot, and
+so on.  Its features are the shape of a word and of its neighbours and a few cue words; it is trained by
 gradient ascent on the likelihood of the small table in `pii_table`, and decoded by Viterbi over many
 word sequences at once.
 

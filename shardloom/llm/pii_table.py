@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-CUES = ["phone", "tel", "telephone", "mobile", "cell", "call", "fax", "dial", "sms", "email", "e-mail", "mail", "at", "dot", "card", "visa", "mastercard", "amex", "ip", "host", "address", "contact", "text", "number", "ring"]
+CUES = ["phone", "tel", "telephone", "mobile", "cell", "call", "fax", "dial", "sms", "email", "e-mail", "mail", "card", "visa", "mastercard", "amex", "ip", "host", "address", "contact", "text", "number", "ring"]
 
 EXAMPLES = [
     "call me on {phone 555-867-5309 } after six",
@@ -20,11 +20,9 @@ EXAMPLES = [
     "write to {email anna.berg@example.org } about it",
     "mail {email li@uni.example.edu } with questions",
     "email: {email bob_77@mail2.example.com }",
-    "email me: {email jane at example dot com } thanks",
-    "my e-mail is {email k.lopez at mail dot example dot org } for now",
-    "contact {email sam [at] example.com } or visit us",
-    "mail {email ana (at) example.org } today",
     "write {email rick@localhost } on the same machine",
+    "my e-mail is {email k.lopez@intranet } for now",
+    "mail {email root@buildhost, } not me",
     "the host {ip 10.0.0.12 } was down",
     "ip {ip 192.168.4.77 } and {ip 192.168.4.78 } answered",
     "ip address {ip 203.0.113.9:8080 } is open",

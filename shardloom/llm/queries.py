@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from shardloom.llm import toxicity
+from shardloom.llm import balltree, langid, pieces, pii, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
+    "op4_langid": langid.query,
+    "op6_topk": balltree.query,
+    "op8_pii": pii.query,
+    "op10_pieces": pieces.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": balltree.ORACLE,
+}
