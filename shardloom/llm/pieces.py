@@ -33,6 +33,8 @@ SPACE, MARK = 0x20, 0x2581
 LOW = -(1 << 50)
 #: Texts with more characters than GIANT are cut into chunks of CHUNK characters.
 GIANT, CHUNK = 32768, 8192
+#: Stretches of at most SHORT bytes are solved together; a task remembers about MEMORY solved ones.
+SHORT, MEMORY = 48, 600_000
 
 
 @dataclass
@@ -95,34 +97,39 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.index = tn.KeyIndex(vocabulary.key)
+        self.forget()
 
-    def arcs(self, cp: np.ndarray, size: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and id, (characters, width), of the piece of l + 1 characters that ends with each character.
+    def forget(self) -> None:
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ids_first, self.ids_count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def arcs(self, cp: np.ndarray, size: np.ndarray, room: np.ndarray, low: int = LOW, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+        """Score, (characters, width), of the piece of l + 1 characters that ends with each character; prefix hashes.
 
         size: bytes of each character; room: how many characters may lie in it and before it.
-        Where there is no piece the score is LOW; byte spelling has id -1.
+        Where there is no piece the score is `low`; a character without a piece is spelled in bytes.
         """
         n, w = len(cp), self.v.width
         prefix = code_prefix(cp)
-        score, ids = np.full((n, w), LOW, np.int64), np.full((n, w), -1, np.int32)
+        score = np.full((n, w), low, kind)
+        at = np.arange(n)
         for l in range(w):
-            at = np.flatnonzero(room > l)
+            at = at[room[at] > l]
             if not len(at):
                 break
             hit = self.index.find(tn.span_hash(prefix, at - l, at + 1))
             k = np.flatnonzero(hit >= 0)
-            piece = self.v.key_id[hit[k]]
-            score[at[k], l], ids[at[k], l] = self.v.scores[piece], piece
-        none = ids[:, 0] < 0
+            score[at[k], l] = self.v.scores[self.v.key_id[hit[k]]]
+        none = score[:, 0] == low
         score[none, 0] = self.v.byte_score * size[none]
-        return score, ids
+        return score, prefix
 
     def forward(self, score: np.ndarray, first: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best sums and longest best last pieces for sequences cut by `first`, all in step.
 
         entry: (sequences, width) or (sequences, width, columns): values at the width positions before
         each sequence, nearest last.  Returns the values at every sequence's last `width` positions and,
-        for each character, the length of the last piece (0-based; of the first column).
+        for each character, the length of the last piece (0-based; not kept for several columns).
         """
         w = self.v.width
         size = np.diff(first)
@@ -130,24 +137,43 @@ class Encoder:
         longest = int(size.max(initial=0))
         live = np.searchsorted(-size[order], -np.arange(1, longest + 1), side="right")
         columns = entry.ndim == 3
-        window = entry[order].copy()  # a ring: position p of a sequence is in slot (p + w) % w, those before it in 0 .. w - 1
+        window = entry[order].copy()  # a ring: position p of a sequence is in slot p % w, those before it too
         back = np.zeros(len(score), np.int8)
         lanes = np.arange(w)
         for t in range(longest):
             rows = order[: live[t]]
             at = first[rows] + t
-            slots = (t - 1 - lanes) % w
-            old = window[: len(rows)][:, slots]
+            old = window[: len(rows)][:, (t - 1 - lanes) % w]
             cand = old + (score[at][:, :, None] if columns else score[at])
-            top = cand.max(axis=1)
-            if not columns:
-                back[at] = w - 1 - cand[:, ::-1].argmax(axis=1)
-            window[: len(rows), t % w] = np.maximum(top, LOW)
+            if columns:
+                window[: len(rows), t % w] = np.maximum(cand.max(axis=1), LOW)
+            else:
+                l = w - 1 - cand[:, ::-1].argmax(axis=1)
+                back[at] = l
+                window[: len(rows), t % w] = np.maximum(cand[np.arange(len(rows)), l], LOW)
         last = np.empty_like(window)
-        for i, s in enumerate(size[order].tolist()):
-            last[order[i]] = window[i][(s - w + lanes) % w]
+        for i, n in enumerate(size[order].tolist()):
+            last[order[i]] = window[i][(n - w + lanes) % w]
         return last, back
 
+    def forward_words(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """`forward` for short sequences from the origin: at character t only t + 1 lengths are possible."""
+        size = np.diff(first)
+        order = np.argsort(-size, kind="stable")
+        longest = int(size.max(initial=0))
+        live = np.searchsorted(-size[order], -np.arange(1, longest + 1), side="right")
+        best = np.zeros((len(size), longest + 1), score.dtype)
+        back = np.zeros(len(score), np.int8)
+        for t in range(longest):
+            n, k = live[t], min(t + 1, self.v.width)
+            at = first[order[:n]] + t
+            # Longest piece first, so that argmax keeps it on ties.
+            cand = best[:n, t + 1 - k : t + 1] + score[at, :k][:, ::-1]
+            l = cand.argmax(axis=1)
+            best[:n, t + 1] = cand[np.arange(n), l]
+            back[at] = k - 1 - l
+        return back
+
     def trace(self, back: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Marks the last character of every piece on the best paths that end before character `end` of each sequence."""
         mark = np.zeros(len(back), bool)
@@ -162,10 +188,15 @@ class Encoder:
             live, at = live[keep], at[keep]
         return mark
 
-    def spell(self, ids: np.ndarray, back: np.ndarray, mark: np.ndarray, buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids in order and, for each character, how many ids end with it."""
+    def spell(self, prefix: np.ndarray, back: np.ndarray, mark: np.ndarray, buf: np.ndarray, begin: np.ndarray, size: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids in order and, for each character, how many ids end with it.
+
+        prefix: hashes over all characters; skip: their positions, if the other arrays hold a part of them.
+        """
         at = np.flatnonzero(mark)
-        piece = ids[at, back[at]]
+        where = at if skip is None else skip[at]
+        hit = self.index.find(tn.span_hash(prefix, where - back[at], where + 1))
+        piece = np.where(hit >= 0, self.v.key_id[hit], -1)
         n = np.where(piece < 0, size[at], 1)
         first = np.concatenate(([0], np.cumsum(n)))
         out = np.repeat(piece, n)
@@ -188,22 +219,49 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(buf))
         h = tn.span_hash(tn.prefix_hash(buf), start, end)
-        _, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
-        size = end[pick] - start[pick]
+        keys, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > MEMORY:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        new = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
+        self._learn(keys[new], buf, start[pick[new]], end[pick[new]])
+        at = np.searchsorted(self.known, keys)
+        a = self.ids_first[self.known_at[at]][inverse]
+        n = self.ids_count[self.known_at[at]][inverse]
+        first = np.concatenate(([0], np.cumsum(n)))
+        out = self.ids[np.arange(first[-1]) + np.repeat(a - first[:-1], n)]
+        return out, first[np.searchsorted(start, off)]
+
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Solve the stretches buf[start:end] and remember them."""
+        parts = [(keys[p], *self._solve(buf, start[p], end[p])) for p in (np.flatnonzero(end - start <= SHORT), np.flatnonzero(end - start > SHORT)) if len(p)]
+        fresh = np.concatenate([keys[:0], *(k for k, _, _ in parts)])
+        for _, ids, count in parts:
+            self.ids_first = np.concatenate((self.ids_first, len(self.ids) + np.concatenate(([0], np.cumsum(count)))[:-1]))
+            self.ids_count = np.concatenate((self.ids_count, count))
+            self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        every = np.concatenate((self.known, fresh))
+        where = np.concatenate((self.known_at, np.arange(len(self.ids_count) - len(fresh), len(self.ids_count))))
+        order = np.argsort(every)
+        self.known, self.known_at = every[order], where[order]
+
+    def _solve(self, buf, start, end):
+        """Piece ids of stretches, one after another, and how many each has."""
+        size = end - start
         first = np.concatenate(([0], np.cumsum(size)))
-        own = buf[np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(start[pick], size)]
+        own = buf[np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(start, size)]
         begin, width, cp = characters(own)
         cfirst = np.searchsorted(begin, first)
         room = np.arange(len(cp)) - np.repeat(cfirst[:-1], np.diff(cfirst)) + 1
-        score, ids = self.arcs(cp, width, room)
-        back = self.forward(score, cfirst, self.origin(len(pick)))[1]
+        if size.max(initial=0) <= SHORT:
+            score, prefix = self.arcs(cp, width, room, -(1 << 30), np.int32)
+            back = self.forward_words(score, cfirst)
+        else:
+            score, prefix = self.arcs(cp, width, room)
+            back = self.forward(score, cfirst, self.origin(len(start)))[1]
         mark = self.trace(back, cfirst, np.diff(cfirst))
-        flat, count = self.spell(ids, back, mark, own, begin, width)
-        pfirst = np.concatenate(([0], np.cumsum(count)))[cfirst]
-        n = np.diff(pfirst)[inverse]
-        ofirst = np.concatenate(([0], np.cumsum(n)))
-        out = flat[np.arange(ofirst[-1]) - np.repeat(ofirst[:-1], n) + np.repeat(pfirst[:-1][inverse], n)]
-        return out, ofirst[np.searchsorted(start, off)]
+        flat, count = self.spell(prefix, back, mark, own, begin, width)
+        return flat, np.diff(np.concatenate(([0], np.cumsum(count)))[cfirst])
 
     def origin(self, n: int) -> np.ndarray:
         """Values before the start of a text: 0 at the start, nothing before it."""
@@ -228,15 +286,15 @@ class Encoder:
         halo = np.array([h for _, h in texts])
         every = np.concatenate(([0], np.cumsum(length)))
         room = np.arange(len(cp)) - np.repeat(every[:-1], length) + 1
-        score, ids = self.arcs(cp, size, np.minimum(room, w))
+        score, prefix = self.arcs(cp, size, np.minimum(room, w))
         inner = np.arange(len(cp)) - np.repeat(every[:-1], length) >= np.repeat(halo, length)
         first = np.concatenate(([0], np.cumsum(length - halo)))
-        return score[inner], ids[inner], first, own, begin[inner], size[inner]
+        return score[inner], first, (prefix, own, begin[inner], size[inner], np.flatnonzero(inner))
 
     def matrices(self, texts: list[tuple[str, int]]) -> np.ndarray:
         """(chunks, width out, width in): best sums from each entry position to each of the last positions."""
         w = self.v.width
-        score, _, first, *_ = self.chunks(texts)
+        score, first, _ = self.chunks(texts)
         unit = np.full((w, w), LOW, np.int64)
         np.fill_diagonal(unit, 0)
         return self.forward(score, first, np.broadcast_to(unit, (len(texts), w, w)).copy())[0]
@@ -328,16 +386,16 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
     known = chunks.join(entry, [id_col, "part"])
 
     def solved(enc, batch):
-        score, ids, first, own, begin, size = enc.chunks(texts(batch))
+        score, first, rest = enc.chunks(texts(batch))
         value = np.stack([np.frombuffer(e, np.int64) for e in column(batch, "entry").to_pylist()])
-        return ids, first, own, begin, size, enc.forward(score, first, value)[1]
+        return first, rest, enc.forward(score, first, value)[1]
 
     def link_task(batches):
         # For each number of characters (0 .. w - 1) that the next chunk's first piece takes from this
         # chunk, how many characters this chunk's first piece takes from the chunk before.
         enc = Encoder(vocabulary)
         for batch in runs(batches):
-            _, first, _, _, _, back = solved(enc, batch)
+            first, _, back = solved(enc, batch)
             length = np.diff(first)
             maps = np.zeros((batch.num_rows, w), np.int64)
             for k in range(w):
@@ -365,10 +423,10 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
     def spell_task(batches):
         enc = Encoder(vocabulary)
         for batch in runs(batches):
-            ids, first, own, begin, size, back = solved(enc, batch)
+            first, (prefix, own, begin, size, where), back = solved(enc, batch)
             end = np.diff(first) - column(batch, "tail").to_numpy()
             mark = enc.trace(back, first, end)
-            flat, count = enc.spell(ids, back, mark, own, begin, size)
+            flat, count = enc.spell(prefix, back, mark, own, begin, size, where)
             cuts = np.concatenate(([0], np.cumsum(count)))[first]
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([column(batch, id_col), column(batch, "part"), lists], names=[id_col, "part", "ids"])

@@ -195,11 +195,12 @@ class KeyIndex:
         at = self.slot[(h & self.mask).astype(np.int64)].astype(np.int64) - 1
         if not len(self.keys):
             return at
-        at[self.keys[at] != h] = -1
-        if len(self.lost):
-            miss = np.flatnonzero(at < 0)
+        taken = np.flatnonzero(at >= 0)
+        other = taken[self.keys[at[taken]] != h[taken]]
+        at[other] = -1
+        if len(self.lost) and len(other):
             k = self.keys[self.lost]
-            p = np.minimum(np.searchsorted(k, h[miss]), len(k) - 1)
-            hit = k[p] == h[miss]
-            at[miss[hit]] = self.lost[p[hit]]
+            p = np.minimum(np.searchsorted(k, h[other]), len(k) - 1)
+            hit = k[p] == h[other]
+            at[other[hit]] = self.lost[p[hit]]
         return at
