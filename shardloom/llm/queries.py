@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from shardloom.llm import balltree, decontaminate, domain_lm, langid, pieces, pii, toxicity, training_order
+from shardloom.llm import balltree, decontaminate, domain_lm, jaccard, langid, pieces, pii, repeats, toxicity, training_order
 
 QUERIES = {
     "op1_training_order": training_order.query,
     "op2_decontaminate": decontaminate.query,
     "op3_toxicity": toxicity.query,
     "op4_langid": langid.query,
+    "op5_jaccard": jaccard.query,
     "op6_topk": balltree.query,
+    "op7_repeats": repeats.query,
     "op8_pii": pii.query,
     "op9_domain_lm": domain_lm.query,
     "op10_pieces": pieces.query,
