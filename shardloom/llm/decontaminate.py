@@ -106,6 +106,16 @@ class SeedTable:
         start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
         return a + start + diagonal, a + start, end - start, int(same[start:end].sum())
 
+    def overlaps(self, words: tn.Words, h: np.ndarray, min_overlap: int, share: float) -> dict[tuple[int, int], tuple]:
+        """(row, item) -> (equal words, words, start in the text, start in the item) of the best overlap that counts."""
+        best: dict[tuple[int, int], tuple] = {}
+        for row, item, diagonal, _ in self.hits(words, h).T.tolist():
+            x, y, n, same = self.overlap(h[words.first[row] : words.first[row + 1]], item, diagonal)
+            size = int(self.first[item + 1] - self.first[item])
+            if n >= min(min_overlap, share * size) and same >= share * n and (same, n) > best.get((row, item), (0, 0))[:2]:
+                best[row, item] = (same, n, x, y)
+        return best
+
 
 def find(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
          min_overlap: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
@@ -115,20 +125,45 @@ def find(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col:
     at least `share` of its words are equal.  Positions count words.  Items of fewer than MIN_WORDS words are never
     met; null and empty texts meet nothing; repeated ids give repeated rows.  Other columns are dropped.
     """
-    spark = docs.sparkSession
-    tn.ship_code(spark)
-    items = tests.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null").distinct()
+    tn.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     id_type = source.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, {item_col} long, doc_start long, item_start long, n_words long, n_equal long"
+    out = None
+    for ids, texts in _blocks(tests, item_col, item_text, block_bytes):
+        part = source.mapInArrow(_finder(ids, texts, id_col, item_col, min_overlap, share), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def drop_contaminated(docs: DataFrame, tests: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                      min_overlap: int = 13, share: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows and columns of `docs` whose text has no such overlap (see `find`) with any test item."""
+    tn.ship_code(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    out = docs
+    for ids, texts in _blocks(tests, item_col, item_text, block_bytes):
+
+        def drop_task(batches, ids=ids, texts=texts):
+            table = SeedTable(ids, texts)
+            for part in tn.slices(batches, text_col):
+                words, h = tn.word_hashes(part.column(at))
+                keep = np.ones(part.num_rows, bool)
+                keep[[row for row, _ in table.overlaps(words, h, min_overlap, share)]] = False
+                yield part.filter(pa.array(keep))
+
+        out = out.mapInArrow(drop_task, docs.schema)
+    return out
+
+
+def _blocks(tests: DataFrame, item_col: str, item_text: str, block_bytes: int):
+    """The test items in blocks of about `block_bytes`, one after another; one empty block if there are none."""
+    items = tests.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).orderBy("item", "t").collect()
-        part = source.mapInArrow(_finder([r.item for r in rows], [r.t for r in rows], id_col, item_col, min_overlap, share), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield [r.item for r in rows], [r.t for r in rows]
 
 
 def _finder(ids, texts, id_col, item_col, min_overlap, share):
@@ -136,12 +171,7 @@ def _finder(ids, texts, id_col, item_col, min_overlap, share):
         table = SeedTable(ids, texts)
         for part in tn.slices(batches, "_text"):
             words, h = tn.word_hashes(part.column(1))
-            best: dict[tuple[int, int], tuple] = {}
-            for row, item, diagonal, _ in table.hits(words, h).T.tolist():
-                x, y, n, same = table.overlap(h[words.first[row] : words.first[row + 1]], item, diagonal)
-                size = int(table.first[item + 1] - table.first[item])
-                if n >= min(min_overlap, share * size) and same >= share * n and (same, n) > best.get((row, item), (0, 0))[:2]:
-                    best[row, item] = (same, n, x, y)
+            best = table.overlaps(words, h, min_overlap, share)
             keys = sorted(best)
             values = [best[k] for k in keys]
             yield pa.RecordBatch.from_arrays(

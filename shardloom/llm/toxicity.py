@@ -160,6 +160,23 @@ def score(docs: DataFrame, model: FactorModel, *, id_col: str = "doc_id", text_c
     return source.mapInArrow(score_task, out.schema)
 
 
+def drop_toxic(docs: DataFrame, model: FactorModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows and columns of `docs` whose text scores below `threshold`; null and empty texts score the bias alone."""
+    tn.ship_code(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def drop_task(batches):
+        index = tn.KeyIndex(model.keys, _SLOTS)
+        for part in tn.slices(batches, text_col):
+            words, h = tn.word_hashes(part.column(at))
+            where = index.find(h)
+            hit = where >= 0
+            raw = model.raw(*distinct_terms(words.rows()[hit], where[hit], part.num_rows, max(len(model.keys), 1)))
+            yield part.filter(pa.array(raw < np.log(threshold / (1 - threshold))))
+
+    return docs.mapInArrow(drop_task, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that no model learns from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
