@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
+from shardloom.llm.graph import written
 
 SPACE, MARK = 0x20, 0x2581
 LOW = -(1 << 50)
@@ -62,6 +63,8 @@ class Vocabulary:
         raw = [p.encode() if p else b"" for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             raw[i] = bytes([b])
+        self.scores = self.scores.copy()
+        self.scores[self.byte_ids] = self.byte_score
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_first = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
 
@@ -341,19 +344,35 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
 def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_type: str) -> DataFrame:
     w = vocabulary.width
 
+    def cuts(text):
+        """(start, end, open at the start, open at the end) of every chunk.
+
+        A cut goes to a boundary that all paths share where there is one in the chunk's second half; its
+        transfer matrix has a single state.  Otherwise the cut is open: any piece may cross it.
+        """
+        lo, loose = 0, False
+        while lo < len(text):
+            hi = min(lo + CHUNK, len(text))
+            p = hi if hi == len(text) else text.rfind(" ", lo + CHUNK // 2, hi + 1)
+            while lo < p < len(text) and text[p - 1] == " ":
+                p -= 1
+            opened = p <= lo + CHUNK // 2 and hi < len(text)
+            hi = hi if opened else p
+            yield lo, hi, loose, opened
+            lo, loose = hi, opened
+
     def cut_task(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
-                for c in range(0, -(-len(text) // CHUNK)):
-                    lo = c * CHUNK
-                    halo = min(lo, w)
+                for c, (lo, hi, opened, opens) in enumerate(cuts(text)):
+                    halo = min(lo, w) if opened else 0
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, 1), pa.array([c]), pa.array([text[lo - halo : lo + CHUNK]]), pa.array([halo])], names=[id_col, "part", "t", "halo"]
+                        [batch.column(0).slice(i, 1), pa.array([c]), pa.array([text[lo - halo : hi]]), pa.array([halo]), pa.array([opened or opens])], names=[id_col, "part", "t", "halo", "open"]
                     )
 
     key = f"`{id_col}` {id_type}, part long"
-    chunks = source.mapInArrow(cut_task, f"{key}, t string, halo long").repartition(id_col, "part")
+    chunks = written(source.mapInArrow(cut_task, f"{key}, t string, halo long, open boolean").repartition(id_col, "part"), "chunks")
 
     def runs(batches, size=64):
         for batch in batches:
@@ -366,10 +385,21 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
     def texts(batch):
         return list(zip(column(batch, "t").to_pylist(), column(batch, "halo").to_pylist(), strict=True))
 
+    def split(batch):
+        loose = column(batch, "open")
+        return batch.filter(loose), batch.filter(pa.array(~loose.to_numpy(zero_copy_only=False).astype(bool)))
+
     def matrix_task(batches):
         enc = Encoder(vocabulary)
         for batch in runs(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tn.binary([m.tobytes() for m in enc.matrices(texts(batch))])], names=[id_col, "part", "m"])
+            loose, closed = split(batch)
+            found = enc.matrices(texts(loose)) if loose.num_rows else np.zeros((0, w, w), np.int64)
+            # Between two shared boundaries there is one way in and one way out: the sum of the pieces.
+            ids, at = enc.encode_rows(column(closed, "t"))
+            one = np.full((closed.num_rows, w, w), LOW, np.int64)
+            one[:, -1, -1] = tn.reduce_rows(vocabulary.scores[ids], at)
+            for part, m in ((loose, found), (closed, one)):
+                yield pa.RecordBatch.from_arrays([column(part, id_col), column(part, "part"), tn.binary([x.tobytes() for x in m])], names=[id_col, "part", "m"])
 
     def entries(table: pa.Table) -> pa.Table:
         # One text's matrices, 2 KB for each chunk: a scan of matrix-vector products.
@@ -394,7 +424,11 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
         # For each number of characters (0 .. w - 1) that the next chunk's first piece takes from this
         # chunk, how many characters this chunk's first piece takes from the chunk before.
         enc = Encoder(vocabulary)
-        for batch in runs(batches):
+        for every in runs(batches):
+            batch, closed = split(every)
+            yield pa.RecordBatch.from_arrays([column(closed, id_col), column(closed, "part"), tn.binary([bytes(8 * w)] * closed.num_rows)], names=[id_col, "part", "maps"])
+            if not batch.num_rows:
+                continue
             first, _, back = solved(enc, batch)
             length = np.diff(first)
             maps = np.zeros((batch.num_rows, w), np.int64)
@@ -422,7 +456,13 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
 
     def spell_task(batches):
         enc = Encoder(vocabulary)
-        for batch in runs(batches):
+        for every in runs(batches):
+            batch, closed = split(every)
+            flat, cuts_at = enc.encode_rows(column(closed, "t"))
+            lists = pa.ListArray.from_arrays(pa.array(cuts_at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([column(closed, id_col), column(closed, "part"), lists], names=[id_col, "part", "ids"])
+            if not batch.num_rows:
+                continue
             first, (prefix, own, begin, size, where), back = solved(enc, batch)
             end = np.diff(first) - column(batch, "tail").to_numpy()
             mark = enc.trace(back, first, end)
