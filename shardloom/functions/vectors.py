@@ -10,6 +10,11 @@ def doubles(v) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def let(value, f) -> Column:
+    """f(value) with the value computed once: inside a lambda, an outer expression is evaluated for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,16 +25,14 @@ def norm(a) -> Column:
 
 def l2_normalise(a) -> Column:
     """Unit length; a vector of length 0 stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def centred_unit(a, least: float = 1e-6) -> Column:
     """Mean subtracted, unit length; a constant vector becomes all zeros, so a dot product is a correlation."""
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    c = F.transform(a, lambda x: x - mean)
-    n = norm(c)
-    return F.when(n > least, F.transform(c, lambda x: x / n)).otherwise(F.transform(a, lambda x: F.lit(0.0)))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    unit = lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.when(n > least, x / n).otherwise(0.0)))
+    return let(a, lambda v: let(mean(v), lambda m: let(F.transform(v, lambda x: x - m), unit)))
 
 
 def cosine100(a, b) -> Column:
@@ -50,10 +53,10 @@ def head_logits(x, weights: list[list[float]], bias: list[float]) -> Column:
 
 
 def softmax(scores) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    def share(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(F.array_max(scores), lambda top: let(F.transform(scores, lambda s: F.exp(s - top)), share))
 
 
 def argmax(scores) -> Column:

@@ -339,9 +339,9 @@ def _pairs(spark, d, threshold=0.98):
     return S.near_duplicate_pairs(s, "item", "signature", threshold)
 
 
-@query("d1_near_duplicate_pairs", f"WITH {_PAIRS} SELECT a, b, round(similarity, 4) AS similarity FROM pairs")
+@query("d1_near_duplicate_pairs", f"WITH {_PAIRS} SELECT a, b, similarity FROM pairs")
 def d1(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return _pairs(spark, d)
 
 
 @query("d9_pairs_crossing_splits", f"""WITH {_PAIRS}, tagged AS (SELECT doc_id AS item, source, CASE WHEN {sql_draw("'v1|split|' || doc_id")} < 0.6 THEN 'train' WHEN {sql_draw("'v1|split|' || doc_id")} < 0.8 THEN 'val' ELSE 'test' END AS split FROM documents)
@@ -353,8 +353,8 @@ def d9(spark, d):
 
 @query("e2_assign_groups", f"""WITH RECURSIVE {ITEMS}, firsts AS (SELECT pixel_sha AS k, min(item) AS f FROM items GROUP BY 1), declared AS (SELECT declared AS k, min(item) AS f FROM items WHERE declared IS NOT NULL GROUP BY 1),
 links AS (SELECT item AS a, f AS b FROM items JOIN firsts ON k = pixel_sha WHERE item <> f UNION SELECT item, f FROM items i JOIN declared t ON t.k = i.declared WHERE item <> f),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT item, item AS other FROM items UNION SELECT r.item, e.b FROM reach r JOIN both e ON e.a = r.other)
+undirected AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT item, item AS other FROM items UNION SELECT r.item, e.b FROM reach r JOIN undirected e ON e.a = r.other)
 SELECT r.item, 'g_' || substr(min(i.pixel_sha), 1, 16) AS group_id FROM reach r JOIN items i ON i.item = r.other GROUP BY 1""")
 def e2(spark, d):
     return G.assign_groups(T.items(spark, d), "item", "pixel_sha", declared="declared")

@@ -69,9 +69,9 @@ def b14(spark, d):
 
 
 @query("h13_mse_report", f"""WITH {_NOISE}, r AS (SELECT id, round(avg(mse), 6) AS mse FROM errors GROUP BY 1)
-SELECT id, NULL::DOUBLE AS sigma, round(mse, 5) AS mse FROM r UNION ALL SELECT NULL, sigma, round(round(avg(mse), 6), 5) FROM errors GROUP BY sigma UNION ALL SELECT NULL, NULL, round(round(avg(mse), 6), 5) FROM r""")
+SELECT id, NULL::DOUBLE AS sigma, mse FROM r UNION ALL SELECT NULL, sigma, round(avg(mse), 6) FROM errors GROUP BY sigma UNION ALL SELECT NULL, NULL, round(avg(mse), 6) FROM r""")
 def h13(spark, d):
-    return M.mse_report(_noise(spark, d)).select("id", "sigma", F.round("mse", 5).alias("mse"))
+    return M.mse_report(_noise(spark, d))
 
 
 @query("b15_array_mse", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]) ** 2)) / 64, 6) AS mse FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -90,14 +90,14 @@ def _best(spark, d):
     return S.max_similarity(v.where("vec_id % 7 = 0"), v.where("vec_id % 7 = 1"), "vec_id", "v")
 
 
-@query("d2_max_similarity", f"WITH {_BEST} SELECT vec_id, round(best, 5) AS best, reference FROM best")
+@query("d2_max_similarity", f"WITH {_BEST} SELECT vec_id, best, reference FROM best")
 def d2(spark, d):
-    return _best(spark, d).select("vec_id", F.round("best", 5).alias("best"), "reference")
+    return _best(spark, d)
 
 
-@query("d8_overlap_audit", f"WITH {_BEST} SELECT count(*) AS items, count(*) FILTER (best >= 0.35) AS flagged, round(max(best), 5) AS highest FROM best")
+@query("d8_overlap_audit", f"WITH {_BEST} SELECT count(*) AS items, count(*) FILTER (best >= 0.35) AS flagged, max(best) AS highest FROM best")
 def d8(spark, d):
-    return S.overlap_audit(_best(spark, d), 0.35).select("items", "flagged", F.round("highest", 5).alias("highest"))
+    return S.overlap_audit(_best(spark, d), 0.35)
 
 
 _CENTRED = """norms AS (SELECT vec_id, label, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
@@ -110,9 +110,9 @@ pl AS (SELECT c, sqrt(sum(m * m)) AS l FROM p GROUP BY 1), rl AS (SELECT c, sqrt
 s AS (SELECT f.vec_id, f.label, p.c, round(100 * sum(f.x * p.m / pl.l), 6) AS s FROM flat f JOIN p USING (i) JOIN pl ON pl.c = p.c WHERE f.vec_id % 3 = 2 GROUP BY ALL),
 own AS (SELECT vec_id, s AS own FROM s WHERE c = label), near AS (SELECT vec_id, first(c ORDER BY s DESC, c) AS nearest FROM s GROUP BY 1),
 ref AS (SELECT f.vec_id, 100 * sum(f.x * r.m / rl.l) AS reference FROM flat f JOIN r ON r.c = f.label AND r.i = f.i JOIN rl ON rl.c = r.c WHERE f.vec_id % 3 = 2 GROUP BY 1)
-SELECT near.vec_id, e.label::BIGINT AS label, round(own, 4) AS own, nearest::BIGINT AS nearest, nearest = e.label AS label_ok, round(reference, 4) AS reference FROM near JOIN embeddings e USING (vec_id) LEFT JOIN own USING (vec_id) LEFT JOIN ref USING (vec_id)""")
+SELECT near.vec_id, e.label::BIGINT AS label, own, nearest::BIGINT AS nearest, nearest = e.label AS label_ok, round(reference, 6) AS reference FROM near JOIN embeddings e USING (vec_id) LEFT JOIN own USING (vec_id) LEFT JOIN ref USING (vec_id)""")
 def h11(spark, d):
-    return _scored(spark, d).select("vec_id", "label", F.round("own", 4).alias("own"), "nearest", "label_ok", F.round("reference", 4).alias("reference"))
+    return _scored(spark, d)
 
 
 def _scored(spark, d):
@@ -123,9 +123,9 @@ def _scored(spark, d):
 
 @query("h12_leave_one_out", f"""WITH {_CENTRED}, t AS (SELECT label, i, sum(x) AS s FROM flat GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
 rest AS (SELECT f.vec_id, f.label, f.x, t.s - f.x AS o FROM flat f JOIN t ON t.label = f.label AND t.i = f.i)
-SELECT vec_id, label::BIGINT AS label, round(CASE WHEN any_value(n) > 1 THEN 100 * sum(x * o) / sqrt(sum(o * o)) END, 4) AS reference FROM rest JOIN n USING (label) GROUP BY ALL""")
+SELECT vec_id, label::BIGINT AS label, round(CASE WHEN any_value(n) > 1 THEN 100 * sum(x * o) / sqrt(sum(o * o)) END, 6) AS reference FROM rest JOIN n USING (label) GROUP BY ALL""")
 def h12(spark, d):
-    return N.leave_one_out(T.vectors(spark, d), "vec_id", "label", "v").select("vec_id", "label", F.round("reference", 4).alias("reference"))
+    return N.leave_one_out(T.vectors(spark, d), "vec_id", "label", "v")
 
 
 @query("h16_steps_sweep")
@@ -134,12 +134,11 @@ def h16(spark, d):
     return N.generation_report(_scored(spark, d).withColumn("steps", steps), ["steps"])
 
 
-@query("a8_predictions", f"WITH {PREDICTIONS}, w AS (SELECT arm, seed, item, " + ", ".join(f"max(score) FILTER (cls = {c}) AS score_c{c}" for c in range(CLASSES)) + " FROM scored GROUP BY ALL) SELECT arm, seed, item, " + ", ".join(f"round(score_c{c}, 4) AS score_c{c}" for c in range(CLASSES)) + " FROM w")
+@query("a8_predictions", f"WITH {PREDICTIONS}, w AS (SELECT arm, seed, item, " + ", ".join(f"max(score) FILTER (cls = {c}) AS score_c{c}" for c in range(CLASSES)) + " FROM scored GROUP BY ALL) SELECT arm, seed, item, " + ", ".join(f"score_c{c}" for c in range(CLASSES)) + " FROM w")
 def a8(spark, d):
     from shardloom.sources.files import score_columns
 
-    p = score_columns(T.predictions(spark, d).select("arm", "seed", "item", "scores"), [f"c{c}" for c in range(CLASSES)])
-    return p.select("arm", "seed", "item", *[F.round(f"score_c{c}", 4).alias(f"score_c{c}") for c in range(CLASSES)])
+    return score_columns(T.predictions(spark, d).select("arm", "seed", "item", "scores"), [f"c{c}" for c in range(CLASSES)])
 
 
 def _confusion(spark, d):
@@ -241,11 +240,11 @@ def _support(spark, d):
 
 
 _VERDICT = f"""{_CONTRAST}, support AS (SELECT "true" AS cls, count(DISTINCT "group") AS g FROM predictions WHERE arm = 'A' AND seed = 17 GROUP BY 1),
-held AS (SELECT count(*) FILTER (g < 3) AS insufficient, count(*) FILTER (g >= 3 AND g < 6) AS sparse FROM support),
-verdict AS (SELECT CASE WHEN insufficient > 0 THEN 'withheld' WHEN (SELECT min(low) FROM contrast) > 0 THEN 'better' WHEN (SELECT max(high) FROM contrast) < 0 THEN 'worse' ELSE 'no co-primary claim' END AS claim, * FROM held)"""
+enough AS (SELECT count(*) FILTER (g < 3) AS insufficient, count(*) FILTER (g >= 3 AND g < 6) AS sparse FROM support),
+verdict AS (SELECT CASE WHEN insufficient > 0 THEN 'withheld' WHEN (SELECT min(low) FROM contrast) > 0 THEN 'better' WHEN (SELECT max(high) FROM contrast) < 0 THEN 'worse' ELSE 'no co-primary claim' END AS claim, * FROM enough)"""
 
 
-@query("h8_co_primary_verdict", f"WITH {_VERDICT.replace('held AS (SELECT count', 'sup AS (SELECT count').replace('FROM held)', 'FROM sup)')} SELECT claim, insufficient, sparse FROM verdict")
+@query("h8_co_primary_verdict", f"WITH {_VERDICT} SELECT claim, insufficient, sparse FROM verdict")
 def h8(spark, d):
     return M.co_primary_verdict(_contrast(spark, d), _support(spark, d))
 

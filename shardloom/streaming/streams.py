@@ -10,8 +10,15 @@ from shardloom.operators.grouping import hash_split
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of files; its schema is that of the files there now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A Parquet table, a folder or a single file, as a stream of files; its schema is that of the files there now.
+
+    Timestamps without a zone become instants of the session's zone, which watermarks need.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    rows = reader.parquet(path) if folder else reader.option("pathGlobFilter", where.getName()).parquet(str(where.getParent()))
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
 def stream_validate(rows: DataFrame, broken: Column, good: str, bad: str, checkpoint: str):
@@ -35,7 +42,7 @@ def stream_status(rows: DataFrame, label: str, usable: Column, time: str | None
     counts = F.count(F.lit(1)).alias("attempted"), F.count_if(usable).alias("usable")
     if time is None:
         return rows.groupBy(label).agg(*counts)
-    return rows.withWatermark(time, delay).groupBy(F.window(time, window), label).agg(*counts).select(F.col("window.start").alias("start"), label, "attempted", "usable")
+    return rows.withWatermark(time, delay).groupBy(F.window(time, window), label).agg(*counts).select(F.col("window.start").cast("timestamp_ntz").alias("start"), label, "attempted", "usable")
 
 
 def stream_hash_split(rows: DataFrame, key: str, version: str) -> DataFrame:
