@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
-from shardloom.llm.training_order import new_table
+from shardloom.llm.graph import bit_filter, is_set, written
 
 LENGTH, K = 200, 48
+#: Bytes of text, and symbols of shards, that a task handles at once.
+SLICE, BATCH = 3 << 18, 300_000
 _POS = 22  # a slice has fewer than 2**22 bytes unless one text has more
 
 
@@ -207,9 +209,9 @@ def repeated_windows(groups: list[list[bytes]], length: int = LENGTH) -> list[li
     order = np.argsort(total)
     a = 0
     while a < len(order):
-        # Strings in step are of similar length, and hold about a million symbols together.
+        # Strings in step are of similar length, and hold at most BATCH symbols together.
         b = a + 1
-        while b < len(order) and total[order[b]] <= max(1.3 * total[order[a]], total[order[a]] + 64) and total[order[b]] * (b - a + 1) <= 1_000_000:
+        while b < len(order) and total[order[b]] <= max(1.3 * total[order[a]], total[order[a]] + 64) and total[order[b]] * (b - a + 1) <= BATCH:
             b += 1
         picked = [groups[g] for g in order[a:b]]
         shift = max(map(len, picked)) + 1
@@ -241,6 +243,10 @@ def repeated_windows(groups: list[list[bytes]], length: int = LENGTH) -> list[li
     return out
 
 
+def _pair(context: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return tn.mix(tn.mix(context.astype(np.int64).view(np.uint64)) + row.astype(np.int64).view(np.uint64))
+
+
 def _runs(mask: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
     return [{"a": int(x), "b": int(y) - 1} for x, y in zip(edge[::2], edge[1::2], strict=True)]
@@ -260,69 +266,80 @@ def find(docs: DataFrame, *, text_col: str = "text", row_key: str = "row_key", l
     source = docs.select(F.col(row_key).alias("row"), F.col(text_col).alias("_text")).where(F.octet_length("_text") >= length)
 
     def gram_task(batches):
-        for part in tn.slices(batches, "_text"):
+        for part in tn.slices(batches, "_text", SLICE):
             *_, gram, _ = anchors(*tn.text_bytes(part.column(1)), length, k)
             u, n = np.unique(gram, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     repeated = source.mapInArrow(gram_task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    # A bit for each repeated gram; the filter's size is fixed, and a set bit too many costs only time.
-    slot = F.shiftrightunsigned("gram", 64 - filter_bits)
-    words = repeated.select(slot.alias("s")).selectExpr("s >> 6 AS w", "shiftleft(1L, cast(s & 63 AS int)) AS v").groupBy("w").agg(F.bit_or("v").alias("v"))
-    rows = words.toArrow()
-    bits = np.zeros(1 << (filter_bits - 6), np.int64)
-    bits[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
-    sent = spark.sparkContext.broadcast(bits)
+    # The filter's size is fixed; a set bit too many costs only time.
+    sent = spark.sparkContext.broadcast(bit_filter(repeated, "gram", filter_bits))
+
+    def contexts_of(part):
+        buf, off = tn.text_bytes(part.column(1))
+        row, w, count, offset, gram, context = anchors(buf, off, length, k)
+        hit = np.flatnonzero(is_set(sent.value, gram))
+        return buf, w[hit], count[hit], row[hit], w[hit] - off[row[hit]], gram[hit].view(np.int64), context[hit].view(np.int64)
 
     def context_task(batches):
-        seen = sent.value.view(np.uint64)
-        for part in tn.slices(batches, "_text"):
-            buf, off = tn.text_bytes(part.column(1))
-            row, w, count, offset, gram, context = anchors(buf, off, length, k)
-            s = (gram >> tn.U64(64 - filter_bits)).astype(np.int64)
-            hit = np.flatnonzero((seen[s >> 6] >> (s & 63).astype(np.uint64)) & tn.U64(1))
-            raw = buf.tobytes()
-            a, b = w[hit].tolist(), (w[hit] + count[hit] + length - 1).tolist()
+        for part in tn.slices(batches, "_text", SLICE):
+            _, _, count, row, at, gram, context = contexts_of(part)
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(pa.array(row[hit])), pa.array((w - off[row])[hit]), pa.array(gram[hit].view(np.int64)),
-                    pa.array(context[hit].view(np.int64)), tn.binary([raw[x:y] for x, y in zip(a, b, strict=True)]),
-                ],
-                names=["row", "at", "gram", "context", "data"],
+                [part.column(0).take(pa.array(row)), pa.array(at), pa.array(gram), pa.array(context), pa.array(count)], names=["row", "at", "gram", "context", "windows"]
             )
 
-    path = new_table(spark, "contexts")
-    source.mapInArrow(context_task, "row long, at long, gram long, context long, data binary").write.option("compression", "zstd").parquet(path)
-    contexts = spark.read.parquet(path)
-    distinct = contexts.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.first("data").alias("data"))
-    path = new_table(spark, "distinct")
-    distinct.write.option("compression", "zstd").parquet(path)
-    distinct = spark.read.parquet(path)
+    contexts = written(source.mapInArrow(context_task, "row long, at long, gram long, context long, windows long"), "contexts")
+    distinct = contexts.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.first("windows").alias("windows"))
+    distinct = written(distinct, "distinct")
     shards = distinct.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
-    known = distinct.join(shards, "gram")
-    windows = F.octet_length("data") - length
+    known = written(distinct.join(shards, "gram").drop("total"), "known")
     # A context that occurs twice repeats as a whole.
-    whole = known.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("a"), windows.cast("int").alias("b"))).alias("runs"))
-    small = known.where((F.col("different") > 1) & (F.col("different") <= shard_contexts)).select("gram", "context", "n", "data")
-    large = known.where(F.col("different") > shard_contexts).select("gram", "context", "n", "data")
+    whole = known.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("runs"))
+    small = known.where((F.col("different") > 1) & (F.col("different") <= shard_contexts))
+    large = known.where(F.col("different") > shard_contexts)
+
+    # The bytes of contexts that must be compared, each from one text that has it.
+    def hash_task(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h": pa.array(_pair(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))})
+
+    wanted = [spark.sparkContext.broadcast(bit_filter(x.select("context", "row").mapInArrow(hash_task, "h long"), "h", filter_bits)) for x in (small, large)]
+
+    def data_of(which):
+        def data_task(batches):
+            for part in tn.slices(batches, "_text", SLICE):
+                buf, w, count, row, _, gram, context = contexts_of(part)
+                own = part.column(0).to_numpy()[row]
+                pick = np.flatnonzero(is_set(wanted[which].value, _pair(context, own)))
+                pick = pick[np.unique(np.stack((gram[pick], context[pick])), axis=1, return_index=True)[1]] if len(pick) else pick
+                raw = buf.tobytes()
+                ends = (w + count + length - 1)[pick].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(gram[pick]), pa.array(context[pick]), tn.binary([raw[x:y] for x, y in zip(w[pick].tolist(), ends, strict=True)])], names=["gram", "context", "data"])
+
+        return source.mapInArrow(data_task, "gram long, context long, data binary")
 
     def shard_task(batches):
+        # Rows come by gram and context: first the one with the count, then the bytes.
         held: list[tuple] = []
 
         def solved(rows):
-            groups, keys = [], []
+            groups, keys, last = [], [], None
             for gram, context, n, data in rows:
-                if not keys or keys[-1][0] != gram:
-                    keys.append((gram, []))
-                    groups.append([])
-                keys[-1][1].append((context, n))
-                groups[-1].append(data)
+                if n is not None:
+                    last = (gram, context, n)
+                elif last is not None and last[:2] == (gram, context):
+                    if not keys or keys[-1][0] != gram:
+                        keys.append((gram, []))
+                        groups.append([])
+                    keys[-1][1].append(last[1:])
+                    groups[-1].append(data)
+                    last = None
             out = [(gram, context, _runs(mask)) for (gram, own), masks in zip(keys, repeated_windows(groups, length), strict=True) for (context, n), mask in zip(own, masks, strict=True) if n == 1 and mask.any()]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _RUNS)], names=["gram", "context", "runs"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= 20_000:
+            if len(held) >= 8_000:
                 cut = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
                 if cut:
                     yield solved(held[:cut])
@@ -331,30 +348,41 @@ def find(docs: DataFrame, *, text_col: str = "text", row_key: str = "row_key", l
             yield solved(held)
 
     runs_type = "array<struct<a:int,b:int>>"
-    by_shard = small.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(shard_task, f"gram long, context long, runs {runs_type}")
-
-    def window_task(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                data = part.column(3).to_pylist()
-                size = np.array([len(d) for d in data], np.int64)
-                first = np.concatenate(([0], np.cumsum(size)))
-                prefix = tn.prefix_hash(np.frombuffer(b"".join(data), np.uint8))
-                n = size - length + 1
-                ends = np.concatenate(([0], np.cumsum(n)))
-                which = np.repeat(np.arange(len(n)), n)
-                start = np.arange(ends[-1]) - ends[:-1][which]
-                h = tn.span_hash(prefix, first[which] + start, first[which] + start + length)
-                w = pa.array(which)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(w), part.column(1).take(w), part.column(2).take(w), pa.array(start), pa.array(h.view(np.int64))], names=["gram", "context", "n", "start", "window"]
-                )
-
-    single = large.repartition("gram", "context").mapInArrow(window_task, "gram long, context long, n long, start long, window long")
-    twice = single.groupBy("gram", "window").agg(F.sum("n").alias("all")).where("all > 1").select("gram", "window")
+    rows = small.select("gram", "context", "n", F.lit(None).cast("binary").alias("data")).unionByName(data_of(0).select("gram", "context", F.lit(None).cast("long").alias("n"), "data"))
+    by_shard = rows.repartition("gram").sortWithinPartitions("gram", "context", F.col("n").desc_nulls_last()).mapInArrow(shard_task, f"gram long, context long, runs {runs_type}")
+
+    def windows_of(only):
+        def window_task(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2000):
+                    part = batch.slice(a, 2000)
+                    data = part.column(3).to_pylist()
+                    size = np.array([len(d) for d in data], np.int64)
+                    first = np.concatenate(([0], np.cumsum(size)))
+                    prefix = tn.prefix_hash(np.frombuffer(b"".join(data), np.uint8))
+                    n = size - length + 1
+                    ends = np.concatenate(([0], np.cumsum(n)))
+                    which = np.repeat(np.arange(len(n)), n)
+                    start = np.arange(ends[-1]) - ends[:-1][which]
+                    h = tn.span_hash(prefix, first[which] + start, first[which] + start + length)
+                    if only is None:
+                        weight = np.minimum(part.column(2).to_numpy(), 2)[which]
+                        u, back = np.unique(h, return_inverse=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, weights=weight).astype(np.int64))], names=["window", "n"])
+                        continue
+                    keep = np.flatnonzero((part.column(2).to_numpy() == 1)[which] & is_set(only.value, h))
+                    w = pa.array(which[keep])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(w), part.column(1).take(w), pa.array(start[keep]), pa.array(h[keep].view(np.int64))], names=["gram", "context", "start", "window"])
+
+        return window_task
+
+    # Windows of a large shard: counted by hash, then met again through a bit filter and an exact join.
+    hot = written(large.select("gram", "context", "n").join(data_of(1).dropDuplicates(["gram", "context"]), ["gram", "context"]), "large")
+    twice = written(hot.mapInArrow(windows_of(None), "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
+    again = spark.sparkContext.broadcast(bit_filter(twice, "window", filter_bits))
+    single = hot.mapInArrow(windows_of(again), "gram long, context long, start long, window long")
     start = F.col("start").cast("int")
-    by_window = single.where("n = 1").join(twice, ["gram", "window"]).groupBy("gram", "context").agg(F.collect_list(F.struct(start.alias("a"), start.alias("b"))).alias("runs"))
+    by_window = single.join(twice, "window").groupBy("gram", "context").agg(F.collect_list(F.struct(start.alias("a"), start.alias("b"))).alias("runs"))
     covered = whole.unionByName(by_shard).unionByName(by_window)
     placed = contexts.select("row", "at", "gram", "context").join(covered, ["gram", "context"])
     return placed.select(F.col("row").alias(row_key), F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).cast("long").alias("a"), (r["b"] + F.col("at")).cast("long").alias("b"))).alias("runs")).groupBy(row_key).agg(F.flatten(F.collect_list("runs")).alias("runs"))
@@ -367,11 +395,29 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     """
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("row_key", F.xxhash64(id_col, "_text"))
     id_type = source.schema[id_col].dataType.simpleString()
-    runs = find(source, text_col="_text", length=length, **options)
-    both = source.join(runs.hint("shuffle_hash"), "row_key", "left").select(id_col, "_text", "runs")
+    runs = written(find(source, text_col="_text", length=length, **options), "runs")
+    touched = source.sparkSession.sparkContext.broadcast(bit_filter(runs, "row_key", 24))
+
+    out = f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary"
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
+
+    def touched_rows(batch, hit):
+        return batch.filter(pa.array(is_set(touched.value, batch.column(2).to_numpy().view(np.uint64)) == hit))
+
+    def whole_task(batches):
+        for batch in batches:
+            for part in tn.slices(iter([touched_rows(batch, False)]), "_text", SLICE):
+                buf, off = tn.text_bytes(part.column(1))
+                zero, raw = np.zeros(part.num_rows, np.int64), buf.tobytes()
+                kept = tn.binary([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(zero), pa.array(zero), kept], names=names)
+
+    def cut_task(batches):
+        for batch in batches:
+            yield touched_rows(batch, True)
 
     def remove_task(batches):
-        for part in tn.slices(batches, "_text"):
+        for part in tn.slices(batches, "_text", SLICE):
             buf, off = tn.text_bytes(part.column(1))
             delta = np.zeros(len(buf) + 1, np.int32)
             lists = part.column(2)
@@ -390,12 +436,11 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
             spans = tn.reduce_rows(begins.astype(np.int64), off)
             left = buf[~gone].tobytes()
             cut = np.concatenate(([0], np.cumsum(np.diff(off) - removed))).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), tn.binary([left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])],
-                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), tn.binary([left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])], names=names)
 
-    return both.mapInArrow(remove_task, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    # Texts without repeats stay where they are; only the others travel to their runs.
+    cut = source.mapInArrow(cut_task, source.schema).join(runs.hint("shuffle_hash"), "row_key", "left").select(id_col, "_text", "runs")
+    return source.mapInArrow(whole_task, out).unionByName(cut.mapInArrow(remove_task, out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
