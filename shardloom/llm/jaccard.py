@@ -9,11 +9,15 @@ of those prefixes.  The order is by hash, with very frequent shingles last; a sh
 skipped.  Both properties come from exact counts over all texts (of the lower part of the hash range, which
 holds the prefixes) and reach the tasks as bit filters of fixed size.
 
-Short lists.  Sets that share a prefix shingle of at most `short_list` sets are paired; pairs are counted and
-those within the bound compared.
-
-Token-group matrix.  The sets of a longer list (a passage that many texts share, or a large family of near
-copies) are dealt into blocks of at most `block_sets` sets, and pairs of blocks are tasks.  A task puts similar
+Token-group matrix.  Similar sets (one first prefix shingle, sizes within a quarter) are a group, and the
+rows of a matrix tell which groups hold a prefix shingle, with the sizes there.  Joined with a query set's
+prefix and counted, they bound what it shares with any member of the group; a group whose bound is below what
+a member of its sizes needs stays closed.  The members of open groups are compared with the query exactly.
+A group has at most as many members as the list of its first shingle, at most `short_list`; where that list
+may be longer the set is a group of its own.
+
+Long lists.  The sets of a list longer than `short_list` (a passage that many texts share, or a large family of near
+copies) are dealt into blocks of at most `block_sets` sets, and pairs of blocks are tasks, each with a dense matrix of its own.  A task puts similar
 sets of a block into groups and keeps each group's token union as a column of a token x group matrix.  The
 product with a query set's tokens bounds its overlap with every member; only groups whose bound
 reaches t n are opened and compared member by member.  A task returns links that span what it found
@@ -22,6 +26,8 @@ connected, at most one for each set, not all pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +57,22 @@ def linked(shared, n1, n2):
     return 100 * shared >= THRESHOLD * (n1 + n2 - shared)
 
 
+def group_key(token: int, n: int) -> int:
+    """The group of a set by its first prefix shingle and its size."""
+    size = np.uint64(math.log(n) / math.log(1.25))
+    return int(tn.mix(tn.mix(np.array([token], np.uint64)) + size).view(np.int64)[0])
+
+
+def least_bound(n, lo, hi):
+    """The fewest prefix shingles that a set of n shingles shares with a linked one of lo to hi.
+
+    What a size needs rises up to n and falls beyond it, so an end of the range needs least.
+    """
+    t = THRESHOLD / 100
+    ends = F.greatest(lo, n * t), F.least(hi, n / t)
+    return F.least(*((n + e) * (t / (1 + t)) - t * F.greatest(n, e) for e in ends)) - F.lit(1e-6)
+
+
 def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links that span every connection between the sets of `left` and those of `right` (positions in `sets`).
 
@@ -173,7 +195,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
                 continue
             flat = np.concatenate(sets)
             often, shared = is_set(often_bits.value, flat), is_set(shared_bits.value, flat) | (flat >= tn.U64(COUNTED))
-            tokens, keys, sizes, at = [], [], [], 0
+            tokens, keys, sizes, groups, at = [], [], [], [], 0
             for s in sets:
                 o, w = often[at : at + len(s)], shared[at : at + len(s)]
                 at += len(s)
@@ -181,23 +203,31 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
                 order = np.concatenate((np.flatnonzero(~o)[:p], np.flatnonzero(o)[:p]))[:p]
                 order = order[w[order]]
                 if len(order):
+                    key = set_key(s)
+                    # Counted and not in the filter: at most short_list sets hold it.
+                    grouped = s[order[0]] < tn.U64(COUNTED) and not o[order[0]]
                     tokens.append(s[order])
-                    keys.append(np.full(len(order), set_key(s)))
+                    keys.append(np.full(len(order), key))
                     sizes.append(np.full(len(order), len(s)))
+                    groups.append(np.full(len(order), group_key(int(s[order[0]]), len(s)) if grouped else key))
             if tokens:
-                yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "key": pa.array(np.concatenate(keys)), "n": pa.array(np.concatenate(sizes))})
+                columns = {"token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(sizes), "g": np.concatenate(groups)}
+                yield pa.RecordBatch.from_pydict({name: pa.array(column) for name, column in columns.items()})
 
-    entries = written(source.select("_text").mapInArrow(entry_task, "token long, key long, n long").distinct(), "entries")
+    entries = written(source.select("_text").mapInArrow(entry_task, "token long, key long, n long, g long").distinct(), "entries")
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = written(entries.join(lists, "token"), "lists")
-    short = sized.where(F.col("size") <= short_list)
-    x = short.select("token", F.col("key").alias("x"), F.col("n").alias("nx"))
-    y = short.select("token", F.col("key").alias("y"), F.col("n").alias("ny"))
-    need = F.ceil(F.col("nx") * THRESHOLD / 100), F.ceil(F.col("ny") * THRESHOLD / 100)
-    least = F.ceil((F.col("nx") + F.col("ny")) * THRESHOLD / (100 + THRESHOLD) - F.lit(1e-9)) - F.greatest(*(n - 1 for n in need))
+    short = sized.where(F.col("size") <= short_list).select("token", "key", "n", "g").repartition("token")
+    matrix = short.groupBy("token", F.col("g").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"))
+    # A pair is found from the set of the smaller group.
+    met = short.join(matrix, "token").where(
+        f"g <= group and (g < group or members > 1) and 100 * hi >= {THRESHOLD} * n and 100 * n >= {THRESHOLD} * lo"
+    )
+    bounds = met.groupBy("key", "n", "g", "group").agg(F.count(F.lit(1)).alias("bound"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    opened = bounds.where(F.col("bound") >= least_bound(F.col("n"), F.col("lo"), F.col("hi"))).select(F.col("key").alias("x"), F.col("n").alias("nx"), "g", "group")
+    members = entries.select(F.col("g").alias("group"), F.col("key").alias("y"), F.col("n").alias("ny")).distinct()
     pairs = written(
-        x.join(y, "token").where(f"x < y and 100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)")
-        .groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("x", "y"), "pairs",
+        opened.join(members, "group").where(f"(g < group or x < y) and 100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)").select("x", "y"), "pairs",
     )
     long = sized.where(F.col("size") > short_list)
 

@@ -111,3 +111,15 @@ def test_top_k_matches_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
     few = balltree.top_k(df.where("vec_id < 3"), df.where("vec_id < 3"), 20).collect()
     assert len(few) == 6 and balltree.top_k(df.limit(0), df, 20).count() == 0
+
+
+def test_group_bound_is_never_above_what_a_linked_set_shares(spark):
+    rows = []
+    for n in range(1, 70):
+        for y in range(1, 90):
+            if 100 * min(n, y) >= 80 * max(n, y):
+                rest = max(n - jaccard.prefix_size(n), y - jaccard.prefix_size(y))
+                need = -(-80 * (n + y) // 180) - rest
+                rows += [(n, lo, hi, need) for lo, hi in ((y, y), (max(1, y - 9), y), (y, y + 9), (1, 200))]
+    table = spark.createDataFrame(rows, "n long, lo long, hi long, need long")
+    assert table.where(jaccard.least_bound(table.n, table.lo, table.hi) > table.need).count() == 0
