@@ -705,3 +705,40 @@ def a6(spark, d):
     path = shared_path(spark, "jsonl")
     write_jsonl(rows, path)
     return read_jsonl(spark, path, rows.schema)
+
+
+OK_PATH = r"^([a-z]+)_ok/([a-z]+)_ok_[0-9]+\.jpg$"
+NOK_PATH = r"^([a-z]+)_nok/(train|val)/([a-z_]+)/([a-z]+)_([a-z_]{2})_(train|val)_[0-9]+\.jpg$"
+
+
+@query(
+    "b1_parse_path",
+    """WITH p AS (SELECT event_id, event_type AS t, CASE WHEN user_id % 2 = 0 THEN 'cam' ELSE 'lens' END AS product, CASE WHEN event_id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM events)
+    SELECT event_id, event_id % 3 = 0 OR event_id % 5 <> 0 AS ok,
+      CASE WHEN event_id % 3 = 0 OR event_id % 5 <> 0 THEN product END AS product,
+      CASE WHEN event_id % 3 = 0 THEN 'normal' WHEN event_id % 5 <> 0 THEN t END AS label,
+      CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 5 <> 0 THEN split END AS official_split FROM p""",
+)
+def b1(spark, d):
+    """Every third path is a good item's; of the others, every fifth id names another product in its file name."""
+    k = F.col("event_id")
+    product = F.when(F.col("user_id") % 2 == 0, "cam").otherwise("lens")
+    split = F.when(k % 4 == 0, "val").otherwise("train")
+    inner = F.when(k % 5 == 0, "other").otherwise(product)
+    ok = F.format_string("%s_ok/%s_ok_%d.jpg", product, product, k)
+    nok = F.format_string("%s_nok/%s/%s/%s_%s_%s_%d.jpg", product, split, F.col("event_type"), inner, F.substring("event_type", 1, 2), split, k)
+    paths = T.table(spark, d, "events").select("event_id", F.when(k % 3 == 0, ok).otherwise(nok).alias("path"))
+    return paths.select("event_id", X.parse_path(F.col("path"), OK_PATH, NOK_PATH).alias("p")).select("event_id", "p.ok", "p.product", "p.label", "p.official_split")
+
+
+@query("a4_manifest_csv", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS label, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS grp FROM events")
+def a4(spark, d):
+    """Write a CSV manifest with padded cells and nulls, and read it back."""
+    from shardloom.operators.graph import shared_path
+    from shardloom.sources.files import read_manifest_csv
+
+    user = F.col("user_id")
+    rows = T.table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("label"), F.when(user % 2 == 0, user.cast("string")).alias("grp"))
+    path = shared_path(spark, "csv")
+    rows.write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
+    return read_manifest_csv(spark, path, ["id", "label"])
