@@ -1,14 +1,15 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word bigram models, one of a target corpus and one of the whole corpus, share one vocabulary: words are
-hashed to 2**word_bits numbers and bigrams to 2**pair_bits.  With the loss of a token
+Two word bigram models, one of a target corpus and one of the whole corpus, hold exact counts of every word and
+every bigram, known by a 64-bit hash.  With the loss of a token
     loss = -log((1 - mix) c(previous, word) / c(previous) + mix (c(word) + 1) / (N + words in use)),
 a text's score is the mean over its tokens of the target's loss less the background's: the lower, the more
 the text is like the target.
 
-Counts are taken over every token of every text.  A task adds up its own rows in arrays and sends the
-non-empty cells in ranges, so a frequent word or pair is one number from each task; a range is summed in one
-place.  The summed model has a size set by the two parameters, whatever the corpus, and is broadcast.
+Counts are taken over every token of every text and grow with the corpus, as a table in the shared folder.  Its rows
+are ranges of keys, packed; how many there are follows from the input, so a range has about one size.  A task adds up
+its own tokens first, so a frequent word or pair is one number for each CHUNK_BYTES of text.  To be scored, texts are
+dealt into chunks; a chunk asks each range once for its distinct keys and gets their counts in the same order.
 """
 
 from __future__ import annotations
@@ -22,100 +23,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
+from shardloom.llm.graph import written
 
-RANGES = 64
 MIX = 0.4
+#: Text bytes of a chunk, and of the input for each range of keys.
+CHUNK_BYTES = 8 << 20
 
 
 @dataclass
 class Counts:
-    """words, pairs: (2, cells) counts of the target and of the whole corpus."""
+    """table: rows bucket, keys, t, b, a range of sorted keys with their counts in the target and in the whole corpus;
+    total: tokens of each of the two; used: words in use."""
 
-    words: np.ndarray
-    pairs: np.ndarray
+    table: DataFrame
+    buckets: int
+    total: np.ndarray
+    used: float
     word_bits: int
     pair_bits: int
 
 
-def _cells(column: pa.Array, word_bits: int, pair_bits: int):
-    """Word cell of each token, pair cell with the token before (-1 at the start of a row), and the words."""
+def _keys(column: pa.Array, word_bits: int, pair_bits: int):
+    """The words, and of each token the key of its word (even), and that of it and the token before (odd; 0 at the start of a row)."""
     words, h = tn.word_hashes(column)
-    word = (h >> tn.U64(64 - word_bits)).astype(np.int64)
-    pair = np.full(len(h), -1, np.int64)
+    word = h if word_bits == 64 else tn.mix(h >> tn.U64(64 - word_bits))
+    pair = np.zeros(len(h), np.uint64)
     if len(h) > 1:
-        pair[1:] = (tn.mix(h[:-1] * tn.U64(0x9E3779B97F4A7C15) + h[1:]) >> tn.U64(64 - pair_bits)).astype(np.int64)
-    starts = words.first[:-1][words.count > 0]
-    pair[starts] = -1
-    return words, word, pair
+        pair[1:] = tn.mix(h[:-1] * tn.U64(0x9E3779B97F4A7C15) + h[1:])
+        if pair_bits < 64:
+            pair = tn.mix(pair >> tn.U64(64 - pair_bits))
+    pair |= tn.U64(1)
+    pair[words.first[:-1][words.count > 0]] = 0
+    return words, word & ~tn.U64(1), pair
 
 
-def count(docs: DataFrame, is_target: str, *, text_col: str = "text", word_bits: int = 20, pair_bits: int = 22) -> Counts:
-    """Counts over all rows; rows whose boolean column `is_target` is true also count for the target."""
+def _distinct(word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The sorted keys of some tokens."""
+    return np.unique(np.concatenate((word, pair[pair > 0])))
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of sorted keys begins, and the end."""
+    return np.searchsorted(((keys >> tn.U64(32)) * tn.U64(buckets) >> tn.U64(32)).astype(np.int64), np.arange(buckets + 1))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the upper planes are mostly zeros, which Spark's compression takes out."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unpack(x: pa.Scalar, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=tn.U64(0)))
+
+
+def _unpack_keys(x: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and the sums of the rows of values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+    return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
+
+
+def _parts(source: DataFrame) -> int:
+    total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return max(1, -(-total // CHUNK_BYTES))
+
+
+def count(docs: DataFrame, is_target: str, *, text_col: str = "text", word_bits: int = 64, pair_bits: int = 64) -> Counts:
+    """Counts over all rows; rows whose boolean column `is_target` is true also count for the target.
+
+    With fewer bits than 64, words or bigrams of one hash of that many bits count as one.
+    """
     spark = docs.sparkSession
     tn.ship_code(spark)
     source = docs.select(F.coalesce(F.col(is_target), F.lit(False)).alias("_target"), F.col(text_col).alias("_text"))
-    sizes = {"w": 1 << word_bits, "p": 1 << pair_bits}
-
-    # A range is summed in two steps, so that no task gathers what every task has sent; the first has this many parts.
-    salts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
-
-    def sparse(name, r, salt, counts):
-        at = np.flatnonzero(counts[1])
-        counts = counts[:, at]
-        counts = counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64)
-        return pa.RecordBatch.from_pydict({
-            "name": pa.array([name]), "r": pa.array([r]), "salt": pa.array([salt]), "at": tn.binary([at.astype(np.int32).tobytes()]),
-            "t": tn.binary([counts[0].tobytes()]), "b": tn.binary([counts[1].tobytes()]),
-        })
+    buckets = _parts(docs.select(F.col(text_col).alias("_text")))
 
     def count_task(batches):
-        from pyspark import TaskContext
+        held, size = [], 0
+
+        def flush():
+            keys = np.concatenate([k for k, _ in held])
+            target = np.concatenate([t for _, t in held])
+            u, b = np.unique(keys, return_counts=True)
+            own, n = np.unique(keys[target], return_counts=True)
+            t = np.zeros(len(u), np.int64)
+            t[np.searchsorted(u, own)] = n
+            cut = _cuts(u, buckets)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                at = slice(cut[k], cut[k + 1])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(u[at])]), "t": tn.binary([_pack(t[at])]), "b": tn.binary([_pack(b[at])])})
 
-        held = {k: np.zeros((2, n), np.int64) for k, n in sizes.items()}
-        seen = False
         for part in tn.slices(batches, "_text"):
-            seen = True
-            words, word, pair = _cells(part.column(1), word_bits, pair_bits)
+            words, word, pair = _keys(part.column(1), word_bits, pair_bits)
             target = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(bool), words.count)
-            for name, cells in (("w", word), ("p", pair)):
-                for side, pick in ((0, target), (1, np.ones(len(target), bool))):
-                    c = cells[pick & (cells >= 0)]
-                    u, n = np.unique(c, return_counts=True)
-                    held[name][side, u] += n
-        if not seen:
-            return
-        salt = TaskContext.get().partitionId() % salts
-        for name, n in sizes.items():
-            width = n // RANGES
-            for r in range(RANGES):
-                yield sparse(name, r, salt, held[name][:, r * width : (r + 1) * width])
-
-    def added(key, batches):
-        total = np.zeros((2, sizes[key[0].as_py()] // RANGES), np.int64)
+            held += [(word, target), (pair[pair > 0], target[pair > 0])]
+            size += 8 * len(word)
+            if size > CHUNK_BYTES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def sum_task(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, fresh, size = [], [], 0
+
+        def merged():
+            return [_sums(np.concatenate([k for k, _ in found + fresh]), np.concatenate([v for _, v in found + fresh]))]
+
         for batch in batches:
             for i in range(batch.num_rows):
-                at = np.frombuffer(batch.column("at")[i].as_py(), np.int32)
-                for side, name in enumerate("tb"):
-                    sent = batch.column(name)[i].as_py()
-                    total[side, at] += np.frombuffer(sent, np.int32 if len(sent) == 4 * len(at) else np.int64)
-        return total
-
-    def first_task(key, batches):
-        yield sparse(key[0].as_py(), key[1].as_py(), key[2].as_py(), added(key, batches))
-
-    def last_task(key, batches):
-        yield pa.RecordBatch.from_pydict({"name": pa.array([key[0].as_py()]), "r": pa.array([key[1].as_py()]), "c": tn.binary([added(key, batches).astype(np.float32).tobytes()])})
-
-    for f in (first_task, last_task):
-        f.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    schema = "name string, r long, salt long, at binary, t binary, b binary"
-    parts = source.mapInArrow(count_task, schema).groupBy("name", "r", "salt").applyInArrow(first_task, schema)
-    summed = parts.groupBy("name", "r").applyInArrow(last_task, "name string, r long, c binary")
-    out = {k: np.zeros((2, n), np.float32) for k, n in sizes.items()}
-    for row in summed.collect():
-        width = sizes[row.name] // RANGES
-        out[row.name][:, row.r * width : (row.r + 1) * width] = np.frombuffer(bytes(row.c), np.float32).reshape(2, width)
-    return Counts(out["w"], out["p"], word_bits, pair_bits)
+                fresh.append((_unpack_keys(batch.column("keys")[i]), np.stack([_unpack(batch.column(c)[i], np.int64) for c in "tb"], 1)))
+                size += len(fresh[-1][0])
+                if size > max(1 << 20, len(found[0][0]) if found else 0):
+                    found, fresh, size = merged(), [], 0
+        keys, n = merged()[0]
+        word = keys & tn.U64(1) == 0
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array([key[0].as_py()], pa.int64()), "keys": tn.binary([_pack_keys(keys)]), "t": tn.binary([_pack(np.ascontiguousarray(n[:, 0]))]), "b": tn.binary([_pack(np.ascontiguousarray(n[:, 1]))]),
+            "n_t": pa.array([int(n[word, 0].sum())]), "n_b": pa.array([int(n[word, 1].sum())]), "used": pa.array([int(word.sum())]),
+        })
+
+    sum_task.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    schema = "bucket long, keys binary, t binary, b binary"
+    table = written(source.mapInArrow(count_task, schema).groupBy("bucket").applyInArrow(sum_task, schema + ", n_t long, n_b long, used long"), "counts")
+    n_t, n_b, used = table.agg(F.sum("n_t"), F.sum("n_b"), F.sum("used")).first()
+    return Counts(table.select("bucket", "keys", "t", "b"), buckets, np.array([n_t or 0, n_b or 0], np.float64), float(used or 0), word_bits, pair_bits)
 
 
 def score(docs: DataFrame, counts: Counts, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,31 +169,64 @@ def score(docs: DataFrame, counts: Counts, *, id_col: str = "doc_id", text_col:
     tn.ship_code(spark)
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     id_type = source.schema[id_col].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(counts)
-
-    def score_task(batches):
-        m = sent.value
-        total = m.words.sum(axis=1, dtype=np.float64)
-        used = float((m.words[1] > 0).sum())
-        for part in tn.slices(batches, "_text", tn.SLICE_BYTES // 2):
-            words, word, pair = _cells(part.column(1), m.word_bits, m.pair_bits)
-            before = np.zeros_like(word)
-            before[1:] = word[:-1]
-            known = pair >= 0
+    buckets, total, used, bits = counts.buckets, counts.total, counts.used, (counts.word_bits, counts.pair_bits)
+    # A chunk is known by its rows, not their order, so it asks and is answered alike whenever it is computed.
+    dealt = source.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "_text"), F.lit(_parts(source)))).repartition("_chunk")
+
+    def ask_task(key, batches):
+        found = []
+        for part in tn.slices(batches, "_text"):
+            found.append(_distinct(*_keys(part.column("_text"), *bits)[1:]))
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        cut = _cuts(keys, buckets)
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int64()), "bucket": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(keys[cut[k] : cut[k + 1]])])})
+
+    def answer_task(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, n = np.zeros(0, np.uint64), np.zeros((2, 1), np.int64)
+        if known.num_rows:
+            keys = _unpack_keys(known.column("keys")[0])
+            n = np.stack([np.append(_unpack(known.column(c)[0], np.int64), 0) for c in "tb"])
+        out = []
+        for x in asked.column("keys"):
+            k = _unpack_keys(x)
+            at = np.searchsorted(keys, k)
+            if len(keys):
+                at[keys[np.minimum(at, len(keys) - 1)] != k] = len(keys)
+            out.append([_pack(n[side][at]) for side in (0, 1)])
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "t": tn.binary([x for x, _ in out]), "b": tn.binary([x for _, x in out])})
+
+    def score_task(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [(p, *_keys(p.column("_text"), *bits)) for p in tn.slices(texts.to_batches(), "_text")]
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_distinct(word, pair) for _, _, word, pair in parts)]))
+        order = np.argsort(answers.column("bucket").to_numpy()).tolist()
+        n = [np.concatenate([np.zeros(0, np.int64), *(_unpack(answers.column(c)[i], np.int64) for i in order)]) for c in "tb"]
+        out = []
+        for part, words, word, pair in parts:
+            w = np.searchsorted(keys, word)
+            p = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            before = np.zeros_like(w)
+            before[1:] = w[:-1]
+            known = pair > 0
             loss = []
             for side in (0, 1):
-                p = (m.words[side, word] + 1) / (total[side] + used)
-                c = np.where(known, m.words[side, before], 0)
-                joint = np.where(known, np.minimum(m.pairs[side, np.maximum(pair, 0)], c), 0)
-                p = np.where(c > 0, (1 - MIX) * joint / np.maximum(c, 1) + MIX * p, p)
-                loss.append(tn.reduce_rows(-np.log(p), words.first))
-            n = words.count
-            none = n == 0
-            t, b = (np.where(none, np.nan, x / np.maximum(n, 1)) for x in loss)
+                p1 = (n[side][w] + 1) / (total[side] + used)
+                c = np.where(known, n[side][before], 0) if len(w) else np.zeros(0)
+                joint = np.where(known, np.minimum(n[side][p], c), 0) if len(w) else c
+                p1 = np.where(c > 0, (1 - MIX) * joint / np.maximum(c, 1) + MIX * p1, p1)
+                loss.append(tn.reduce_rows(-np.log(p1), words.first))
+            m = words.count
+            none = m == 0
+            t, b = (np.where(none, np.nan, x / np.maximum(m, 1)) for x in loss)
             columns = [pa.array(x, pa.float64(), mask=none) for x in (t, b, t - b)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return source.mapInArrow(score_task, f"`{id_col}` {id_type}, n_tokens long, target_loss double, background_loss double, score double")
+            out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(m, pa.int64()), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"]))
+        return pa.Table.from_batches(out) if out else None
+
+    ask_task.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    asked = dealt.groupBy("_chunk").applyInArrow(ask_task, "chunk long, bucket long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(counts.table.groupBy("bucket")).applyInArrow(answer_task, "chunk long, bucket long, t binary, b binary")
+    schema = f"`{id_col}` {id_type}, n_tokens long, target_loss double, background_loss double, score double"
+    return dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_task, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

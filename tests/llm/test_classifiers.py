@@ -106,3 +106,28 @@ def test_losses_match_a_plain_count(spark):
             assert abs(r.target_loss - loss[k, 0]) < 1e-6 and abs(r.score - (loss[k, 0] - loss[k, 1])) < 1e-6
     assert domain_lm.score(rows.limit(0), domain_lm.count(rows.limit(0), "good", word_bits=10, pair_bits=10)).count() == 0
     assert got[4].n_tokens == 0
+
+
+def test_losses_stay_exact_with_more_words_than_cells_before(spark):
+    """With the defaults of query(): 2**20 word cells and 2**22 bigram cells would make some of these collide."""
+    import math
+
+    n = 200
+    size = 6000
+    rows = spark.range(n, numPartitions=4).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, {size - 1}), i -> concat('w', id, 'x', i)), ' ') AS text", "id < 100 AS good")
+    counts = domain_lm.count(rows, "good")
+    assert counts.used == n * size and counts.total.tolist() == [n * size / 2, n * size] and counts.buckets > 1
+    for r in domain_lm.score(rows, counts).collect():
+        for loss, tokens, c in ((r.target_loss, n * size / 2, int(r.doc_id < 100)), (r.background_loss, n * size, 1)):
+            p = (c + 1) / (tokens + n * size)
+            q = (1 - domain_lm.MIX) + domain_lm.MIX * p if c else p
+            assert abs(loss + (math.log(p) + (size - 1) * math.log(q)) / size) < 1e-9
+
+
+def test_texts_that_were_not_counted_are_scored(spark):
+    import math
+
+    counts = domain_lm.count(spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, good boolean"), "good")
+    got = {r.doc_id: r for r in domain_lm.score(spark.createDataFrame([(7, "new words"), (8, None), (9, "a b")], "doc_id long, text string"), counts).collect()}
+    assert abs(got[7].target_loss + math.log(1 / 4)) < 1e-9 and got[8].n_tokens == 0 and got[8].score is None
+    assert abs(got[9].target_loss + (math.log(2 / 4) + math.log(0.6 + 0.4 * 2 / 4)) / 2) < 1e-9
