@@ -47,9 +47,11 @@ def distinct_terms(rows: np.ndarray, terms: np.ndarray, n_rows: int, n_terms: in
 
 
 def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int = 15, rate: float = 0.1,
-             l1: float = 5e-3, min_df: int = 4, batch_rows: int = 128, seed: int = 7) -> FactorModel:
+             l1: float = 5e-3, l1_pairs: float = 1e-3, min_df: int = 4, batch_rows: int = 128, seed: int = 7) -> FactorModel:
     """Mini-batch AdaGrad on the logistic loss, classes weighted equally, then a proximal step: l1 on each
-    linear weight and on the norm of each pairwise vector, so terms without evidence end at exactly 0.
+    linear weight, so terms without evidence end at exactly 0, and l1_pairs on the norm of each pairwise vector.
+    `epochs` passes fit the linear weights alone, as many more both parts: the vectors learn what is left.  Their
+    gradient is a sum of vectors, so once all are 0 none comes back, and l1_pairs is small.
     No rows: a model that scores 0."""
     table = pa.table({"t": texts}).combine_chunks()
     rows, hashes, at = [], [], 0
@@ -74,10 +76,9 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int
     first = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     m = FactorModel(all_keys[kept], np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), rank)), 0.0)
-    l1 *= max(1.0, 2000 / n)  # few rows: only strong evidence counts
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     gw, gv, g0 = np.full(len(kept), 1e-4), np.full((len(kept), rank), 1e-4), 1e-4
-    for _ in range(epochs):
+    for epoch in range(2 * epochs):
         order = rng.permutation(n)
         for b in range(0, n, batch_rows):
             pick = order[b : b + batch_rows]
@@ -88,19 +89,21 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int
             raw = m.raw(t, cut)
             g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[pick]) * weight[pick] / len(pick)
             used, back = np.unique(t, return_inverse=True)
-            s = tn.reduce_rows(m.v[t], cut)
             dw = np.bincount(back, weights=g[at_rows], minlength=len(used))
-            dv = np.stack([np.bincount(back, weights=g[at_rows] * (s[at_rows, f] - m.v[t, f]), minlength=len(used)) for f in range(rank)], 1)
             gw[used] += dw**2
-            gv[used] += dv**2
             g0 += g.sum() ** 2
             step = rate / np.sqrt(gw[used])
             w = m.w[used] - step * dw
             m.w[used] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+            m.w0 -= rate * g.sum() / np.sqrt(g0)
+            if epoch < epochs:
+                continue
+            s = tn.reduce_rows(m.v[t], cut)
+            dv = np.stack([np.bincount(back, weights=g[at_rows] * (s[at_rows, f] - m.v[t, f]), minlength=len(used)) for f in range(rank)], 1)
+            gv[used] += dv**2
             step = 0.3 * rate / np.sqrt(gv[used].mean(axis=1, keepdims=True))
             v = m.v[used] - step * dv
-            m.v[used] = v * np.maximum(1 - step * l1 / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), 0)
-            m.w0 -= rate * g.sum() / np.sqrt(g0)
+            m.v[used] = v * np.maximum(1 - step * l1_pairs / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), 0)
     return m
 
 

@@ -131,3 +131,24 @@ def test_texts_that_were_not_counted_are_scored(spark):
     got = {r.doc_id: r for r in domain_lm.score(spark.createDataFrame([(7, "new words"), (8, None), (9, "a b")], "doc_id long, text string"), counts).collect()}
     assert abs(got[7].target_loss + math.log(1 / 4)) < 1e-9 and got[8].n_tokens == 0 and got[8].score is None
     assert abs(got[9].target_loss + (math.log(2 / 4) + math.log(0.6 + 0.4 * 2 / 4)) / 2) < 1e-9
+
+
+def test_default_parameters_learn_what_no_additive_model_can():
+    """One of two words, but not both: additive weights get half of the rows right."""
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(seed):
+        r = random.Random(seed)
+        pairs = [(r.random() < 0.5, r.random() < 0.5) for _ in range(8000)]
+        texts = [" ".join([f"w{r.randrange(12)}" for _ in range(3)] + ["insult"] * a + ["group"] * b) for a, b in pairs]
+        return pa.array(texts), np.array([int(a != b) for a, b in pairs])
+
+    model = toxicity.fit_rows(*rows(1))
+    texts, labels = rows(2)
+    words, h = toxicity.tn.word_hashes(texts)
+    at = toxicity.tn.KeyIndex(model.keys).find(h)
+    terms, first = toxicity.distinct_terms(words.rows()[at >= 0], at[at >= 0], len(texts), len(model.keys))
+    alive = int((np.abs(model.v).sum(axis=1) > 0).sum())
+    assert alive >= 2, f"{alive} of {len(model.v)} vectors are not 0"
+    assert ((model.raw(terms, first) >= 0) == (labels == 1)).mean() > 0.95
