@@ -3,8 +3,8 @@
 A fixed mask such as 1110111 hashes the words at its 1-positions and ignores the others, so a window of a
 training text and one of a test item still meet when a word at an ignored position was replaced.
 Test hashes are looked up for every window of every text; each hit names a diagonal (text position minus
-item position), on which the words are then compared one by one: the best stretch around the hit,
-+1 for an equal word and -PENALTY for a substitution, is the overlap.
+item position), on which the words are then compared one by one: of the stretches that are long enough and
+have the asked share of equal words, the one with most equal words is the overlap.
 
 The test side is taken in blocks of at most `block_bytes`, each sent to the tasks as one small table, so
 nothing of unknown size is broadcast; texts are read in place and never shuffled.
@@ -21,7 +21,6 @@ from shardloom.llm import textnp as tn
 
 #: Weight 6 or 7; between them every pattern with one substitution in any ten words is met.
 MASKS = ("1110111", "11011011", "1100101011", "111001011")
-PENALTY = 2
 MIN_WORDS = 5
 _FILTER_BITS = 22
 
@@ -95,24 +94,35 @@ class SeedTable:
         new[1:] = (all_hits[:3, 1:] != all_hits[:3, :-1]).any(axis=0)
         return all_hits[:, new]
 
-    def overlap(self, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int]:
-        """Start in the text, start in the item, words and equal words of the best stretch on a diagonal."""
+    def overlap(self, text: np.ndarray, item: int, diagonal: int, least: float, share: float) -> tuple[int, int, int, int]:
+        """Start in the text, start in the item, words and equal words of the stretch of a diagonal with most equal
+        words, of those of at least `least` words
+        that begin and end with an equal word and have at least `share` of equal words; a shorter one if there is none."""
         own = self.h[self.first[item] : self.first[item + 1]]
         a, b = max(0, -diagonal), min(len(own), len(text) - diagonal)
         same = own[a:b] == text[a + diagonal : b + diagonal]
-        total = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
-        low = np.minimum.accumulate(total)
-        end = int((total - low).argmax())
-        start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-        return a + start + diagonal, a + start, end - start, int(same[start:end].sum())
+        at = np.flatnonzero(same)
+        if not len(at):
+            return a + diagonal, a, 0, 0
+        # With k equal words before one at x, the stretch from x to y passes if (k_y + 1 - k_x) >= share (y + 1 - x).
+        # For an end, the first start whose value is high enough is the longest; a running maximum finds it.
+        k = np.arange(len(at))
+        begin = share * at - k
+        finish = share * (at + 1) - (k + 1)
+        i = np.searchsorted(np.maximum.accumulate(begin), finish - 1e-9)
+        i = np.minimum(i, k)
+        n, equal = at + 1 - at[i], k + 1 - i
+        j = int(np.lexsort((n, equal, n >= least - 1e-9))[-1])
+        return int(a + at[i[j]] + diagonal), int(a + at[i[j]]), int(n[j]), int(equal[j])
 
     def overlaps(self, words: tn.Words, h: np.ndarray, min_overlap: int, share: float) -> dict[tuple[int, int], tuple]:
         """(row, item) -> (equal words, words, start in the text, start in the item) of the best overlap that counts."""
         best: dict[tuple[int, int], tuple] = {}
         for row, item, diagonal, _ in self.hits(words, h).T.tolist():
-            x, y, n, same = self.overlap(h[words.first[row] : words.first[row + 1]], item, diagonal)
             size = int(self.first[item + 1] - self.first[item])
-            if n >= min(min_overlap, share * size) and same >= share * n and (same, n) > best.get((row, item), (0, 0))[:2]:
+            least = min(min_overlap, share * size)
+            x, y, n, same = self.overlap(h[words.first[row] : words.first[row + 1]], item, diagonal, least, share)
+            if n >= least - 1e-9 and same >= share * n - 1e-9 and (same, n) > best.get((row, item), (0, 0))[:2]:
                 best[row, item] = (same, n, x, y)
         return best
 

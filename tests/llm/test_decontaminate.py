@@ -52,3 +52,30 @@ def test_masks_meet_every_single_substitution_in_ten_words():
     for bad in range(10):
         same = np.arange(10) != bad
         assert any(same[o : o + len(m)][[c == "1" for c in m]].all() for m in D.MASKS for o in range(10 - len(m) + 1))
+
+
+def test_overlaps_of_long_items_follow_the_rule():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    item = [f"w{i}" for i in range(140)]
+    texts = []
+    runs = [w if i % 19 < 13 else "zz" for i, w in enumerate(item[:51])]
+    texts.append((item[:51], runs))
+    texts.append((item, [w if i < 20 or i % 4 else "zz" for i, w in enumerate(item)]))
+    # 12 equal words in a row, and elsewhere on the diagonal 11 of 13.
+    texts.append((item[:60], [w if i < 12 or 40 <= i < 53 and i not in (44, 48) else "zz" for i, w in enumerate(item[:60])]))
+    for _ in range(60):
+        n = r.randint(20, 60)
+        kept = r.uniform(0.5, 0.9)
+        texts.append((item[:n], ["pad"] * r.randint(0, 3) + [w if r.random() < kept else "zz" for w in item[:n]]))
+    seen = []
+    for a, b in texts:
+        table = D.SeedTable([1], [" ".join(a)])
+        words, h = D.tn.word_hashes(pa.array([" ".join(b)]))
+        seen.append((bool(table.overlaps(words, h, 13, 0.8)), brute(" ".join(b), " ".join(a))))
+    assert seen[0] == seen[1] == seen[2] == (True, True)
+    assert all(x == y for x, y in seen), seen
+    assert {y for _, y in seen} == {False, True}
