@@ -76,6 +76,8 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int
     first = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     m = FactorModel(all_keys[kept], np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), rank)), 0.0)
+    few = max(1.0, 2000 / n)  # few rows: only strong evidence counts
+    l1, l1_pairs = l1 * few, l1_pairs * few
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     gw, gv, g0 = np.full(len(kept), 1e-4), np.full((len(kept), rank), 1e-4), 1e-4
     for epoch in range(2 * epochs):
