@@ -110,7 +110,7 @@ class Shapes:
             a += (a < b - 1) & _EDGE[buf[np.minimum(a, len(buf) - 1)]]
             b -= (a < b - 1) & _EDGE[buf[np.maximum(b - 1, 0)]]
         self.core_start, self.core_end = a, b
-        self.cue = tn.span_hash(tn.prefix_hash(tn.lower(buf)), a, b)
+        self.cue = tn.keyed_hash(tn.lower(buf), a, b)
 
     def shape(self, buf: np.ndarray, pick: np.ndarray) -> np.ndarray:
         """Shape hashes of the picked words' cores."""
@@ -127,7 +127,7 @@ class Shapes:
         rfirst = np.searchsorted(run, first)
         if not len(run):
             return np.zeros(len(pick), np.uint64)
-        return tn.span_hash(tn.prefix_hash(code), rfirst[:-1], rfirst[1:])
+        return tn.keyed_hash(code, rfirst[:-1], rfirst[1:])
 
 
 PLAIN = 0

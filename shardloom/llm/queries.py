@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_topk": balltree.ORACLE,
+    "op7_repeats": repeats.ORACLE,
 }

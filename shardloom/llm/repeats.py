@@ -6,17 +6,17 @@ Sharding.  In every window of LENGTH bytes the smallest hash of a K-byte gram (l
 marks an anchor; it depends on the window's bytes alone, so equal windows have equal anchors at the same place.
 Consecutive windows with one anchor make a context, about a quarter of LENGTH windows long.  Contexts of one
 anchor gram form a shard: whatever repeats, repeats inside a shard.  Anchors that occur once are dropped
-first (a bit filter of fixed size, then exact counts); equal contexts are one context with a count.
+first (a bit filter of fixed size, then exact counts); equal contexts, by a 128-bit digest of their bytes, are one
+context with a count.
 
-Shards.  The contexts of a shard, each ended by its own separator, are one string; its suffix array is
-induced (`suffix_arrays`): suffixes are classified, the leftmost-smaller substrings are sorted by induction
-and, where names repeat, recursively, and the whole array is induced from them.  Permuted common prefixes
-(the longest common prefix of each suffix with its predecessor, in text order) then tell which windows
-repeat.  Many shards of similar size are induced in step, one numpy operation for all of them.
+Shards.  The contexts of a task's shards are joined into lanes of similar length, whose suffix arrays are induced
+(`induced`); permuted common prefixes then tell which windows repeat.  Equal windows lie in one shard, so it does
+not matter that a lane holds several.
 
-A shard with more than `shard_contexts` different contexts (a passage that very many texts share) would not fit one
-task; its windows are hashed one by one instead and counted by a distributed aggregation, which is
-exact too.
+A shard with more than `shard_contexts` different contexts (a passage that very many texts share) is split: windows are
+dealt into `SPLIT` classes by where the anchor stands in them, a context into its parts of one class, and the parts
+into sub-shards by the bytes that all windows of a class share.  Equal windows stay together, equal parts
+become one, and a sub-shard that is still large is split again, down to classes of one window.
 """
 
 from __future__ import annotations
@@ -30,20 +30,40 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
 from shardloom.llm.graph import bit_filter, is_set, written
+from shardloom.llm.induced import repeated, suffix_arrays
 
-LENGTH, K = 200, 48
-#: Bytes of text, and symbols of shards, that a task handles at once.
-SLICE, BATCH = 3 << 18, 300_000
-_POS = 22  # a slice has fewer than 2**22 bytes unless one text has more
+LENGTH, K, SPLIT = 200, 48, 16
+#: Bytes of text, symbols of lanes, and rows of shards, that a task handles at once.
+SLICE, BATCH, ROWS = 3 << 18, 300_000, 12_000
+_POS = 22  # a stretch has fewer than 2**22 bytes
+
+
+def stretches(batches, length: int):
+    """(batch, row numbers, first byte of each row's part, bytes, offsets): texts whole, those over SLICE bytes in parts.
+
+    Parts of one text overlap by length - 1 bytes, so every window lies in exactly one of them.
+    """
+    for batch in batches:
+        buf, off = tn.text_bytes(batch.column(batch.schema.get_field_index("_text")))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, side="right")) - 1)
+            if j > i + 1 or off[j] - off[i] <= SLICE:
+                yield batch, np.arange(i, j), np.zeros(j - i, np.int64), buf[off[i] : off[j]], off[i : j + 1] - off[i]
+            else:
+                for a in range(0, max(1, int(off[j] - off[i]) - length + 1), SLICE):
+                    part = buf[off[i] + a : min(off[j], off[i] + a + SLICE + length - 1)]
+                    yield batch, np.array([i]), np.array([a]), part, np.array([0, len(part)])
+            i = j
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K):
-    """Arrays (row, first window, windows, anchor minus first window, gram hash, context hash) of a text buffer.
+    """Arrays (row, first window, windows, anchor minus first window, gram hash) of a text buffer.
 
     Windows are byte positions in the buffer.
     """
     n = len(buf)
-    empty = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    empty = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     if n < length:
         return empty
     prefix = tn.prefix_hash(buf)
@@ -67,342 +87,257 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(window)))
     w, a = window[first], at[first]
-    row = np.searchsorted(off, w, side="right") - 1
-    context = tn.mix(tn.span_hash(prefix, w, w + count + length - 1) + (a - w).astype(np.uint64))
-    return row, w, count, a - w, gram[a], context
+    return np.searchsorted(off, w, side="right") - 1, w, count, a - w, gram[a]
 
 
-def suffix_arrays(text: np.ndarray, size: np.ndarray, symbols: int) -> np.ndarray:
-    """Suffix arrays of many strings by induced sorting, all in step.
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-    text: (strings, longest) symbols, 0 only as the last symbol of each string; size: lengths.  Row b of the
-    result holds the suffix array of text[b, :size[b]] in its first size[b] places.
-    """
-    rows, n = text.shape
-    inside = np.arange(n) < size[:, None]
-    # A suffix is small (S) if it is less than the next one; equal first symbols look further right.
-    step = np.zeros((rows, n), np.int8)
-    step[:, :-1] = np.sign(text[:, 1:].astype(np.int64) - text[:, :-1])
-    step[np.arange(rows), size - 1] = 1
-    where = np.where(step != 0, np.arange(n), n - 1)
-    where = np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1]
-    small = (np.take_along_axis(step, where, axis=1) > 0) & inside
-    lms = small.copy()
-    lms[:, 0] = False
-    lms[:, 1:] &= ~small[:, :-1]
-    counts = np.zeros((rows, symbols + 1), np.int64)
-    np.add.at(counts, (np.nonzero(inside)[0], text[inside] + 1), 1)
-    ends = np.cumsum(counts, axis=1)  # ends[b, c]: first place of symbol c; ends[b, c + 1]: one after its last
-
-    def induce(row, pos):
-        """The array induced from LMS suffixes given in order of row, then of suffix."""
-        sa = np.full((n, rows), -1, np.int64)
-        symbol = text[row, pos]
-        # Place them, last first, at the ends of their buckets.
-        code = row * symbols + symbol
-        order = np.argsort(code, kind="stable")
-        run = np.searchsorted(code[order], code[order], side="right")
-        place = ends[row[order], symbol[order] + 1] - (run - np.arange(len(order)))
-        sa[place, row[order]] = pos[order]
-        lane = np.arange(rows)
-        head = ends[:, :-1].copy()
-        for j in range(n):
-            i = sa[j]
-            r = lane[i > 0]
-            p = i[r] - 1
-            ok = ~small[r, p]
-            r, p = r[ok], p[ok]
-            if len(r):
-                c = text[r, p]
-                at = head[r, c]
-                sa[at, r] = p
-                head[r, c] = at + 1
-        filled = sa >= 0
-        # Small suffixes were placed only to start the induction; the sentinel stays.
-        drop = filled & small[lane[None, :], np.maximum(sa, 0)]
-        drop[0] = False
-        sa[drop] = -1
-        tail = ends[:, 1:].copy()
-        for j in range(n - 1, -1, -1):
-            i = sa[j]
-            r = lane[i > 0]
-            p = i[r] - 1
-            ok = small[r, p]
-            r, p = r[ok], p[ok]
-            if len(r):
-                c = text[r, p]
-                at = tail[r, c] - 1
-                sa[at, r] = p
-                tail[r, c] = at
-        return sa.T
-
-    row, pos = np.nonzero(lms)
-    sa = induce(row, pos)
-    # Name the LMS substrings in sorted order; hashes stand for comparing them symbol by symbol.
-    is_lms = np.zeros((rows, n), bool)
-    found = sa >= 0
-    is_lms[found] = lms[np.nonzero(found)[0], sa[found]]
-    srow, splace = np.nonzero(is_lms)
-    spos = sa[srow, splace]
-    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
-    following = np.append(pos[1:], 0)
-    following[first[1:][np.diff(first) > 0] - 1] = -1
-    rank = np.zeros((rows, n), np.int64)
-    rank[row, pos] = np.arange(len(row)) - first[row]
-    flat = (text.astype(np.uint64) + tn.U64(1)) * tn.U64(0x9E3779B97F4A7C15)
-    width = n + 1
-    prefix = np.zeros((rows, width), np.uint64)
-    up, down = tn.powers(width)
-    np.cumsum(tn.mix(flat) * up[:n], axis=1, out=prefix[:, 1:])
-    index = first[srow] + rank[srow, spos]
-    end = np.where(following[index] < 0, size[srow] - 1, following[index]) + 1
-    h = tn.mix((prefix[srow, end] - prefix[srow, spos]) * down[spos] + (end - spos).astype(np.uint64))
-    fresh = np.ones(len(srow), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (srow[1:] != srow[:-1])
-    name = np.cumsum(fresh)
-    name -= name[first[srow]]
-    m = np.diff(first)
-    most = int(m.max())
-    reduced = np.zeros((rows, most), np.int64)
-    reduced[srow, rank[srow, spos]] = name
-    distinct = np.zeros(rows, np.int64)
-    np.maximum.at(distinct, srow, name + 1)
-    order = np.zeros((rows, most), np.int64)
-    done = distinct == m
-    easy = done[srow]
-    order[srow[easy], name[easy]] = rank[srow[easy], spos[easy]]
-    hard = np.flatnonzero(~done)
-    if len(hard):
-        wide = int(m[hard].max())
-        order[hard, :wide] = suffix_arrays(reduced[hard, :wide], m[hard], int(distinct[hard].max()))[:, :wide]
-    valid = np.arange(most) < m[:, None]
-    prow = np.nonzero(valid)[0]
-    return induce(prow, pos[first[prow] + order[valid]])
-
-
-def common_prefixes(text: np.ndarray, size: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """Permuted common prefixes, capped: entry i of a row is how far suffix i agrees with its predecessor in sa."""
-    rows, n = text.shape
-    before = np.full((rows, n), -1, np.int64)
-    r, j = np.nonzero(np.arange(1, n) < size[:, None]) if n > 1 else (np.zeros(0, int),) * 2
-    before[r, sa[r, j + 1]] = sa[r, j]
-    prefix = np.zeros((rows, n + 1), np.uint64)
-    up, down = tn.powers(n + 1)
-    np.cumsum(tn.mix((text.astype(np.uint64) + tn.U64(1)) * tn.U64(0x9E3779B97F4A7C15)) * up[:n], axis=1, out=prefix[:, 1:])
-    out = np.zeros((rows, n), np.int64)
-    r, i = np.nonzero(before >= 0)
-    p = before[r, i]
-    room = np.minimum(size[r] - np.maximum(i, p), limit)
-    lo, hi = np.zeros(len(r), np.int64), room
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = (prefix[r, i + mid] - prefix[r, i]) * down[i] == (prefix[r, p + mid] - prefix[r, p]) * down[p]
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    out[r, i] = lo
-    return out
 
+def repeated_windows(buf: np.ndarray, size: np.ndarray, shard: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For every window of the contexts, one after another, whether it occurs again in its shard.
 
-def repeated_windows(groups: list[list[bytes]], length: int = LENGTH) -> list[list[np.ndarray]]:
-    """For each context of each group, which of its windows occur again in the group."""
-    out: list = [None] * len(groups)
-    total = np.array([sum(map(len, g)) + len(g) + 1 for g in groups])
-    order = np.argsort(total)
+    buf: the contexts' bytes; size: bytes of each; shard: its shard (equal ones are neighbours).
+    """
+    start = np.concatenate(([0], np.cumsum(size)))
+    cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+    symbols = start[cut[1:]] - start[cut[:-1]] + np.diff(cut)  # each context is followed by a separator
+    windows = np.concatenate(([0], np.cumsum(size - length + 1)))
+    out = np.zeros(windows[-1], bool)
+    order = np.argsort(symbols, kind="stable")
+    bound = np.cumsum(symbols[order])
     a = 0
     while a < len(order):
-        # Strings in step are of similar length, and hold at most BATCH symbols together.
-        b = a + 1
-        while b < len(order) and total[order[b]] <= max(1.3 * total[order[a]], total[order[a]] + 64) and total[order[b]] * (b - a + 1) <= BATCH:
-            b += 1
-        picked = [groups[g] for g in order[a:b]]
-        shift = max(map(len, picked)) + 1
-        text = np.zeros((b - a, int(total[order[a:b]].max())), np.int32)
-        for x, group in enumerate(picked):
-            at = 0
-            for s, context in enumerate(group):
-                text[x, at : at + len(context)] = np.frombuffer(context, np.uint8).astype(np.int32) + shift
-                at += len(context)
-                text[x, at] = s + 1
-                at += 1
-        size = total[order[a:b]]
-        sa = suffix_arrays(text, size, shift + 256)
-        plcp = common_prefixes(text, size, sa, length)
-        again = plcp >= length
-        r, i = np.nonzero(again)
-        # The predecessor of such a suffix repeats as well.
-        rank = np.zeros(text.shape, np.int64)
-        rr, jj = np.nonzero(np.arange(text.shape[1]) < size[:, None])
-        rank[rr, sa[rr, jj]] = jj
-        again[r, sa[r, rank[r, i] - 1]] = True
-        for x, group in enumerate(picked):
-            at, parts = 0, []
-            for context in group:
-                parts.append(again[x, at : at + len(context) - length + 1])
-                at += len(context) + 1
-            out[order[a + x]] = parts
+        b = max(a + 1, int(np.searchsorted(bound, (bound[a - 1] if a else 0) + BATCH, side="right")))
+        picked = order[a:b]
+        # Lanes of the length of the longest shard, filled one after another.
+        limit, lane_of, at, lane, used = int(symbols[picked].max()), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), 0, 0
+        for x, n in enumerate(symbols[picked].tolist()):
+            if used + n > limit:
+                lane, used = lane + 1, 0
+            lane_of[x], at[x] = lane, used
+            used += n
+        lanes = lane + 1
+        own = np.concatenate([np.arange(cut[g], cut[g + 1]) for g in picked])
+        group = np.repeat(np.arange(b - a), np.diff(cut)[picked])
+        # Place of each context: after those of its shard before it, and their separators.
+        ahead = np.concatenate(([0], np.cumsum(size[own] + 1)))
+        ahead = ahead[:-1] - ahead[np.searchsorted(group, np.arange(b - a))][group] + at[group]
+        length_of = np.zeros(lanes, np.int64)
+        np.maximum.at(length_of, lane_of, at + symbols[picked] + 1)
+        text = np.zeros((int(length_of.max()), lanes), np.uint16)
+        flat = text.reshape(-1)
+        n = size[own]
+        first = np.concatenate(([0], np.cumsum(n)))
+        step = np.arange(first[-1]) - np.repeat(first[:-1], n)
+        where = (step + np.repeat(ahead, n)) * lanes + np.repeat(lane_of[group], n)
+        flat[where] = buf[step + np.repeat(start[own], n)].astype(np.uint16) + 2
+        flat[(ahead + n) * lanes + lane_of[group]] = 1
+        again = repeated(text, length_of, suffix_arrays(text, length_of, 258), length).reshape(-1)
+        n = n - length + 1
+        first = np.concatenate(([0], np.cumsum(n)))
+        step = np.arange(first[-1]) - np.repeat(first[:-1], n)
+        out[step + np.repeat(windows[own], n)] = again[(step + np.repeat(ahead, n)) * lanes + np.repeat(lane_of[group], n)]
         a = b
     return out
 
 
-def _pair(context: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return tn.mix(tn.mix(context.astype(np.int64).view(np.uint64)) + row.astype(np.int64).view(np.uint64))
+def _words(digests: pa.Array) -> np.ndarray:
+    """16-byte digests as rows of two numbers."""
+    return np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def _solved(table: pa.Table, length: int) -> pa.RecordBatch:
+    """Rows key, piece, n, data by key and piece, for each piece its count and then its bytes: the runs of repeated windows."""
+    key, piece = table.column("key").to_numpy(), _words(table.column("piece").combine_chunks())
+    counted = table.column("n").is_valid().to_numpy(zero_copy_only=False)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1]).any(axis=1)
+    at = np.flatnonzero(new & counted)
+    at = at[at + 1 < len(key)]
+    at = at[~new[at + 1]]
+    rows = table.take(pa.array(at + 1))
+    n = table.column("n").take(pa.array(at)).to_numpy()
+    data = rows.column("data").combine_chunks().cast(pa.large_binary())
+    _, offsets, raw = data.buffers() if len(at) else (None, None, None)
+    off = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(at) + 1] if len(at) else np.zeros(1, np.int64)
+    buf = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if len(at) else np.zeros(0, np.uint8)
+    size = np.diff(off)
+    again = repeated_windows(buf, size, key[at], length) if len(at) else np.zeros(0, bool)
+    count = size - length + 1
+    first = np.concatenate(([0], np.cumsum(count)))
+    again &= np.repeat(n == 1, count)  # a piece that occurs twice repeats as a whole, which is known
+    # Runs: where a repeated window follows another kind, or the begin of a piece.
+    head, tail = again.copy(), again.copy()
+    edge = np.zeros(len(again) + 1, bool)
+    edge[first] = True
+    head[1:] &= ~again[:-1] | edge[1:-1]
+    tail[:-1] &= ~again[1:] | edge[1:-1]
+    a, b = np.flatnonzero(head), np.flatnonzero(tail)
+    which = np.searchsorted(first, a, side="right") - 1
+    have = np.unique(which)
+    cuts = np.searchsorted(which, np.append(have, len(at)))
+    structs = pa.StructArray.from_arrays([pa.array((x - first[which]).astype(np.int32)) for x in (a, b)], names=["a", "b"])
+    runs = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), structs)
+    return pa.RecordBatch.from_arrays([pa.array(key[at][have]), rows.column("piece").combine_chunks().take(pa.array(have)), runs], names=["key", "piece", "runs"])
+
+
+_COVER = "key long, piece binary, runs array<struct<a:int,b:int>>"
+_PIECES = "key long, piece binary, n long, uid long, windows int, lead int, up_key long, up_piece binary, skip int, data binary"
+
+
+def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, filter_bits: int) -> DataFrame:
+    """Rows key, piece, runs: which windows of each distinct piece repeat.
+
+    pieces: written rows key (shard), piece (digest), n (how many rows it stands for), uid, windows, lead (anchor minus first window), data.
+    """
+    spark = pieces.sparkSession
+    distinct = pieces.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.max("windows").alias("windows"))
+    distinct = written(distinct, "distinct")
+    shards = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
+    known = written(distinct.join(shards, "key").where("different > 1 or n > 1"), "known")
+    # A piece that occurs twice repeats as a whole; a shard of such pieces alone needs no array.
+    whole = known.where("n > 1").select("key", "piece", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("runs"))
+    mixed = known.where("different > 1 and least = 1")
+    small, large = mixed.where(F.col("different") <= shard_contexts), mixed.where(F.col("different") > shard_contexts)
+
+    wanted = spark.sparkContext.broadcast(bit_filter(mixed, "uid", filter_bits))
 
+    def with_data(columns: list[str]) -> DataFrame:
+        """One row with bytes for each piece of `mixed`, and perhaps a few that a fixed-size filter lets through."""
 
-def _runs(mask: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return [{"a": int(x), "b": int(y) - 1} for x, y in zip(edge[::2], edge[1::2], strict=True)]
+        def pick_task(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(is_set(wanted.value, batch.column(columns.index("uid")).to_numpy().view(np.uint64))))
 
+        picked = pieces.select(columns)
+        return picked.mapInArrow(pick_task, picked.schema)
 
-_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    def shard_task(batches):
+        # Rows come by key and piece: first the one with the count, then the bytes.
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = table.column("key").to_numpy()
+                cut = np.flatnonzero(key[1:] != key[:-1])
+                if len(cut):
+                    yield _solved(table.slice(0, cut[-1] + 1), length)
+                    held, rows = table.slice(cut[-1] + 1).to_batches(), table.num_rows - int(cut[-1]) - 1
+        if rows:
+            yield _solved(pa.Table.from_batches(held).combine_chunks(), length)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = small.select("key", "piece", "n", none("binary").alias("data")).unionByName(with_data(["key", "piece", "uid", "data"]).select("key", "piece", none("long").alias("n"), "data"))
+    solved = rows.repartition("key").sortWithinPartitions("key", "piece", F.col("n").desc_nulls_last()).mapInArrow(shard_task, _COVER)
+    out = whole.unionByName(solved)
+    if width == 1 or large.isEmpty():
+        return out
+
+    finer = -(-width // SPLIT)
+
+    def split_task(batches):
+        for batch in batches:
+            out = {name: [] for name in ("key", "piece", "n", "uid", "windows", "lead", "up_key", "up_piece", "skip", "data")}
+            for r in batch.to_pylist():
+                lead, data = r["lead"], r["data"]
+                for c in range(max(0, lead - r["windows"] + 1) // finer, lead // finer + 1):
+                    # Windows of this class have the anchor low .. high bytes after their start.
+                    low, high = c * finer, min(c * finer + finer - 1, length - K)
+                    t0, t1 = max(0, lead - high), min(r["windows"] - 1, lead - low)
+                    own = data[t0 : t1 + length]
+                    core = hashlib.blake2b(data[lead - low : lead - high + length], digest_size=8, salt=c.to_bytes(4, "little"), person=finer.to_bytes(4, "little")).digest()
+                    mark = digest(own + (lead - t0).to_bytes(4, "little"))
+                    uid = digest(r["piece"] + mark + r["key"].to_bytes(8, "little", signed=True))[:8]
+                    for name, value in zip(out, (int.from_bytes(core, "little", signed=True), mark, r["n"], int.from_bytes(uid, "little", signed=True), t1 - t0 + 1, lead - t0, r["key"], r["piece"], t0, own), strict=True):
+                        out[name].append(value)
+            kinds = dict(key=pa.int64(), piece=pa.binary(), n=pa.int64(), uid=pa.int64(), windows=pa.int32(), lead=pa.int32(), up_key=pa.int64(), up_piece=pa.binary(), skip=pa.int32(), data=pa.binary())
+            yield pa.RecordBatch.from_pydict({name: pa.array(values, kinds[name]) for name, values in out.items()})
+
+    whole_rows = large.select("key", "piece", "n", "uid").join(with_data(["key", "piece", "uid", "windows", "lead", "data"]), ["key", "piece", "uid"]).dropDuplicates(["key", "piece"])
+    parts = written(whole_rows.select("key", "piece", "n", "windows", "lead", "data").mapInArrow(split_task, _PIECES), "parts")
+    below = cover(parts, width=finer, length=length, shard_contexts=shard_contexts, filter_bits=filter_bits)
+    moved = parts.select("key", "piece", "up_key", "up_piece", "skip").join(below, ["key", "piece"]).select(
+        F.col("up_key").alias("key"), F.col("up_piece").alias("piece"),
+        F.transform("runs", lambda r: F.struct((r["a"] + F.col("skip")).alias("a"), (r["b"] + F.col("skip")).alias("b"))).alias("runs"),
+    )
+    return out.unionByName(moved)
 
 
 def find(docs: DataFrame, *, text_col: str = "text", row_key: str = "row_key", length: int = LENGTH, k: int = K, filter_bits: int = 24, shard_contexts: int = 8) -> DataFrame:
     """Rows row_key, runs: for each text with repeated windows the runs (a, b) of their starts, byte offsets, b included.
 
-    `row_key` must tell different texts apart; rows with equal keys must be equal texts.  Texts shorter than
-    `length`, null ones among them, have no windows.
+    `row_key` is a binary digest that tells different texts apart; rows with equal keys are copies of one text.  Texts
+    shorter than `length`, null ones among them, have no windows.  Texts over SLICE bytes are taken in parts.
     """
     spark = docs.sparkSession
     tn.ship_code(spark)
     source = docs.select(F.col(row_key).alias("row"), F.col(text_col).alias("_text")).where(F.octet_length("_text") >= length)
 
     def gram_task(batches):
-        for part in tn.slices(batches, "_text", SLICE):
-            *_, gram, _ = anchors(*tn.text_bytes(part.column(1)), length, k)
-            u, n = np.unique(gram, return_counts=True)
+        for _, _, _, buf, off in stretches(batches, length):
+            u, n = np.unique(anchors(buf, off, length, k)[-1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    repeated = source.mapInArrow(gram_task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = source.select("_text").mapInArrow(gram_task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     # The filter's size is fixed; a set bit too many costs only time.
-    sent = spark.sparkContext.broadcast(bit_filter(repeated, "gram", filter_bits))
-
-    def contexts_of(part):
-        buf, off = tn.text_bytes(part.column(1))
-        row, w, count, offset, gram, context = anchors(buf, off, length, k)
-        hit = np.flatnonzero(is_set(sent.value, gram))
-        return buf, w[hit], count[hit], row[hit], w[hit] - off[row[hit]], gram[hit].view(np.int64), context[hit].view(np.int64)
+    sent = spark.sparkContext.broadcast(bit_filter(counted, "gram", filter_bits))
 
     def context_task(batches):
-        for part in tn.slices(batches, "_text", SLICE):
-            _, _, count, row, at, gram, context = contexts_of(part)
+        for batch, rows, base, buf, off in stretches(batches, length):
+            row, w, count, lead, gram = anchors(buf, off, length, k)
+            hit = np.flatnonzero(is_set(sent.value, gram))
+            row, w, count, lead, gram = (x[hit] for x in (row, w, count, lead, gram))
+            raw = buf.tobytes()
+            data = [raw[a:b] for a, b in zip(w.tolist(), (w + count + length - 1).tolist(), strict=True)]
+            at = w - off[row] + base[row]
+            keys = batch.column(0).take(pa.array(rows[row]))
+            uid = tn.mix(tn.mix(_words(keys)[:, 0] + at.astype(np.uint64) * tn.U64(0x9E3779B97F4A7C15)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row)), pa.array(at), pa.array(gram), pa.array(context), pa.array(count)], names=["row", "at", "gram", "context", "windows"]
+                [keys, pa.array(at), pa.array(gram.view(np.int64)), pa.array([digest(d + n.to_bytes(4, "little")) for d, n in zip(data, lead.tolist(), strict=True)], pa.binary()), pa.array(uid.view(np.int64)),
+                 pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32)), tn.binary(data)],
+                names=["row", "at", "key", "piece", "uid", "windows", "lead", "data"],
             )
 
-    contexts = written(source.mapInArrow(context_task, "row long, at long, gram long, context long, windows long"), "contexts")
-    distinct = contexts.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.first("windows").alias("windows"))
-    distinct = written(distinct, "distinct")
-    shards = distinct.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
-    known = written(distinct.join(shards, "gram").drop("total"), "known")
-    # A context that occurs twice repeats as a whole.
-    whole = known.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("runs"))
-    small = known.where((F.col("different") > 1) & (F.col("different") <= shard_contexts))
-    large = known.where(F.col("different") > shard_contexts)
-
-    # The bytes of contexts that must be compared, each from one text that has it.
-    def hash_task(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"h": pa.array(_pair(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))})
-
-    wanted = [spark.sparkContext.broadcast(bit_filter(x.select("context", "row").mapInArrow(hash_task, "h long"), "h", filter_bits)) for x in (small, large)]
-
-    def data_of(which):
-        def data_task(batches):
-            for part in tn.slices(batches, "_text", SLICE):
-                buf, w, count, row, _, gram, context = contexts_of(part)
-                own = part.column(0).to_numpy()[row]
-                pick = np.flatnonzero(is_set(wanted[which].value, _pair(context, own)))
-                pick = pick[np.unique(np.stack((gram[pick], context[pick])), axis=1, return_index=True)[1]] if len(pick) else pick
-                raw = buf.tobytes()
-                ends = (w + count + length - 1)[pick].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(gram[pick]), pa.array(context[pick]), tn.binary([raw[x:y] for x, y in zip(w[pick].tolist(), ends, strict=True)])], names=["gram", "context", "data"])
-
-        return source.mapInArrow(data_task, "gram long, context long, data binary")
-
-    def shard_task(batches):
-        # Rows come by gram and context: first the one with the count, then the bytes.
-        held: list[tuple] = []
-
-        def solved(rows):
-            groups, keys, last = [], [], None
-            for gram, context, n, data in rows:
-                if n is not None:
-                    last = (gram, context, n)
-                elif last is not None and last[:2] == (gram, context):
-                    if not keys or keys[-1][0] != gram:
-                        keys.append((gram, []))
-                        groups.append([])
-                    keys[-1][1].append(last[1:])
-                    groups[-1].append(data)
-                    last = None
-            out = [(gram, context, _runs(mask)) for (gram, own), masks in zip(keys, repeated_windows(groups, length), strict=True) for (context, n), mask in zip(own, masks, strict=True) if n == 1 and mask.any()]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _RUNS)], names=["gram", "context", "runs"])
-
-        for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= 8_000:
-                cut = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
-                if cut:
-                    yield solved(held[:cut])
-                    held = held[cut:]
-        if held:
-            yield solved(held)
-
-    runs_type = "array<struct<a:int,b:int>>"
-    rows = small.select("gram", "context", "n", F.lit(None).cast("binary").alias("data")).unionByName(data_of(0).select("gram", "context", F.lit(None).cast("long").alias("n"), "data"))
-    by_shard = rows.repartition("gram").sortWithinPartitions("gram", "context", F.col("n").desc_nulls_last()).mapInArrow(shard_task, f"gram long, context long, runs {runs_type}")
-
-    def windows_of(only):
-        def window_task(batches):
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2000):
-                    part = batch.slice(a, 2000)
-                    data = part.column(3).to_pylist()
-                    size = np.array([len(d) for d in data], np.int64)
-                    first = np.concatenate(([0], np.cumsum(size)))
-                    prefix = tn.prefix_hash(np.frombuffer(b"".join(data), np.uint8))
-                    n = size - length + 1
-                    ends = np.concatenate(([0], np.cumsum(n)))
-                    which = np.repeat(np.arange(len(n)), n)
-                    start = np.arange(ends[-1]) - ends[:-1][which]
-                    h = tn.span_hash(prefix, first[which] + start, first[which] + start + length)
-                    if only is None:
-                        weight = np.minimum(part.column(2).to_numpy(), 2)[which]
-                        u, back = np.unique(h, return_inverse=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, weights=weight).astype(np.int64))], names=["window", "n"])
-                        continue
-                    keep = np.flatnonzero((part.column(2).to_numpy() == 1)[which] & is_set(only.value, h))
-                    w = pa.array(which[keep])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(w), part.column(1).take(w), pa.array(start[keep]), pa.array(h[keep].view(np.int64))], names=["gram", "context", "start", "window"])
-
-        return window_task
-
-    # Windows of a large shard: counted by hash, then met again through a bit filter and an exact join.
-    hot = written(large.select("gram", "context", "n").join(data_of(1).dropDuplicates(["gram", "context"]), ["gram", "context"]), "large")
-    twice = written(hot.mapInArrow(windows_of(None), "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "windows")
-    again = spark.sparkContext.broadcast(bit_filter(twice, "window", filter_bits))
-    single = hot.mapInArrow(windows_of(again), "gram long, context long, start long, window long")
-    start = F.col("start").cast("int")
-    by_window = single.join(twice, "window").groupBy("gram", "context").agg(F.collect_list(F.struct(start.alias("a"), start.alias("b"))).alias("runs"))
-    covered = whole.unionByName(by_shard).unionByName(by_window)
-    placed = contexts.select("row", "at", "gram", "context").join(covered, ["gram", "context"])
-    return placed.select(F.col("row").alias(row_key), F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).cast("long").alias("a"), (r["b"] + F.col("at")).cast("long").alias("b"))).alias("runs")).groupBy(row_key).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    contexts = written(source.mapInArrow(context_task, "row binary, at long, key long, piece binary, uid long, windows int, lead int, data binary"), "contexts")
+    pieces = contexts.withColumn("n", F.lit(1).cast("long"))
+    covered = cover(pieces, width=length - k + 1, length=length, shard_contexts=shard_contexts, filter_bits=filter_bits)
+    placed = contexts.select("row", "at", "key", "piece").join(covered, ["key", "piece"])
+    runs = F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).cast("long").alias("a"), (r["b"] + F.col("at")).cast("long").alias("b")))
+    # A set: however many copies of one row there are, their runs are kept once.
+    return placed.select(F.col("row").alias(row_key), runs.alias("runs")).groupBy(row_key).agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
 
-    Null texts count as empty.  Repeated rows repeat each other's bytes.  Other columns are dropped.
+    Null texts count as empty.  Repeated rows repeat each other's bytes, null ids among them.  Other columns are dropped.
     """
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("row_key", F.xxhash64(id_col, "_text"))
-    id_type = source.schema[id_col].dataType.simpleString()
+    tn.ship_code(docs.sparkSession)
+    plain = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    id_type = plain.schema[id_col].dataType.simpleString()
+    with_key = f"`{id_col}` {id_type}, _text string, row_key binary"
+
+    def key_task(batches):
+        for batch in batches:
+            buf, off = tn.text_bytes(batch.column(1))
+            names = [str(x).encode() + b"\0" for x in batch.column(0).to_pylist()]
+            keys = [digest(x + buf[a:b].tobytes()) for x, a, b in zip(names, off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[id_col, "_text", "row_key"])
+
+    source = plain.mapInArrow(key_task, with_key)
     runs = written(find(source, text_col="_text", length=length, **options), "runs")
-    touched = source.sparkSession.sparkContext.broadcast(bit_filter(runs, "row_key", 24))
+    low = runs.select(F.conv(F.hex(F.substring("row_key", 1, 7)), 16, 10).cast("long").alias("h"))
+    touched = source.sparkSession.sparkContext.broadcast(bit_filter(low, "h", 24))
 
     out = f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary"
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def touched_rows(batch, hit):
-        return batch.filter(pa.array(is_set(touched.value, batch.column(2).to_numpy().view(np.uint64)) == hit))
+        h = np.array([int.from_bytes(x[:7], "big") for x in batch.column(2).to_pylist()], np.uint64)
+        return batch.filter(pa.array(is_set(touched.value, h) == hit))
 
     def whole_task(batches):
         for batch in batches:
@@ -439,7 +374,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), tn.binary([left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])], names=names)
 
     # Texts without repeats stay where they are; only the others travel to their runs.
-    cut = source.mapInArrow(cut_task, source.schema).join(runs.hint("shuffle_hash"), "row_key", "left").select(id_col, "_text", "runs")
+    cut = source.mapInArrow(cut_task, with_key).join(runs.hint("shuffle_hash"), "row_key", "left").select(id_col, "_text", "runs")
     return source.mapInArrow(whole_task, out).unionByName(cut.mapInArrow(remove_task, out))
 
 
@@ -448,18 +383,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     return remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:
-    """The contract by a dictionary of all windows, for tests: (n_removed, n_spans, sha256 of what is left)."""
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
-    out = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i : i + length] = True
-        spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(t) else 0
-        out.append((int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
-    return out
+#: Every window of every text as hexadecimal digits, counted; a byte goes if one of the 200 windows over it occurs again.
+#: Blocks of 256 bytes only spare the engine from walking a long text for each of its windows.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sizes AS (SELECT r, doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+blocks AS (SELECT r, n, b * 256 AS first, substr(h, CAST(b * 512 + 1 AS BIGINT), {512 + 2 * LENGTH}) AS part FROM (SELECT r, h, n, unnest(range((n + 255) // 256)) AS b FROM sizes)),
+places AS (SELECT r, n, first, part, unnest(range(least(256, n - first))) AS i FROM blocks),
+windows AS (SELECT r, first + i AS i, CASE WHEN first + i + {LENGTH} <= n THEN md5(substr(part, CAST(2 * i + 1 AS BIGINT), {2 * LENGTH})) END AS w, substr(part, CAST(2 * i + 1 AS BIGINT), 2) AS byte FROM places),
+twice AS (SELECT w FROM windows WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+marked AS (SELECT r, i, byte, t.w IS NOT NULL AS again FROM windows LEFT JOIN twice t USING (w)),
+gone AS (SELECT r, i, byte, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+edges AS (SELECT r, i, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM gone),
+found AS (SELECT r, count(*) FILTER (gone) AS removed, count(*) FILTER (begins) AS spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM edges GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM sizes LEFT JOIN found USING (r)
+"""

@@ -6,7 +6,12 @@ words, hashes and n-grams of many documents are found by a handful of vector ope
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +22,26 @@ U64 = np.uint64
 SLICE_BYTES = 2 << 20
 
 
+_shipped: set[str] = set()
+
+
 def ship_code(spark) -> None:
-    """Let Python workers import this package where the code folder is shared with the driver."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    """Let Python workers import this package: Spark sends its source files to them, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # The driver serves the file as long as it runs; nothing but the driver reads this folder.
+    folder = tempfile.mkdtemp(prefix="shardloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "shardloom_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +116,36 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans; equal spans hash alike wherever they stand."""
+    """Hashes of byte spans; equal spans hash alike wherever they stand.  Where unequal spans must not meet, use `keyed_hash`."""
     _, down = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _BASE)
 
 
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+_LONG = 256
+
+
+def keyed_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0x5851F42D4C957F2D) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a time through `mix`; spans over _LONG bytes by BLAKE2.
+
+    Unlike `span_hash` it is no sum of powers, so texts with a repetitive structure don't meet by their structure.
+    """
+    size = end - start
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    h = mix(size.astype(np.uint64) * _BASE + U64(key))
+    live, at, left = np.flatnonzero((size > 0) & (size <= _LONG)), start, size
+    if len(live) < len(size):
+        for i in np.flatnonzero(size > _LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+        at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix((h[live] ^ (eight[at] & _KEEP[np.minimum(left, 8)])) * _BASE)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
 class Words:
     """Runs of bytes other than space and 0x09-0x0D, in row order.
 
@@ -132,7 +175,7 @@ def word_hashes(column: pa.Array) -> tuple[Words, np.ndarray]:
     buf, off = text_bytes(column)
     buf = lower(buf)
     words = Words(buf, off)
-    return words, span_hash(prefix_hash(buf), words.start, words.end)
+    return words, keyed_hash(buf, words.start, words.end)
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -173,11 +216,6 @@ def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
-    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
-
-
 class KeyIndex:
     """Positions of 64-bit keys: a slot table on the low bits, and a sorted list of keys that lost their slot."""
 

@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 
-from shardloom.llm import balltree, graph, jaccard, repeats
+from shardloom.llm import balltree, graph, induced, jaccard, repeats
 
 
 def brute_components(docs):
@@ -62,37 +63,64 @@ def test_components_of_a_path(spark):
     assert {r.component for r in graph.components(links).collect()} == {0}
 
 
-def test_repeats_match_brute_force(spark):
+def windows(texts, length=repeats.LENGTH):
+    """The contract by a dictionary of all windows: (n_bytes, n_removed, n_spans, sha256 of what is left)."""
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(t) else 0
+        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_repeats_match_brute_force(spark, monkeypatch):
     r = random.Random(5)
     words = ["the ", "a", "é", "b", "zz ", "\n"]
     base = ["".join(r.choice(words) for _ in range(r.randint(0, 300))) for _ in range(8)]
     docs = [(i, "".join(r.choice(base)[r.randint(0, 40) : r.randint(60, 400)] + "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 60))) for _ in range(r.randint(0, 4)))) for i in range(40)]
-    docs += [(100, None), (101, "x" * 500), (102, "ab" * 300), (5, docs[5][1]), (103, "")]
+    docs += [(100, None), (101, "x" * 500), (102, "ab" * 300), (5, docs[5][1]), (103, ""), (None, docs[7][1]), (None, docs[7][1])]
     rows = spark.createDataFrame([(k, t, 1, 2) for k, t in docs], "doc_id long, text string, row_key int, runs int")
-    want = sorted((k, *w) for (k, _), w in zip(docs, repeats.brute([(t or "").encode() for _, t in docs]), strict=True))
-    for shard in (8, 2):
-        got = repeats.remove(rows, shard_contexts=shard).selectExpr("doc_id", "n_removed", "n_spans", "sha2(kept, 256)")
-        assert sorted(map(tuple, got.collect())) == want
+    want = sorted(((k, *w) for (k, _), w in zip(docs, windows([(t or "").encode() for _, t in docs]), strict=True)), key=repr)
+    for options, cut in (({}, repeats.SLICE), ({"shard_contexts": 1}, 700)):
+        monkeypatch.setattr(repeats, "SLICE", cut)  # texts over SLICE bytes are taken in parts
+        got = repeats.remove(rows, **options).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
     assert repeats.remove(rows.limit(0)).count() == 0
 
 
-def test_suffix_arrays_and_common_prefixes():
-    r = random.Random(1)
-    texts = [[r.choice([1, 2, 3]) for _ in range(r.randint(1, 30))] + [0] for _ in range(80)]
-    t = np.zeros((80, max(map(len, texts))), np.int32)
-    for i, s in enumerate(texts):
-        t[i, : len(s)] = s
-    size = np.array(list(map(len, texts)))
-    sa = repeats.suffix_arrays(t, size, 4)
-    shared = repeats.common_prefixes(t, size, sa, 1000)
-    for i, s in enumerate(texts):
-        want = sorted(range(len(s)), key=lambda p, s=s: s[p:])
-        assert sa[i, : len(s)].tolist() == want
-        for a, b in zip(want, want[1:], strict=False):
-            n = 0
-            while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
-                n += 1
-            assert shared[i, b] == n
+def test_one_passage_in_very_many_texts_is_split_into_sub_shards(spark):
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared = noise(330)
+    docs = [(i, noise(r.randint(0, 250)) + shared[r.randint(0, 40) : r.randint(290, 330)] + noise(r.randint(0, 250))) for i in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(k, *w) for (k, _), w in zip(docs, windows([t.encode() for _, t in docs]), strict=True)]
+    got = repeats.remove(rows, shard_contexts=4).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_suffix_arrays_and_repeated_prefixes():
+    for seed in range(3):
+        r = random.Random(seed)
+        texts = [[r.choice([1, 2, 3][: r.randint(1, 3)]) for _ in range(r.randint(1, 40))] + [0] for _ in range(80)]
+        t = np.zeros((max(map(len, texts)), 80), np.uint16)
+        for i, s in enumerate(texts):
+            t[: len(s), i] = s
+        size = np.array(list(map(len, texts)))
+        sa = induced.suffix_arrays(t, size, 4)
+        for length in (1, 3):
+            again = induced.repeated(t, size, sa, length)
+            for i, s in enumerate(texts):
+                assert (sa[: len(s), i] // 80).tolist() == sorted(range(len(s)), key=lambda p, s=s: s[p:])
+                spans = [tuple(s[p : p + length]) for p in range(len(s))]
+                assert all(again[p, i] == (spans.count(spans[p]) > 1) for p in range(len(s) - length))
 
 
 def test_top_k_matches_brute_force(spark):

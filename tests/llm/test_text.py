@@ -122,6 +122,17 @@ def test_vocabulary_with_inner_spaces_is_refused():
         P.Vocabulary(["a b"], np.array([-1]), np.zeros(256, int), -9)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_repetitive_structure_hash_apart():
+    a = thue_morse(4096)
+    words = [a[:n] for n in (200, 1024, 2048, 4096)]
+    words += [w.translate(str.maketrans("ab", "ba")) for w in words]
+    assert len(set(tn.word_hashes(pa.array([" ".join(words)]))[1].tolist())) == len(words)
+
+
 def test_word_hashes_do_not_depend_on_place():
     w, h = tn.word_hashes(pa.array(["Ab cd", None, "", "x y AB\tcd\x1f", "cd"]))
     assert w.count.tolist() == [2, 0, 0, 3, 1] and h[0] == h[3] and h[1] == h[5] != h[4]
