@@ -4,14 +4,16 @@ A text is cut into vocabulary pieces so that the sum of the piece scores is larg
 piece covers is spelled as byte pieces.  With best[j] the best sum of the first j characters,
     best[j] = max over l of best[j - l] + score(characters j - l .. j),
 which is linear in the (max, +) algebra.  So a chunk of a text is a matrix from the values at the
-16 positions before it to those at its last 16 positions; matrices of neighbouring chunks multiply
-associatively, and the values before every chunk follow from the products.  A chunk that knows them
-recomputes its own best[] and tells for each way of ending which way of starting it goes with; these
-maps compose backwards to the exact end of every chunk's part, and each chunk is then traced back alone.
+`width` positions before it to those at its last `width` positions.  Matrices of neighbouring chunks multiply
+associatively: each run of FAN chunks is multiplied pair by pair, the products of a text's runs give the values before
+each run, and a run gives those before each of its chunks.  A chunk that knows them tells for each way of ending
+which way of starting it goes with; these maps compose in the same two steps, backwards, to the exact end of every
+chunk's part, and each chunk is then traced back alone.
 
-Ordinary texts are one chunk.  No piece of a vocabulary holds a space after another character (this is
-checked), so inside a chunk every space after a non-space is a boundary that all paths share, where the
-transfer matrix has a single state: equal stretches between such boundaries are solved once per slice.
+Texts of at most GIANT characters are one chunk.  No piece of a vocabulary holds a space after another character (this is
+checked), so every space after a non-space is a boundary that all paths share.  A chunk is cut anywhere; its matrix is that
+of its head (up to its first such boundary), the sum of its middle, and the values of its tail (from its last one on).
+Stretches between boundaries are solved once per task and remembered; what they give is compared with the text itself.
 
 Scores are whole numbers, so sums are exact, the product is associative, and ties are broken the same way
 (longest last piece) whichever way a text was cut.
@@ -32,8 +34,8 @@ from shardloom.llm.graph import written
 
 SPACE, MARK = 0x20, 0x2581
 LOW = -(1 << 50)
-#: Texts with more characters than GIANT are cut into chunks of CHUNK characters.
-GIANT, CHUNK = 32768, 8192
+#: Texts with more characters than GIANT are cut into chunks of CHUNK characters, and those dealt into runs of FAN.
+GIANT, CHUNK, FAN = 32768, 8192, 64
 #: Stretches of at most SHORT bytes are solved together; a task remembers about MEMORY solved ones.
 SHORT, MEMORY = 48, 600_000
 
@@ -71,7 +73,8 @@ class Vocabulary:
 
 def load(path: str) -> Vocabulary:
     """Read a model file.  A vocabulary made by merging has ranks for scores, not probabilities: a piece of
-    rank r then scores -round(1000 * log(r + 2)), as by Zipf's law; log-probabilities are used as they are."""
+    rank r then scores -40000 - round(1000 * log(r + 2)), so the fewest pieces are taken and of those the
+    likeliest by Zipf's law; log-probabilities are used as they are."""
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
@@ -82,9 +85,9 @@ def load(path: str) -> Vocabulary:
     if len(named) != 256:
         raise ValueError("the vocabulary has no byte pieces; texts could not be given back exactly")
     ranks = bool((raw == np.round(raw)).all())
-    scores = -np.round(1000 * np.log(np.clip(-raw, 0, n) + 2)) if ranks else np.round(1000 * raw)
+    scores = -40000 - np.round(1000 * np.log(np.clip(-raw, 0, n) + 2)) if ranks else np.round(1000 * raw)
     scores = scores.astype(np.int64)
-    return Vocabulary(pieces, scores, np.array([named[f"<0x{b:02X}>"] for b in range(256)]), int(scores.min()) - 1000)
+    return Vocabulary(pieces, scores, np.array([named[f"<0x{b:02X}>"] for b in range(256)]), int(scores.min()) - 40000)
 
 
 def code_prefix(cp: np.ndarray) -> np.ndarray:
@@ -221,7 +224,7 @@ class Encoder:
         cut[off[:-1][off[:-1] < len(buf)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(buf))
-        h = tn.span_hash(tn.prefix_hash(buf), start, end)
+        h = tn.keyed_hash(buf, start, end)
         keys, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self.forget()
@@ -233,7 +236,37 @@ class Encoder:
         n = self.ids_count[self.known_at[at]][inverse]
         first = np.concatenate(([0], np.cumsum(n)))
         out = self.ids[np.arange(first[-1]) + np.repeat(a - first[:-1], n)]
-        return out, first[np.searchsorted(start, off)]
+        cuts = first[np.searchsorted(start, off)]
+        raw, ends = self.decode(out.astype(np.int64), cuts)
+        if np.array_equal(raw, buf):
+            return out, cuts
+        # Stretches are known by hashes: where two met, the rows are solved by their characters.
+        rows = []
+        for i in range(len(off) - 1):
+            own = buf[off[i] : off[i + 1]]
+            ids = out[cuts[i] : cuts[i + 1]]
+            rows.append(ids if np.array_equal(raw[ends[i] : ends[i + 1]], own) else self.exact(own.tobytes().decode()))
+        return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+    def exact(self, text: str) -> np.ndarray:
+        """The best pieces of one text, looked up as strings."""
+        v = self.v
+        look = {p: i for i, p in enumerate(v.pieces) if p}
+        best, back = [0] + [LOW * 2] * len(text), [(0, -1)] * (len(text) + 1)
+        for j in range(1, len(text) + 1):
+            for l in range(1, min(j, v.width) + 1):
+                i = look.get(text[j - l : j], -1)
+                if i < 0 and l > 1:
+                    continue
+                c = best[j - l] + (int(v.scores[i]) if i >= 0 else v.byte_score * len(text[j - 1].encode()))
+                if c >= best[j]:
+                    best[j], back[j] = c, (l, i)
+        out, j = [], len(text)
+        while j:
+            l, i = back[j]
+            out.append([i] if i >= 0 else v.byte_ids[list(text[j - 1].encode())].tolist())
+            j -= l
+        return np.array([x for part in out[::-1] for x in part], np.int32)
 
     def _learn(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Solve the stretches buf[start:end] and remember them."""
@@ -304,8 +337,16 @@ class Encoder:
 
 
 def product(late: np.ndarray, early: np.ndarray) -> np.ndarray:
-    """Max-plus product: out[i, j] = max over k of late[i, k] + early[k, j]."""
-    return np.maximum((late[:, :, None] + early[None, :, :]).max(axis=1), LOW)
+    """Max-plus products of matrices (or of stacks of them): out[i, j] = max over k of late[i, k] + early[k, j]."""
+    return np.maximum((late[..., :, :, None] + early[..., None, :, :]).max(axis=-2), LOW)
+
+
+def run_product(m: np.ndarray) -> np.ndarray:
+    """The product of a run of matrices (first chunk first), neighbours pair by pair."""
+    while len(m) > 1:
+        pairs = product(m[1::2], m[: len(m) // 2 * 2 : 2])
+        m = np.concatenate((pairs, m[-1:])) if len(m) % 2 else pairs
+    return m[0]
 
 
 def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,10 +361,10 @@ def _digest(ids: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows id, part, ids: piece ids of the texts of at most GIANT characters (part 0) and of every chunk of longer ones.
+    """Rows id, part, ids, row: piece ids of the texts of at most GIANT characters (part 0) and of every chunk of longer ones.
 
-    Ids must be unique among giant texts.  Null and empty texts give one row with no ids.  A text's pieces are
-    those of its parts in order.  Other columns are dropped.
+    Null and empty texts give one row with no ids.  A text's pieces are those of its parts in order.  Ids may be null or
+    repeated: `row` tells the giant texts of one id apart (null for others, which are one row each).  Other columns are dropped.
     """
     tn.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
@@ -335,147 +376,216 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
         for part in tn.slices(batches, "_text"):
             ids, cuts = enc.encode_rows(part.column(1))
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.zeros(part.num_rows, np.int64)), lists], names=[id_col, "part", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.zeros(part.num_rows, np.int64)), lists, pa.nulls(part.num_rows, pa.int64())], names=[id_col, "part", "ids", "row"])
 
-    schema = f"`{id_col}` {id_type}, part long, ids array<int>"
-    return source.where(small).mapInArrow(small_task, schema).unionByName(_encode_giant(source.where(~small), vocabulary, id_col, id_type))
+    schema = f"`{id_col}` {id_type}, part long, ids array<int>, row long"
+    giant = _encode_giant(source.where(~small), vocabulary, id_col, id_type)
+    return source.where(small).mapInArrow(small_task, schema).unionByName(giant.select(id_col, "part", "ids", "row"))
 
 
-def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_type: str) -> DataFrame:
-    w = vocabulary.width
+def _column(batch, name):
+    return batch.column(batch.schema.get_field_index(name))
 
-    def cuts(text):
-        """(start, end, open at the start, open at the end) of every chunk.
 
-        A cut goes to a boundary that all paths share where there is one in the chunk's second half; its
-        transfer matrix has a single state.  Otherwise the cut is open: any piece may cross it.
-        """
-        lo, loose = 0, False
-        while lo < len(text):
-            hi = min(lo + CHUNK, len(text))
-            p = hi if hi == len(text) else text.rfind(" ", lo + CHUNK // 2, hi + 1)
-            while lo < p < len(text) and text[p - 1] == " ":
-                p -= 1
-            opened = p <= lo + CHUNK // 2 and hi < len(text)
-            hi = hi if opened else p
-            yield lo, hi, loose, opened
-            lo, loose = hi, opened
+def _lists(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_type: str) -> DataFrame:
+    """Rows id, row, part, ids, same: the parts of every text; same: they spell the text's own bytes."""
+    w = vocabulary.width
 
     def cut_task(batches):
+        from pyspark import TaskContext
+
+        # Numbers of rows: the chunks are written before anything is joined by them.
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
-                for c, (lo, hi, opened, opens) in enumerate(cuts(text)):
-                    halo = min(lo, w) if opened else 0
+                starts = list(range(0, len(text), CHUNK))
+                for a in range(0, len(starts), FAN):
+                    own = starts[a : a + FAN]
+                    halo = [min(lo, w) for lo in own]
+                    n = len(own)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, 1), pa.array([c]), pa.array([text[lo - halo : hi]]), pa.array([halo]), pa.array([opened or opens])], names=[id_col, "part", "t", "halo", "open"]
+                        [batch.column(0).take(pa.array([i] * n)), pa.array([row] * n, pa.int64()), pa.array(range(a, a + n), pa.int64()), pa.array([text[lo - h : lo + CHUNK] for lo, h in zip(own, halo, strict=True)]), pa.array(halo, pa.int64())],
+                        names=[id_col, "row", "part", "t", "halo"],
                     )
-
-    key = f"`{id_col}` {id_type}, part long"
-    chunks = written(source.mapInArrow(cut_task, f"{key}, t string, halo long, open boolean").repartition(id_col, "part"), "chunks")
+                row += 1
 
     def runs(batches, size=64):
         for batch in batches:
             for a in range(0, batch.num_rows, size):
                 yield batch.slice(a, size)
 
-    def column(batch, name):
-        return batch.column(batch.schema.get_field_index(name))
-
-    def texts(batch):
-        return list(zip(column(batch, "t").to_pylist(), column(batch, "halo").to_pylist(), strict=True))
-
-    def split(batch):
-        loose = column(batch, "open")
-        return batch.filter(loose), batch.filter(pa.array(~loose.to_numpy(zero_copy_only=False).astype(bool)))
-
     def matrix_task(batches):
         enc = Encoder(vocabulary)
         for batch in runs(batches):
-            loose, closed = split(batch)
-            found = enc.matrices(texts(loose)) if loose.num_rows else np.zeros((0, w, w), np.int64)
-            # Between two shared boundaries there is one way in and one way out: the sum of the pieces.
-            ids, at = enc.encode_rows(column(closed, "t"))
-            one = np.full((closed.num_rows, w, w), LOW, np.int64)
-            one[:, -1, -1] = tn.reduce_rows(vocabulary.scores[ids], at)
-            for part, m in ((loose, found), (closed, one)):
-                yield pa.RecordBatch.from_arrays([column(part, id_col), column(part, "part"), tn.binary([x.tobytes() for x in m])], names=[id_col, "part", "m"])
-
-    def entries(table: pa.Table) -> pa.Table:
-        # One text's matrices, 2 KB for each chunk: a scan of matrix-vector products.
+            n = batch.num_rows
+            heads, middles, tails, closed = [], [], [], []
+            for t, halo in zip(_column(batch, "t").to_pylist(), _column(batch, "halo").to_pylist(), strict=True):
+                # Boundaries: a space after another character, both known here.
+                first = _boundary(t, halo, len(t))
+                last = _boundary_back(t, max(halo, 1), len(t)) if first >= 0 else -1
+                closed.append(first >= 0)
+                heads.append((t[:first] if first >= 0 else t, halo))
+                middles.append(t[first:last] if first >= 0 else "")
+                tails.append(t[last:] if first >= 0 else "")
+            whole = np.array(closed)
+            flat, cuts = enc.encode_rows(pa.array(middles))
+            raw = enc.decode(flat.astype(np.int64), cuts)[0]
+            same = raw.tobytes() == "".join(middles).encode()
+            m = enc.matrices(heads)
+            score, first, _ = enc.chunks([(t, 0) for t in tails])
+            end = enc.forward(score, first, enc.origin(n))[0]
+            middle = tn.reduce_rows(vocabulary.scores[flat], cuts)
+            joined = np.maximum(end[:, :, None] + middle[:, None, None] + m[:, -1][:, None, :], LOW)
+            m = np.where(whole[:, None, None], joined, m)
+            yield pa.RecordBatch.from_arrays(
+                [_column(batch, id_col), _column(batch, "row"), _column(batch, "part"), pa.array([t for t, _ in heads]), _column(batch, "halo"), pa.array(tails), pa.array(whole), pa.array([same] * n), _lists(flat, cuts), tn.binary([x.tobytes() for x in m])],
+                names=[id_col, "row", "part", "head", "halo", "tail", "closed", "same", "middle", "m"],
+            )
+
+    key = f"`{id_col}` {id_type}, row long, part long"
+    cut = source.mapInArrow(cut_task, f"{key}, t string, halo long").repartition("row", "part")
+    chunks = written(cut.mapInArrow(matrix_task, f"{key}, head string, halo long, tail string, closed boolean, same boolean, middle array<int>, m binary"), "chunks")
+    chunks = chunks.withColumn("run", F.floor(F.col("part") / FAN))
+
+    def products(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        value = np.full((w, 1), LOW, np.int64)
-        value[-1] = 0
-        out = []
+        m = np.stack([np.frombuffer(x, np.int64).reshape(w, w) for x in table.column("m").to_pylist()])
+        return table.select(["row", "run"]).slice(0, 1).append_column("m", tn.binary([run_product(m).tobytes()]))
+
+    def before_runs(table: pa.Table) -> pa.Table:
+        # A text has at most 2**31 characters, so at most 4,096 runs of 2 KB.
+        table = table.sort_by("run")
+        value, out = enc_origin(w), []
         for m in table.column("m").to_pylist():
             out.append(value.tobytes())
             value = product(np.frombuffer(m, np.int64).reshape(w, w), value)
-        return table.select([id_col, "part"]).append_column("entry", tn.binary(out))
-
-    entry = chunks.mapInArrow(matrix_task, f"{key}, m binary").groupBy(id_col).applyInArrow(entries, f"{key}, entry binary")
-    known = chunks.join(entry, [id_col, "part"])
-
-    def solved(enc, batch):
-        score, first, rest = enc.chunks(texts(batch))
-        value = np.stack([np.frombuffer(e, np.int64) for e in column(batch, "entry").to_pylist()])
-        return first, rest, enc.forward(score, first, value)[1]
+        return table.select(["row", "run"]).append_column("entry", tn.binary(out))
 
-    def link_task(batches):
+    def entries(chunk: pa.Table, before: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("part")
+        value, entry = np.frombuffer(before.column("entry")[0].as_py(), np.int64).reshape(w, 1), []
+        for m in chunk.column("m").to_pylist():
+            entry.append(value.tobytes())
+            value = product(np.frombuffer(m, np.int64).reshape(w, w), value)
         # For each number of characters (0 .. w - 1) that the next chunk's first piece takes from this
         # chunk, how many characters this chunk's first piece takes from the chunk before.
         enc = Encoder(vocabulary)
-        for every in runs(batches):
-            batch, closed = split(every)
-            yield pa.RecordBatch.from_arrays([column(closed, id_col), column(closed, "part"), tn.binary([bytes(8 * w)] * closed.num_rows)], names=[id_col, "part", "maps"])
-            if not batch.num_rows:
-                continue
-            first, _, back = solved(enc, batch)
-            length = np.diff(first)
-            maps = np.zeros((batch.num_rows, w), np.int64)
-            for k in range(w):
-                at = first[:-1] + length - k - 1
-                maps[:, k] = k - length
-                live = np.flatnonzero(at >= first[:-1])
-                at = at[live]
-                while len(live):
-                    at = at - back[at] - 1
-                    over = at < first[live]
-                    maps[live[over], k] = first[live[over]] - 1 - at[over]
-                    live, at = live[~over], at[~over]
-            yield pa.RecordBatch.from_arrays([column(batch, id_col), column(batch, "part"), tn.binary([m.tobytes() for m in maps])], names=[id_col, "part", "maps"])
-
-    def exits(table: pa.Table) -> pa.Table:
+        closed = chunk.column("closed").to_numpy()
+        score, first, _ = enc.chunks(list(zip(chunk.column("head").to_pylist(), chunk.column("halo").to_pylist(), strict=True)))
+        back = enc.forward(score, first, np.stack([np.frombuffer(e, np.int64) for e in entry]))[1]
+        length = np.diff(first)
+        maps = np.zeros((chunk.num_rows, w), np.int64)
+        for k in range(w):
+            # All paths of a closed chunk pass the end of its head.
+            ahead = np.where(closed, 0, k)
+            at = first[:-1] + length - ahead - 1
+            maps[:, k] = ahead - length
+            live = np.flatnonzero(at >= first[:-1])
+            at = at[live]
+            while len(live):
+                at = at - back[at] - 1
+                over = at < first[live]
+                maps[live[over], k] = first[live[over]] - 1 - at[over]
+                live, at = live[~over], at[~over]
+        return chunk.select(["row", "run", "part"]).append_column("entry", tn.binary(entry)).append_column("maps", tn.binary([x.tobytes() for x in maps]))
+
+    def composed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("part", "descending")])
+        out = np.arange(w)
+        for m in table.column("maps").to_pylist():
+            out = np.frombuffer(m, np.int64)[out]
+        return table.select(["row", "run"]).slice(0, 1).append_column("maps", tn.binary([out.tobytes()]))
+
+    def after_runs(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("run", "descending")])
         state, out = 0, []
         for m in table.column("maps").to_pylist():
             out.append(state)
             state = int(np.frombuffer(m, np.int64)[state])
-        return table.select([id_col, "part"]).append_column("tail", pa.array(out, pa.int64()))
+        return table.select(["row", "run"]).append_column("state", pa.array(out, pa.int64()))
 
-    tail = known.mapInArrow(link_task, f"{key}, maps binary").groupBy(id_col).applyInArrow(exits, f"{key}, tail long")
+    def exits(chunk: pa.Table, after: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by([("part", "descending")])
+        state, out, came = after.column("state")[0].as_py(), [], []
+        for m in chunk.column("maps").to_pylist():
+            out.append(state)
+            state = int(np.frombuffer(m, np.int64)[state])
+            came.append(state)
+        return chunk.select(["row", "part", "entry"]).append_column("leave", pa.array(out, pa.int64())).append_column("take", pa.array(came, pa.int64()))
+
+    by = ["row", "run"]
+    run_matrices = chunks.select("row", "run", "part", "m").groupBy(by).applyInArrow(products, "row long, run long, m binary")
+    before = run_matrices.groupBy("row").applyInArrow(before_runs, "row long, run long, entry binary")
+    narrow = chunks.select("row", "run", "part", "head", "halo", "closed", "m")
+    linked = written(narrow.groupBy(by).cogroup(before.groupBy(by)).applyInArrow(entries, "row long, run long, part long, entry binary, maps binary"), "linked")
+    after = linked.groupBy(by).applyInArrow(composed, "row long, run long, maps binary").groupBy("row").applyInArrow(after_runs, "row long, run long, state long")
+    known = linked.groupBy(by).cogroup(after.groupBy(by)).applyInArrow(exits, "row long, part long, entry binary, leave long, take long")
 
     def spell_task(batches):
         enc = Encoder(vocabulary)
-        for every in runs(batches):
-            batch, closed = split(every)
-            flat, cuts_at = enc.encode_rows(column(closed, "t"))
-            lists = pa.ListArray.from_arrays(pa.array(cuts_at.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([column(closed, id_col), column(closed, "part"), lists], names=[id_col, "part", "ids"])
-            if not batch.num_rows:
-                continue
-            first, (prefix, own, begin, size, where), back = solved(enc, batch)
-            end = np.diff(first) - column(batch, "tail").to_numpy()
-            mark = enc.trace(back, first, end)
-            flat, count = enc.spell(prefix, back, mark, own, begin, size, where)
-            cuts = np.concatenate(([0], np.cumsum(count)))[first]
-            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([column(batch, id_col), column(batch, "part"), lists], names=[id_col, "part", "ids"])
-
-    return known.join(tail, [id_col, "part"]).mapInArrow(spell_task, f"{key}, ids array<int>")
+        for batch in runs(batches):
+            n = batch.num_rows
+            closed, leave, take = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("closed", "leave", "take"))
+            middle = _column(batch, "middle")
+            mids, mid_cut = middle.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(middle.value_lengths().to_numpy(zero_copy_only=False))))
+            heads = list(zip(_column(batch, "head").to_pylist(), _column(batch, "halo").to_pylist(), strict=True))
+            tails = _column(batch, "tail").to_pylist()
+
+            def spelled(texts, entry, drop):
+                score, first, (prefix, own, begin, size, where) = enc.chunks(texts)
+                back = enc.forward(score, first, entry)[1]
+                mark = enc.trace(back, first, np.diff(first) - drop)
+                flat, count = enc.spell(prefix, back, mark, own, begin, size, where)
+                return flat, np.concatenate(([0], np.cumsum(count)))[first]
+
+            entry = np.stack([np.frombuffer(e, np.int64) for e in _column(batch, "entry").to_pylist()])
+            a, a_cut = spelled(heads, entry, np.where(closed, 0, leave))
+            b, b_cut = spelled([(t, 0) for t in tails], enc.origin(n), np.where(closed, leave, 0))
+            ids, same = [], []
+            for i in range(n):
+                text, halo = heads[i]
+                parts = [a[a_cut[i] : a_cut[i + 1]], mids[mid_cut[i] : mid_cut[i + 1]], b[b_cut[i] : b_cut[i + 1]]]
+                ids.append(np.concatenate(parts))
+                want = [text[halo - take[i] : len(text) - (0 if closed[i] else leave[i])], tails[i][: len(tails[i]) - leave[i]] if closed[i] else ""]
+                got = [enc.decode(x.astype(np.int64), np.array([0, len(x)]))[0].tobytes() for x in (parts[0], parts[2])]
+                same.append(got == [x.encode() for x in want])
+            cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+            ok = _column(batch, "same").to_numpy(zero_copy_only=False).astype(bool) & np.array(same)
+            yield pa.RecordBatch.from_arrays([_column(batch, id_col), _column(batch, "row"), _column(batch, "part"), _lists(np.concatenate(ids), cuts), pa.array(ok)], names=[id_col, "row", "part", "ids", "same"])
+
+    every = chunks.drop("m", "run").join(known, ["row", "part"])
+    return every.mapInArrow(spell_task, f"{key}, ids array<int>, same boolean")
+
+
+def enc_origin(width: int) -> np.ndarray:
+    value = np.full((width, 1), LOW, np.int64)
+    value[-1] = 0
+    return value
+
+
+def _boundary(t: str, lo: int, hi: int) -> int:
+    """The first place at or after lo, before hi, that holds a space after another character; -1 if there is none."""
+    p = t.find(" ", lo, hi)
+    while p >= 0 and (p == 0 or t[p - 1] == " "):
+        p = t.find(" ", p + 1, hi)
+    return p
+
+
+def _boundary_back(t: str, lo: int, hi: int) -> int:
+    """The last such place."""
+    p = t.rfind(" ", lo, hi)
+    while p >= lo and t[p - 1] == " ":
+        p = t.rfind(" ", lo, p)
+    return p
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id") -> DataFrame:
-    """Rows id, part, text of rows id, part, ids; bytes that are no UTF-8 become the replacement character."""
+    """Rows id, part, text, row of rows id, part, ids, row; bytes that are no UTF-8 become the replacement character."""
     tn.ship_code(encoded.sparkSession)
     id_type = encoded.schema[id_col].dataType.simpleString()
 
@@ -489,16 +599,16 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id"
                 cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
                 raw, first = enc.decode(ids, cuts)
                 rows = [raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.string())], names=[id_col, "part", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.string()), part.column(3)], names=[id_col, "part", "text", "row"])
 
-    return encoded.select(id_col, "part", "ids").mapInArrow(decode_task, f"`{id_col}` {id_type}, part long, text string")
+    return encoded.select(id_col, "part", "ids", "row").mapInArrow(decode_task, f"`{id_col}` {id_type}, part long, text string, row long")
 
 
 def report(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, n_pieces, ids_sha256, decoded_sha256, round_trip.
 
-    ids_sha256 is over the parts' digests in order; decoded_sha256 is of the decoded text, which round_trip
-    compares with the text itself.  Null texts count as empty.
+    ids_sha256 is over the parts' digests in order; decoded_sha256 is of the decoded text; round_trip: every part's
+    bytes were compared with the text's own.  Null texts count as empty; ids may be null or repeated.
     """
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     id_type = source.schema[id_col].dataType.simpleString()
@@ -521,27 +631,25 @@ def report(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
 
     tn.ship_code(docs.sparkSession)
     few = source.where(small).mapInArrow(both_task, f"`{id_col}` {id_type}, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
-    giant = source.where(~small)
-    encoded = _encode_giant(giant, vocabulary, id_col, id_type)
+    encoded = _encode_giant(source.where(~small), vocabulary, id_col, id_type)
 
     def digest_task(batches):
         enc = Encoder(vocabulary)
         for batch in batches:
-            lists = batch.column(2)
-            ids = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            ids = [x.values.to_numpy(zero_copy_only=False) for x in _column(batch, "ids")]
             raw = [enc.decode(x.astype(np.int64), np.array([0, len(x)]))[0].tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in ids]), pa.array([_digest(x) for x in ids]), pa.array([r.decode("utf-8", "replace") for r in raw])],
-                names=[id_col, "part", "n", "d", "t"],
+                [*(_column(batch, c) for c in (id_col, "row", "part", "same")), pa.array([len(x) for x in ids]), pa.array([_digest(x) for x in ids]), pa.array([r.decode("utf-8", "replace") for r in raw])],
+                names=[id_col, "row", "part", "same", "n", "d", "t"],
             )
 
-    parts = encoded.mapInArrow(digest_task, f"`{id_col}` {id_type}, part long, n long, d string, t string")
+    parts = encoded.mapInArrow(digest_task, f"`{id_col}` {id_type}, row long, part long, same boolean, n long, d string, t string")
+    # The parts of one text together are as long as the text, which was one row.
     in_order = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", name))), lambda s: s[name]), "")
-    long = (
-        parts.groupBy(id_col).agg(F.sum("n").alias("n_pieces"), F.sha2(in_order("d").cast("binary"), 256).alias("ids_sha256"), F.sha2(in_order("t").cast("binary"), 256).alias("decoded_sha256"))
-        .join(giant.select(id_col, F.sha2(F.col("_text").cast("binary"), 256).alias("_own")), id_col)
-        .select(id_col, "n_pieces", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("_own")).alias("round_trip"))
-    )
+    long = parts.groupBy("row").agg(
+        F.first(id_col).alias(id_col), F.sum("n").alias("n_pieces"), F.sha2(in_order("d").cast("binary"), 256).alias("ids_sha256"), F.sha2(in_order("t").cast("binary"), 256).alias("decoded_sha256"),
+        F.bool_and("same").alias("round_trip"),
+    ).drop("row")
     return few.unionByName(long)
 
 

@@ -102,11 +102,48 @@ def test_small_and_giant_texts_get_the_best_pieces(spark, monkeypatch):
     for x in sorted(P.decode(P.encode(rows, v), v).collect(), key=lambda x: (x.doc_id, x.part)):
         text[x.doc_id] = text.get(x.doc_id, "") + x.text
     assert all(text[k] == (t or "") for k, t in docs)
+    monkeypatch.setattr(P, "FAN", 3)
     report = {x.doc_id: x for x in P.report(rows, v).collect()}
     assert len(report) == len(docs) and all(x.round_trip for x in report.values()) and all(report[k].n_pieces == len(got[k]) for k in got)
     assert P.report(rows.limit(0), v).count() == 0
 
 
+def test_giant_texts_with_null_or_repeated_ids_keep_all_their_parts(spark, monkeypatch):
+    v = vocabulary()
+    monkeypatch.setattr(P, "GIANT", 40)
+    monkeypatch.setattr(P, "CHUNK", 16)
+    r = random.Random(4)
+    one, two, spaces = "".join(r.choice("abc") for _ in range(150)), "".join(r.choice("ab c") for _ in range(170)), " " * 100
+    docs = [(1, one), (1, one), (None, one), (None, two), (2, spaces), (1, two), (3, "ab")]
+    rows = spark.createDataFrame([(k, t, 5) for k, t in docs], "doc_id long, text string, row int")
+    got = P.report(rows, v).collect()
+    n = {t: len(brute(v, t)) for _, t in docs}
+    assert sorted(((x.doc_id, x.n_pieces) for x in got), key=repr) == sorted(((k, n[t]) for k, t in docs), key=repr) and all(x.round_trip for x in got)
+    assert P.encode(rows, v).count() == 3 * 10 + 2 * 11 + 7 + 1
+
+
+def test_run_product_is_the_product_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 8):
+        m = rng.integers(-50, 0, size=(n, 4, 4))
+        want = m[0]
+        for x in m[1:]:
+            want = P.product(x, want)
+        assert (P.run_product(m) == want).all()
+
+
+def test_colliding_stretches_are_solved_by_their_characters(monkeypatch):
+    import numpy as np
+
+    v = vocabulary()
+    enc = P.Encoder(v)
+    monkeypatch.setattr(P.tn, "keyed_hash", lambda buf, a, b, key=0: np.zeros(len(a), np.uint64))
+    ids, cuts = enc.encode_rows(pa.array(["abc", "ca b", "é"]))
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [brute(v, t) for t in ("abc", "ca b", "é")]
+
+
 def test_max_plus_product_is_associative():
     import numpy as np
 
