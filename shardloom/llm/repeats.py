@@ -266,15 +266,21 @@ def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, fi
     return out.unionByName(moved)
 
 
-def find(docs: DataFrame, *, text_col: str = "text", row_key: str = "row_key", length: int = LENGTH, k: int = K, filter_bits: int = 24, shard_contexts: int = 8) -> DataFrame:
-    """Rows row_key, runs: for each text with repeated windows the runs (a, b) of their starts, byte offsets, b included.
+def row_keys(batch) -> list[bytes]:
+    """A digest of id and text for each row of a batch; rows that repeat one another share it."""
+    buf, off = tn.text_bytes(batch.column(1))
+    ids = batch.column(0).to_pylist()
+    return [digest(str(i).encode() + b"\0" + buf[a:b].tobytes()) for i, a, b in zip(ids, off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
-    `row_key` is a binary digest that tells different texts apart; rows with equal keys are copies of one text.  Texts
-    shorter than `length`, null ones among them, have no windows.  Texts over SLICE bytes are taken in parts.
+
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, filter_bits: int = 24, shard_contexts: int = 8) -> DataFrame:
+    """Rows row_key (see `row_keys`), runs: for each text with repeated windows the runs (a, b) of their starts, byte offsets, b included.
+
+    Texts shorter than `length`, null ones among them, have no windows.  Texts over SLICE bytes are taken in parts.
     """
     spark = docs.sparkSession
     tn.ship_code(spark)
-    source = docs.select(F.col(row_key).alias("row"), F.col(text_col).alias("_text")).where(F.octet_length("_text") >= length)
+    source = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.octet_length("_text") >= length)
 
     def gram_task(batches):
         for _, _, _, buf, off in stretches(batches, length):
@@ -286,14 +292,17 @@ def find(docs: DataFrame, *, text_col: str = "text", row_key: str = "row_key", l
     sent = spark.sparkContext.broadcast(bit_filter(counted, "gram", filter_bits))
 
     def context_task(batches):
+        held, names = None, None
         for batch, rows, base, buf, off in stretches(batches, length):
+            if batch is not held:
+                held, names = batch, pa.array(row_keys(batch), pa.binary())
             row, w, count, lead, gram = anchors(buf, off, length, k)
             hit = np.flatnonzero(is_set(sent.value, gram))
             row, w, count, lead, gram = (x[hit] for x in (row, w, count, lead, gram))
             raw = buf.tobytes()
             data = [raw[a:b] for a, b in zip(w.tolist(), (w + count + length - 1).tolist(), strict=True)]
             at = w - off[row] + base[row]
-            keys = batch.column(0).take(pa.array(rows[row]))
+            keys = names.take(pa.array(rows[row]))
             uid = tn.mix(tn.mix(_words(keys)[:, 0] + at.astype(np.uint64) * tn.U64(0x9E3779B97F4A7C15)))
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(at), pa.array(gram.view(np.int64)), pa.array([digest(d + n.to_bytes(4, "little")) for d, n in zip(data, lead.tolist(), strict=True)], pa.binary()), pa.array(uid.view(np.int64)),
@@ -307,7 +316,7 @@ def find(docs: DataFrame, *, text_col: str = "text", row_key: str = "row_key", l
     placed = contexts.select("row", "at", "key", "piece").join(covered, ["key", "piece"])
     runs = F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).cast("long").alias("a"), (r["b"] + F.col("at")).cast("long").alias("b")))
     # A set: however many copies of one row there are, their runs are kept once.
-    return placed.select(F.col("row").alias(row_key), runs.alias("runs")).groupBy(row_key).agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    return placed.select(F.col("row").alias("row_key"), runs.alias("runs")).groupBy("row_key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
@@ -316,40 +325,30 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     Null texts count as empty.  Repeated rows repeat each other's bytes, null ids among them.  Other columns are dropped.
     """
     tn.ship_code(docs.sparkSession)
-    plain = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    id_type = plain.schema[id_col].dataType.simpleString()
-    with_key = f"`{id_col}` {id_type}, _text string, row_key binary"
-
-    def key_task(batches):
-        for batch in batches:
-            buf, off = tn.text_bytes(batch.column(1))
-            names = [str(x).encode() + b"\0" for x in batch.column(0).to_pylist()]
-            keys = [digest(x + buf[a:b].tobytes()) for x, a, b in zip(names, off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[id_col, "_text", "row_key"])
-
-    source = plain.mapInArrow(key_task, with_key)
-    runs = written(find(source, text_col="_text", length=length, **options), "runs")
+    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    id_type = source.schema[id_col].dataType.simpleString()
+    runs = written(find(source, id_col=id_col, text_col="_text", length=length, **options), "runs")
     low = runs.select(F.conv(F.hex(F.substring("row_key", 1, 7)), 16, 10).cast("long").alias("h"))
     touched = source.sparkSession.sparkContext.broadcast(bit_filter(low, "h", 24))
 
     out = f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary"
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
 
-    def touched_rows(batch, hit):
-        h = np.array([int.from_bytes(x[:7], "big") for x in batch.column(2).to_pylist()], np.uint64)
-        return batch.filter(pa.array(is_set(touched.value, h) == hit))
+    def touched_rows(batches, hit):
+        for batch in batches:
+            keys = row_keys(batch)
+            h = np.array([int.from_bytes(x[:7], "big") for x in keys], np.uint64)
+            yield batch.append_column("row_key", pa.array(keys, pa.binary())).filter(pa.array(is_set(touched.value, h) == hit))
 
     def whole_task(batches):
-        for batch in batches:
-            for part in tn.slices(iter([touched_rows(batch, False)]), "_text", SLICE):
-                buf, off = tn.text_bytes(part.column(1))
-                zero, raw = np.zeros(part.num_rows, np.int64), buf.tobytes()
-                kept = tn.binary([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(zero), pa.array(zero), kept], names=names)
+        for part in tn.slices(touched_rows(batches, False), "_text", SLICE):
+            buf, off = tn.text_bytes(part.column(1))
+            zero, raw = np.zeros(part.num_rows, np.int64), buf.tobytes()
+            kept = tn.binary([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(zero), pa.array(zero), kept], names=names)
 
     def cut_task(batches):
-        for batch in batches:
-            yield touched_rows(batch, True)
+        yield from touched_rows(batches, True)
 
     def remove_task(batches):
         for part in tn.slices(batches, "_text", SLICE):
@@ -374,7 +373,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), tn.binary([left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])], names=names)
 
     # Texts without repeats stay where they are; only the others travel to their runs.
-    cut = source.mapInArrow(cut_task, with_key).join(runs.hint("shuffle_hash"), "row_key", "left").select(id_col, "_text", "runs")
+    cut = source.mapInArrow(cut_task, f"`{id_col}` {id_type}, _text string, row_key binary").join(runs.hint("shuffle_hash"), "row_key", "left").select(id_col, "_text", "runs")
     return source.mapInArrow(whole_task, out).unionByName(cut.mapInArrow(remove_task, out))
 
 
