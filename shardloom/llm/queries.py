@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op6_topk": balltree.ORACLE,
     "op7_repeats": repeats.ORACLE,
 }
