@@ -9,15 +9,17 @@ of those prefixes.  The order is by hash, with very frequent shingles last; a sh
 skipped.  Both properties come from exact counts over all texts (of the lower part of the hash range, which
 holds the prefixes) and reach the tasks as bit filters of fixed size.
 
-Token-group matrix.  Similar sets (one first prefix shingle, sizes within a quarter) are a group, and the
-rows of a matrix tell which groups hold a prefix shingle, with the sizes there.  Joined with a query set's
+Token-group matrix.  Similar sets (one first prefix shingle, sizes within a quarter) are a group.  The rows (shingle, group) hold
+the union of the prefix shingles of a group's members, with their sizes.  Joined with a query set's
 prefix and counted, they bound what it shares with any member of the group; a group whose bound is below what
 a member of its sizes needs stays closed.  The members of open groups are compared with the query exactly.
 A group has at most as many members as the list of its first shingle, at most `short_list`; where that list
 may be longer the set is a group of its own.
 
 Long lists.  The sets of a list longer than `short_list` (a passage that many texts share, or a large family of near
-copies) are dealt into blocks of at most `block_sets` sets, and pairs of blocks are tasks, each with a dense matrix of its own.  A task puts similar
+copies) are first compared with the list's first set, which the lists of one family have in common, so a pair is
+compared once however many shingles it shares.  A list whose sets are then all connected is done.  The sets of the others
+are dealt into blocks bounded in sets and in shingles, and pairs of blocks are tasks, each with a matrix of its own.  A task puts similar
 sets of a block into groups and keeps each group's token union as a column of a token x group matrix.  The
 product with a query set's tokens bounds its overlap with every member; only groups whose bound
 reaches t n are opened and compared member by member.  A task returns links that span what it found
@@ -26,6 +28,7 @@ connected, at most one for each set, not all pairs.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -40,13 +43,18 @@ THRESHOLD, WORDS = 80, 5
 #: Share of the hash range in which shingles are counted.
 COUNTED = int(0.35 * 2**64)
 GROUP = 16
+#: Tokens of a matrix that are held as numbers at once.
+COLUMNS = 4096
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """A 64-bit key of a set; equal sets have equal keys."""
-    a = np.bitwise_xor.reduce(tn.mix(tokens * tn.U64(3)), keepdims=True)
-    b = tn.mix(tokens + tn.U64(7)).sum(dtype=np.uint64, keepdims=True)
-    return int(tn.mix(tn.mix(a) + b).view(np.int64)[0])
+def set_key(tokens: np.ndarray) -> bytes:
+    """A 128-bit digest of a set's sorted tokens: the name of equal sets."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def low(keys) -> np.ndarray:
+    """The first 64 bits of digests."""
+    return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
 
 
 def prefix_size(n):
@@ -73,10 +81,11 @@ def least_bound(n, lo, hi):
     return F.least(*((n + e) * (t / (1 + t)) - t * F.greatest(n, e) for e in ends)) - F.lit(1e-6)
 
 
-def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span every connection between the sets of `left` and those of `right` (positions in `sets`).
 
-    Token-group matrix: right sets in groups of GROUP similar ones, bounded by their token unions.
+    Token-group matrix: right sets in groups of GROUP similar ones, bounded by their token unions.  The token axis is
+    taken in runs of COLUMNS.  known: numbers of what the sets are connected with already; no link is returned inside one.
     """
     if not len(left) or not len(right):
         return []
@@ -87,17 +96,34 @@ def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     held = np.bincount(inverse, minlength=len(tokens))
     new = np.cumsum(held > 1) - 1
     keep = held[inverse] > 1
-    width = int((held > 1).sum())
-    if not width:
+    owner, token = owner[keep], new[inverse[keep]]
+    if not len(token):
         return []
-    own = np.zeros((len(sets), width), np.float32)
-    own[owner[keep], new[inverse[keep]]] = 1
     # Similar sets are neighbours in the order of their smallest shared tokens.
-    least = np.array([int(row.argmax()) if row.any() else width for row in own[right]])
-    right = right[np.lexsort((n[right], least))]
+    least = np.full(len(sets), len(tokens))
+    np.minimum.at(least, owner, token)
+    right = right[np.lexsort((n[right], least[right]))]
     groups = [right[i : i + GROUP] for i in range(0, len(right), GROUP)]
-    union = np.stack([own[g].max(axis=0) for g in groups])
-    root = np.arange(len(sets))
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    cuts = np.searchsorted(token, np.arange(0, int(token[-1]) + 1 + COLUMNS, COLUMNS))
+
+    def columns():
+        for i in range(len(cuts) - 1):
+            own = np.zeros((len(sets), COLUMNS), np.float32)
+            own[owner[cuts[i] : cuts[i + 1]], token[cuts[i] : cuts[i + 1]] - i * COLUMNS] = 1
+            yield own
+
+    bound = np.zeros((len(left), len(groups)), np.float32)
+    for own in columns():
+        bound += own[left] @ np.stack([own[g].max(axis=0) for g in groups]).T
+    opened = 100 * bound >= THRESHOLD * n[left][:, None]
+    picked = np.flatnonzero(opened.any(axis=0)).tolist()
+    shared = {g: np.zeros((int(opened[:, g].sum()), len(groups[g])), np.float32) for g in picked}
+    for own in columns():
+        for g in picked:
+            shared[g] += own[left[opened[:, g]]] @ own[groups[g]].T
+    root = np.arange(len(sets)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
 
     def find(x):
         while root[x] != x:
@@ -106,20 +132,15 @@ def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
         return x
 
     out = []
-    for a in range(0, len(left), 256):
-        q = left[a : a + 256]
-        bound = own[q] @ union.T
-        opened = 100 * bound >= THRESHOLD * n[q][:, None]
-        for g in np.flatnonzero(opened.any(axis=0)).tolist():
-            rows = q[opened[:, g]]
-            shared = own[rows] @ own[groups[g]].T
-            hit = linked(shared, n[rows][:, None], n[groups[g]][None, :])
-            for i, j in zip(*np.nonzero(hit), strict=True):
-                x, y = int(rows[i]), int(groups[g][j])
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    root[rx] = ry
-                    out.append((x, y))
+    for g in picked:
+        rows = left[opened[:, g]]
+        hit = linked(shared[g], n[rows][:, None], n[groups[g]][None, :])
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            x, y = int(rows[i]), int(groups[g][j])
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[rx] = ry
+                out.append((x, y))
     return out
 
 
@@ -135,10 +156,10 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def task(batches):
         for part, sets in _sets(batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n", "key"]
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())], names=["id", "n", "key"]
             )
 
-    return source.mapInArrow(task, "id long, n long, key long")
+    return source.mapInArrow(task, "id long, n long, key binary")
 
 
 def _order_filters(source: DataFrame, total: int, often: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +194,7 @@ def _order_filters(source: DataFrame, total: int, often: int, bits: int) -> tupl
     return bit_filter(counted, "token", bits), bit_filter(counted.where("often"), "token", bits)
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short_list: int = 64, block_sets: int = 1024, filter_bits: int = 25) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short_list: int = 64, block_sets: int = 1024, block_tokens: int = 1 << 20, filter_bits: int = 25) -> DataFrame:
     """One row per text: id, n_shingles (long), component_id (smallest id reachable by links, its own included).
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased.  A set holds the distinct 5-word shingles;
@@ -195,7 +216,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
                 continue
             flat = np.concatenate(sets)
             often, shared = is_set(often_bits.value, flat), is_set(shared_bits.value, flat) | (flat >= tn.U64(COUNTED))
-            tokens, keys, sizes, groups, at = [], [], [], [], 0
+            tokens, keys, counts, sizes, groups, at = [], [], [], [], [], 0
             for s in sets:
                 o, w = often[at : at + len(s)], shared[at : at + len(s)]
                 at += len(s)
@@ -207,14 +228,17 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
                     # Counted and not in the filter: at most short_list sets hold it.
                     grouped = s[order[0]] < tn.U64(COUNTED) and not o[order[0]]
                     tokens.append(s[order])
-                    keys.append(np.full(len(order), key))
-                    sizes.append(np.full(len(order), len(s)))
-                    groups.append(np.full(len(order), group_key(int(s[order[0]]), len(s)) if grouped else key))
+                    keys.append(key)
+                    counts.append(len(order))
+                    sizes.append(len(s))
+                    groups.append(group_key(int(s[order[0]]), len(s)) if grouped else int.from_bytes(key[:8], "little", signed=True))
             if tokens:
-                columns = {"token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(sizes), "g": np.concatenate(groups)}
-                yield pa.RecordBatch.from_pydict({name: pa.array(column) for name, column in columns.items()})
+                which = np.repeat(np.arange(len(keys)), counts)
+                yield pa.RecordBatch.from_pydict({
+                    "token": pa.array(np.concatenate(tokens).view(np.int64)), "key": pa.array(keys, pa.binary()).take(pa.array(which)), "n": pa.array(np.array(sizes)[which]), "g": pa.array(np.array(groups, np.int64)[which]),
+                })
 
-    entries = written(source.select("_text").mapInArrow(entry_task, "token long, key long, n long, g long").distinct(), "entries")
+    entries = written(source.select("_text").mapInArrow(entry_task, "token long, key binary, n long, g long").distinct(), "entries")
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = written(entries.join(lists, "token"), "lists")
     short = sized.where(F.col("size") <= short_list).select("token", "key", "n", "g").repartition("token")
@@ -226,10 +250,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
     bounds = met.groupBy("key", "n", "g", "group").agg(F.count(F.lit(1)).alias("bound"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     opened = bounds.where(F.col("bound") >= least_bound(F.col("n"), F.col("lo"), F.col("hi"))).select(F.col("key").alias("x"), F.col("n").alias("nx"), "g", "group")
     members = entries.select(F.col("g").alias("group"), F.col("key").alias("y"), F.col("n").alias("ny")).distinct()
+    long = sized.where(F.col("size") > short_list)
+    # A long list's sets are first compared with its first set.
+    head = long.groupBy("token").agg(F.min(F.struct("key", "n")).alias("h")).select("token", F.col("h.key").alias("y"), F.col("h.n").alias("ny"))
+    star = long.join(head, "token").where(f"key <> y and 100 * least(n, ny) >= {THRESHOLD} * greatest(n, ny)").select(F.col("key").alias("x"), "y")
     pairs = written(
-        opened.join(members, "group").where(f"(g < group or x < y) and 100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)").select("x", "y"), "pairs",
+        opened.join(members, "group").where(f"(g < group or x < y) and 100 * least(nx, ny) >= {THRESHOLD} * greatest(nx, ny)").select("x", "y").unionByName(star).distinct(), "pairs",
     )
-    long = sized.where(F.col("size") > short_list)
 
     # Token sets of the sets to compare, each from the text with the smallest id that has it.
     wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).unionByName(long.select("key")).distinct()
@@ -237,7 +264,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
 
     def hash_task(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"h": pa.array(pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(pair_hash(low(batch.column(0).to_pylist()), batch.column(1).to_numpy()).view(np.int64))})
 
     marks = wanted.join(first, "key").select("key", "id").mapInArrow(hash_task, "h long")
     chosen = spark.sparkContext.broadcast(bit_filter(marks, "h", filter_bits))
@@ -253,11 +280,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
                     tokens.append(s)
             if not keys:
                 continue
-            hit = is_set(chosen.value, pair_hash(np.array(keys), np.array(own)))
+            hit = is_set(chosen.value, pair_hash(low(keys), np.array(own)))
             pick = np.flatnonzero(hit).tolist()
-            yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in pick], pa.int64()), "tokens": tn.binary([tokens[i].tobytes() for i in pick])})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in pick], pa.binary()), "tokens": tn.binary([tokens[i].tobytes() for i in pick])})
 
-    tokens = written(source.mapInArrow(token_task, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "tokens")
+    tokens = written(source.mapInArrow(token_task, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "tokens")
 
     def compare_task(batches):
         for batch in batches:
@@ -269,31 +296,35 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["a", "b"])
 
     with_x = pairs.join(tokens.select(F.col("key").alias("x"), F.col("tokens").alias("tx")), "x")
-    near = with_x.join(tokens.select(F.col("key").alias("y"), F.col("tokens").alias("ty")), "y").select("x", "y", "tx", "ty").mapInArrow(compare_task, "a long, b long")
-
-    blocks = F.ceil(F.col("size") / block_sets).cast("long")
-    dealt = long.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    near = with_x.join(tokens.select(F.col("key").alias("y"), F.col("tokens").alias("ty")), "y").select("x", "y", "tx", "ty").mapInArrow(compare_task, "a binary, b binary")
+    rep = lambda name: first.select(F.col("key").alias(name), F.col("id").alias(f"{name}_id"))
+    by_id = lambda links: links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    so_far = written(components(by_id(near)), "components")
+
+    # Lists whose sets are not all connected yet.
+    placed = long.join(first, "key").join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    per_list = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.sum("n").alias("_tokens"))
+    blocks = F.greatest(F.ceil(F.col("size") / block_sets), F.ceil(F.col("_tokens") / block_tokens)).cast("long")
+    dealt = placed.join(per_list.where("_lo <> _hi"), "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     # Block b of a list meets every block: it is the left or the right one of each pair it is in.
     tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "token", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "token", "key", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
 
     def matrix_task(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        order = np.argsort(keys)
+        keys = table.column("key").to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        sets, keys, block = [sets[i] for i in order], keys[order], table.column("block").to_numpy()[order]
+        sets, keys, block, known = [sets[i] for i in order], [keys[i] for i in order], table.column("block").to_numpy()[order], table.column("component").to_numpy()[order]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        found = matrix_links(sets, np.flatnonzero(block == i), np.flatnonzero(block == j))
-        return pa.table({"a": pa.array([int(keys[a]) for a, _ in found], pa.int64()), "b": pa.array([int(keys[b]) for _, b in found], pa.int64())})
+        found = matrix_links(sets, np.flatnonzero(block == i), np.flatnonzero(block == j), known)
+        return pa.table({"a": pa.array([keys[a] for a, _ in found], pa.binary()), "b": pa.array([keys[b] for _, b in found], pa.binary())})
 
-    family = tasks.join(tokens, "key").groupBy("token", "i", "j").applyInArrow(matrix_task, "a long, b long")
-    links = near.unionByName(family).distinct()
-    rep = lambda name: first.select(F.col("key").alias(name), F.col("id").alias(f"{name}_id"))
-    by_id = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    family = tasks.join(tokens, "key").groupBy("token", "i", "j").applyInArrow(matrix_task, "a binary, b binary")
+    links = by_id(family.distinct()).unionByName(so_far.select(F.col("id").alias("a"), F.col("component").alias("b")))
     # Rows of one id are one text's versions: they are linked through their id.
     again = known.join(first.withColumnRenamed("id", "rep"), "key").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(by_id.unionByName(again))
+    found = components(links.unionByName(again))
     return (
         table.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -316,3 +347,17 @@ def pair_hash(key: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Sets of shingles, pairs that share at least one, and what is reachable from each document.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+rare AS (SELECT s, doc_id FROM s WHERE s IN (SELECT s FROM s GROUP BY 1 HAVING count(*) > 1)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) m USING (doc_id)
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
     "op6_topk": balltree.ORACLE,
     "op7_repeats": repeats.ORACLE,
 }

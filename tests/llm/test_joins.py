@@ -58,6 +58,31 @@ def test_jaccard_of_null_ids_repeated_rows_and_no_rows(spark):
     assert jaccard.join(rows.limit(0)).count() == 0
 
 
+def test_texts_of_repetitive_words_are_told_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(rows).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_a_family_of_long_near_copies_is_compared_once_for_each_set(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    base = [r.choice(words) for _ in range(500)]
+    docs = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(6):
+            w[r.randrange(len(w))] = f"new{r.randrange(9999)}"
+        docs.append((i, " ".join(w)))
+    docs.append((40, " ".join(base[:250] + [r.choice(words) for _ in range(250)])))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    written_rows, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: written_rows.setdefault(name, real(df, name)))
+    assert sorted(map(tuple, jaccard.join(rows, short_list=8).collect())) == brute_components(docs)
+    assert written_rows["pairs"].count() < 4 * len(docs)  # of 780 pairs, each sharing hundreds of shingles
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.component for r in graph.components(links).collect()} == {0}
