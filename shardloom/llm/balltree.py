@@ -4,14 +4,18 @@ For a node with centre c and radius r, no vector below it scores more than q.c +
 A node whose bound is below the query's current kth score is skipped; of two children a query first
 visits the one with the larger bound.  The kth scores start from an exact search over a bounded
 sample of the candidates (a kth score over a part is a valid floor for the whole), which every
-shard shares, and rise as a task goes from shard to shard.
+shard shares, and rise as a task goes from shard to shard, those with the largest bound first.
 
-Queries come in blocks of a fixed size, candidates in shards of a fixed size.  Each (block, shard) pair
-is one row of the search; shard results meet per query, at most k rows from each.
+Vectors are dealt to shards by the nearest of a bounded sample of centres, so a shard is a small ball where the vectors have
+clusters.  Queries come in blocks by the same centres, each with a ball of its own; a (block, shard) pair whose balls
+show that no query can reach its floor is dropped before any vector moves.  Shards and blocks have a fixed size;
+shard results meet per query, at most k rows from each.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shardloom.llm import textnp as tn
+from shardloom.llm.graph import written
 
-LEAF = 256
+LEAF = 64
 
 
 class BallTree:
@@ -34,6 +39,14 @@ class BallTree:
         self.centres = np.array([n[0] for n in self.nodes])
         self.radii = np.array([n[1] for n in self.nodes])
 
+    @classmethod
+    def load(cls, x: np.ndarray, nodes: list[tuple]) -> BallTree:
+        """A tree whose vectors are already in the order of its leaves."""
+        tree = cls.__new__(cls)
+        tree.order, tree.x, tree.nodes = np.arange(len(x)), x, nodes
+        tree.centres, tree.radii = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        return tree
+
     def _build(self, x, lo, hi) -> int:
         own = x[self.order[lo:hi]]
         centre = own.mean(axis=0)
@@ -133,64 +146,112 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def _packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row per value of `key`: ids and components as bytes, in id order.  A key has a bounded number of rows."""
+def _packed(rows: DataFrame, key: str, schema: str, extra) -> DataFrame:
+    """One row per value of `key` and vector length, a bounded number of vectors: dim, ids and components as bytes, and `extra` of (ids, vectors)."""
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        v = _matrix(table.column("v").combine_chunks())
-        return pa.table({
-            key: pa.array([table.column(key)[0].as_py()], pa.int64()),
-            "dim": pa.array([v.shape[1]], pa.int64()),
-            "ids": tn.binary([table.column("id").to_numpy().astype(np.int64).tobytes()]),
-            "x": tn.binary([v.tobytes()]),
-        })
+        v, ids = _matrix(table.column("v").combine_chunks()), table.column("id").to_numpy().astype(np.int64)
+        own = {key: pa.array([table.column(key)[0].as_py()], pa.int64()), "dim": pa.array([v.shape[1]], pa.int64())}
+        return pa.table(own | extra(ids, v))
 
     # Vectors of another length score 0 against nothing: each length is a group of its own.
-    return rows.groupBy(key, F.size("v").alias("_dim")).applyInArrow(pack, f"{key} long, dim long, ids binary, x binary")
+    return rows.groupBy(key, F.size("v").alias("_dim")).applyInArrow(pack, f"{key} long, dim long, {schema}")
+
+
+def _ball(v: np.ndarray) -> tuple[np.ndarray, float]:
+    centre = v.mean(axis=0)
+    return centre, float(np.sqrt(((v - centre) ** 2).sum(axis=1).max())) * (1 + 1e-9) + 1e-9
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding",
           block_rows: int = 2048, shard_rows: int = 16384, sample_rows: int = 2048) -> DataFrame:
     """Rows query_id, rank (from 1), vec_id, score: for each query the k candidates of highest integer inner product.
 
-    Components are floor(64 x).  A query never meets the candidate with its own id; ties go to the
+    Components are floor(64 x).  A query never meets a candidate with its own id; ties go to the
     smaller id; fewer candidates give fewer rows.  Vectors that are null, empty or hold a null or
-    non-finite component take no part; queries meet candidates of their own length only.  Ids are
-    unique in `vectors`; of repeated rows with one id and vector, one is kept.  Sums are exact while they
+    non-finite component take no part, nor do rows without an id; queries meet candidates of their own length only.  Every
+    candidate row counts, repeated ones too; rows that repeat a query's id and vector are one query.  Sums are exact while they
     stay below 2**53.
     """
     spark = vectors.sparkSession
     tn.ship_code(spark)
-    c = quantised(vectors, id_col, vec_col).distinct()
-    q = quantised(queries, id_col, vec_col).distinct()
+    c = written(quantised(vectors, id_col, vec_col), "candidates")
+    q = written(quantised(queries, id_col, vec_col).distinct(), "queries")
     n_c, n_q = c.count(), q.count()
-    shards, blocks = max(1, -(-n_c // shard_rows)), max(1, -(-n_q // block_rows))
-    bucket = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("long")
-    shard = _packed(c.withColumn("shard", bucket(shards, 1)), "shard")
-    block = _packed(q.withColumn("block", bucket(blocks, 2)), "block").select("block", "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    sample = c.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample_rows)
-    seed = _packed(sample.withColumn("s", F.lit(0).cast("long")), "s").collect()
-    seeds = {r.dim: (np.frombuffer(r.ids, np.int64), np.frombuffer(r.x).reshape(-1, r.dim)) for r in seed}
-
-    def floors(table: pa.Table) -> pa.Table:
-        r = table.to_pylist()[0]
-        x, own = np.frombuffer(r["q"]).reshape(-1, r["dim"]), np.frombuffer(r["q_ids"], np.int64)
-        floor = np.full(len(x), -np.inf)
-        if r["dim"] in seeds:
-            ids, s = seeds[r["dim"]]
-            top = TopK(len(x), k, floor)
-            search(BallTree(s), ids, x, own, top)
+    sample = c.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample_rows).collect()
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r.v) for r in sample}:
+        own = [r for r in sample if len(r.v) == dim]
+        seeds[dim] = (np.array([r.id for r in own], np.int64), np.array([r.v for r in own]))
+
+    def dealt(rows: DataFrame, total: int, size: int, key: str) -> DataFrame:
+        """`rows` with a shard number: the nearest of some sampled centres, and a part of those near it."""
+        centres = max(1, min(sample_rows, -(-total // size)))
+
+        def near_task(batches):
+            for batch in batches:
+                length = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                near = np.zeros(batch.num_rows, np.int64)
+                for dim in np.unique(length).tolist():
+                    if dim in seeds:
+                        at = np.flatnonzero(length == dim)
+                        s = seeds[dim][1][:centres]
+                        near[at] = ((s**2).sum(axis=1) - 2 * _matrix(batch.column(1).take(pa.array(at))) @ s.T).argmin(axis=1)
+                yield batch.append_column("near", pa.array(near))
+
+        placed = rows.mapInArrow(near_task, "id long, v array<double>, near long")
+        # At most sample_rows counts.
+        parts = {r.near: -(-r["count"] // size) for r in placed.groupBy("near").count().collect()}
+        wide = max([1, *parts.values()])
+        many = F.create_map(*[F.lit(x) for pair in (parts or {0: 1}).items() for x in pair])
+        return placed.withColumn(key, F.col("near") * wide + F.pmod(F.xxhash64("id", "v"), many[F.col("near")])).select("id", "v", key)
+
+    def shard_columns(ids, v):
+        tree = BallTree(v)
+        state = pickle.dumps((ids[tree.order], tree.x.astype(np.int32) if np.abs(tree.x).max() < 2**31 else tree.x, tree.nodes))
+        centre, radius = _ball(v)
+        return {"tree": tn.binary([state]), "centre": tn.binary([centre.tobytes()]), "radius": pa.array([radius])}
+
+    def block_columns(ids, v):
+        floor = np.full(len(v), -np.inf)
+        if v.shape[1] in seeds:
+            own, x = seeds[v.shape[1]]
+            top = TopK(len(v), k, floor)
+            search(BallTree(x), own, v, ids, top)
             floor = top.score[:, -1]
-        return table.append_column("floor", tn.binary([floor.tobytes()]))
+        centre, radius = _ball(v)
+        return {
+            "q_ids": tn.binary([ids.tobytes()]), "q": tn.binary([v.tobytes()]), "floor": tn.binary([floor.tobytes()]), "q_centre": tn.binary([centre.tobytes()]), "q_radius": pa.array([radius]),
+            "q_norm": pa.array([float(np.sqrt((v**2).sum(axis=1).max()))]), "lowest": pa.array([float(floor.min())]),
+        }
 
-    block = block.groupBy("block", "dim").applyInArrow(floors, "block long, dim long, q_ids binary, q binary, floor binary")
-    # Each shard is listed once per block; this is the blocked search of all queries over all rows.
-    tasks = shard.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(block, ["block", "dim"])
+    shard = written(_packed(dealt(c, n_c, shard_rows, "shard"), "shard", "tree binary, centre binary, radius double", shard_columns), "shards")
+    block = written(_packed(dealt(q, n_q, block_rows, "block"), "block", "q_ids binary, q binary, floor binary, q_centre binary, q_radius double, q_norm double, lowest double", block_columns), "blocks")
 
-    def emit(q_ids, top):
+    def bound_task(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            a = [np.frombuffer(r["q_centre"]) for r in rows]
+            b = [np.frombuffer(r["centre"]) for r in rows]
+            # The largest q.v over both balls, rounded up.
+            top = [float(x @ y + r["q_radius"] * np.sqrt(y @ y) + r["q_norm"] * r["radius"]) * (1 + 1e-9) + 1e-3 for x, y, r in zip(a, b, rows, strict=True)]
+            keep = [t >= r["lowest"] for t, r in zip(top, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("block", "shard", "dim")), pa.array(top)], names=["block", "shard", "dim", "top"]).filter(pa.array(keep))
+
+    # Small rows, one for each pair of a block and a shard: the blocked search of a stated query set over all rows.
+    balls = shard.select("shard", "dim", "centre", "radius").join(block.select("block", "dim", "q_centre", "q_radius", "q_norm", "lowest"), "dim")
+    pairs = written(balls.mapInArrow(bound_task, "block long, shard long, dim long, top double"), "pairs")
+    blocks = max(1, block.count())
+    spread = max(1, -(-spark.sparkContext.defaultParallelism * 2 // blocks))
+    tasks = (
+        pairs.join(shard.select("shard", "dim", "tree"), ["shard", "dim"]).join(block.select("block", "dim", "q_ids", "q", "floor"), ["block", "dim"])
+        .repartition(max(1, min(blocks * spread, spark.sparkContext.defaultParallelism * 8)), "dim", "block", F.pmod(F.col("shard"), F.lit(spread))).sortWithinPartitions("dim", "block", F.desc("top"))
+    )
+
+    def emit(q_ids, q_keys, top):
         a, b = np.nonzero(np.isfinite(top.score))
-        return pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[a]), "vec_id": pa.array(top.id[a, b]), "score": pa.array(top.score[a, b].astype(np.int64))})
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[a]), "_key": pa.array(q_keys[a]), "vec_id": pa.array(top.id[a, b]), "score": pa.array(top.score[a, b].astype(np.int64))})
 
     def search_task(batches):
         # Rows come block by block: a block's kth scores pass from shard to shard, then its rows leave.
@@ -201,20 +262,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_
                 key = (r["dim"], r["block"])
                 if held is None or held[0] != key:
                     if held is not None:
-                        yield emit(held[2], held[3])
+                        yield emit(*held[2:])
                     q_ids, qx = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, r["dim"])
-                    held = (key, qx, q_ids, TopK(len(qx), k, np.frombuffer(r["floor"])))
-                x = np.frombuffer(r["x"]).reshape(-1, r["dim"])
-                search(BallTree(x), np.frombuffer(r["ids"], np.int64), held[1], held[2], held[3])
+                    held = (key, qx, q_ids, np.arange(len(q_ids)) + (r["block"] << 20), TopK(len(qx), k, np.frombuffer(r["floor"])))
+                ids, x, nodes = pickle.loads(r["tree"])
+                search(BallTree.load(x.astype(np.float64), nodes), ids, held[1], held[2], held[4])
         if held is not None:
-            yield emit(held[2], held[3])
+            yield emit(*held[2:])
 
-    width = max(1, min(blocks * shards, spark.sparkContext.defaultParallelism * 4))
-    found = (
-        tasks.repartition(width, "block", "shard").sortWithinPartitions("dim", "block", "shard")
-        .mapInArrow(search_task, "query_id long, vec_id long, score long")
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = tasks.mapInArrow(search_task, "query_id long, _key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

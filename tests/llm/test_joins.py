@@ -162,10 +162,25 @@ def test_top_k_matches_brute_force(spark):
     for options in ({}, {"block_rows": 4, "shard_rows": 50, "sample_rows": 30}):
         got = balltree.top_k(df, df.where("vec_id % 20 = 0"), 20, **options)
         assert sorted(map(tuple, got.collect())) == sorted(want)
+    twice = balltree.top_k(df.where("vec_id in (5, 6, 8)").unionByName(df.where("vec_id in (6, 8)")), df.where("vec_id = 5").unionByName(df.where("vec_id = 5")), 20).collect()
+    assert sorted(r.vec_id for r in twice) == [6, 6, 8, 8]
     few = balltree.top_k(df.where("vec_id < 3"), df.where("vec_id < 3"), 20).collect()
     assert len(few) == 6 and balltree.top_k(df.limit(0), df, 20).count() == 0
 
 
+def test_search_skips_what_its_bounds_exclude():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(16, 24)) * 400
+    x = np.floor(centres[rng.integers(0, 16, 8000)] + rng.normal(size=(8000, 24)) * 20)
+    ids, q = np.arange(8000), x[:100]
+    top = balltree.TopK(100, 10, np.full(100, -np.inf))
+    done = balltree.search(balltree.BallTree(x), ids, q, ids[:100], top)
+    want = q @ x.T
+    want[np.arange(100), np.arange(100)] = -np.inf
+    assert (top.score == np.sort(want, axis=1)[:, ::-1][:, :10]).all()
+    assert done < 100 * 8000 / 4
+
+
 def test_group_bound_is_never_above_what_a_linked_set_shares(spark):
     rows = []
     for n in range(1, 70):
