@@ -112,8 +112,8 @@ class Shapes:
         self.core_start, self.core_end = a, b
         self.cue = tn.keyed_hash(tn.lower(buf), a, b)
 
-    def shape(self, buf: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        """Shape hashes of the picked words' cores."""
+    def shape(self, buf: np.ndarray, pick: np.ndarray, lengths: bool = True) -> np.ndarray:
+        """Shape hashes of the picked words' cores; without `lengths` every run of digits is one sign."""
         size = self.core_end[pick] - self.core_start[pick]
         first = np.concatenate(([0], np.cumsum(size)))
         at = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(self.core_start[pick], size)
@@ -123,7 +123,7 @@ class Shapes:
         new[first[:-1][size > 0]] = True
         run = np.flatnonzero(new)
         length = np.minimum(np.diff(np.append(run, len(cls))), 7)
-        code = np.where(cls[run] == _DIGIT, 100 + length, cls[run]).astype(np.uint8)
+        code = np.where((cls[run] == _DIGIT) & lengths, 100 + length, cls[run]).astype(np.uint8)
         rfirst = np.searchsorted(run, first)
         if not len(run):
             return np.zeros(len(pick), np.uint64)
@@ -135,14 +135,15 @@ PLAIN = 0
 
 @dataclass
 class ShapeField:
-    """shapes, cues: sorted hashes with known numbers (0: plain or unknown word).
+    """shapes, coarse, cues: sorted hashes with known numbers (0: plain or unknown word).
 
     emit: feature template -> (values, labels); move: (labels, labels).
-    Templates: shape of the word, of the word before and after, cue of the word before and of the word itself.
+    Templates: shape of the word, of the word before and after, cue of the word before and of the word itself, coarse shape.
     """
 
     labels: list[str]
     shapes: np.ndarray
+    coarse: np.ndarray
     cues: np.ndarray
     emit: list[np.ndarray]
     move: np.ndarray
@@ -157,10 +158,10 @@ def number(keys: np.ndarray, h: np.ndarray, unknown: int = 0) -> np.ndarray:
     return np.where(keys[p] == h, p + 1, unknown)
 
 
-def features(shape: np.ndarray, cue: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(words, 5) feature numbers; `first` cuts the words into sequences."""
-    f = np.zeros((len(shape), 5), np.int64)
-    f[:, 0], f[:, 4] = shape, cue
+def features(shape: np.ndarray, coarse: np.ndarray, cue: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(words, 6) feature numbers; `first` cuts the words into sequences."""
+    f = np.zeros((len(shape), 6), np.int64)
+    f[:, 0], f[:, 4], f[:, 5] = shape, cue, coarse
     f[1:, 1], f[1:, 3] = shape[:-1], cue[:-1]
     f[:-1, 2] = shape[1:]
     a = first[:-1][np.diff(first) > 0]
@@ -237,12 +238,14 @@ def train(*, epochs: int = 120, rate: float = 0.2, l2: float = 2e-3) -> ShapeFie
     first = s.words.first
     cue = number(cues, s.cue)
     near = _active(s.noted, cue, first)
-    raw = s.shape(buf, np.arange(n))
-    shapes = np.unique(raw[s.noted])
-    f = features(np.where(near, _shape_number(shapes, raw, s.noted), PLAIN), cue, first)
+    raw, rough = s.shape(buf, np.arange(n)), s.shape(buf, np.arange(n), lengths=False)
+    # A shape seen once counts as unknown, so that training meets unknown shapes too and learns from their coarse form.
+    seen, times = np.unique(raw[s.noted], return_counts=True)
+    shapes, coarse = seen[times > 1], np.unique(rough[s.noted])
+    f = features(np.where(near, _shape_number(shapes, raw, s.noted), PLAIN), np.where(near, _shape_number(coarse, rough, s.noted), PLAIN), cue, first)
     k = len(labels)
-    emit = [np.zeros((m, k)) for m in (len(shapes) + 2, len(shapes) + 2, len(shapes) + 2, len(cues) + 1, len(cues) + 1)]
-    model = ShapeField(labels, shapes, cues, emit, np.zeros((k, k)))
+    emit = [np.zeros((m, k)) for m in (len(shapes) + 2, len(shapes) + 2, len(shapes) + 2, len(cues) + 1, len(cues) + 1, len(coarse) + 2)]
+    model = ShapeField(labels, shapes, coarse, cues, emit, np.zeros((k, k)))
     g2 = [np.full(e.shape, 1e-2) for e in emit]
     m2 = np.full((k, k), 1e-2)
     for _ in range(epochs):
@@ -321,8 +324,8 @@ def added_spans(buf: np.ndarray, off: np.ndarray, model: ShapeField) -> list[tup
     size = hi - lo
     first = np.concatenate(([0], np.cumsum(size)))
     word = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(lo, size)
-    raw = s.shape(buf, word)
-    f = features(_shape_number(model.shapes, raw, s.noted[word]), cue[word], first)
+    raw, rough = s.shape(buf, word), s.shape(buf, word, lengths=False)
+    f = features(_shape_number(model.shapes, raw, s.noted[word]), _shape_number(model.coarse, rough, s.noted[word]), cue[word], first)
     label = viterbi(model, f, first)
     start = np.flatnonzero((label > 0) & (label % 2 == 1))
     out = []
@@ -332,7 +335,13 @@ def added_spans(buf: np.ndarray, off: np.ndarray, model: ShapeField) -> list[tup
         while b < end and label[b] == label[a] + 1:
             b += 1
         r = int(np.searchsorted(s.words.first, word[a], side="right") - 1)
-        out.append((r, int(s.core_start[word[a]]), int(s.core_end[word[b - 1]]), int(label[a] - 1) // 2))
+        lo, hi, kind = int(s.core_start[word[a]]), int(s.core_end[word[b - 1]]), int(label[a] - 1) // 2
+        if KINDS[kind] == "card":
+            # A number that fails the check sum is no card, whatever stands beside it.
+            digits = _NOT_DIGIT.sub("", buf[lo:hi].tobytes().decode())
+            if not 14 <= len(digits) <= 19 or not luhn(digits):
+                continue
+        out.append((r, lo, hi, kind))
     return out
 
 
@@ -402,10 +411,13 @@ def redact(docs: DataFrame, model: ShapeField, *, id_col: str = "doc_id", text_c
     return docs.mapInArrow(redact_task, docs.schema)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find(docs, train())
+def report(docs: DataFrame, model: ShapeField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, as kind:start:end joined by commas."""
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    return find(docs, model, id_col=id_col, text_col=text_col).select(
+        id_col, *[count(k) for k in KINDS], F.sha2(joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), train())

@@ -33,6 +33,25 @@ EXAMPLES = [
     "mastercard {card 5500-0000-0000-0004 } declined",
     "card number {card 378282246310005 } on file",
     "amex card {card 3782 822463 10005 } for the trip",
+    "his number is {phone 07533 552 118 } at home",
+    "my mobile {phone 07581 238907 } works",
+    "text {phone 919.555.0186 } to confirm",
+    "reach {phone (628) 555-0111 } after lunch",
+    "send mail to {email m_22@dept.example.com } please",
+    "write {email ops@gateway } for access",
+    "email {email lena.k@example.org } or {email t77@example.net }",
+    "the ip {ip 192.0.2.45 } was seen",
+    "address {ip 198.18.0.0/15 } is reserved",
+    "ip {ip 172.31.200.5 } again",
+    "host {ip 10.20.30.40:443 } answered",
+    "visa {card 4539 1488 0343 6467 } was lost",
+    "card {card 6011-0009-9013-9424 } is blocked",
+    "the code 4821930571826354 is no card",
+    "a sum of 7361820495 grains and 93746501 more",
+    "reference 5820194736251840 was filed",
+    "sections 3.1.4 and 2.2.9.1 of the rules",
+    "on 12.03.2019 and 01.11.2020 it rained",
+    "between 1914-1918 and 1939-1945",
     "we met at 10 and left at 12",
     "in 1998 the price was 3.50 per unit",
     "see section 4.2 and table 7 on page 12",
