@@ -1,21 +1,22 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word bigram models, one of a target corpus and one of the whole corpus, hold exact counts of every word and
-every bigram, known by a 64-bit hash.  With the loss of a token
+Two word bigram models, one of a target corpus and one of a background (all other texts), hold exact counts of every word
+and every bigram, known by a 64-bit hash.  They share one vocabulary, and the larger corpus's counts are scaled to the total of
+the smaller one, so both are smoothed alike.  With the loss of a token
     loss = -log((1 - mix) c(previous, word) / c(previous) + mix (c(word) + 1) / (N + words in use)),
 a text's score is the mean over its tokens of the target's loss less the background's: the lower, the more
-the text is like the target.
+the text is like the target.  A text's own occurrences are taken out of the counts that it is scored with, so
+neither model has seen it.
 
-Counts are taken over every token of every text and grow with the corpus, as a table in the shared folder.  Its rows
-are ranges of keys, packed; how many there are follows from the input, so a range has about one size.  A task adds up
-its own tokens first, so a frequent word or pair is one number for each CHUNK_BYTES of text.  To be scored, texts are
-dealt into chunks; a chunk asks each range once for its distinct keys and gets their counts in the same order.
+Counts are taken over every token of every text and grow with the corpus.  Texts are dealt into chunks of about CHUNK_BYTES; a chunk
+sends each range of keys its own counts, once for each distinct key.  A range adds them up and
+answers every chunk with the sums of the keys it sent, in the same order.  There are as many ranges as chunks, so a range's rows
+have about the size of a chunk; a frequent word or pair is one number for each chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,43 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
-from shardloom.llm.graph import written
+from shardloom.llm.graph import bit_filter, is_set, written
 
 MIX = 0.4
 #: Text bytes of a chunk, and of the input for each range of keys.
 CHUNK_BYTES = 8 << 20
 
 
-@dataclass
-class Counts:
-    """table: rows bucket, keys, t, b, a range of sorted keys with their counts in the target and in the whole corpus;
-    total: tokens of each of the two; used: words in use."""
-
-    table: DataFrame
-    buckets: int
-    total: np.ndarray
-    used: float
-    word_bits: int
-    pair_bits: int
-
-
-def _keys(column: pa.Array, word_bits: int, pair_bits: int):
+def _keys(column: pa.Array):
     """The words, and of each token the key of its word (even), and that of it and the token before (odd; 0 at the start of a row)."""
     words, h = tn.word_hashes(column)
-    word = h if word_bits == 64 else tn.mix(h >> tn.U64(64 - word_bits))
     pair = np.zeros(len(h), np.uint64)
     if len(h) > 1:
         pair[1:] = tn.mix(h[:-1] * tn.U64(0x9E3779B97F4A7C15) + h[1:])
-        if pair_bits < 64:
-            pair = tn.mix(pair >> tn.U64(64 - pair_bits))
     pair |= tn.U64(1)
     pair[words.first[:-1][words.count > 0]] = 0
-    return words, word & ~tn.U64(1), pair
-
-
-def _distinct(word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """The sorted keys of some tokens."""
-    return np.unique(np.concatenate((word, pair[pair > 0])))
+    return words, h & ~tn.U64(1), pair
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,141 +78,120 @@ def _parts(source: DataFrame) -> int:
     return max(1, -(-total // CHUNK_BYTES))
 
 
-def count(docs: DataFrame, is_target: str, *, text_col: str = "text", word_bits: int = 64, pair_bits: int = 64) -> Counts:
-    """Counts over all rows; rows whose boolean column `is_target` is true also count for the target.
+def _flagged(source: DataFrame, target: DataFrame, id_type: str, filter_bits: int) -> DataFrame:
+    """The rows with a column is_target.  Most others are told by a bit filter of the target's ids where they are; the rest are joined with them."""
+    ids = target.select(F.col(target.columns[0]).cast(id_type).alias("id")).where("id is not null").distinct()
+    sent = source.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("h")), "h", filter_bits))
+    hashed = source.withColumn("_h", F.xxhash64("id"))
+    schema = f"id {id_type}, _text string, _chunk long"
 
-    With fewer bits than 64, words or bigrams of one hash of that many bits count as one.
-    """
-    spark = docs.sparkSession
-    tn.ship_code(spark)
-    source = docs.select(F.coalesce(F.col(is_target), F.lit(False)).alias("_target"), F.col(text_col).alias("_text"))
-    buckets = _parts(docs.select(F.col(text_col).alias("_text")))
-
-    def count_task(batches):
-        held, size = [], 0
-
-        def flush():
-            keys = np.concatenate([k for k, _ in held])
-            target = np.concatenate([t for _, t in held])
-            u, b = np.unique(keys, return_counts=True)
-            own, n = np.unique(keys[target], return_counts=True)
-            t = np.zeros(len(u), np.int64)
-            t[np.searchsorted(u, own)] = n
-            cut = _cuts(u, buckets)
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                at = slice(cut[k], cut[k + 1])
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(u[at])]), "t": tn.binary([_pack(t[at])]), "b": tn.binary([_pack(b[at])])})
+    def rows_that(hit):
+        def task(batches):
+            for batch in batches:
+                own = is_set(sent.value, batch.column(3).to_numpy().view(np.uint64)) == hit
+                yield batch.select(["id", "_text", "_chunk"]).filter(pa.array(own))
 
-        for part in tn.slices(batches, "_text"):
-            words, word, pair = _keys(part.column(1), word_bits, pair_bits)
-            target = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(bool), words.count)
-            held += [(word, target), (pair[pair > 0], target[pair > 0])]
-            size += 8 * len(word)
-            if size > CHUNK_BYTES:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    def sum_task(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, fresh, size = [], [], 0
-
-        def merged():
-            return [_sums(np.concatenate([k for k, _ in found + fresh]), np.concatenate([v for _, v in found + fresh]))]
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                fresh.append((_unpack_keys(batch.column("keys")[i]), np.stack([_unpack(batch.column(c)[i], np.int64) for c in "tb"], 1)))
-                size += len(fresh[-1][0])
-                if size > max(1 << 20, len(found[0][0]) if found else 0):
-                    found, fresh, size = merged(), [], 0
-        keys, n = merged()[0]
-        word = keys & tn.U64(1) == 0
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array([key[0].as_py()], pa.int64()), "keys": tn.binary([_pack_keys(keys)]), "t": tn.binary([_pack(np.ascontiguousarray(n[:, 0]))]), "b": tn.binary([_pack(np.ascontiguousarray(n[:, 1]))]),
-            "n_t": pa.array([int(n[word, 0].sum())]), "n_b": pa.array([int(n[word, 1].sum())]), "used": pa.array([int(word.sum())]),
-        })
-
-    sum_task.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    schema = "bucket long, keys binary, t binary, b binary"
-    table = written(source.mapInArrow(count_task, schema).groupBy("bucket").applyInArrow(sum_task, schema + ", n_t long, n_b long, used long"), "counts")
-    n_t, n_b, used = table.agg(F.sum("n_t"), F.sum("n_b"), F.sum("used")).first()
-    return Counts(table.select("bucket", "keys", "t", "b"), buckets, np.array([n_t or 0, n_b or 0], np.float64), float(used or 0), word_bits, pair_bits)
-
-
-def score(docs: DataFrame, counts: Counts, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return hashed.mapInArrow(task, schema)
+
+    near = rows_that(True).join(ids.withColumn("is_target", F.lit(True)).hint("shuffle_hash"), "id", "left").select("id", "_text", "_chunk", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return near.unionByName(rows_that(False).withColumn("is_target", F.lit(False)))
+
+
+def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24) -> DataFrame:
     """Rows id, n_tokens, target_loss, background_loss, score (their difference), means over the tokens in nats.
 
-    Null and empty texts have no tokens and three nulls.  Other columns are dropped.
+    `target`: ids (first column) of the texts of the target corpus; all other rows are the background.  Null and empty texts have no
+    tokens and three nulls.  Rows with a null id belong to the background; rows that repeat an id are texts of their own.
+    Other columns are dropped.
     """
     spark = docs.sparkSession
     tn.ship_code(spark)
-    source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    id_type = source.schema[id_col].dataType.simpleString()
-    buckets, total, used, bits = counts.buckets, counts.total, counts.used, (counts.word_bits, counts.pair_bits)
-    # A chunk is known by its rows, not their order, so it asks and is answered alike whenever it is computed.
-    dealt = source.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "_text"), F.lit(_parts(source)))).repartition("_chunk")
-
-    def ask_task(key, batches):
+    id_type = docs.schema[id_col].dataType.simpleString()
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    parts = _parts(plain)
+    # A chunk is known by its rows, not their order; equal rows of different splits of the input go to different chunks.
+    dealt = plain.withColumn("_chunk", F.pmod(F.xxhash64("id", "_text", F.spark_partition_id()), F.lit(parts)).cast("long"))
+    dealt = _flagged(dealt, target, id_type, filter_bits)
+
+    def count_task(key, batches):
         found = []
         for part in tn.slices(batches, "_text"):
-            found.append(_distinct(*_keys(part.column("_text"), *bits)[1:]))
-        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        cut = _cuts(keys, buckets)
+            words, word, pair = _keys(part.column("_text"))
+            own = np.repeat(part.column("is_target").to_numpy(zero_copy_only=False).astype(bool), words.count)
+            u, at = np.unique(np.concatenate((word, pair[pair > 0])), return_inverse=True)
+            own = np.concatenate((own, own[pair > 0]))
+            found.append((u, np.stack((np.bincount(at[own], minlength=len(u)), np.bincount(at, minlength=len(u))), 1)))
+        keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
+        keys, n = _sums(keys, np.concatenate([v for _, v in found]) if found else np.zeros((0, 2), np.int64))
+        cut = _cuts(keys, parts)
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int64()), "bucket": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(keys[cut[k] : cut[k + 1]])])})
-
-    def answer_task(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys, n = np.zeros(0, np.uint64), np.zeros((2, 1), np.int64)
-        if known.num_rows:
-            keys = _unpack_keys(known.column("keys")[0])
-            n = np.stack([np.append(_unpack(known.column(c)[0], np.int64), 0) for c in "tb"])
-        out = []
-        for x in asked.column("keys"):
-            k = _unpack_keys(x)
-            at = np.searchsorted(keys, k)
-            if len(keys):
-                at[keys[np.minimum(at, len(keys) - 1)] != k] = len(keys)
-            out.append([_pack(n[side][at]) for side in (0, 1)])
-        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "t": tn.binary([x for x, _ in out]), "b": tn.binary([x for _, x in out])})
+            at = slice(cut[k], cut[k + 1])
+            t, b = (np.ascontiguousarray(n[at, c]) for c in (0, 1))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int64()), "range": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(keys[at])]), "t": tn.binary([_pack(t)]), "b": tn.binary([_pack(b)])})
+
+    def answer_task(table: pa.Table) -> pa.Table:
+        keys = [_unpack_keys(x) for x in table.column("keys")]
+        n = np.concatenate([np.stack([_unpack(table.column(c)[i], np.int64) for c in "tb"], 1) for i in range(table.num_rows)])
+        known, n = _sums(np.concatenate(keys), n)
+        t, b = np.ascontiguousarray(n[:, 0]), np.ascontiguousarray(n[:, 1] - n[:, 0])
+        at = [np.searchsorted(known, k) for k in keys]
+        word = known & tn.U64(1) == 0
+        first = np.arange(table.num_rows) == 0
+        totals = {name: pa.array(np.where(first, int(x), 0)) for name, x in (("n_t", t[word].sum()), ("n_b", b[word].sum()), ("used", word.sum()))}
+        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "t": tn.binary([_pack(t[a]) for a in at]), "b": tn.binary([_pack(b[a]) for a in at]), **totals})
 
     def score_task(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [(p, *_keys(p.column("_text"), *bits)) for p in tn.slices(texts.to_batches(), "_text")]
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_distinct(word, pair) for _, _, word, pair in parts)]))
-        order = np.argsort(answers.column("bucket").to_numpy()).tolist()
+        parts = [(p, *_keys(p.column("_text"))) for p in tn.slices(texts.to_batches(), "_text")]
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.concatenate((word, pair[pair > 0])) for _, _, word, pair in parts)]))
+        order = np.argsort(answers.column("range").to_numpy()).tolist()
         n = [np.concatenate([np.zeros(0, np.int64), *(_unpack(answers.column(c)[i], np.int64) for i in order)]) for c in "tb"]
         out = []
         for part, words, word, pair in parts:
-            w = np.searchsorted(keys, word)
-            p = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            m = words.count
+            target = part.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+            row = words.rows()
+            w, p = np.searchsorted(keys, word), np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            known = pair > 0
             before = np.zeros_like(w)
             before[1:] = w[:-1]
-            known = pair > 0
+            own_w, own_p = _occurrences(row * len(keys) + w), np.zeros_like(w)
+            own_p[known] = _occurrences((row * len(keys) + p)[known])
+            own_before = np.zeros_like(own_w)
+            own_before[1:] = own_w[:-1]
             loss = []
-            for side in (0, 1):
-                p1 = (n[side][w] + 1) / (total[side] + used)
-                c = np.where(known, n[side][before], 0) if len(w) else np.zeros(0)
-                joint = np.where(known, np.minimum(n[side][p], c), 0) if len(w) else c
-                p1 = np.where(c > 0, (1 - MIX) * joint / np.maximum(c, 1) + MIX * p1, p1)
+            for side, counted in ((0, target), (1, ~target)):
+                mine = counted[row]
+                tokens = total[side] - np.where(counted, m, 0)[row]
+                p1 = ((n[side][w] - mine * own_w) * scale[side] + 1) / (tokens * scale[side] + used)
+                c = np.where(known, n[side][before] - mine * own_before, 0)
+                joint = np.where(known, n[side][p] - mine * own_p, 0)
+                p1 = np.where(c > 0, (1 - MIX) * np.minimum(joint, c) / np.maximum(c, 1) + MIX * p1, p1)
                 loss.append(tn.reduce_rows(-np.log(p1), words.first))
-            m = words.count
             none = m == 0
             t, b = (np.where(none, np.nan, x / np.maximum(m, 1)) for x in loss)
             columns = [pa.array(x, pa.float64(), mask=none) for x in (t, b, t - b)]
-            out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(m, pa.int64()), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"]))
-        return pa.Table.from_batches(out) if out else None
+            out.append(pa.RecordBatch.from_arrays([part.column("id"), pa.array(m, pa.int64()), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"]))
+        empty = pa.schema([texts.schema.field("id"), ("n_tokens", pa.int64()), *((x, pa.float64()) for x in ("target_loss", "background_loss", "score"))])
+        return pa.Table.from_batches(out) if out else empty.empty_table()
+
+    count_task.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    counted = dealt.groupBy("_chunk").applyInArrow(count_task, "chunk long, range long, keys binary, t binary, b binary")
+    answers = written(counted.groupBy("range").applyInArrow(answer_task, "chunk long, range long, t binary, b binary, n_t long, n_b long, used long"), "answers")
+    sums = answers.agg(F.sum("n_t"), F.sum("n_b"), F.sum("used")).first()
+    total, used = np.array([sums[0] or 0, sums[1] or 0], np.float64), float(sums[2] or 0)
+    scale = np.where(total > 0, total[total > 0].min(initial=np.inf) / np.maximum(total, 1), 1.0)
+    schema = f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double"
+    scored = dealt.groupBy("_chunk").cogroup(answers.select("chunk", "range", "t", "b").groupBy("chunk")).applyInArrow(score_task, schema)
+    return scored.withColumnRenamed("id", id_col)
+
 
-    ask_task.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    asked = dealt.groupBy("_chunk").applyInArrow(ask_task, "chunk long, bucket long, keys binary")
-    answers = asked.groupBy("bucket").cogroup(counts.table.groupBy("bucket")).applyInArrow(answer_task, "chunk long, bucket long, t binary, b binary")
-    schema = f"`{id_col}` {id_type}, n_tokens long, target_loss double, background_loss double, score double"
-    return dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_task, schema)
+def _occurrences(code: np.ndarray) -> np.ndarray:
+    """For each entry, how often its value occurs."""
+    _, back, n = np.unique(code, return_inverse=True, return_counts=True)
+    return n[back]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Target: documents with a label quality = 1; background: all documents."""
+    """Target: documents with a label quality = 1; background: all others."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    # The text side is hashed to partitions once and not sorted; the label side is the small one of each partition.
-    counts = count(docs.join(good.hint("shuffle_hash"), "doc_id", "left"), "is_target")
-    return score(docs, counts)
+    return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id"))

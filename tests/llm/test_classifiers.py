@@ -74,63 +74,62 @@ def test_language_identification_without_training_rows(spark):
     assert {r.lang_pred for r in langid.identify(_languages(spark), model).collect()} == {"und"}
 
 
-def test_losses_match_a_plain_count(spark):
+def plain_losses(docs, target):
+    """By dictionaries: for each row (n_tokens, target loss, background loss), its own occurrences left out of both corpora."""
     import math
     from collections import Counter
 
-    docs = [(1, "a b a b c", True), (2, "a b d", False), (3, "d d d d", None), (4, None, True), (5, "", False)]
-    rows = spark.createDataFrame([(k, t, x, "s") for k, t, x in docs], "doc_id long, text string, good boolean, score string")
-    got = {r.doc_id: r for r in domain_lm.score(rows, domain_lm.count(rows, "good", word_bits=16, pair_bits=16)).collect()}
-    used = len({w for _, t, _ in docs for w in (t or "").split()})
-    loss = {}
-    for side in (0, 1):
+    def counts(texts):
         words, pairs = Counter(), Counter()
-        for _, t, x in docs:
-            if side or x:
-                w = (t or "").split()
-                words.update(w)
-                pairs.update(zip(w, w[1:], strict=False))
-        n = sum(words.values())
-        for k, t, _ in docs:
+        for t in texts:
             w = (t or "").split()
+            words.update(w)
+            pairs.update(zip(w, w[1:], strict=False))
+        return words, pairs
+
+    sides = [counts([t for k, t in docs if k in target]), counts([t for k, t in docs if k not in target])]
+    totals = [sum(words.values()) for words, _ in sides]
+    small = min([x for x in totals if x], default=0)
+    used = len(sides[0][0] | sides[1][0])
+    out = []
+    for k, t in docs:
+        w, row = (t or "").split(), []
+        own_words, own_pairs = counts([t])
+        for side, (words, pairs) in enumerate(sides):
+            mine = (k in target) == (side == 0)
+            c = lambda table, own, x, mine=mine: table[x] - (own[x] if mine else 0)
+            scale = small / totals[side] if totals[side] else 1.0
             total = 0.0
             for i, x in enumerate(w):
-                p = (words[x] + 1) / (n + used)
-                if i and words[w[i - 1]]:
-                    p = (1 - domain_lm.MIX) * pairs[w[i - 1], x] / words[w[i - 1]] + domain_lm.MIX * p
+                p = (c(words, own_words, x) * scale + 1) / ((totals[side] - (len(w) if mine else 0)) * scale + used)
+                if i and c(words, own_words, w[i - 1]) > 0:
+                    before = c(words, own_words, w[i - 1])
+                    p = (1 - domain_lm.MIX) * min(c(pairs, own_pairs, (w[i - 1], x)), before) / before + domain_lm.MIX * p
                 total -= math.log(p)
-            loss[k, side] = total / len(w) if w else None
-    for k, r in got.items():
-        assert (r.target_loss is None) == (loss[k, 0] is None)
-        if r.target_loss is not None:
-            assert abs(r.target_loss - loss[k, 0]) < 1e-6 and abs(r.score - (loss[k, 0] - loss[k, 1])) < 1e-6
-    assert domain_lm.score(rows.limit(0), domain_lm.count(rows.limit(0), "good", word_bits=10, pair_bits=10)).count() == 0
-    assert got[4].n_tokens == 0
+            row.append(total / len(w) if w else None)
+        out.append((k, len(w), *row))
+    return out
 
 
-def test_losses_stay_exact_with_more_words_than_cells_before(spark):
-    """With the defaults of query(): 2**20 word cells and 2**22 bigram cells would make some of these collide."""
-    import math
-
-    n = 200
-    size = 6000
-    rows = spark.range(n, numPartitions=4).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, {size - 1}), i -> concat('w', id, 'x', i)), ' ') AS text", "id < 100 AS good")
-    counts = domain_lm.count(rows, "good")
-    assert counts.used == n * size and counts.total.tolist() == [n * size / 2, n * size] and counts.buckets > 1
-    for r in domain_lm.score(rows, counts).collect():
-        for loss, tokens, c in ((r.target_loss, n * size / 2, int(r.doc_id < 100)), (r.background_loss, n * size, 1)):
-            p = (c + 1) / (tokens + n * size)
-            q = (1 - domain_lm.MIX) + domain_lm.MIX * p if c else p
-            assert abs(loss + (math.log(p) + (size - 1) * math.log(q)) / size) < 1e-9
+def check_losses(spark, docs, target):
+    rows = spark.createDataFrame([(k, t, 1, "s", 2) for k, t in docs], "doc_id long, text string, id int, score string, is_target int")
+    got = sorted(map(tuple, domain_lm.score(rows, spark.createDataFrame([(k,) for k in target], "k long")).collect()), key=repr)
+    want = sorted(plain_losses(docs, set(target) - {None}), key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for g, w in zip(got, want, strict=True):
+        assert (g[2] is None) == (w[2] is None) and (w[2] is None or abs(g[2] - w[2]) < 1e-9 and abs(g[3] - w[3]) < 1e-9 and abs(g[4] - (w[2] - w[3])) < 1e-9)
 
 
-def test_texts_that_were_not_counted_are_scored(spark):
-    import math
-
-    counts = domain_lm.count(spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, good boolean"), "good")
-    got = {r.doc_id: r for r in domain_lm.score(spark.createDataFrame([(7, "new words"), (8, None), (9, "a b")], "doc_id long, text string"), counts).collect()}
-    assert abs(got[7].target_loss + math.log(1 / 4)) < 1e-9 and got[8].n_tokens == 0 and got[8].score is None
-    assert abs(got[9].target_loss + (math.log(2 / 4) + math.log(0.6 + 0.4 * 2 / 4)) / 2) < 1e-9
+def test_losses_match_a_plain_count(spark, monkeypatch):
+    docs = [(1, "a b a b c"), (2, "a b d"), (3, "d d d d"), (4, None), (5, ""), (6, "a b a b c"), (None, "a d"), (7, "one"), (2, "c c a b")]
+    check_losses(spark, docs, [1, 3, 4, None, 99])
+    check_losses(spark, docs, [])
+    r = random.Random(2)
+    many = [(i, " ".join(f"w{min(r.randrange(300), r.randrange(300))}" for _ in range(r.randint(0, 60)))) for i in range(120)]
+    monkeypatch.setattr(domain_lm, "CHUNK_BYTES", 1500)  # several chunks and ranges
+    check_losses(spark, many, [i for i in range(120) if i % 3 == 0])
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert domain_lm.score(empty, empty.select("doc_id")).count() == 0
 
 
 def test_default_parameters_learn_what_no_additive_model_can():
