@@ -81,6 +81,7 @@ def extract_terms(text) -> Column:
 
 def description_problems(text, need: tuple[str, ...]) -> Column:
     """Problems of a description as an array; empty if it can be used."""
+    # The texts of the problems.
     empty = text.isNull() | (F.trim(text) == "")
     terms = extract_terms(text)
     none = F.lit(True)
@@ -134,12 +135,30 @@ def captions_from_labels(rows: DataFrame, names: DataFrame, label: str, template
 
 
 def text_signature(rows: DataFrame, key: str, text: str, bins: int = 256, out: str = "signature") -> DataFrame:
-    """key and a vector of hashed token counts, centred and of unit length."""
-    from shardloom.functions.vectors import centred_unit
+    """key and a vector of hashed token counts, centred and of unit length; a text without tokens has no row.
+
+    A token is hashed once for each text that has it, and a text's bins become a vector in one Arrow step.
+    """
+    import numpy as np
+    import pyarrow as pa
 
     token = F.explode(F.split(normalised_text(F.col(text)), " "))
+    seen = rows.select(key, token.alias("_t")).where("_t <> ''").groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_n"))
     bin_of = F.pmod(F.conv(F.substring(F.sha2(F.col("_t").cast("binary"), 256), 1, 8), 16, 10).cast("long"), F.lit(bins))
-    counts = rows.select(key, token.alias("_t")).where("_t <> ''").groupBy(key, bin_of.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    packed = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", F.col("_n").cast("double")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda b: F.coalesce(F.try_element_at(F.col("_m"), b), F.lit(0.0)))
-    return packed.select(key, centred_unit(dense).alias(out))
+    packed = seen.groupBy(key).agg(F.collect_list(F.struct(bin_of.alias("b"), F.col("_n").alias("n"))).alias("_p"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def dense(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            x = np.zeros((len(lists), bins))
+            np.add.at(x, (at, flat.field(0).to_numpy(zero_copy_only=False)), flat.field(1).to_numpy(zero_copy_only=False))
+            x -= x.mean(axis=1, keepdims=True)
+            length = np.sqrt((x**2).sum(axis=1, keepdims=True))
+            x = np.where(length > 1e-6, x / np.maximum(length, 1e-6), 0.0)
+            cuts = pa.array(np.arange(0, (len(lists) + 1) * bins, bins, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(x.ravel()))], names=[key, out])
+
+    return packed.select(key, "_p").mapInArrow(dense, f"`{key}` {kind}, `{out}` array<double>")

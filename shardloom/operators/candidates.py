@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shardloom.functions import expressions as X
 
-# Fixed value: the opening words of every prompt.
+# The opening words of every prompt, and the characters that a prompt may hold.
+PROMPT_CHARACTERS = r"^[a-z0-9 ,.\-]+$"
 PROMPT_BASE = "close-up grayscale industrial inspection photograph of a flat manufactured surface"
 
 
@@ -35,7 +36,7 @@ def compile_prompts(records: DataFrame, normal: str = "normal") -> DataFrame:
     plain = F.concat(F.lit(PROMPT_BASE + ", showing one "), word, F.lit(" defect, sharp focus, no text"))
     text = F.when(guided, full).otherwise(plain)
     out = terms.withColumn("text", text)
-    fits = (F.length("text") <= X.MAX_PROMPT_CHARS) & F.col("text").rlike(r"^[a-z0-9 ,.\-]+$")
+    fits = (F.length("text") <= X.MAX_PROMPT_CHARS) & F.col("text").rlike(PROMPT_CHARACTERS)
     return out.select(
         F.concat_ws("-", "label", "exemplar_rank").alias("prompt_id"), "label", "exemplar_rank", "text", guided.alias("guided"), F.array_join("_bad", "; ").alias("fallback_reason"),
         F.struct(F.col("_texture").alias("texture"), F.col("_light").alias("illumination"), F.col("_shape").alias("shape")).alias("terms"),

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; a local folder is set only where the session has none."""
+    """A new path in spark.checkpoint.dir, which all machines share; only a session on one machine may go without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shardloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -21,7 +23,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
     path = shared_path(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

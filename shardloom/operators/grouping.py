@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,27 +68,39 @@ def quota_split(groups: DataFrame, group: str, size: str, stratum: str, version:
 
 
 def greedy_split(groups: DataFrame, group: str, label: str, size: str, version: str) -> DataFrame:
-    """group, split: groups in hash order, each to the split with the largest relative shortfall of its label.
+    """group, split: groups in hash order, each whole to the split with the largest shortfall of what it holds.
+
+    groups: one row for each label that a group holds, with how many items.  A split's shortfall of a label is relative to what it should
+    hold of it; a group of several labels weighs them by its counts; ties go to the earlier split.
 
-    The rule depends on all earlier groups of the same label, so a label's group rows (tens of bytes each) are
-    folded in one task; `quota_split` is the form without that limit.
+    The rule depends on all earlier groups that share a label, so the groups of a connected set of labels are
+    folded in one task; `quota_split` is the form without that limit and the one to use beyond some millions of groups.
     """
-    keyed = groups.select(group, label, F.col(size).cast("long").alias("_n"), rank_key(version, "split", F.col(group)).alias("_key"))
+    rows = groups.groupBy(group, label).agg(F.sum(size).cast("long").alias("_n"))
+    names = rows.select(label).distinct()
+    sets = connected_components(names, label, star_links(rows, label, group))
+    keyed = rows.join(F.broadcast(sets), label).groupBy("component", group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), "_n"))).alias("_counts"))
+    keyed = keyed.withColumn("_key", rank_key(version, "split", F.col(group)))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_key")
-        want = [f * float(pdf["_n"].sum()) for _, f in FRACTIONS]
-        have = [0.0] * len(FRACTIONS)
+        vectors = [dict(x) for x in pdf["_counts"]]
+        totals: dict[str, int] = {}
+        for vector in vectors:
+            for name, n in vector.items():
+                totals[name] = totals.get(name, 0) + n
+        have = {name: [0] * len(FRACTIONS) for name in totals}
         out = []
-        for n in pdf["_n"]:
-            short = [(w - h) / w for w, h in zip(want, have, strict=True)]
+        for vector in vectors:
+            short = [sum(n * ((f * totals[name] - have[name][i]) / (f * totals[name])) for name, n in sorted(vector.items())) for i, (_, f) in enumerate(FRACTIONS)]
             at = short.index(max(short))
-            have[at] += n
+            for name, n in vector.items():
+                have[name][at] += n
             out.append(FRACTIONS[at][0])
-        return pd.DataFrame({group: pdf[group], label: pdf[label], "split": out})
+        return pd.DataFrame({group: pdf[group], "split": out})
 
-    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
-    return keyed.groupBy(label).applyInPandas(fold, f"`{group}` {kinds[group]}, `{label}` {kinds[label]}, split string")
+    kind = groups.schema[group].dataType.simpleString()
+    return keyed.groupBy("component").applyInPandas(fold, f"`{group}` {kind}, split string")
 
 
 def hash_split(key, version: str):
@@ -111,12 +121,24 @@ def split_disjoint(rows: DataFrame, digest: str, split: str) -> DataFrame:
     return rows.join(shared, digest).groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_shared").alias("n_shared"))
 
 
+def ranked_within(rows: DataFrame, by: str, key: str, *, buckets: int = 64) -> DataFrame:
+    """The rows with _rank (from 0) inside `by` in order of the hexadecimal hash `key`; no class has to be sorted in one task.
+
+    Two levels: how many rows the hash ranges before hold, and the place inside a range.
+    """
+    bucket = F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int")
+    r = rows.withColumn("_bucket", bucket)
+    n = r.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    base = n.select(by, "_bucket", (F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket")) - F.col("_n")).alias("_base"))
+    inner = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(key))
+    return r.join(base, [by, "_bucket"]).withColumn("_rank", (F.col("_base") + inner - 1).cast("long")).drop("_base", "_bucket")
+
+
 def select_budget(rows: DataFrame, item: str, group: str, label: str, split: str, digest: str, budgets: DataFrame, version: str, exemplars: int = 3) -> DataFrame:
     """label, item, group, budget_rank, exemplar: per class the first training groups in hash order up to its budget, and in
     each the item with the smallest hash of its digest.  budgets: label, budget."""
     best = rows.where(F.col(split) == "train").groupBy(label, group).agg(F.min_by(item, F.struct(rank_key(version, "representative", F.col(digest)), item)).alias(item))
-    order = Window.partitionBy(label).orderBy(rank_key(version, "budget", F.col(group)))
-    ranked = best.withColumn("budget_rank", (F.row_number().over(order) - 1).cast("long"))
+    ranked = ranked_within(best.withColumn("_key", rank_key(version, "budget", F.col(group))), label, "_key").withColumnRenamed("_rank", "budget_rank")
     return ranked.join(F.broadcast(budgets), label).where("budget_rank < budget").select(label, item, group, "budget_rank", (F.col("budget_rank") < exemplars).alias("exemplar"))
 
 
@@ -148,23 +170,44 @@ def heldout_support(counts: DataFrame, split: str, minimum: int = 15, sparse: in
     return counts.where(F.col(split) != "train").withColumn("support", F.when(n < minimum, "insufficient").when(n < sparse, "sparse").otherwise("sufficient"))
 
 
+def fixed_split_refusals(rows: DataFrame, label: str, sizes: tuple[int, int, int] = (6, 2, 2)) -> DataFrame:
+    """label, message of every label with fewer items than a fixed split takes."""
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < sum(sizes))
+    return n.select(label, F.concat(F.lit("only "), F.col("_n").cast("string"), F.lit(f" items; {sum(sizes)} are needed")).alias("message"))
+
+
 def stratified_fixed_split(rows: DataFrame, item: str, label: str, seed: int, sizes: tuple[int, int, int] = (6, 2, 2)) -> DataFrame:
-    """label, source_id, split, id: per label in drawn order the first sizes[0] train, then val, then test."""
-    order = Window.partitionBy(label).orderBy(rank_key("fixed", seed, F.col(item)), item)
+    """label, source_id, split, id: per label in drawn order the first sizes[0] train, then val, then test.
+
+    Labels that `fixed_split_refusals` names give what they have.
+    """
     a, b, c = sizes
-    ranked = rows.select(label, item).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= a + b + c)
+    ranked = ranked_within(rows.select(label, item, rank_key("fixed", seed, F.col(item)).alias("_key")), label, "_key").withColumn("_r", (F.col("_rank") + 1).cast("int")).where(F.col("_r") <= a + b + c)
     split = F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "val").otherwise("test")
     named = ranked.withColumn("split", split)
     return named.select(label, F.col(item).alias("source_id"), "split", F.format_string("%s-%s-%03d", F.col("split"), F.col(label).cast("string"), F.col("_r")).alias("id"))
 
 
-def stratified_fraction_split(rows: DataFrame, item: str, caption: str, seed: int, val: float = 0.15, test: float = 0.15) -> DataFrame:
-    """item, split per caption in drawn order: n >= 3: at least one test item, round half to even; n < 3: all train."""
-    part = Window.partitionBy(caption)
-    ranked = rows.select(item, caption).withColumn("_r", F.row_number().over(part.orderBy(rank_key("fraction", seed, F.col(item)), item))).withColumn("_n", F.count(F.lit(1)).over(part))
+def stratified_fraction_split(rows: DataFrame, item: str, caption: str, seed: int, val: float = 0.2, test: float = 0.2, digest: str | None = None) -> DataFrame:
+    """item, caption, split per caption in drawn order: n >= 3: at least one test item, round half to even; n < 3: all train.
+
+    With `digest`, of items with one content digest only the smallest takes part.
+    """
+    if digest:
+        rows = rows.join(rows.groupBy(digest).agg(F.min(item).alias(item)), [digest, item], "left_semi")
+    ranked = ranked_within(rows.select(item, caption, rank_key("fraction", seed, F.col(item)).alias("_key")), caption, "_key")
+    n = rows.groupBy(caption).agg(F.count(F.lit(1)).alias("_n"))
     t = F.when(F.col("_n") >= 3, F.greatest(F.lit(1), F.bround(F.col("_n") * test)).cast("long")).otherwise(0)
     v = F.when(F.col("_n") >= 3, F.bround(F.col("_n") * val).cast("long")).otherwise(0)
-    return ranked.select(item, caption, F.when(F.col("_r") <= t, "test").when(F.col("_r") <= t + v, "val").otherwise("train").alias("split"))
+    return ranked.join(n, caption).select(item, caption, F.when(F.col("_rank") < t, "test").when(F.col("_rank") < t + v, "val").otherwise("train").alias("split"))
+
+
+def fraction_split_refusals(split_rows: DataFrame, split: str = "split", minimum: int = 4) -> DataFrame:
+    """message for a split without a test item, and for one with fewer than `minimum` training items; no row for a valid one."""
+    n = split_rows.agg(F.count_if(F.col(split) == "test").alias("t"), F.count_if(F.col(split) == "train").alias("r"))
+    none = F.when(F.col("t") == 0, "the split leaves no test item: a caption needs three or more items")
+    few = F.when(F.col("r") < minimum, F.concat(F.lit("the split leaves "), F.col("r").cast("string"), F.lit(f" training items (minimum {minimum})")))
+    return n.select(F.explode(F.array_compact(F.array(none, few))).alias("message"))
 
 
 def split_crosstab(rows: DataFrame, label: str, split: str) -> DataFrame:
@@ -184,19 +227,7 @@ def first_per_class(rows: DataFrame, item: str, label: str, n: int = 3) -> DataF
     return ranked.where(F.col("rank") <= n).select(label, item, "rank")
 
 
-def distinct_first_seen(rows: DataFrame, value: str, order: str, limit: int) -> DataFrame:
-    """value, first_seen: the first `limit` distinct values by where they first stand."""
-    return rows.groupBy(value).agg(F.min(order).alias("first_seen")).orderBy("first_seen", value).limit(limit)
-
-
-def greedy_reference(sizes: list[tuple[str, int]], version: str) -> dict[str, str]:
-    """The greedy rule for one label in plain Python, for tests."""
-    total = sum(n for _, n in sizes)
-    want, have = [f * total for _, f in FRACTIONS], [0.0] * len(FRACTIONS)
-    out = {}
-    for gid, n in sorted(sizes, key=lambda s: hashlib.sha256(f"{version}|split|{s[0]}".encode()).hexdigest()):
-        short = [(w - h) / w for w, h in zip(want, have, strict=True)]
-        at = short.index(max(short))
-        have[at] += n
-        out[gid] = FRACTIONS[at][0]
-    return out
+def distinct_first_seen(rows: DataFrame, value: str, order: str, limit: int | None = None) -> DataFrame:
+    """value, first_seen: the distinct values by where they first stand; with `limit`, the first of them."""
+    found = rows.groupBy(value).agg(F.min(order).alias("first_seen"))
+    return found if limit is None else found.orderBy("first_seen", value).limit(limit)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shardloom.functions.draws import draw_below
+from shardloom.functions.draws import draw_below, rank_key
 from shardloom.functions.expressions import interval_side
+from shardloom.operators.grouping import ranked_within
 
 RUN = ["arm", "seed"]
 
@@ -35,10 +38,14 @@ def class_metrics(cm: DataFrame, by: list[str] = RUN) -> DataFrame:
 
 
 def run_metrics(per_class: DataFrame, by: list[str] = RUN) -> DataFrame:
-    """by, macro_f1, balanced_accuracy (both over classes with support), accuracy, n, missing_classes."""
+    """by, macro_f1, balanced_accuracy (both over classes with support), accuracy, n, missing_classes, and as text missing (the
+    classes without support) and undefined (metric:class of every value that has none), sorted and joined by commas."""
+    names = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    undefined = F.flatten(F.collect_list(F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.concat(F.lit(f"{m}:"), F.col("cls").cast("string"))) for m in ("f1", "precision", "recall")]))))
     return per_class.groupBy(*by).agg(
         F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"), F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.sum("support").alias("n"), F.count_if(F.col("support") == 0).alias("missing_classes"),
+        names(F.when(F.col("support") == 0, F.col("cls").cast("string"))).alias("missing"), F.array_join(F.array_sort(undefined), ",").alias("undefined"),
     )
 
 
@@ -64,10 +71,11 @@ def metric_summary(values: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def group_strata(rows: DataFrame, group: str = "group", label: str = "true") -> DataFrame:
-    """group, stratum (the set of classes it holds), index in its stratum (from 0), size of the stratum."""
+    """group, stratum (the set of classes it holds), index in its stratum (from 0, in hash order), size of the stratum."""
     held = rows.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), ",").alias("stratum"))
-    own = Window.partitionBy("stratum")
-    return held.select(group, "stratum", (F.row_number().over(own.orderBy(group)) - 1).alias("index"), F.count(F.lit(1)).over(own).alias("size"))
+    ranked = ranked_within(held.withColumn("_key", rank_key("strata", F.col(group))), "stratum", "_key")
+    size = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    return ranked.join(size, "stratum").select(group, "stratum", F.col("_rank").alias("index"), "size")
 
 
 def bootstrap_draws(strata: DataFrame, resamples: int, seed: int, group: str = "group") -> DataFrame:
@@ -89,6 +97,43 @@ def resampled_metrics(rows: DataFrame, draws: DataFrame, classes: DataFrame, gro
     return run_metrics(class_metrics(confusion(weighted, classes, by, "_w"), by), by)
 
 
+def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *, block: int = 50) -> DataFrame:
+    """resample, arm, seed, macro_auprc: `average_precision` of every resample, each score counted with its group's multiplicity.
+
+    A task takes the scores of one run and class with `block` resamples, whose running sums are columns of one matrix.
+    """
+    lists = draws.groupBy(group, F.floor(F.col("resample") / block).alias("_block")).agg(F.collect_list(F.struct((F.col("resample") % block).cast("int").alias("i"), F.col("multiplicity").alias("m"))).alias("_draws"))
+    flat = rows.select(*RUN, group, "true", F.posexplode("scores").alias("_cls", "_score"))
+    keyed = flat.select(*RUN, group, "_cls", "_score", (F.col("true") == F.col("_cls")).alias("_hit")).join(lists, group)
+
+    def precision(table: pa.Table) -> pa.Table:
+        score, hit = table.column("_score").to_numpy(), table.column("_hit").to_numpy()
+        drawn = table.column("_draws").combine_chunks()
+        at = np.repeat(np.arange(len(score)), drawn.value_lengths().to_numpy())
+        weight = np.zeros((len(score), block))
+        weight[at, drawn.flatten().field(0).to_numpy()] = drawn.flatten().field(1).to_numpy()
+        order = np.argsort(-score, kind="stable")
+        last = np.flatnonzero(np.append(score[order][1:] != score[order][:-1], True))
+        found = np.cumsum(weight[order] * hit[order][:, None], axis=0)[last]
+        taken = np.cumsum(weight[order], axis=0)[last]
+        gain = np.diff(found, axis=0, prepend=0)
+        ap = (gain * found / np.maximum(taken, 1)).sum(axis=0) / np.maximum(found[-1], 1)
+        own = {c: pa.array([table.column(c)[0].as_py()] * block, table.schema.field(c).type) for c in RUN}
+        number = table.column("_block")[0].as_py() * block + np.arange(block)
+        return pa.table({**own, "resample": pa.array(number), "ap": pa.array(ap, mask=found[-1] == 0)})
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in RUN)
+    ap = keyed.select(*RUN, "_cls", "_block", "_score", "_hit", "_draws").groupBy(*RUN, "_cls", "_block").applyInArrow(precision, f"{kinds}, resample long, ap double")
+    return ap.where("ap is not null").groupBy("resample", *RUN).agg(F.avg("ap").alias("macro_auprc"))
+
+
+def per_seed_contrast(observed: DataFrame, arm: str, reference: str, metrics: list[str]) -> DataFrame:
+    """metric, seed, difference of arm - reference."""
+    long = observed.where(F.col("arm").isin(arm, reference)).select("arm", "seed", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("x"))
+    signed = F.when(F.col("arm") == arm, F.col("x.value")).otherwise(-F.col("x.value"))
+    return long.groupBy("x.metric", "seed").agg(F.sum(signed).alias("difference"))
+
+
 def paired_contrast(observed: DataFrame, resampled: DataFrame, arm: str, reference: str, metrics: list[str]) -> DataFrame:
     """metric, mean_difference, low, high, above_zero of arm - reference: mean over seeds, 95 % percentile interval."""
 
@@ -137,7 +182,8 @@ def claim_table(per_seed: DataFrame, contrast: DataFrame, verdict: DataFrame, de
 
     sign = trend(per_seed, "macro_f1", "s").select(F.lit(1).alias("ord"), F.lit("one sign of the macro-F1 change on every seed").alias("claim"), F.when(F.col("s") == "mixed", "not shown").otherwise("supported (signal)").alias("level"))
     rule = verdict.select(F.lit(2), F.lit("co-primary rule"), F.col("claim"))
-    rank = contrast.where("metric = 'macro_auprc'").select(F.lit(3), F.lit("ranking without a threshold"), interval_side(F.col("low"), F.col("high")))
+    side = interval_side(F.col("low"), F.col("high"))
+    rank = contrast.where("metric = 'macro_auprc'").join(verdict.select(F.col("claim").alias("_verdict"))).select(F.lit(3), F.lit("ranking without a threshold"), F.when(F.col("_verdict") == "withheld", "withheld").otherwise(side))  # one row each
     seen = trend(detection, "flagged_defects", "d").select(F.lit(4), F.lit("flags more defects"), F.concat(F.lit("descriptive only: "), "d"))
     rest = verdict.select(F.lit(5), F.lit("improves inspection in practice"), F.lit("not tested (operational)"))
     return sign.union(rule).union(rank).union(seen).union(rest)
@@ -172,6 +218,14 @@ def inventory_counts(rows: DataFrame, product: str, label: str) -> DataFrame:
     return rows.rollup(product, label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def inventory_details(rows: DataFrame, path: str, split: str, mode: str, width: str, height: str, decoded: str) -> DataFrame:
+    """section, key, n: items by official split, by mode and size, and every undecodable path."""
+    count = lambda section, key, df: df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), "key", "n")
+    ok = rows.where(F.col(decoded))
+    size = F.concat(F.col(mode), F.lit(" "), F.col(width).cast("string"), F.lit("x"), F.col(height).cast("string"))
+    return count("official split", F.coalesce(F.col(split), F.lit("")), rows).unionByName(count("mode", size, ok)).unionByName(count("undecodable", F.col(path), rows.where(~F.col(decoded))))
+
+
 def inventory_diff(measured: DataFrame, documented: DataFrame, by: list[str]) -> DataFrame:
     """by, measured, documented, difference; a missing count is 0."""
     both = measured.select(*by, F.col("n").alias("measured")).join(documented.select(*by, F.col("n").alias("documented")), by, "full_outer")

@@ -3,67 +3,87 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def near_duplicate_pairs(rows: DataFrame, item: str, vector: str, threshold: float, *, blocks: int = 4) -> DataFrame:
+def _blocks(rows: DataFrame, block_rows: int) -> int:
+    return max(1, -(-rows.count() // block_rows))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def near_duplicate_pairs(rows: DataFrame, item: str, vector: str, threshold: float, *, block_rows: int = 4096) -> DataFrame:
     """Rows a, b, similarity for a < b with dot product >= threshold (5 places); zero vectors match nothing.
 
-    Vectors are unit length.  Each pair of blocks is one task, so no task holds more than two blocks, whatever the
-    number of rows; equal vectors should be collapsed before (see `star_links`), only pairs that pass leave a task.
+    Vectors are unit length.  Blocks have about `block_rows` rows and each pair of blocks is one task, so a task holds two blocks whatever
+    the number of rows; equal vectors should be collapsed before (see `star_links`), only pairs that pass leave a task.
     """
-    dealt = rows.where(F.exists(vector, lambda x: x != 0)).select(
-        F.col(item).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_block")
-    )
+    dealt = rows.where(F.exists(vector, lambda x: x != 0))
+    blocks = _blocks(dealt, block_rows)
+    dealt = dealt.select(F.col(item).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_block"))
     every = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         "_id", "_v", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")
     )
     kind = rows.schema[item].dataType.simpleString()
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        left, right = pdf[pdf["_block"] == i], pdf[pdf["_block"] == j]
-        out = []
-        if len(left) and len(right):
-            ids, other = left["_id"].to_numpy(), right["_id"].to_numpy()
-            m = np.stack(right["_v"].to_numpy()).T
-            for a in range(0, len(left), 512):
-                d = np.stack(left["_v"].to_numpy()[a : a + 512]) @ m
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        block = table.column("_block").to_numpy()
+        left, right = (table.filter(pa.array(block == k)) for k in (i, j))
+        ids, other = left.column("_id").to_numpy(), right.column("_id").to_numpy()
+        lo, hi, value = [ids[:0]], [ids[:0]], [np.zeros(0)]
+        if len(ids) and len(other):
+            own, m = _matrix(left.column("_v")), _matrix(right.column("_v")).T
+            for a in range(0, len(ids), 512):
+                d = own[a : a + 512] @ m
                 x, y = np.nonzero(d >= threshold)
                 ok = ids[a + x] < other[y] if i == j else ids[a + x] != other[y]
                 x, y = x[ok], y[ok]
-                lo, hi = np.minimum(ids[a + x], other[y]), np.maximum(ids[a + x], other[y])
-                out.append(pd.DataFrame({"a": lo, "b": hi, "similarity": np.round(d[x, y], 5)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+                lo.append(np.minimum(ids[a + x], other[y]))
+                hi.append(np.maximum(ids[a + x], other[y]))
+                value.append(np.round(d[x, y], 5))
+        return pa.table({"a": np.concatenate(lo), "b": np.concatenate(hi), "similarity": np.concatenate(value)})
 
-    return every.groupBy("_i", "_j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    return every.groupBy("_i", "_j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
-def max_similarity(queries: DataFrame, references: DataFrame, item: str, vector: str, *, blocks: int = 4) -> DataFrame:
+def max_similarity(queries: DataFrame, references: DataFrame, item: str, vector: str, *, block_rows: int = 4096, others: bool = False) -> DataFrame:
     """item, best, reference: the highest dot product and its reference (smallest id on ties); -1.0 and null without references.
 
-    References are dealt into blocks; a query meets each block once, and the block results meet per query.
+    With `others`, a query does not meet the reference with its own id.  Queries and references are dealt into blocks of about `block_rows`
+    rows; each pair of blocks is one task, and the block results meet per query.
     """
     kind = references.schema[item].dataType.simpleString()
     own = queries.schema[item].dataType.simpleString()
-    q = queries.select(F.col(item).alias("_id"), F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.pmod(F.xxhash64(item), F.lit(blocks)).alias("_part"))
-    r = references.select(F.col(item).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_block"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "best": [], "reference": []})
-        right = right.sort_values("_id")
-        m, ids = np.stack(right["_v"].to_numpy()).T, right["_id"].to_numpy()
-        out = []
-        for a in range(0, len(left), 512):
-            d = np.round(np.stack(left["_v"].to_numpy()[a : a + 512]) @ m, 6)
-            k = d.argmax(axis=1)
-            out.append(pd.DataFrame({"id": left["_id"].to_numpy()[a : a + 512], "best": d[np.arange(len(k)), k], "reference": ids[k]}))
-        return pd.concat(out)
-
-    found = q.groupBy("_block").cogroup(r.groupBy("_block")).applyInPandas(best, f"id {own}, best double, reference {kind}")
+    n_q, n_r = _blocks(queries, block_rows), _blocks(references, block_rows)
+    dealt = lambda rows, n, name: rows.select(F.col(item).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item), F.lit(n)).cast("int").alias(name))
+    q = dealt(queries, n_q, "_q").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+    r = dealt(references, n_r, "_r").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, refs = left.column("_id").to_numpy(), right.column("_id").to_numpy()
+        top, value, name = [ids[:0]], [np.zeros(0)], [refs[:0]]
+        if len(ids) and len(refs):
+            order = np.argsort(refs)
+            refs, m = refs[order], _matrix(right.column("_v"))[order].T
+            x = _matrix(left.column("_v"))
+            for a in range(0, len(ids), 512):
+                d = np.round(x[a : a + 512] @ m, 6)
+                if others:
+                    d[ids[a : a + 512, None] == refs[None, :]] = -np.inf
+                k = d.argmax(axis=1)
+                found = np.isfinite(d[np.arange(len(k)), k])
+                top.append(ids[a : a + 512][found])
+                value.append(d[np.arange(len(k)), k][found])
+                name.append(refs[k][found])
+        return pa.table({"id": np.concatenate(top), "best": np.concatenate(value), "reference": np.concatenate(name)})
+
+    found = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInArrow(best, f"id {own}, best double, reference {kind}")
     top = found.groupBy("id").agg(F.min_by(F.struct("best", "reference"), F.struct(-F.col("best"), F.col("reference"))).alias("t"))
     return queries.select(item).join(top, F.col(item) == F.col("id"), "left").select(item, F.coalesce("t.best", F.lit(-1.0)).alias("best"), F.col("t.reference").alias("reference"))
 
@@ -78,6 +98,11 @@ def crossing_digests(rows: DataFrame, digest: str, split: str) -> DataFrame:
     return rows.groupBy(digest).agg(F.count_distinct(split).alias("splits"), F.count(F.lit(1)).alias("rows")).where("splits > 1")
 
 
+def near_threshold(pairs: DataFrame, threshold: float, width: float = 0.005) -> DataFrame:
+    """One row: how many pairs lie less than `width` below the threshold.  pairs: from `near_duplicate_pairs` at threshold - width."""
+    return pairs.agg(F.count_if((F.col("similarity") >= threshold - width) & (F.col("similarity") < threshold)).alias("pairs"))
+
+
 def pairs_crossing_splits(pairs: DataFrame, rows: DataFrame, item: str, split: str, label: str) -> DataFrame:
     """labels, pairs: similar pairs whose members are in different splits, excluded items aside, by sorted label pair."""
     side = lambda k: rows.where(F.col(split) != "excluded").select(F.col(item).alias(k), F.col(split).alias(f"{k}_split"), F.col(label).alias(f"{k}_label"))

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shardloom.operators.provenance import dataset_digest
+
+# The patterns of ids (and groups) and of class names.
+ID_PATTERN = r"^[A-Za-z0-9._-]{1,128}$"
+CLASS_PATTERN = r"^[a-z][a-z0-9_]{0,31}$"
+
 
 def violations(rows: DataFrame, key: str, rules: list[tuple[str, Column, Column | str]]) -> DataFrame:
     """key, rule_order, rule, message of every rule that a row breaks.  rules: (name, broken?, message)."""
@@ -21,43 +27,60 @@ def first_refusal(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min_by(F.struct("rule", "message"), "rule_order").alias("v")).select("key", "v.rule", "v.message")
 
 
-def record_rules(rows: DataFrame, id_col: str, caption: str, width: str, height: str) -> tuple[DataFrame, list]:
-    """Rows with a copy count, and the rules of a captioned record."""
+def stripped(c) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def record_rules(rows: DataFrame, id_col: str, caption: str, width: str, height: str, image: str | None = None) -> tuple[DataFrame, list]:
+    """Rows with a copy count, and the rules of a captioned record in the order in which they refuse it.
+
+    `image` (optional) names a column that is null where the image is missing.  All copies of an id break its rule.
+    """
     counted = rows.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
     i, c, w, h = map(F.col, (id_col, caption, width, height))
-    text = F.trim(c)
     return counted, [
-        ("id", i.isNull() | (F.trim(i.cast("string")) == "") | (F.length(i.cast("string")) > 64), "id must have 1 to 64 characters"),
-        ("caption", c.isNull() | (text == ""), "caption must not be blank"),
-        ("caption_length", F.length(text) > 1000, "caption must have at most 1000 characters"),
+        ("id", i.isNull() | (i.cast("string") == "") | (F.length(i.cast("string")) > 64), "id must have 1 to 64 characters"),
+        ("image", F.col(image).isNull() if image else F.lit(False), "image not found"),
         ("side", (F.least(w, h) < 256) | (F.greatest(w, h) > 4096) | w.isNull() | h.isNull(), "sides must be 256 to 4096"),
+        ("caption", c.isNull() | (stripped(c) == "") | (F.length(c) > 1000), "caption must have 1 to 1000 characters and not be blank"),
         ("unique_id", F.col("_copies") > 1, "id must be unique"),
     ]
 
 
-def validate_records(rows: DataFrame, id_col: str, caption: str, width: str, height: str) -> tuple[DataFrame, DataFrame]:
+def validate_records(rows: DataFrame, id_col: str, caption: str, width: str, height: str, image: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean rows with trimmed captions, violations)."""
-    counted, rules = record_rules(rows, id_col, caption, width, height)
+    counted, rules = record_rules(rows, id_col, caption, width, height, image)
     broken = F.lit(False)
     for _, b, _ in rules:
         broken = broken | F.coalesce(b, F.lit(False))
-    return counted.where(~broken).drop("_copies").withColumn(caption, F.trim(caption)), violations(counted, id_col, rules)
+    return counted.where(~broken).drop("_copies").withColumn(caption, stripped(F.col(caption))), violations(counted, id_col, rules)
+
+
+def count_refusal(rows: DataFrame, what: str = "records", minimum: int = 4, maximum: int | None = 2000) -> DataFrame:
+    """n, message if the number of rows is outside the limits; no row otherwise."""
+    n = F.col("n")
+    bad = (n < minimum) | ((n > maximum) if maximum is not None else F.lit(False))
+    limits = f"{minimum} to {maximum}" if maximum is not None else f"at least {minimum}"
+    return rows.agg(F.count(F.lit(1)).alias("n")).where(bad).select("n", F.concat(n.cast("string"), F.lit(f" {what}; {limits} are required")).alias("message"))
 
 
 def validate_prompts(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(trimmed prompts, violations); duplicates are allowed."""
-    t = F.trim(F.col(text))
-    rules = [("blank", F.col(text).isNull() | (t == ""), "prompt must not be blank"), ("length", F.length(t) > 1000, "prompt must have at most 1000 characters")]
+    """(trimmed prompts, violations); duplicates are allowed.  No prompt at all is refused by `count_refusal(rows, "prompts", 1, None)`."""
+    t = stripped(F.col(text))
+    rules = [("blank", F.col(text).isNull() | (t == ""), "prompt must not be blank"), ("length", F.length(text) > 1000, "prompt must have at most 1000 characters")]
     good = ~F.coalesce(rules[0][1] | rules[1][1], F.lit(True))
     return rows.where(good).withColumn(text, t), violations(rows, key, rules)
 
 
-def dataset_report(rows: DataFrame, caption: str, width: str, height: str) -> DataFrame:
+def dataset_report(rows: DataFrame, caption: str, width: str, height: str, digest_of: list[str]) -> DataFrame:
+    """One row: counts, sides, how many are cropped, and the digest over the columns `digest_of` (id, content digest, caption)."""
     side = F.least(width, height)
-    return rows.agg(
+    report = rows.agg(
         F.count(F.lit(1)).alias("n_records"), F.count_distinct(caption).alias("n_captions"), F.min(side).alias("shorter_min"), F.max(side).alias("shorter_max"),
         F.count_if(F.col(width) != F.col(height)).alias("centre_cropped"),
     )
+    return report.join(dataset_digest(rows, digest_of).select("digest"), how="left")  # one row each; no rows have no digest
 
 
 def archive_rules(entries: DataFrame, *, max_entries: int, max_member: int, max_total: int, suffixes: tuple[str, ...]) -> tuple[DataFrame, list]:
@@ -88,19 +111,35 @@ def check_archive_entries(entries: DataFrame, **limits) -> DataFrame:
 
 
 def validate_user_manifest(rows: DataFrame, listing: DataFrame, *, suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png")) -> DataFrame:
-    """Violations of a manifest (image_id, path, class, group) against the files that exist (path)."""
+    """Violations of a manifest (image_id, path, class, group) against the files that exist (path).
+
+    Rules of the whole table (no rows, the set of classes) have a null key and come after those of the rows.
+    """
     there = listing.select(F.col("path"), F.lit(True).alias("_there")).distinct()
     r = rows.join(there, "path", "left").withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
-    name = r"^[A-Za-z0-9][A-Za-z0-9_.\-]{0,63}$"
-    return violations(r, "image_id", [
-        ("id", ~F.coalesce(F.col("image_id").rlike(name), F.lit(False)), "id has unusual characters"),
+    found = violations(r, "image_id", [
+        ("id", ~F.coalesce(F.col("image_id").rlike(ID_PATTERN), F.lit(False)), "id has unusual characters"),
         ("unique_id", F.col("_copies") > 1, "id must be unique"),
-        ("class", ~F.coalesce(F.col("class").rlike(r"^[a-z][a-z0-9_]{0,31}$"), F.lit(False)), "class has unusual characters"),
-        ("path", F.col("path").isNull() | F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), ".."), "path must be relative and stay inside"),
+        ("class", ~F.coalesce(F.col("class").rlike(CLASS_PATTERN), F.lit(False)), "class has unusual characters"),
+        ("path", F.col("path").isNull() | F.col("path").startswith("/") | F.col("path").contains("\\") | F.array_contains(F.split("path", "/"), ".."), "path must be relative and stay inside"),
         ("exists", F.col("_there").isNull(), "file does not exist"),
         ("suffix", ~F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*suffixes), "unsupported suffix"),
-        ("group", F.col("group").isNotNull() & (F.col("group") != "") & ~F.col("group").rlike(name), "group has unusual characters"),
+        ("group", F.col("group").isNotNull() & (F.col("group") != "") & ~F.col("group").rlike(ID_PATTERN), "group has unusual characters"),
     ])
+    empty = count_refusal(rows, "rows", 1, None).select(F.lit(None).cast("string").alias("key"), F.lit(7).alias("rule_order"), F.lit("empty").alias("rule"), "message")
+    classes = class_set_refusal(rows, "class").select(F.lit(None).cast("string").alias("key"), F.lit(8).alias("rule_order"), F.lit("class_set").alias("rule"), "message")
+    return found.unionByName(empty).unionByName(classes)
+
+
+def class_set_refusal(rows: DataFrame, label: str, normal: str = "normal", defects: int = 2) -> DataFrame:
+    """message if the classes are not `normal` and exactly `defects` others; no row otherwise, or for an empty table."""
+    names = rows.select(label).distinct().agg(
+        F.count_if(F.col(label) == normal).alias("_normal"), F.count_if(F.col(label) != normal).alias("_others"), F.count(F.lit(1)).alias("_n")
+    )
+    text = F.when(F.col("_normal") == 0, F.lit(f"a class named {normal} is required")).otherwise(
+        F.concat(F.lit(f"exactly {defects} classes besides {normal} are supported; found "), F.col("_others").cast("string"))
+    )
+    return names.where((F.col("_n") > 0) & ((F.col("_normal") == 0) | (F.col("_others") != defects))).select(text.alias("message"))
 
 
 def resolve_members(table: DataFrame, members: DataFrame, folder: str) -> DataFrame:
@@ -120,7 +159,7 @@ def resolve_members(table: DataFrame, members: DataFrame, folder: str) -> DataFr
 
 
 def class_order(rows: DataFrame, label: str, normal: str = "normal") -> DataFrame:
-    """label, n, class_index: `normal` first, then by descending count and name."""
+    """label, n, class_index: `normal` first, then by descending count and name.  `class_set_refusal` tells whether the set is a valid one."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy((F.col(label) != normal).cast("int"), F.when(F.col(label) == normal, 0).otherwise(-F.col("n")), label)
     return n.withColumn("class_index", (F.row_number().over(order) - 1).cast("long"))
@@ -142,6 +181,13 @@ def verify_manifest(manifest: DataFrame, listing: DataFrame, suffixes: tuple[str
     return both.select("path", F.when(F.col("_there").isNull(), "missing").when(F.col("_listed").isNull(), "not listed").when(F.col("bytes") != F.col("_bytes"), "size differs").when(F.col("sha256") != F.col("_sha256"), "digest differs").when(~ok, "type not allowed").otherwise("ok").alias("status"))
 
 
+def verify_identity(manifest: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """field, expected, found of every identity field (model, revision, staging source) of a manifest that is not as expected."""
+    found = manifest.select(*expected).distinct()
+    long = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.lit(v).alias("expected"), F.col(k).cast("string").alias("found")) for k, v in expected.items()])).alias("x")).select("x.*")
+    return long.where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
 def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest.join(listing.select("path"), "path", "left_anti")
 
@@ -160,6 +206,20 @@ def compare_facts(expected: DataFrame, actual: DataFrame, key: str, value: str)
     return both.select(key, status.alias("status")).where("status is not null")
 
 
+def check_artifact(expected: DataFrame, actual: DataFrame, classes: DataFrame) -> DataFrame:
+    """rule, key, status of an artifact's files (path, bytes, sha256) and classes (class, class_index).
+
+    The set of files must be exact, and sizes and digests equal; classes must be unique and numbered 0 .. n - 1.
+    """
+    fact = F.concat_ws(":", F.col("bytes").cast("string"), "sha256").alias("v")
+    files = compare_facts(expected.select("path", fact), actual.select("path", fact), "path", "v").select(F.lit("file").alias("rule"), F.col("path").alias("key"), "status")
+    twice = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("class"), F.col("class"), F.lit("repeated"))
+    n = classes.agg(F.count(F.lit(1)).alias("_n"))
+    spots = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("i")).join(classes.groupBy(F.col("class_index").cast("long").alias("i")).agg(F.count(F.lit(1)).alias("c")), "i", "full_outer")
+    wrong = spots.where("c is null or c > 1").unionByName(spots.join(n).where("i >= _n and c = 1").select("i", "c")).select(F.lit("class_index"), F.col("i").cast("string"), F.when(F.col("c").isNull(), "missing").otherwise("unexpected"))
+    return files.union(twice).union(wrong)
+
+
 def cited_facts(docs: DataFrame, key: str, text: str, pattern: str, facts: DataFrame, fact: str) -> tuple[DataFrame, DataFrame]:
     """(citations without a fact, facts that nobody cites): pattern finds citations, group 0."""
     cited = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(fact)).distinct()

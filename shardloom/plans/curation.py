@@ -12,6 +12,8 @@ from shardloom.operators import metrics as M
 from shardloom.operators import provenance as K
 from shardloom.operators import similarity as S
 from shardloom.operators import validate as R
+from shardloom.operators.audit import audit_report
+from shardloom.operators.graph import star_links
 from shardloom.plans import tables as T
 from shardloom.plans.registry import query
 from shardloom.plans.tables import ITEMS, SPLIT, VERSION, sql_draw
@@ -144,23 +146,25 @@ def _records(spark, d):
     k = F.col("o_orderkey")
     return T.table(spark, d, "orders").select(
         F.when(k % 50 == 0, F.lit("")).otherwise(F.concat(F.lit("rec-"), F.floor(k / 2).cast("string"))).alias("id"), k.alias("key"),
-        F.when(k % 37 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" order of "), "o_orderpriority")).alias("caption"), (200 + k % 4000).alias("width"), (200 + F.col("o_custkey") % 4000).alias("height"),
+        F.when(k % 37 == 0, F.lit(" \t ")).when(k % 41 == 0, F.rpad(F.lit("x"), 1001, " ")).otherwise(F.concat(F.lit(" order of "), "o_orderpriority", F.lit("\n"))).alias("caption"), (200 + k % 4000).alias("width"), (200 + F.col("o_custkey") % 4000).alias("height"),
+        F.when(k % 53 != 0, F.sha2(k.cast("string").cast("binary"), 256)).alias("image"),
     )
 
 
 _RECORDS = """records AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'rec-' || (o_orderkey // 2) END AS id, o_orderkey AS key,
-  CASE WHEN o_orderkey % 37 = 0 THEN '  ' ELSE ' order of ' || o_orderpriority END AS caption, 200 + o_orderkey % 4000 AS width, 200 + o_custkey % 4000 AS height FROM orders),
+  CASE WHEN o_orderkey % 37 = 0 THEN ' ' || chr(9) || ' ' WHEN o_orderkey % 41 = 0 THEN rpad('x', 1001, ' ') ELSE ' order of ' || o_orderpriority || chr(10) END AS caption, 200 + o_orderkey % 4000 AS width, 200 + o_custkey % 4000 AS height,
+  CASE WHEN o_orderkey % 53 <> 0 THEN sha256(o_orderkey::VARCHAR) END AS image FROM orders),
 counted AS (SELECT *, count(*) OVER (PARTITION BY id) AS copies FROM records),
 broken AS (
-  SELECT key, 0 AS rule_order, 'id' AS rule FROM counted WHERE trim(id) = '' OR length(id) > 64
-  UNION ALL SELECT key, 1, 'caption' FROM counted WHERE trim(caption) = ''
-  UNION ALL SELECT key, 2, 'caption_length' FROM counted WHERE length(trim(caption)) > 1000
-  UNION ALL SELECT key, 3, 'side' FROM counted WHERE least(width, height) < 256 OR greatest(width, height) > 4096
+  SELECT key, 0 AS rule_order, 'id' AS rule FROM counted WHERE id = '' OR length(id) > 64
+  UNION ALL SELECT key, 1, 'image' FROM counted WHERE image IS NULL
+  UNION ALL SELECT key, 2, 'side' FROM counted WHERE least(width, height) < 256 OR greatest(width, height) > 4096
+  UNION ALL SELECT key, 3, 'caption' FROM counted WHERE regexp_matches(caption, '^\\s*$') OR length(caption) > 1000
   UNION ALL SELECT key, 4, 'unique_id' FROM counted WHERE copies > 1)"""
 
 
 def _record_violations(spark, d):
-    counted, rules = R.record_rules(_records(spark, d), "id", "caption", "width", "height")
+    counted, rules = R.record_rules(_records(spark, d), "id", "caption", "width", "height", "image")
     return R.violations(counted, "key", rules)
 
 
@@ -174,20 +178,35 @@ def c1_first(spark, d):
     return R.first_refusal(_record_violations(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c1_clean_records", f"WITH {_RECORDS} SELECT id, trim(caption) AS caption, width, height FROM counted WHERE key NOT IN (SELECT key FROM broken)")
+@query("c1_clean_records", f"WITH {_RECORDS} SELECT id, regexp_replace(caption, '^\\s+|\\s+$', '', 'g') AS caption, width, height FROM counted WHERE key NOT IN (SELECT key FROM broken)")
 def c1_clean(spark, d):
-    return R.validate_records(_records(spark, d), "id", "caption", "width", "height")[0].select("id", "caption", "width", "height")
+    return R.validate_records(_records(spark, d), "id", "caption", "width", "height", "image")[0].select("id", "caption", "width", "height")
 
 
-@query("c2_validate_prompts", "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' AND length(trim(text)) <= 1000")
+@query("c2_validate_prompts", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '^\\s*$') AND length(text) <= 1000")
 def c2(spark, d):
     good, _ = R.validate_prompts(T.table(spark, d, "conversations"), "conv_id", "text")
     return good.select("conv_id", "turn", "text")
 
 
-@query("c3_dataset_report", f"WITH {_RECORDS} SELECT count(*) AS n_records, count(DISTINCT caption) AS n_captions, min(least(width, height)) AS shorter_min, max(least(width, height)) AS shorter_max, count(*) FILTER (width <> height) AS centre_cropped FROM records")
+@query("c1_count_refusal", "SELECT count(*) AS n, count(*) || ' records; 4 to 2000 are required' AS message FROM orders HAVING count(*) < 4 OR count(*) > 2000")
+def c1_count(spark, d):
+    return R.count_refusal(T.table(spark, d, "orders"))
+
+
+def _digest_sql(rows: str, columns: list[str], by: str | None = None) -> str:
+    """CTEs that end in `digests` (by, n, digest) with the three levels of a dataset digest."""
+    line = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    g, also = (f"{by} AS by_key", "by_key, ") if by else ("0 AS by_key", "by_key, ")
+    return f"""keyed AS (SELECT {g}, sha256({line}) AS d FROM {rows}),
+fine AS (SELECT {also}('0x' || substr(d, 1, 6))::BIGINT * 65536 // 16777216 AS f, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM keyed GROUP BY ALL),
+level AS (SELECT {also}f // 256 AS b, sum(n) AS n, sha256(string_agg(h, '' ORDER BY f)) AS h FROM fine GROUP BY ALL),
+digests AS (SELECT by_key, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM level GROUP BY 1)"""
+
+
+@query("c3_dataset_report", f"WITH {_RECORDS}, {_digest_sql('records', ['id', 'image', 'caption'])} SELECT (SELECT digest FROM digests) AS digest, count(*) AS n_records, count(DISTINCT caption) AS n_captions, min(least(width, height)) AS shorter_min, max(least(width, height)) AS shorter_max, count(*) FILTER (width <> height) AS centre_cropped FROM records")
 def c3(spark, d):
-    return R.dataset_report(_records(spark, d), "caption", "width", "height")
+    return R.dataset_report(_records(spark, d), "caption", "width", "height", ["id", "image", "caption"])
 
 
 @query("c4_archive_entries", """WITH e AS (SELECT 'a' || l_suppkey AS archive, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS ord,
@@ -213,16 +232,17 @@ def c4(spark, d):
     return found.groupBy(F.split_part("key", F.lit(":"), F.lit(1)).alias("archive"), "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c5_user_manifest", """WITH m AS (SELECT CASE WHEN o_orderkey % 29 = 0 THEN '-bad' ELSE 'i' || (o_orderkey // 3) END AS image_id, CASE WHEN o_orderkey % 31 = 0 THEN '../x.jpg' ELSE 'f' || o_custkey || '.jpg' END AS path,
+@query("c5_user_manifest", """WITH m AS (SELECT CASE WHEN o_orderkey % 29 = 0 THEN '-good' || o_orderkey WHEN o_orderkey % 47 = 0 THEN 'bad id' || o_orderkey WHEN o_orderkey % 59 = 0 THEN rpad('x' || o_orderkey, 129, 'x') ELSE 'i' || (o_orderkey // 3) END AS image_id, CASE WHEN o_orderkey % 31 = 0 THEN '../x.jpg' WHEN o_orderkey % 43 = 0 THEN 'a' || chr(92) || 'b.jpg' ELSE 'f' || o_custkey || '.jpg' END AS path,
   CASE WHEN o_orderkey % 23 = 0 THEN 'Normal!' ELSE 'normal' END AS class FROM orders),
 r AS (SELECT *, path IN (SELECT 'f' || c_custkey || '.jpg' FROM customer WHERE c_custkey % 10 <> 0) AS there, count(*) OVER (PARTITION BY image_id) AS copies FROM m)
 SELECT rule, count(*) AS n FROM (
-  SELECT 'id' AS rule FROM r WHERE image_id = '-bad' UNION ALL SELECT 'unique_id' FROM r WHERE copies > 1 UNION ALL SELECT 'class' FROM r WHERE class = 'Normal!'
-  UNION ALL SELECT 'path' FROM r WHERE path LIKE '../%' UNION ALL SELECT 'exists' FROM r WHERE NOT there) GROUP BY 1""")
+  SELECT 'id' AS rule FROM r WHERE NOT regexp_full_match(image_id, '[A-Za-z0-9._-]{1,128}') UNION ALL SELECT 'unique_id' FROM r WHERE copies > 1 UNION ALL SELECT 'class' FROM r WHERE class = 'Normal!'
+  UNION ALL SELECT 'path' FROM r WHERE path LIKE '../%' OR contains(path, chr(92)) UNION ALL SELECT 'exists' FROM r WHERE NOT there
+  UNION ALL SELECT 'class_set' FROM (SELECT count(DISTINCT class) FILTER (class <> 'normal') AS others, count(*) FILTER (class = 'normal') AS normals FROM r) WHERE normals = 0 OR others <> 2) GROUP BY 1""")
 def c5(spark, d):
     k = F.col("o_orderkey")
     rows = T.table(spark, d, "orders").select(
-        F.when(k % 29 == 0, "-bad").otherwise(F.concat(F.lit("i"), F.floor(k / 3).cast("string"))).alias("image_id"), F.when(k % 31 == 0, "../x.jpg").otherwise(F.concat(F.lit("f"), "o_custkey", F.lit(".jpg"))).alias("path"),
+        F.when(k % 29 == 0, F.concat(F.lit("-good"), k.cast("string"))).when(k % 47 == 0, F.concat(F.lit("bad id"), k.cast("string"))).when(k % 59 == 0, F.rpad(F.concat(F.lit("x"), k.cast("string")), 129, "x")).otherwise(F.concat(F.lit("i"), F.floor(k / 3).cast("string"))).alias("image_id"), F.when(k % 31 == 0, "../x.jpg").when(k % 43 == 0, "a\\b.jpg").otherwise(F.concat(F.lit("f"), "o_custkey", F.lit(".jpg"))).alias("path"),
         F.when(k % 23 == 0, "Normal!").otherwise("normal").alias("class"), F.lit("").alias("group"),
     )
     listing = T.table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.concat(F.lit("f"), "c_custkey", F.lit(".jpg")).alias("path"))
@@ -360,7 +380,11 @@ def e2(spark, d):
     return G.assign_groups(T.items(spark, d), "item", "pixel_sha", declared="declared")
 
 
-@query("e2_near_groups")
+@query("e2_near_groups", f"""WITH RECURSIVE {_PAIRS}, docs AS (SELECT doc_id AS item, sha256(text) AS digest FROM documents), firsts AS (SELECT digest, min(item) AS f FROM docs GROUP BY 1),
+links AS (SELECT item AS a, f AS b FROM docs JOIN firsts USING (digest) WHERE item <> f UNION SELECT a, b FROM pairs),
+undirected AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT item, item AS other FROM docs UNION SELECT r.item, e.b FROM reach r JOIN undirected e ON e.a = r.other)
+SELECT r.item, 'g_' || substr(min(i.digest), 1, 16) AS group_id FROM reach r JOIN docs i ON i.item = r.other GROUP BY 1""")
 def e2_near(spark, d):
     docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     return G.assign_groups(docs, "item", "digest", pairs=_pairs(spark, d))
@@ -371,28 +395,32 @@ def e3(spark, d):
     return G.exclusions(T.items(spark, d).withColumn("decoded", F.lit(True)), "pixel_sha", "source", "decoded").select("item", "exclusion_reason")
 
 
-_GROUPS = f"""{SPLIT}, groups AS (SELECT group_id, min(label) AS label, count(*) AS n, sha256('{VERSION}|split|' || group_id) AS k FROM split_items GROUP BY 1)"""
+_GROUPS = f"""{SPLIT}, groups AS (SELECT group_id, string_agg(DISTINCT label, '+' ORDER BY label) AS stratum, count(*) AS n, sha256('{VERSION}|split|' || group_id) AS k,
+  count(*) FILTER (label = 'low') AS n1, count(*) FILTER (label = 'normal') AS n2, count(*) FILTER (label = 'toxic') AS n3 FROM split_items GROUP BY 1)"""
 
 
-def _groups(spark, d):
-    return T.split_items(spark, d).groupBy("group_id").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
+@query("e4_quota_split", f"""WITH {_GROUPS}, s AS (SELECT *, (sum(n) OVER (PARTITION BY stratum ORDER BY k) - n) / sum(n) OVER (PARTITION BY stratum) AS share FROM groups)
+SELECT group_id, stratum, CASE WHEN share < 0.6 THEN 'train' WHEN share < 0.8 THEN 'val' ELSE 'test' END AS split FROM s""")
+def e4(spark, d):
+    """A group's stratum is the set of labels it holds."""
+    groups = T.split_items(spark, d).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "+").alias("stratum"), F.count(F.lit(1)).alias("n"))
+    return G.quota_split(groups, "group_id", "n", "stratum", VERSION)
 
 
-@query("e4_quota_split", f"""WITH {_GROUPS}, s AS (SELECT *, (sum(n) OVER (PARTITION BY label ORDER BY k) - n) / sum(n) OVER (PARTITION BY label) AS share FROM groups)
-SELECT group_id, label, CASE WHEN share < 0.6 THEN 'train' WHEN share < 0.8 THEN 'val' ELSE 'test' END AS split FROM s""")
-def e4(spark, d):
-    return G.quota_split(_groups(spark, d), "group_id", "n", "label", VERSION)
+def _gap(f: str, have: str) -> str:
+    return " + ".join(f"CASE WHEN o.n{i} = 0 THEN 0 ELSE o.n{i} * (({f} * t{i} - {have}{i}) / ({f} * t{i})) END" for i in (1, 2, 3))
 
 
-@query("e4_greedy_split", f"""WITH RECURSIVE {_GROUPS}, total AS (SELECT label, sum(n)::DOUBLE AS t FROM groups GROUP BY 1),
-o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k) AS r FROM groups),
-f AS (SELECT label, 0::BIGINT AS r, ''::VARCHAR AS group_id, ''::VARCHAR AS split, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c FROM total
-  UNION ALL SELECT label, r, group_id, split, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'val' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END
-  FROM (SELECT o.label, o.r, o.group_id, o.n, f.a, f.b, f.c, CASE WHEN x >= y AND x >= z THEN 'train' WHEN y >= z THEN 'val' ELSE 'test' END AS split
-    FROM f JOIN o ON o.label = f.label AND o.r = f.r + 1 JOIN total t ON t.label = f.label, LATERAL (SELECT (0.6 * t - f.a) / (0.6 * t) AS x, (0.2 * t - f.b) / (0.2 * t) AS y, (0.2 * t - f.c) / (0.2 * t) AS z)))
-SELECT group_id, label, split FROM f WHERE r > 0""")
+@query("e4_greedy_split", f"""WITH RECURSIVE {_GROUPS}, total AS (SELECT sum(n1)::DOUBLE AS t1, sum(n2)::DOUBLE AS t2, sum(n3)::DOUBLE AS t3 FROM groups),
+o AS (SELECT *, row_number() OVER (ORDER BY k) AS r FROM groups),
+f AS (SELECT 0::BIGINT AS r, ''::VARCHAR AS group_id, ''::VARCHAR AS split, {', '.join(f"0::DOUBLE AS {s}{i}" for s in "abc" for i in (1, 2, 3))}
+  UNION ALL SELECT r, group_id, split, {', '.join(f"{s}{i} + CASE WHEN split = '{name}' THEN n{i} ELSE 0 END" for s, name in (("a", "train"), ("b", "val"), ("c", "test")) for i in (1, 2, 3))}
+  FROM (SELECT o.r, o.group_id, o.n1, o.n2, o.n3, {', '.join(f"f.{s}{i}" for s in "abc" for i in (1, 2, 3))}, CASE WHEN x >= y AND x >= z THEN 'train' WHEN y >= z THEN 'val' ELSE 'test' END AS split
+    FROM f JOIN o ON o.r = f.r + 1, total, LATERAL (SELECT {_gap('0.6', 'f.a')} AS x, {_gap('0.2', 'f.b')} AS y, {_gap('0.2', 'f.c')} AS z)))
+SELECT group_id, split FROM f WHERE r > 0""")
 def e4_greedy(spark, d):
-    return G.greedy_split(_groups(spark, d), "group_id", "label", "n", VERSION)
+    groups = T.split_items(spark, d).groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return G.greedy_split(groups, "group_id", "label", "n", VERSION)
 
 
 @query("e5_hash_split", f"WITH {SPLIT} SELECT item, split FROM split_items")
@@ -465,11 +493,12 @@ def e13(spark, d):
     return G.stratified_fixed_split(T.items(spark, d), "item", "source", 17)
 
 
-@query("e14_stratified_fraction_split", f"""WITH {ITEMS}, r AS (SELECT item, source, row_number() OVER (PARTITION BY source ORDER BY sha256('fraction|17|' || item), item) AS r, count(*) OVER (PARTITION BY source) AS n FROM items),
-c AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, round_even(n * 0.15::DOUBLE, 0)) ELSE 0 END AS t, CASE WHEN n >= 3 THEN round_even(n * 0.15::DOUBLE, 0) ELSE 0 END AS v FROM r)
+@query("e14_stratified_fraction_split", f"""WITH {ITEMS}, one AS (SELECT min(item) AS item FROM items GROUP BY pixel_sha),
+r AS (SELECT item, source, row_number() OVER (PARTITION BY source ORDER BY sha256('fraction|17|' || item)) AS r, count(*) OVER (PARTITION BY source) AS n FROM items JOIN one USING (item)),
+c AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, round_even(n * 0.2::DOUBLE, 0)) ELSE 0 END AS t, CASE WHEN n >= 3 THEN round_even(n * 0.2::DOUBLE, 0) ELSE 0 END AS v FROM r)
 SELECT item, source, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS split FROM c""")
 def e14(spark, d):
-    return G.stratified_fraction_split(T.items(spark, d), "item", "source", 17)
+    return G.stratified_fraction_split(T.items(spark, d), "item", "source", 17, digest="pixel_sha")
 
 
 @query("e15_split_crosstab", f"WITH {SPLIT} SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM split_items GROUP BY 1")
@@ -488,38 +517,42 @@ def e17(spark, d):
     return G.first_per_class(T.split_items(spark, d).where("split = 'test'"), "item", "label")
 
 
-@query("e18_distinct_first_seen", "SELECT text, min(doc_id) AS first_seen FROM documents GROUP BY 1 ORDER BY 2, 1 LIMIT 20")
+@query("e18_distinct_first_seen", "SELECT text, min(doc_id) AS first_seen FROM documents GROUP BY 1")
 def e18(spark, d):
-    return G.distinct_first_seen(T.table(spark, d, "documents"), "text", "doc_id", 20)
+    return G.distinct_first_seen(T.table(spark, d, "documents"), "text", "doc_id")
 
 
-@query("e19_audit_report", f"""WITH {_COUNTS}, mixed AS (SELECT group_id FROM split_items GROUP BY 1 HAVING count(DISTINCT source) > 1)
-SELECT 'inventory' AS section, source || '/' || lang AS key, count(*)::VARCHAR AS value FROM items GROUP BY ALL
+@query("e19_audit_report", f"""WITH {_COUNTS}, {_BUDGET.removeprefix(SPLIT + ', ')},
+mixed AS (SELECT group_id FROM split_items GROUP BY 1 HAVING count(DISTINCT label) > 1), firsts AS (SELECT pixel_sha, min(item) AS f FROM items GROUP BY 1),
+stars AS (SELECT item AS a, f AS b FROM split_items JOIN firsts USING (pixel_sha) WHERE item <> f),
+crossing AS (SELECT least(x.label, y.label) || '/' || greatest(x.label, y.label) AS labels, count(*) AS n FROM stars JOIN split_items x ON x.item = a JOIN split_items y ON y.item = b WHERE x.split <> y.split GROUP BY 1),
+pool AS (SELECT label, item, row_number() OVER (PARTITION BY label ORDER BY sha256('new|' || file_sha), item) AS rank FROM split_items WHERE split = 'train' AND item NOT IN (SELECT item FROM selected))
+SELECT 'inventory' AS section, source || '/' || label AS key, count(*)::VARCHAR AS value FROM items GROUP BY ALL
 UNION ALL SELECT 'groups', split || '/' || label, n_groups::VARCHAR FROM counts
 UNION ALL SELECT 'support', split || '/' || label, CASE WHEN n_groups < 15 THEN 'insufficient' WHEN n_groups < 30 THEN 'sparse' ELSE 'sufficient' END FROM counts WHERE split <> 'train'
-UNION ALL SELECT 'evidence', 'groups', count(DISTINCT group_id)::VARCHAR FROM split_items UNION ALL SELECT 'evidence', 'mixed groups', count(*)::VARCHAR FROM mixed""")
+UNION ALL SELECT 'evidence', 'groups', count(DISTINCT group_id)::VARCHAR FROM split_items UNION ALL SELECT 'evidence', 'mixed groups', count(*)::VARCHAR FROM mixed
+UNION ALL SELECT 'evidence', 'digest links', (count(*) - count(DISTINCT file_sha))::VARCHAR FROM items UNION ALL SELECT 'evidence', 'similar pairs', count(*)::VARCHAR FROM stars
+UNION ALL SELECT 'crossing pairs', labels, n::VARCHAR FROM crossing
+UNION ALL SELECT 'transitions', lang || '/' || split, count(*)::VARCHAR FROM split_items GROUP BY ALL
+UNION ALL SELECT 'unused pool', label || '/' || rank, item::VARCHAR FROM pool WHERE rank <= 2
+UNION ALL SELECT 'exemplars', label || '/' || budget_rank, item::VARCHAR FROM selected WHERE exemplar""")
 def e19(spark, d):
-    rows, counts = T.split_items(spark, d), _counts(spark, d)
-    line = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value"))
-    at = F.concat_ws("/", "split", "label")
-    inventory = rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        line(inventory, "inventory", F.concat_ws("/", "source", "lang"), F.col("n")).unionByName(line(counts, "groups", at, F.col("n_groups")))
-        .unionByName(line(G.heldout_support(counts, "split"), "support", at, F.col("support")))
-        .unionByName(line(rows.agg(F.count_distinct("group_id").alias("n")), "evidence", F.lit("groups"), F.col("n")))
-        .unionByName(line(G.mixed_class_groups(rows, "group_id", "source").agg(F.count(F.lit(1)).alias("n")), "evidence", F.lit("mixed groups"), F.col("n")))
+    """The similar pairs are the equal normalised texts; the language stands for the official split."""
+    rows = T.split_items(spark, d)
+    return audit_report(
+        rows, _selected(spark, d), star_links(rows, "item", "pixel_sha"), T.labels(spark, d), item="item", product="source", official="lang", group="group_id", label="label", split="split", digest="file_sha",
     )
 
 
 def _caption_records(spark, d):
     k = F.col("item")
-    return _described(spark, d).where("item % 2 = 0").select(
-        k.cast("string").alias("image_id"), F.when(k % 6 == 0, "normal").when(k % 6 == 2, "scratches").otherwise("dark_spots").alias("label"), F.floor(k / 6).cast("long").alias("exemplar_rank"), "response"
+    return _described(spark, d).select(
+        k.cast("string").alias("image_id"), F.when(k % 3 == 0, "normal").when(k % 3 == 1, "scratches").otherwise("dark_spots").alias("label"), F.floor(k / 3).cast("long").alias("exemplar_rank"), "response"
     )
 
 
-_PROMPTS = f"""{_DESCRIBED}, t AS (SELECT item, response, {_terms('response')} FROM described WHERE item % 2 = 0),
-r AS (SELECT item::VARCHAR AS image_id, CASE item % 6 WHEN 0 THEN 'normal' WHEN 2 THEN 'scratches' ELSE 'dark_spots' END AS label, item // 6 AS k, response, texture, illumination, shape FROM t),
+_PROMPTS = f"""{_DESCRIBED}, t AS (SELECT item, response, {_terms('response')} FROM described),
+r AS (SELECT item::VARCHAR AS image_id, CASE item % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'scratches' ELSE 'dark_spots' END AS label, item // 3 AS k, response, texture, illumination, shape FROM t),
 j AS (SELECT x.*, n.image_id AS normal_id, n.response AS nr, n.texture AS nt, n.illumination AS ni,
   CASE WHEN trim(x.response) = '' THEN 'empty description' WHEN x.shape = '' AND x.texture = '' THEN 'no whitelisted shape/texture term' ELSE '' END AS bad,
   n.image_id IS NOT NULL AND trim(n.response) <> '' AND (n.texture <> '' OR n.illumination <> '') AS usable FROM r x LEFT JOIN r n ON n.k = x.k AND n.label = 'normal' WHERE x.label <> 'normal'),
@@ -545,12 +578,12 @@ def d4(spark, d):
 
 
 def _plan(spark, d):
-    prompts = _prompts(spark, d).where("exemplar_rank < 5").select("label", "prompt_id", "text", "exemplar_rank")
+    prompts = _prompts(spark, d).select("label", "prompt_id", "text", "exemplar_rank")
     roles = spark.createDataFrame([("scratches", 1), ("dark_spots", 2)], "label string, role int")
     return C.candidate_plan(roles, prompts)
 
 
-@query("f1_candidate_plan", f"""WITH {_PROMPTS}, q AS (SELECT * FROM prompts WHERE exemplar_rank < 5), n AS (SELECT label, count(*) AS p FROM q GROUP BY 1)
+@query("f1_candidate_plan", f"""WITH {_PROMPTS}, q AS (SELECT * FROM prompts), n AS (SELECT label, count(*) AS p FROM q GROUP BY 1)
 SELECT 'syn_' || r.label || '_' || lpad(i::VARCHAR, 2, '0') AS candidate_id, r.label AS intended_label, q.prompt_id, q.text AS prompt, 100000 * r.role + i AS seed
 FROM (VALUES ('scratches', 1), ('dark_spots', 2)) r(label, role) JOIN n ON n.label = r.label, range(32) g(i) JOIN q ON q.label = r.label AND q.exemplar_rank = g.i % n.p""")
 def f1(spark, d):
@@ -598,6 +631,14 @@ def f4(spark, d):
     return C.disposition_counts(_eligible(spark, d))
 
 
+@query("h14_inventory_details", """SELECT 'official split' AS section, lang AS key, count(*) AS n FROM documents GROUP BY ALL
+UNION ALL SELECT 'mode', source || ' ' || n_chars % 3 || 'x' || doc_id % 2, count(*) FROM documents WHERE doc_id % 97 <> 0 GROUP BY ALL UNION ALL SELECT 'undecodable', doc_id::VARCHAR, 1 FROM documents WHERE doc_id % 97 = 0""")
+def h14_details(spark, d):
+    k = F.col("doc_id")
+    rows = T.table(spark, d, "documents").select(k.cast("string").alias("path"), "lang", "source", (F.col("n_chars") % 3).alias("w"), (k % 2).alias("h"), (k % 97 != 0).alias("ok"))
+    return M.inventory_details(rows, "path", "lang", "source", "w", "h", "ok")
+
+
 @query("h14_inventory_counts", "SELECT source AS product, lang AS label, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")
 def h14(spark, d):
     return M.inventory_counts(T.table(spark, d, "documents").withColumnsRenamed({"source": "product", "lang": "label"}), "product", "label")
@@ -618,19 +659,15 @@ def d8_digests(spark, d):
     return S.crossing_digests(T.items(spark, d).withColumn("split", F.when(k == 0, "train").when(k == 1, "val").otherwise("test")), "pixel_sha", "split")
 
 
-@query("k6_dataset_digest", """WITH keyed AS (SELECT sha256(doc_id || '|' || lang || '|' || text) AS d FROM documents),
-level AS (SELECT ('0x' || substr(d, 1, 4))::BIGINT * 256 // 65536 AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM keyed GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM level""")
+@query("k6_dataset_digest", f"WITH {_digest_sql('documents', ['doc_id', 'lang', 'text'])} SELECT n, digest FROM digests")
 def k6(spark, d):
     return K.dataset_digest(T.table(spark, d, "documents"), ["doc_id", "lang", "text"])
 
 
-_MANIFEST = f"""WITH {SPLIT}, keyed AS (SELECT split, sha256(item || '|' || label || '|' || pixel_sha) AS d FROM split_items),
-level AS (SELECT split, ('0x' || substr(d, 1, 4))::BIGINT * 256 // 65536 AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM keyed GROUP BY 1, 2),
-per AS (SELECT split, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM level GROUP BY 1)"""
-
-
-@query("k5_dataset_manifest", f"{_MANIFEST} SELECT * FROM per UNION ALL SELECT 'all', sum(n)::BIGINT, sha256(string_agg(digest, '' ORDER BY split)) FROM per")
+@query("k5_dataset_manifest", f"""WITH {SPLIT}, {_digest_sql('split_items', ['item', 'label', 'pixel_sha'], 'split')},
+shared AS (SELECT split, count(*) FILTER (c > 1) AS n_shared FROM (SELECT split, count(DISTINCT split) OVER (PARTITION BY pixel_sha) AS c FROM split_items) GROUP BY 1),
+per AS (SELECT by_key AS split, n, n_shared, digest FROM digests JOIN shared ON split = by_key)
+SELECT * FROM per UNION ALL SELECT 'all', sum(n)::BIGINT, sum(n_shared)::BIGINT, sha256(string_agg(digest, '' ORDER BY split)) FROM per""")
 def k5(spark, d):
     return K.dataset_manifest(T.split_items(spark, d), "split", ["item", "label", "pixel_sha"])
 
@@ -643,13 +680,15 @@ def _source_inputs(spark, d):
     return per.join(size, "source").select(F.col("source").alias("name"), F.col("digest").alias("sha256"), "bytes")
 
 
-_INPUTS = """keyed AS (SELECT source, sha256(doc_id || '|' || text) AS d FROM documents),
-level AS (SELECT source, ('0x' || substr(d, 1, 4))::BIGINT * 256 // 65536 AS b, sha256(string_agg(d, '' ORDER BY d)) AS h FROM keyed GROUP BY 1, 2),
+_INPUTS = f"""{_digest_sql('documents', ['doc_id', 'text'], 'source')},
 size AS (SELECT source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1),
-inputs AS (SELECT source AS name, sha256(string_agg(h, '' ORDER BY b)) AS sha256, any_value(bytes) AS bytes FROM level JOIN size USING (source) GROUP BY 1)"""
+inputs AS (SELECT by_key AS name, digest AS sha256, bytes FROM digests JOIN size ON source = by_key)"""
+_ROOT = _digest_sql("inputs", ["name", "sha256", "bytes"])
+for _name in ("keyed", "fine", "level", "digests"):
+    _ROOT = _ROOT.replace(f"{_name} AS (", f"root_{_name} AS (").replace(f"FROM {_name} ", f"FROM root_{_name} ")
 
 
-@query("k1_freeze_record", f"WITH {_INPUTS}, line AS (SELECT name || '|' || sha256 || '|' || bytes AS l FROM inputs) SELECT name, sha256, bytes, (SELECT sha256(string_agg(l, chr(10) ORDER BY l)) FROM line) AS root FROM inputs")
+@query("k1_freeze_record", f"WITH {_INPUTS}, {_ROOT} SELECT name, sha256, bytes, (SELECT digest FROM root_digests) AS root FROM inputs")
 def k1(spark, d):
     return K.freeze_record(_source_inputs(spark, d))
 

@@ -110,5 +110,6 @@ per_class AS (
 class_metrics AS (
   SELECT *, tp / nullif(predicted, 0) AS "precision", tp / nullif(support, 0) AS recall, CASE WHEN support > 0 THEN 2 * tp / (support + predicted) END AS f1 FROM per_class),
 run_metrics AS (
-  SELECT arm, seed, avg(f1) AS macro_f1, avg(recall) AS balanced_accuracy, sum(tp) / sum(support) AS accuracy, sum(support) AS n, count(*) FILTER (support = 0) AS missing_classes
+  SELECT arm, seed, avg(f1) AS macro_f1, avg(recall) AS balanced_accuracy, sum(tp) / sum(support) AS accuracy, sum(support) AS n, count(*) FILTER (support = 0) AS missing_classes,
+    coalesce(string_agg(cls::VARCHAR, ',' ORDER BY cls::VARCHAR) FILTER (support = 0), '') AS missing
   FROM class_metrics GROUP BY ALL)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -25,12 +26,17 @@ def scan_files(spark: SparkSession, root: str, *, digest: bool = True, pattern:
     return files.select(*columns, F.sha2("content", 256).alias("sha256")) if digest else files.select(*columns)
 
 
-def scan_images(spark: SparkSession, root: str, *, least: int = 64, most: int = 4096) -> DataFrame:
+def scan_images(spark: SparkSession, root: str, *, least: int = 64, most: int = 4096, refuse_deep: bool = True) -> DataFrame:
     """path, bytes, file_sha256, decode_ok, width, height, mode, pixel_sha256 of every file; one that is no image, or has a
     side outside the limits, is a row with decode_ok false.
 
-    mode is null for files that can't be decoded; 16-bit and float images are found by `high_bit_depth`.
+    mode is null for files that can't be decoded.  Images with more than 8 bits a sample are refused for the whole run, unless
+    `refuse_deep` is false; `high_bit_depth` lists them.
     """
+    if refuse_deep:
+        deep = [r.path for r in high_bit_depth(spark, root).orderBy("path").limit(5).collect()]
+        if deep:
+            raise ValueError(f"images with more than 8 bits a sample are not supported: {', '.join(deep)}")
     files = scan_files(spark, root).withColumnRenamed("sha256", "file_sha256")
     images = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
     # The image reader gives file:/// where the file reader gives file:/.
@@ -78,10 +84,11 @@ def image_signature(spark: SparkSession, root: str, side: int = 32) -> DataFrame
     return flat.withColumn("signature", centred_unit(F.col("signature")))
 
 
-def scan_zip_members(spark: SparkSession, root: str, *, content: bool = False) -> DataFrame:
+def scan_zip_members(spark: SparkSession, root: str, *, content: bool = False, max_entries: int = 100_000, max_member: int = 1 << 28, max_total: int = 1 << 36) -> DataFrame:
     """archive, ord, name, size, is_symlink, encrypted (and content) of every member of the zip files below root.
 
-    Directories are skipped; a file that is no zip gives one row with a null name.  Archives are read in parallel.
+    Directories are skipped; a file that is no zip gives one row with a null name.  Archives are read in parallel.  Every member is
+    listed; the content of one that is beyond a ceiling (entries, bytes of a member, running total), a link or encrypted is null and never unpacked.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
     kinds = "archive string, ord int, name string, size long, is_symlink boolean, encrypted boolean" + (", content binary" if content else "")
@@ -90,12 +97,18 @@ def scan_zip_members(spark: SparkSession, root: str, *, content: bool = False) -
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                out = []
+                out, held, total = [], 0, 0
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         for i, m in enumerate(x for x in z.infolist() if not x.is_dir()):
                             link, locked = (m.external_attr >> 16) & 0o170000 == 0o120000, bool(m.flag_bits & 1)
-                            out.append((path, i, m.filename, m.file_size, link, locked) + ((None if link or locked else z.read(m),) if content else ()))
+                            total += m.file_size
+                            skip = link or locked or i >= max_entries or m.file_size > max_member or total > max_total
+                            out.append((path, i, m.filename, m.file_size, link, locked) + ((None if skip else z.read(m),) if content else ()))
+                            held += 0 if skip or not content else m.file_size
+                            if held > 1 << 26 or len(out) >= 10_000:
+                                yield pd.DataFrame(out, columns=names)
+                                out, held = [], 0
                 except zipfile.BadZipFile:
                     out.append((path, 0, None, None, None, None) + ((None,) if content else ()))
                 yield pd.DataFrame(out, columns=names)
@@ -106,7 +119,7 @@ def scan_zip_members(spark: SparkSession, root: str, *, content: bool = False) -
 def read_manifest_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A CSV table with a header: names and cells trimmed, null cells ''.  Repeated or missing columns are refused by name."""
     head = spark.read.text(path).limit(1).collect()
-    names = [n.strip().strip('"').lstrip("﻿") for n in head[0][0].split(",")] if head else []
+    names = [n.strip() for n in next(csv.reader([head[0][0].lstrip("﻿")]))] if head else []
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise ValueError(f"repeated columns: {', '.join(twice)}")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -42,35 +43,97 @@ def test_near_pairs_match_brute_force(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [0.0] * 8)], "i long, v array<double>")
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.98}
-    assert {(x.a, x.b) for x in S.near_duplicate_pairs(rows, "i", "v", 0.98, blocks=3).collect()} == want and want
-    best = {x.i: x for x in S.max_similarity(rows.where("i < 10"), rows.where("i >= 10 and i < 60"), "i", "v").collect()}
+    assert {(x.a, x.b) for x in S.near_duplicate_pairs(rows, "i", "v", 0.98, block_rows=20).collect()} == want and want
+    best = {x.i: x for x in S.max_similarity(rows.where("i < 10"), rows.where("i >= 10 and i < 60"), "i", "v", block_rows=7).collect()}
     assert all(best[i].reference == 10 + int((v[i] @ v[10:].T).argmax()) for i in range(10))
+    other = {x.i: x.reference for x in S.max_similarity(rows.where("i < 5"), rows.where("i < 60"), "i", "v", block_rows=9, others=True).collect()}
+    assert all(other[i] == max((j for j in range(60) if j != i), key=lambda j, i=i: v[i] @ v[j]) for i in range(5))
     none = S.max_similarity(rows.where("i < 2"), rows.where("i < 0"), "i", "v").collect()
     assert {(x.best, x.reference) for x in none} == {(-1.0, None)}
 
 
+def greedy_rule(vectors, version):
+    """The greedy rule in plain Python: group -> counts by label."""
+    total = {}
+    for v in vectors.values():
+        for k, n in v.items():
+            total[k] = total.get(k, 0) + n
+    have, out = {k: [0, 0, 0] for k in total}, {}
+    for g in sorted(vectors, key=lambda g: hashlib.sha256(f"{version}|split|{g}".encode()).hexdigest()):
+        short = [sum(n * ((f * total[k] - have[k][i]) / (f * total[k])) for k, n in sorted(vectors[g].items())) for i, (_, f) in enumerate(G.FRACTIONS)]
+        at = short.index(max(short))
+        for k, n in vectors[g].items():
+            have[k][at] += n
+        out[g] = G.FRACTIONS[at][0]
+    return out
+
+
 def test_splits(spark):
-    groups = spark.createDataFrame([(f"g{i}", "a" if i % 3 else "b", i % 4 + 1) for i in range(200)], "g string, l string, n long")
-    got = {x.g: x.split for x in G.greedy_split(groups, "g", "l", "n", "v").collect()}
-    for label in "ab":
-        rows = [(x.g, x.n) for x in groups.collect() if x.l == label]
-        assert {g: got[g] for g, _ in rows} == G.greedy_reference(rows, "v")
-    share = {x.split: x.n for x in G.quota_split(groups, "g", "n", "l", "v").join(groups.select("g", "n"), "g").groupBy("split").agg(F.sum("n").alias("n")).collect()}
+    rows = [(f"g{i}", "a" if i % 3 else "b", i % 4 + 1) for i in range(200)] + [(f"g{i}", "c", 2) for i in range(0, 200, 40)] + [(f"h{i}", "d", 1) for i in range(20)]
+    groups = spark.createDataFrame(rows, "g string, l string, n long")
+    vectors = {}
+    for g, l, n in rows:
+        vectors.setdefault(g, {})[l] = n
+    assert {x.g: x.split for x in G.greedy_split(groups, "g", "l", "n", "v").collect()} == greedy_rule(vectors, "v")
+    one = groups.where("l in ('a', 'b')")
+    share = {x.split: x.n for x in G.quota_split(one, "g", "n", "l", "v").join(one.select("g", "n"), "g").groupBy("split").agg(F.sum("n").alias("n")).collect()}
     assert abs(share["train"] / 500 - 0.6) < 0.05
     assert G.group_leakage(spark.createDataFrame([("g1", "train"), ("g1", "test"), ("g2", "val")], "g string, s string"), "g", "s").collect() == [("g1", "test,train")]
 
 
+def test_ranks_inside_a_class(spark):
+    rows = spark.range(300).selectExpr("id", "id % 3 AS c", "sha2(cast(cast(id AS string) AS binary), 256) AS k")
+    got = {x.id: x._rank for x in G.ranked_within(rows, "c", "k").collect()}
+    keys = {x.id: (x.c, x.k) for x in rows.collect()}
+    assert all(got[i] == sum(c == keys[i][0] and k < keys[i][1] for c, k in keys.values()) for i in range(0, 300, 7))
+
+
 def test_fraction_split_sizes(spark):
     rows = spark.createDataFrame([(i, "a" if i < 6 else "b") for i in range(8)], "i long, c string")
     n = {(x.c, x.split): x["count"] for x in G.stratified_fraction_split(rows, "i", "c", 1).groupBy("c", "split").count().collect()}
     assert n == {("a", "train"): 4, ("a", "val"): 1, ("a", "test"): 1, ("b", "train"): 2}
+    copies = spark.createDataFrame([(i, "a", str(i % 6)) for i in range(9)], "i long, c string, d string")
+    once = G.stratified_fraction_split(copies, "i", "c", 1, digest="d")
+    assert sorted(x.i for x in once.collect()) == [0, 1, 2, 3, 4, 5] and G.fraction_split_refusals(once).count() == 0
+    few = G.stratified_fraction_split(spark.createDataFrame([(i, str(i)) for i in range(6)], "i long, c string"), "i", "c", 1)
+    assert [x.message for x in G.fraction_split_refusals(few).collect()] == ["the split leaves no test item: a caption needs three or more items"]
+    three = G.stratified_fraction_split(spark.createDataFrame([(i, "a") for i in range(5)], "i long, c string"), "i", "c", 1)
+    assert [x.message for x in G.fraction_split_refusals(three).collect()] == ["the split leaves 3 training items (minimum 4)"]
+    assert [x.message for x in G.fixed_split_refusals(spark.createDataFrame([("a",)] * 9, "l string"), "l").collect()] == ["only 9 items; 10 are needed"]
 
 
 def test_records(spark):
-    rows = spark.createDataFrame([("r1", " x ", 640, 480), ("r2", None, 640, 480), ("r3", " ", 640, 480), ("r4", "x", 200, 200), ("r5", "x", 640, 480), ("r5", "x", 640, 480)], "id string, caption string, w int, h int")
-    clean, bad = R.validate_records(rows, "id", "caption", "w", "h")
-    assert [(x.id, x.caption) for x in clean.collect()] == [("r1", "x")]
-    assert {(x.key, x.rule) for x in R.first_refusal(bad).collect()} == {("r2", "caption"), ("r3", "caption"), ("r4", "side"), ("r5", "unique_id")}
+    rows = [("r1", " x\n", 640, 480, "i"), ("r2", None, 640, 480, "i"), ("r3", "\t ", 640, 480, "i"), ("r4", "x", 200, 200, "i"), ("r5", "x", 640, 480, "i"), ("r5", "x", 640, 480, "i"), ("r6", "x", 640, 480, None), ("  ", "x" + " " * 1000, 640, 480, "i"), (" ", "x", 300, 300, "i")]
+    df = spark.createDataFrame(rows, "id string, caption string, w int, h int, image string")
+    clean, bad = R.validate_records(df, "id", "caption", "w", "h", "image")
+    assert {(x.id, x.caption) for x in clean.collect()} == {("r1", "x"), (" ", "x")}
+    assert {(x.key, x.rule) for x in R.first_refusal(bad).collect()} == {("r2", "caption"), ("r3", "caption"), ("r4", "side"), ("r5", "unique_id"), ("r6", "image"), ("  ", "caption")}
+    assert R.count_refusal(df).count() == 0 and R.count_refusal(df.limit(3)).first().message == "3 records; 4 to 2000 are required"
+    assert R.count_refusal(df.limit(0), "prompts", 1, None).count() == 1
+    report = R.dataset_report(df, "caption", "w", "h", ["id", "image", "caption"]).first()
+    assert report.n_records == 9 and len(report.digest) == 64
+
+
+def test_user_manifests_and_class_sets(spark):
+    listing = spark.createDataFrame([("a.jpg",), ("b.jpg",), ("c.jpg",)], "path string")
+    kinds = "image_id string, path string, class string, `group` string"
+    good = [("-ok.1", "a.jpg", "normal", ""), ("x" * 128, "b.jpg", "dent", "s-1"), ("z", "c.jpg", "stain", None)]
+    assert R.validate_user_manifest(spark.createDataFrame(good, kinds), listing).count() == 0
+    bad = [("a b", "a.jpg", "normal", ""), ("y" * 129, "b.jpg", "dent", "g g"), ("w", "x\\c.jpg", "dent", "")]
+    got = {(x.key and x.key[:3], x.rule) for x in R.validate_user_manifest(spark.createDataFrame(bad, kinds), listing).collect()}
+    assert got == {("a b", "id"), ("yyy", "id"), ("yyy", "group"), ("w", "path"), ("w", "exists"), (None, "class_set")}
+    assert {x.rule for x in R.validate_user_manifest(spark.createDataFrame([], kinds), listing).collect()} == {"empty"}
+    assert "is required" in R.class_set_refusal(spark.createDataFrame([("a",), ("b",)], "c string"), "c").first().message
+
+
+def test_artifacts_and_identity(spark):
+    files = spark.createDataFrame([("w.bin", 3, "aa"), ("c.json", 4, "bb")], "path string, bytes long, sha256 string")
+    now = spark.createDataFrame([("w.bin", 3, "ab"), ("extra", 1, "cc")], "path string, bytes long, sha256 string")
+    classes = spark.createDataFrame([("normal", 0), ("dent", 2), ("dent", 3)], "class string, class_index int")
+    got = {tuple(x) for x in R.check_artifact(files, now, classes).collect()}
+    assert got == {("file", "w.bin", "different"), ("file", "c.json", "missing"), ("file", "extra", "unexpected"), ("class", "dent", "repeated"), ("class_index", "1", "missing"), ("class_index", "3", "unexpected")}
+    m = spark.createDataFrame([("m", "r1", "s")], "modelId string, revision string, staging_repo string")
+    assert [tuple(x) for x in R.verify_identity(m, {"modelId": "m", "revision": "r2", "staging_repo": "s"}).collect()] == [("revision", "r2", "r1")]
 
 
 def test_archive_entries(spark):
@@ -129,6 +192,23 @@ def test_verdicts(spark):
     assert claim((0.1, 0.2), (0.1, 0.3), spark.createDataFrame([("insufficient",)], "support string")) == "withheld"
 
 
+def test_resampled_auprc_and_claims(spark):
+    rng = np.random.default_rng(3)
+    true, s = rng.integers(0, 3, 40), rng.integers(0, 6, (40, 3)) / 5
+    rows = [(a, 1, i, f"g{i // 3}", int(true[i]), int(true[i]), (s[i] + (0.2 if a == "C" else 0.0) * (np.arange(3) == true[i])).tolist()) for a in "BC" for i in range(40)]
+    p = spark.createDataFrame(rows, "arm string, seed int, item long, `group` string, `true` long, pred long, scores array<double>")
+    draws = M.bootstrap_draws(M.group_strata(p), 7, 1).cache()
+    got = {(x.arm, x.resample): x.macro_auprc for x in M.resampled_auprc(p, draws, block=3).collect()}
+    for r in (0, 3, 6):
+        again = p.join(draws.where(f"resample = {r}"), "group")
+        want = {x.arm: x.macro_auprc for x in M.macro_auprc(M.average_precision(again, weight="multiplicity")).collect()}
+        assert all(abs(got[a, r] - want[a]) < 1e-12 for a in "BC")
+    contrast = spark.createDataFrame([("macro_auprc", 0.1, 0.2)], "metric string, low double, high double")
+    per = spark.createDataFrame([("B", 1, 0.1, 3), ("C", 1, 0.2, 4)], "arm string, seed int, macro_f1 double, flagged_defects long")
+    level = lambda claim: [x.level for x in M.claim_table(per, contrast, spark.createDataFrame([(claim,)], "claim string"), per, "C", "B").orderBy("ord").collect()]
+    assert level("better")[2] == "above zero" and level("withheld")[2] == "withheld"
+
+
 def test_decomposition_sums_to_the_macro_change(spark):
     rows = [(a, s, c, f) for s in (1, 2) for a, fs in (("B", (0.1, 0.5, 0.3)), ("C", (0.4, 0.2, 0.9))) for c, f in enumerate(fs)]
     d = M.f1_decomposition(spark.createDataFrame(rows, "arm string, seed int, cls long, f1 double"), "C", "B")
@@ -167,3 +247,14 @@ def test_frozen_records(spark):
     assert {x.name: x.status for x in K.verify_frozen(frozen, now).collect()} == {"a": "ok", "b": "input changed", "c": "input missing"}
     changed = frozen.withColumn("bytes", F.col("bytes") + 1)
     assert {x.status for x in K.verify_frozen(changed, now).collect()} == {"record modified"}
+
+
+def test_digests_tell_columns_apart(spark):
+    one, two, null = (spark.createDataFrame([r], "a string, b string") for r in (("a|b", "c"), ("a", "b|c"), ("a|b|c", None)))
+    empty = spark.createDataFrame([("a|b|c", "")], "a string, b string")
+    assert len({K.dataset_digest(x, ["a", "b"]).first().digest for x in (one, two, null, empty)}) == 4
+
+
+def test_replay_notices_missing_keys(spark):
+    a = spark.createDataFrame([(1, 0.5, "x"), (2, 0.5, "y")], "k long, v double, d string")
+    assert K.replay_check(a, a, "k", "v", "d").first().passed and not K.replay_check(a, a.limit(1), "k", "v", "d").first().passed

@@ -8,12 +8,12 @@ from shardloom.sources import files as A
 from shardloom.streaming import streams as Z
 
 
-def png(width, height, value=None):
+def png(width, height, value=None, depth=8):
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     rows = b"".join(b"\0" + bytes((value if value is not None else (x * 7 + y * 3) % 256) for x in range(width)) for y in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
 def test_images_are_rows_even_when_broken(spark, tmp_path):
@@ -24,6 +24,9 @@ def test_images_are_rows_even_when_broken(spark, tmp_path):
     assert {k: v.decode_ok for k, v in got.items()} == {"a.png": True, "b.png": False, "c.png": False}
     assert got["a.png"].pixel_sha256 and got["a.png"].mode == "L" and got["a.png"].width == 80
     assert A.high_bit_depth(spark, str(tmp_path)).count() == 0
+    (tmp_path / "d.png").write_bytes(png(80, 70, depth=16))
+    with pytest.raises(ValueError, match="more than 8 bits"):
+        A.scan_images(spark, str(tmp_path))
 
 
 def test_signatures(spark, tmp_path):
@@ -40,11 +43,15 @@ def test_zip_members(spark, tmp_path):
     (tmp_path / "b.zip").write_bytes(b"broken")
     got = {(x.name, x.size) for x in A.scan_zip_members(spark, str(tmp_path)).collect()}
     assert got == {("d/x.txt", 5), (None, None)}
+    read = lambda **limits: {x.name: x.content for x in A.scan_zip_members(spark, str(tmp_path), content=True, **limits).collect()}
+    assert read()["d/x.txt"] == b"hello" and read(max_member=4)["d/x.txt"] is None and read(max_total=4)["d/x.txt"] is None and read(max_entries=0)["d/x.txt"] is None
 
 
 def test_manifest_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿id , file,caption\n a ,x.jpg,\n")
     assert A.read_manifest_csv(spark, str(tmp_path / "m.csv"), ["id", "file"]).first().asDict() == {"id": "a", "file": "x.jpg", "caption": ""}
+    quoted = A.read_manifest_csv(spark, _write(tmp_path, "q.csv", 'id,"file, or path"\n1,x\n'), ["id"])
+    assert quoted.columns == ["id", "file, or path"] and quoted.first()[1] == "x"
     (tmp_path / "n.csv").write_text("id,id\n1,2\n")
     with pytest.raises(ValueError, match="repeated columns: id"):
         A.read_manifest_csv(spark, str(tmp_path / "n.csv"), ["id"])
