@@ -6,14 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.training_order import new_table
+from shardloom.operators.graph import written
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage, and survives lost executors."""
-    path = new_table(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+__all__ = ["bit_filter", "components", "is_set", "written"]
 
 
 def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:

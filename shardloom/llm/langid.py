@@ -5,7 +5,7 @@ x_c = SCALE * (share of the text's n-grams in column c) * idf_c.  The weights ar
 follow-the-regularised-leader (proximal, per coordinate) with an elastic net, so most are exactly 0;
 a temperature fitted on rows set aside then calibrates the probabilities.
 
-Training reads at most `max_rows` rows (the smallest hashes of the id) in one task.  Because x is
+Training reads at most `max_rows` rows (the smallest hashes of the id) and `max_bytes` of their texts in one task.  Because x is
 linear in the n-gram counts, scoring adds one weight row per n-gram and never builds a feature vector.
 """
 
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
-from shardloom.llm.toxicity import held_out
+from shardloom.llm.toxicity import bounded, held_out
 
 SCALE = 30.0
+ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 
 
@@ -38,9 +39,34 @@ class LangModel:
     orders: tuple[int, ...]
 
 
-def gram_columns(column: pa.Array, bits: int, orders: tuple[int, ...]):
-    """For each n-gram order the column numbers in row order, and the rows' cuts into them."""
+#: Bytes of a text that are turned into n-grams at once.
+PART = 1 << 20
+
+
+def gram_parts(column: pa.Array):
+    """(first row, bytes, offsets, code points after each row that only complete its n-grams): rows together up to PART bytes, longer texts in parts."""
     buf, off = tn.text_bytes(column)
+    i, n = 0, len(column)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + PART, side="right")) - 1)
+        if off[j] - off[i] <= PART or j > i + 1:
+            yield i, buf[off[i] : off[j]], off[i : j + 1] - off[i], 0
+        else:
+            a, end = int(off[i]), int(off[j])
+            while a < end:
+                # A part ends before a code point; what follows it completes its last n-grams.
+                starts = a + PART + np.flatnonzero((buf[a + PART : min(end, a + PART + 64)] & 0xC0) != 0x80)
+                b = int(starts[0]) if len(starts) else end
+                after = starts[1 : max(ORDERS)]
+                stop = int(after[-1]) if len(after) == max(ORDERS) - 1 else end
+                own = buf[a:stop]
+                yield i, own, np.array([0, len(own)]), int(((buf[b:stop] & 0xC0) != 0x80).sum())
+                a = b
+        i = j
+
+
+def gram_columns(buf: np.ndarray, off: np.ndarray, bits: int, orders: tuple[int, ...], beyond: int = 0):
+    """For each n-gram order the column numbers in row order, and the rows' cuts into them; no n-gram starts in the last `beyond` code points."""
     buf = tn.lower(buf)
     prefix = tn.prefix_hash(buf)
     start = np.flatnonzero((buf & 0xC0) != 0x80)
@@ -48,13 +74,13 @@ def gram_columns(column: pa.Array, bits: int, orders: tuple[int, ...]):
     first = np.searchsorted(start, off)
     count = np.diff(first)
     for n in orders:
-        have = np.maximum(count - n + 1, 0)
+        have = np.maximum(np.minimum(count - n + 1, count - beyond), 0)
         cut = np.concatenate(([0], np.cumsum(have)))
         if cut[-1]:
             last = len(start) - n + 1
             h = tn.span_hash(prefix, start[:last], edge[n : n + last])
             inside = np.ones(last, bool)
-            for a, b in ((first[1:] - k, first[1:]) for k in range(1, n)):
+            for a, b in ((first[1:] - k, first[1:]) for k in range(1, max(n, beyond + 1))):
                 bad = a[(a >= 0) & (a < b) & (a < last)]
                 inside[bad] = False
             yield (h[inside] >> tn.U64(64 - bits)).astype(np.int64), cut
@@ -67,12 +93,18 @@ def _features(texts: pa.Array, bits: int, orders: tuple[int, ...]):
     table = pa.table({"t": texts}).combine_chunks()
     rows, cols, share, at = [], [], [], 0
     for part in tn.slices(table.to_batches(), "t"):
-        code = []
+        keys, counts = [], []
         total = np.zeros(part.num_rows)
-        for c, cut in gram_columns(part.column(0), bits, orders):
-            code.append((np.repeat(np.arange(part.num_rows), np.diff(cut)) << bits) + c)
-            total += np.diff(cut)
-        u, n = np.unique(np.concatenate(code), return_counts=True)
+        for i, buf, off, beyond in gram_parts(part.column(0)):
+            code = []
+            for c, cut in gram_columns(buf, off, bits, orders, beyond):
+                code.append((np.repeat(np.arange(i, i + len(off) - 1), np.diff(cut)) << bits) + c)
+                total[i : i + len(off) - 1] += np.diff(cut)
+            u, n = np.unique(np.concatenate(code), return_counts=True)
+            keys.append(u)
+            counts.append(n)
+        u, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate(counts), minlength=len(u))
         r = u >> bits
         rows.append(r + at)
         cols.append(u & ((1 << bits) - 1))
@@ -81,7 +113,7 @@ def _features(texts: pa.Array, bits: int, orders: tuple[int, ...]):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(share)
 
 
-def fit_rows(texts: pa.Array, langs: list[str], *, bits: int = 16, orders: tuple[int, ...] = (1, 2, 3), epochs: int = 4,
+def fit_rows(texts: pa.Array, langs: list[str], *, bits: int = 16, orders: tuple[int, ...] = ORDERS, epochs: int = 4,
              alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, batch_rows: int = 32, seed: int = 11) -> LangModel:
     """FTRL over mini-batches of four fifths of the rows; the temperature comes from the last fifth."""
     classes = sorted(set(langs))
@@ -144,19 +176,23 @@ def fit_rows(texts: pa.Array, langs: list[str], *, bits: int = 16, orders: tuple
     return LangModel(classes, (SCALE * idf[:, None] * w).astype(np.float32), bias, float(temperature), bits, orders)
 
 
-def train(docs: DataFrame, *, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> LangModel:
-    """Fit on at most `max_rows` rows with a language; empty and null texts and null languages are skipped."""
+def train(docs: DataFrame, *, max_rows: int = 3000, max_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> LangModel:
+    """Fit on at most `max_rows` rows with a language; empty and null texts and null languages are skipped.
+
+    A repeated id gives one row (the smallest text and language).  Rows are taken in order of the id's hash until their texts reach `max_bytes`.
+    """
     tn.ship_code(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     picked = (
-        known.where("l is not null and k is not null").select("k", "l").orderBy(F.xxhash64("k"), "k", "l").limit(max_rows)
-    ).distinct()
+        known.where("l is not null and k is not null").groupBy("k").agg(F.min("l").alias("l")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
+    )
     sample = (
-        known.where("length(t) > 0").join(F.broadcast(picked), ["k", "l"]).repartition(1).sortWithinPartitions("k", "l", "t").select("t", "l")
+        known.where("length(t) > 0").join(F.broadcast(picked), ["k", "l"]).groupBy("k", "l").agg(F.min("t").alias("t"))  # at most max_rows ids
+        .repartition(1).sortWithinPartitions(F.xxhash64("k"), "k").select("t", "l")
     )
 
     def fit_task(batches):
-        parts = list(batches)
+        parts = bounded(batches, "t", max_bytes)
         if parts:
             table = pa.Table.from_batches(parts)
             model = fit_rows(table.column("t").combine_chunks(), table.column("l").to_pylist(), **fit)
@@ -183,9 +219,11 @@ def identify(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_
             n = part.num_rows
             logits = np.zeros((n, len(model.classes)))
             total = np.zeros(n)
-            for cols, cut in gram_columns(part.column(2), model.bits, model.orders):
-                logits += tn.reduce_rows(model.weights[cols], cut)
-                total += np.diff(cut)
+            for i, buf, off, beyond in gram_parts(part.column(2)):
+                own = slice(i, i + len(off) - 1)
+                for cols, cut in gram_columns(buf, off, model.bits, model.orders, beyond):
+                    logits[own] += tn.reduce_rows(model.weights[cols], cut)
+                    total[own] += np.diff(cut)
             best, p = np.full(n, len(model.classes)), np.zeros(n)
             if model.classes:
                 s = (logits / np.maximum(total, 1)[:, None] + model.bias) / model.temperature

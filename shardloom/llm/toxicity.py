@@ -5,7 +5,7 @@ holds the word with hash i.  The pairwise part learns combinations (an insult be
 that additive weights miss.  The sum over pairs costs O(terms * rank) by the usual identity
     sum_{i<j} <v_i, v_j> = 1/2 * sum_f ((sum_i v_if)^2 - sum_i v_if^2).
 
-Training reads at most `max_rows` labelled rows (those with the smallest hash of the id), in one
+Training reads at most `max_rows` labelled rows (those with the smallest hash of the id) and `max_bytes` of their texts, in one
 task; terms in fewer than `min_df` of them are left out.  Scoring is a map over whole texts.
 """
 
@@ -47,11 +47,12 @@ def distinct_terms(rows: np.ndarray, terms: np.ndarray, n_rows: int, n_terms: in
 
 
 def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int = 15, rate: float = 0.1,
-             l1: float = 5e-3, l1_pairs: float = 1e-3, min_df: int = 4, batch_rows: int = 128, seed: int = 7) -> FactorModel:
+             l1: float = 5e-3, l1_pairs: float = 1e-3, unit_rows: int = 3200, min_df: int = 4, batch_rows: int = 128, seed: int = 7) -> FactorModel:
     """Mini-batch AdaGrad on the logistic loss, classes weighted equally, then a proximal step: l1 on each
     linear weight, so terms without evidence end at exactly 0, and l1_pairs on the norm of each pairwise vector.
     `epochs` passes fit the linear weights alone, as many more both parts: the vectors learn what is left.  Their
     gradient is a sum of vectors, so once all are 0 none comes back, and l1_pairs is small.
+    Both penalties are those of `unit_rows` rows and shrink with the root of the rows, as the noise of the gradients does.
     No rows: a model that scores 0."""
     table = pa.table({"t": texts}).combine_chunks()
     rows, hashes, at = [], [], 0
@@ -76,8 +77,8 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int
     first = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     m = FactorModel(all_keys[kept], np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), rank)), 0.0)
-    few = max(1.0, 2000 / n)  # few rows: only strong evidence counts
-    l1, l1_pairs = l1 * few, l1_pairs * few
+    noise = (unit_rows / n) ** 0.5
+    l1, l1_pairs = l1 * noise, l1_pairs * noise
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     gw, gv, g0 = np.full(len(kept), 1e-4), np.full((len(kept), rank), 1e-4), 1e-4
     for epoch in range(2 * epochs):
@@ -109,30 +110,46 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, *, rank: int = 4, epochs: int
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text",
+def bounded(batches, text: str, max_bytes: int) -> list:
+    """The batches up to the row whose text goes beyond `max_bytes` in all."""
+    parts, left = [], max_bytes
+    for batch in batches:
+        size = np.cumsum(np.diff(tn.text_bytes(batch.column(batch.schema.get_field_index(text)))[1]))
+        n = int(np.searchsorted(size, left, side="right"))
+        parts.append(batch.slice(0, n))
+        if n < batch.num_rows:
+            break
+        left -= int(size[-1]) if n else 0
+    return [p for p in parts if p.num_rows]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, max_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", **fit) -> FactorModel:
     """Fit on at most `max_rows` rows of `labels` with a label 0 or 1.
 
     The ids come from a top-k over their hash, so the broadcast side and the training task are bounded
-    by `max_rows`.  Null labels and ids are skipped; null texts count as empty.
+    by `max_rows`; a repeated id gives one row (the smallest text and label).  Rows are taken in order of the hash until their texts reach
+    `max_bytes`.  Null labels and ids are skipped; null texts count as empty.
     """
     tn.ship_code(docs.sparkSession)
     picked = (
         labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
         .where("k is not null and y in (0, 1)")
+        .groupBy("k").agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("k"), "k", "y")
         .limit(max_rows)
     )
     sample = (
         docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-        .join(F.broadcast(picked), "k")
+        .join(F.broadcast(picked), "k")  # at most max_rows ids
+        .groupBy("k", "y").agg(F.min("t").alias("t"))
         .repartition(1)
-        .sortWithinPartitions("k", "y", "t")
+        .sortWithinPartitions(F.xxhash64("k"), "k")
         .select("t", "y")
     )
 
     def fit_task(batches):
-        parts = list(batches)
+        parts = bounded(batches, "t", max_bytes)
         if not parts:
             return
         table = pa.Table.from_batches(parts)

@@ -6,7 +6,7 @@ and every sequence gets a slot of the training order:
 * sequences are numbered 0 .. n - 1 without gaps: a task's rows count up from the sum over the tasks before it;
 * a keyed Feistel network permutes the numbers below the next power of 4; a result of n or more is put
   through the network again until it falls below n (cycle-walking), which makes a permutation of 0 .. n - 1;
-* slots are range-partitioned into shards of `shard_slots` slots.  A shard is one run of bytes with a fixed stride
+* slots are range-partitioned into shards of `shard_slots` slots.  A shard is one file with a fixed stride
   of `2 * length` (16-bit ids, padded with `end_id`), so slot s is at byte (s % shard_slots) * stride of shard
   s // shard_slots, and a reader resumes anywhere without an index.
 
@@ -17,14 +17,19 @@ executor can't renumber them.
 from __future__ import annotations
 
 import base64
+import os
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shardloom.llm import textnp as tn
+from shardloom.operators.graph import shared_path, written
 
 ROUNDS = 6
 
@@ -47,23 +52,6 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where there is none."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to is None:
-        import tempfile
-
-        set_to = "file://" + tempfile.mkdtemp(prefix="shardloom-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
-
-
-def new_table(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def byte_pair_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -127,53 +115,90 @@ def assign_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
     return sequences.mapInArrow(task, slot_schema), total
 
 
-def write_shards(sequences: DataFrame, total: int, path: str, *, length: int, pad_id: int, shard_slots: int) -> None:
-    """Write sequences (slot, ids) as a Parquet table of shards: shard, first_slot, n_slots, stride, data."""
+def shard_file(path: str, shard: int) -> str:
+    return f"{path.rstrip('/')}/shard-{shard:09d}.bin"
+
+
+def write_shards(sequences: DataFrame, total: int, path: str, *, length: int, pad_id: int, shard_slots: int) -> DataFrame:
+    """Write sequences (slot, ids) as files of `shard_slots` slots of 2 * length bytes; return their manifest (a written table).
+
+    The manifest has shard, first_slot, n_slots, stride, bytes, crc32 and file.  A file is written under another name and then moved to
+    its own, so a task that is tried again leaves the same file and no reader meets half of one.  `path` is a folder that Arrow's file
+    systems and Spark both know (file, hdfs, s3, ...).
+    """
     shards = max(1, -(-total // shard_slots))
     stride = 2 * length
     pad = np.uint16(pad_id).tobytes()
 
     def task(batches):
+        fs, _ = pa_fs.FileSystem.from_uri(path)
         held: list[bytes] = []
         shard = -1
 
-        def closed():
-            data = b"".join(held)
+        def finished():
+            data, name = b"".join(held), shard_file(path, shard)
+            _, target = pa_fs.FileSystem.from_uri(name)
+            draft = f"{target}.{uuid.uuid4().hex}"
+            fs.create_dir(os.path.dirname(target), recursive=True)
+            with fs.open_output_stream(draft) as f:
+                f.write(data)
+            fs.move(draft, target)
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard]), "first_slot": pa.array([shard * shard_slots]), "n_slots": pa.array([len(held)]), "stride": pa.array([stride]), "data": tn.binary([data]),
+                "shard": pa.array([shard]), "first_slot": pa.array([shard * shard_slots]), "n_slots": pa.array([len(held)]), "stride": pa.array([stride]), "bytes": pa.array([len(data)]), "crc32": pa.array([zlib.crc32(data)]), "file": pa.array([name]),
             })
 
         for batch in batches:
             for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if s // shard_slots != shard:
                     if held:
-                        yield closed()
+                        yield finished()
                     held, shard = [], s // shard_slots
                 held.append(x + pad * (length - len(x) // 2))
         if held:
-            yield closed()
+            yield finished()
 
     # Shard numbers spread over tasks in order; a shard's slots are together and sorted.
     ranged = (
         sequences.select("slot", "ids").withColumn("_shard", F.floor(F.col("slot") / shard_slots))
-        .repartitionByRange(min(shards, 4096), "_shard").sortWithinPartitions("slot").select("slot", "ids")
+        .repartitionByRange(max(min(shards, 4096), -(-shards // 64)), "_shard").sortWithinPartitions("slot").select("slot", "ids")
     )
-    ranged.mapInArrow(task, "shard long, first_slot long, n_slots long, stride long, data binary").write.option("compression", "zstd").parquet(path)
+    kinds = "shard long, first_slot long, n_slots long, stride long, bytes long, crc32 long, file string"
+    return written(ranged.mapInArrow(task, kinds), "manifest")
 
 
-def read_slots(shards: DataFrame, first: int, last: int) -> DataFrame:
-    """Rows slot, ids (16-bit ids with padding) for first <= slot < last; only the shards of the range are read."""
-    n = F.greatest(F.lit(0), F.least(F.col("n_slots"), F.lit(last) - F.col("first_slot")))
-    begin = F.greatest(F.lit(0), F.lit(first) - F.col("first_slot"))
-    picked = shards.where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("n_slots") > first))
-    rows = picked.select("first_slot", "stride", "data", F.explode(F.sequence(begin, n - 1)).alias("_i"))
-    return rows.select((F.col("first_slot") + F.col("_i")).alias("slot"), F.expr("substring(data, cast(_i * stride + 1 as int), cast(stride as int))").alias("ids"))
+def read_slots(spark: SparkSession, path: str, first: int, last: int, *, length: int, shard_slots: int) -> DataFrame:
+    """Rows slot, ids (16-bit ids with padding) for first <= slot < last, slots beyond the end left out.
+
+    Each shard of the range is one task's seek and sequential read; nothing else is read.
+    """
+    stride = 2 * length
+    tn.ship_code(spark)
+
+    def task(batches):
+        fs, _ = pa_fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                _, target = pa_fs.FileSystem.from_uri(shard_file(path, shard))
+                if fs.get_file_info(target).type == pa_fs.FileType.NotFound:
+                    continue
+                base = shard * shard_slots
+                lo, hi = max(first, base), min(last, base + shard_slots)
+                with fs.open_input_file(target) as f:
+                    data = f.read_at((hi - lo) * stride, (lo - base) * stride)
+                n = len(data) // stride
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), tn.binary([data[i * stride : (i + 1) * stride] for i in range(n)])], names=["slot", "ids"])
+
+    return spark.range(first // shard_slots, -(-last // shard_slots)).mapInArrow(task, "slot long, ids binary")
 
 
 def materialise(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: str, *, length: int = 512, end_id: int = 50256, key: int = 1, shard_slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards to `path`; return the order: slot, id, chunk, n_tokens, crc32 of the ids, shard, byte offset."""
+    """Write the shards to `path`; return the order: slot, id, chunk, n_tokens, crc32 of the ids, shard, byte offset in the shard's file.
+
+    Null and empty texts give one sequence, the end token alone; ids may be null or repeated, every row has sequences of its own.  Other
+    columns are dropped.
+    """
     spark = docs.sparkSession
-    table = new_table(spark, "sequences")
+    table = shared_path(spark, "sequences")
     tokenise(docs, ranks, pattern, length=length, end_id=end_id, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(table)
     slotted, total = assign_slots(spark.read.parquet(table), key)
     write_shards(slotted, total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
@@ -183,11 +208,10 @@ def materialise(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: st
     )
 
 
-
 def query(spark, sf_dir: str, folder: str = "/opt/tokenizers") -> DataFrame:
     """The training order of all documents; the shards go to the shared folder."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = new_table(spark, "shards")
+    path = shared_path(spark, "shards")
     return materialise(docs, path, byte_pair_ranks(f"{folder}/byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from shardloom.llm import training_order as T
 
@@ -16,22 +15,25 @@ def test_feistel_is_a_keyed_permutation():
 def test_shards_give_back_every_text(spark, tmp_path):
     texts = [("a", "x" * 25), ("b", ""), ("c", None), ("d", "hello"), ("d", "hello")]
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in texts], "doc_id string, text string, slot int, part int")
-    order = T.materialise(docs, str(tmp_path / "s"), RANKS, r"[\s\S]", length=8, end_id=300, shard_slots=3)
+    path = f"file://{tmp_path}/s"
+    order = T.materialise(docs, path, RANKS, r"[\s\S]", length=8, end_id=300, shard_slots=3)
     rows = order.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and len(rows) == 4 + 1 + 1 + 1 + 1
-    shards = spark.read.parquet(str(tmp_path / "s"))
-    assert shards.agg(F.sum("n_slots")).first()[0] == len(rows)
-    found = {r.slot: np.frombuffer(bytes(r.ids), "<u2").tolist() for r in T.read_slots(shards, 0, len(rows)).collect()}
+    files = sorted((tmp_path / "s").glob("*"))
+    assert [f.name for f in files] == ["shard-000000000.bin", "shard-000000001.bin", "shard-000000002.bin"] and [f.stat().st_size for f in files] == [48, 48, 32]
+    read = lambda a, b: T.read_slots(spark, path, a, b, length=8, shard_slots=3).collect()
+    found = {r.slot: np.frombuffer(bytes(r.ids), "<u2").tolist() for r in read(0, len(rows))}
+    assert all(files[r.shard].read_bytes()[r.byte_offset : r.byte_offset + 16] == np.array(found[r.slot], "<u2").tobytes() for r in rows) and len(found) == len(rows)
     assert all(len(v) == 8 for v in found.values())
     pieces = {}
     for r in rows:
         pieces.setdefault(r.doc_id, {}).setdefault(r.chunk, found[r.slot][: r.n_tokens])
     text = lambda k: bytes(x for c in sorted(pieces[k]) for x in pieces[k][c] if x < 256).decode()
     assert {k: text(k) for k in "abcd"} == {"a": "x" * 25, "b": "", "c": "", "d": "hello"}
-    part = T.read_slots(shards, 2, 5).collect()
-    assert {r.slot for r in part} == {2, 3, 4} and all(np.frombuffer(bytes(r.ids), "<u2").tolist() == found[r.slot] for r in part)
+    part = read(2, 5)
+    assert {r.slot for r in part} == {2, 3, 4} and {r.slot for r in read(6, 99)} == {6, 7} and all(np.frombuffer(bytes(r.ids), "<u2").tolist() == found[r.slot] for r in part)
 
 
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert T.materialise(docs, str(tmp_path / "s"), RANKS, r"[\s\S]", length=8, end_id=300).count() == 0
+    assert T.materialise(docs, f"file://{tmp_path}/s", RANKS, r"[\s\S]", length=8, end_id=300).count() == 0
