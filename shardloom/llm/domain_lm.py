@@ -10,8 +10,8 @@ neither model has seen it.
 
 Counts are taken over every token of every text and grow with the corpus.  Texts are dealt into chunks of about CHUNK_BYTES; a chunk
 sends each range of keys its own counts, once for each distinct key.  A range adds them up and
-answers every chunk with the sums of the keys it sent, in the same order.  There are as many ranges as chunks, so a range's rows
-have about the size of a chunk; a frequent word or pair is one number for each chunk.
+answers every chunk with the sums of the keys it sent, in the same order.  How many chunks and ranges there are follows from the input, so a range's rows
+have one size; a frequent word or pair is one number for each chunk.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from shardloom.llm.graph import bit_filter, is_set, written
 
 MIX = 0.4
 #: Text bytes of a chunk, and of the input for each range of keys.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 
 
 def _keys(column: pa.Array):
@@ -73,9 +73,10 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
 
 
-def _parts(source: DataFrame) -> int:
+def _parts(source: DataFrame) -> tuple[int, int]:
+    """How many chunks and ranges."""
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    return max(1, -(-total // CHUNK_BYTES))
+    return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // RANGE_BYTES))
 
 
 def _flagged(source: DataFrame, target: DataFrame, id_type: str, filter_bits: int) -> DataFrame:
@@ -108,9 +109,9 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     tn.ship_code(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    parts = _parts(plain)
+    chunks, ranges = _parts(plain)
     # A chunk is known by its rows, not their order; equal rows of different splits of the input go to different chunks.
-    dealt = plain.withColumn("_chunk", F.pmod(F.xxhash64("id", "_text", F.spark_partition_id()), F.lit(parts)).cast("long"))
+    dealt = plain.withColumn("_chunk", F.pmod(F.xxhash64("id", "_text", F.spark_partition_id()), F.lit(chunks)).cast("long"))
     dealt = _flagged(dealt, target, id_type, filter_bits)
 
     def count_task(key, batches):
@@ -123,7 +124,7 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
             found.append((u, np.stack((np.bincount(at[own], minlength=len(u)), np.bincount(at, minlength=len(u))), 1)))
         keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
         keys, n = _sums(keys, np.concatenate([v for _, v in found]) if found else np.zeros((0, 2), np.int64))
-        cut = _cuts(keys, parts)
+        cut = _cuts(keys, ranges)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             at = slice(cut[k], cut[k + 1])
             t, b = (np.ascontiguousarray(n[at, c]) for c in (0, 1))

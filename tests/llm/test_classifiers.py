@@ -127,6 +127,7 @@ def test_losses_match_a_plain_count(spark, monkeypatch):
     r = random.Random(2)
     many = [(i, " ".join(f"w{min(r.randrange(300), r.randrange(300))}" for _ in range(r.randint(0, 60)))) for i in range(120)]
     monkeypatch.setattr(domain_lm, "CHUNK_BYTES", 1500)  # several chunks and ranges
+    monkeypatch.setattr(domain_lm, "RANGE_BYTES", 2500)
     check_losses(spark, many, [i for i in range(120) if i % 3 == 0])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert domain_lm.score(empty, empty.select("doc_id")).count() == 0
