@@ -302,7 +302,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
     so_far = written(components(by_id(near)), "components")
 
     # Lists whose sets are not all connected yet.
-    placed = long.join(first, "key").join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # One row for each set with its long lists (at most its prefix) meets the components.
+    held = long.groupBy("key", "n").agg(F.collect_list(F.struct("token", "size")).alias("_lists"))
+    placed = held.join(first, "key").join(so_far, "id", "left").select("key", "n", F.coalesce("component", "id").alias("component"), F.inline("_lists"))
     per_list = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.sum("n").alias("_tokens"))
     blocks = F.greatest(F.ceil(F.col("size") / block_sets), F.ceil(F.col("_tokens") / block_tokens)).cast("long")
     dealt = placed.join(per_list.where("_lo <> _hi"), "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
