@@ -40,5 +40,22 @@ def test_pipeline(spark, tmp_path):
     text = {x.doc_id: (x.text, x.n_chars) for x in kept["pii"]}
     assert text[1002] == ("call me on [PHONE] or [EMAIL]", 29) and text[clean[9]][0] == base[clean[9]]
     vocabulary = pieces.load(corpus_pipeline.PIECES)
-    back = {x.doc_id: x.text for x in pieces.decode(spark.createDataFrame(kept["pieces"], "doc_id long, part long, ids array<int>"), vocabulary).collect()}
+    back = {x.doc_id: x.text for x in pieces.decode(spark.createDataFrame(kept["pieces"], "doc_id long, part long, ids array<int>, row long"), vocabulary).collect()}
     assert all(back[k] == (t or "") for k, (t, _) in text.items())
+
+
+def test_pipeline_of_repeated_rows_clashing_columns_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long, doc string, c0 string, part int, row int, n long, key string"
+    rest = (0.5, 7, "d", "c", 1, 2, 3, "k")
+    rows = [(1, "one two three four five six", "en", "s", 1, *rest)] * 3 + [(None, "one two three four five six", None, None, None, *rest), (2, "One two three four five six", "en", "s", 1, *rest), (3, None, "en", "s", 1, *rest)]
+    for name, documents in (("full", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(documents, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 0)] if documents else [], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for name_of, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(stage(spark, docs, d), name_of)
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        assert sorted((x.doc_id for x in docs.collect()), key=str) == ([1, 1, 1, 3, None] if documents else [])
+        assert corpus_pipeline.run(spark, d).count() == (5 if documents else 0)
