@@ -40,6 +40,8 @@ def connected_components(items: DataFrame, item: str, links: DataFrame, rounds:
     smallest neighbour comes from a partial aggregation, so a hub is not gathered in one task.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    known = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -47,9 +49,8 @@ def connected_components(items: DataFrame, item: str, links: DataFrame, rounds:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, after)]
-        edges = after
-        if tuple(state[0]) == tuple(state[1]):
+        edges, before, known = after, known, state(after)
+        if known == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.vectors import dot, l2_normalise, mean_vector
+from shardloom.operators.similarity import max_similarity
 
 
 def score_generations(items: DataFrame, prompts: DataFrame, references: DataFrame, item: str, caption: str, vector: str) -> DataFrame:
     """item, caption, own (cosine x 100 with its own prompt), nearest (prompt of the highest cosine), label_ok, reference
     (cosine x 100 with the normalised mean reference vector of its caption, null without one).
 
-    prompts: caption, vector, one row for each distinct caption; they are few, and Spark picks the join.
+    prompts: caption, vector, one row for each distinct caption.  The nearest prompt is searched in pairs of blocks of items and
+    prompts (`max_similarity`), so neither side is gathered; ties go to the smaller caption.
     """
     i = items.select(item, F.col(caption).alias("_own"), l2_normalise(F.col(vector)).alias("_v"))
     p = prompts.select(F.col(caption).alias("_caption"), l2_normalise(F.col(vector)).alias("_p"))
-    packed = F.broadcast(p.agg(F.collect_list(F.struct("_caption", "_p")).alias("_all")))
-    scored = i.join(packed).select(item, "_own", "_v", F.transform("_all", lambda x: F.struct(x["_caption"].alias("c"), F.round(100 * dot(F.col("_v"), x["_p"]), 6).alias("s"))).alias("_s"))
-    best = F.array_sort(F.transform("_s", lambda x: F.struct((-x["s"]).alias("s"), x["c"].alias("c"))))[0]["c"]
-    own = F.try_element_at(F.transform(F.filter("_s", lambda x: x["c"] == F.col("_own")), lambda x: x["s"]), F.lit(1))
+    near = max_similarity(
+        i.select(F.col(item).alias("_i"), F.transform("_v", lambda x: 100 * x).alias("_x")), p.select(F.col("_caption").alias("_i"), F.col("_p").alias("_x")), "_i", "_x"
+    ).select(F.col("_i").alias(item), F.col("reference").alias("nearest"))
     unit = references.select(caption, l2_normalise(F.col(vector)).alias("_u"))
     means = mean_vector(unit, [caption], "_u", "_m").select(F.col(caption).alias("_own"), l2_normalise(F.col("_m")).alias("_m"))
-    return scored.withColumns({"_own_score": own, "_best": best}).join(means, "_own", "left").select(
-        item, F.col("_own").alias(caption), F.col("_own_score").alias("own"), F.col("_best").alias("nearest"), (F.col("_best") == F.col("_own")).alias("label_ok"),
-        F.round(100 * dot(F.col("_v"), F.col("_m")), 6).alias("reference"),
+    scored = i.join(p, F.col("_own") == F.col("_caption"), "left").join(means, "_own", "left").join(near, item, "left")
+    score = lambda c: F.round(100 * dot(F.col("_v"), F.col(c)), 6)
+    return scored.select(
+        item, F.col("_own").alias(caption), score("_p").alias("own"), "nearest", (F.col("nearest") == F.col("_own")).alias("label_ok"), score("_m").alias("reference"),
     )
 
 
