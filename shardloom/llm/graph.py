@@ -40,6 +40,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
 
     links = links.where(F.col(a) != F.col(b))
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    known = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = smallest(both).select("u", F.least("u", "m").alias("m"))
@@ -47,9 +49,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         m = smallest(large)
         tied = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(tied.unionByName(m.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, after)]
-        edges = after
-        if tuple(state[0]) == tuple(state[1]):
+        edges, before, known = after, known, state(after)
+        if known == before:
             break
     else:
         raise RuntimeError("components did not settle")
