@@ -152,3 +152,38 @@ def test_default_parameters_learn_what_no_additive_model_can():
     alive = int((np.abs(model.v).sum(axis=1) > 0).sum())
     assert alive >= 2, f"{alive} of {len(model.v)} vectors are not 0"
     assert ((model.raw(terms, first) >= 0) == (labels == 1)).mean() > 0.95
+
+
+def test_equal_probabilities_take_the_first_language_and_one_half_is_toxic(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "abc"), (2, "1 2"), (3, None), (None, "abc"), (1, "abc")], "doc_id long, text string")
+    flat = langid.LangModel(["aa", "bb"], np.zeros((1 << 8, 2), np.float32), np.zeros(2), 1.0, 8, (1, 2, 3))
+    got = sorted(map(tuple, langid.identify(docs, flat).collect()), key=repr)
+    assert got == sorted([(1, "aa", 0.5), (1, "aa", 0.5), (None, "aa", 0.5), (2, "und", 0.0), (3, "und", 0.0)], key=repr)
+    even = toxicity.FactorModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 4)), 0.0)
+    assert {r.score for r in toxicity.score(docs, even).collect()} == {0.5} and toxicity.drop_toxic(docs, even).count() == 0
+
+
+def test_long_texts_in_parts_have_the_same_features(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["añb c", None, "", "xyz", "é" * 50 + "ab c" * 30 + "日本語" * 20, "ab"])
+
+    def features():
+        row, column, share = langid._features(texts, 12, langid.ORDERS)
+        return sorted(zip(row.tolist(), column.tolist(), np.round(share, 12).tolist(), strict=True))
+
+    whole = features()
+    for size in (40, 7):
+        monkeypatch.setattr(langid, "PART", size)
+        assert features() == whole
+
+
+def test_samples_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"t": ["x" * 10, "y" * 10]}), pa.RecordBatch.from_pydict({"t": ["z" * 10]})]
+    count = lambda limit: sum(b.num_rows for b in toxicity.bounded(iter(batches), "t", limit))
+    assert [count(n) for n in (0, 9, 10, 25, 30, 99)] == [0, 0, 1, 2, 3, 3]
