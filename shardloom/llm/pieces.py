@@ -37,7 +37,9 @@ LOW = -(1 << 50)
 #: Texts with more characters than GIANT are cut into chunks of CHUNK characters, and those dealt into runs of FAN.
 GIANT, CHUNK, FAN = 32768, 8192, 64
 #: Stretches of at most SHORT bytes are solved together; a task remembers about MEMORY solved ones.
-SHORT, MEMORY = 48, 600_000
+SHORT, MEMORY = 48, 400_000
+#: Bytes of ordinary texts that are encoded at once.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -373,7 +375,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
 
     def small_task(batches):
         enc = Encoder(vocabulary)
-        for part in tn.slices(batches, "_text"):
+        for part in tn.slices(batches, "_text", SLICE):
             ids, cuts = enc.encode_rows(part.column(1))
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.zeros(part.num_rows, np.int64)), lists, pa.nulls(part.num_rows, pa.int64())], names=[id_col, "part", "ids", "row"])
@@ -466,6 +468,8 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
             value = product(np.frombuffer(m, np.int64).reshape(w, w), value)
         return table.select(["row", "run"]).append_column("entry", tn.binary(out))
 
+    held: list[Encoder] = []  # one for all runs of a task
+
     def entries(chunk: pa.Table, before: pa.Table) -> pa.Table:
         chunk = chunk.sort_by("part")
         value, entry = np.frombuffer(before.column("entry")[0].as_py(), np.int64).reshape(w, 1), []
@@ -474,7 +478,7 @@ def _encode_giant(source: DataFrame, vocabulary: Vocabulary, id_col: str, id_typ
             value = product(np.frombuffer(m, np.int64).reshape(w, w), value)
         # For each number of characters (0 .. w - 1) that the next chunk's first piece takes from this
         # chunk, how many characters this chunk's first piece takes from the chunk before.
-        enc = Encoder(vocabulary)
+        enc = held[0] if held else held.append(Encoder(vocabulary)) or held[0]
         closed = chunk.column("closed").to_numpy()
         score, first, _ = enc.chunks(list(zip(chunk.column("head").to_pylist(), chunk.column("halo").to_pylist(), strict=True)))
         back = enc.forward(score, first, np.stack([np.frombuffer(e, np.int64) for e in entry]))[1]
@@ -616,7 +620,7 @@ def report(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", t
 
     def both_task(batches):
         enc = Encoder(vocabulary)
-        for part in tn.slices(batches, "_text"):
+        for part in tn.slices(batches, "_text", SLICE):
             ids, cuts = enc.encode_rows(part.column(1))
             raw, first = enc.decode(ids, cuts)
             buf, off = tn.text_bytes(part.column(1))
