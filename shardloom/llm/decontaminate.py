@@ -162,6 +162,7 @@ def _overlaps(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, ite
 
     by_doc = hits.groupBy("doc", F.floor(F.col("diagonal") / BLOCK).alias("_block")).agg(F.collect_list(F.struct("name", "size", "diagonal")).alias("found"))
     cuts = by_doc.join(texts.select("doc", "words").dropDuplicates(["doc"]), "doc").select("doc", "words", "found").mapInArrow(cut_task, "doc binary, name binary, diagonal long, lo long, own binary")
+    cuts = written(cuts, "cuts")  # few rows; a task then runs one Python step at a time
 
     def compare_task(batches):
         for batch in batches:
