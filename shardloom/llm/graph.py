@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shardloom.operators.graph import written
 
-__all__ = ["bit_filter", "components", "is_set", "written"]
+__all__ = ["bit_filter", "bits_for", "components", "is_set", "written"]
 
 
 def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -22,6 +22,11 @@ def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def bits_for(keys: int, least: int = 24, most: int = 28) -> int:
+    """Bits of a filter with about 8 bits for each key: 2 MB at least, 32 MB at most, whatever the number of keys."""
+    return min(most, max(least, (8 * keys).bit_length()))
+
+
 def is_set(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     s = (keys & np.uint64(len(words) * 64 - 1)).astype(np.int64)
     return (words.view(np.uint64)[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

@@ -6,7 +6,7 @@ Sharding.  In every window of LENGTH bytes the smallest hash of a K-byte gram (l
 marks an anchor; it depends on the window's bytes alone, so equal windows have equal anchors at the same place.
 Consecutive windows with one anchor make a context, about a quarter of LENGTH windows long.  Contexts of one
 anchor gram form a shard: whatever repeats, repeats inside a shard.  Anchors that occur once are dropped
-first (a bit filter of fixed size, then exact counts); equal contexts, by a 128-bit digest of their bytes, are one
+first (a bit filter of bounded size, then exact counts); equal contexts, by a 128-bit digest of their bytes, are one
 context with a count.
 
 Shards.  The contexts of a task's shards are joined into lanes of similar length, whose suffix arrays are induced
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
-from shardloom.llm.graph import bit_filter, is_set, written
+from shardloom.llm.graph import bit_filter, bits_for, is_set, written
 from shardloom.llm.induced import repeated, suffix_arrays
 
 LENGTH, K, SPLIT = 200, 48, 16
@@ -186,7 +186,7 @@ _COVER = "key long, piece binary, runs array<struct<a:int,b:int>>"
 _PIECES = "key long, piece binary, n long, uid long, windows int, lead int, up_key long, up_piece binary, skip int, data binary"
 
 
-def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, filter_bits: int) -> DataFrame:
+def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, filter_bits: int | None) -> DataFrame:
     """Rows key, piece, runs: which windows of each distinct piece repeat.
 
     pieces: written rows key (shard), piece (digest), n (how many rows it stands for), uid, windows, lead (anchor minus first window), data.
@@ -201,7 +201,7 @@ def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, fi
     mixed = known.where("different > 1 and least = 1")
     small, large = mixed.where(F.col("different") <= shard_contexts), mixed.where(F.col("different") > shard_contexts)
 
-    wanted = spark.sparkContext.broadcast(bit_filter(mixed, "uid", filter_bits))
+    wanted = spark.sparkContext.broadcast(bit_filter(mixed, "uid", filter_bits or bits_for(mixed.count())))
 
     def with_data(columns: list[str]) -> DataFrame:
         """One row with bytes for each piece of `mixed`, and perhaps a few that a fixed-size filter lets through."""
@@ -273,7 +273,7 @@ def row_keys(batch) -> list[bytes]:
     return [digest(str(i).encode() + b"\0" + buf[a:b].tobytes()) for i, a, b in zip(ids, off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, filter_bits: int = 24, shard_contexts: int = 8) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, filter_bits: int | None = None, shard_contexts: int = 8) -> DataFrame:
     """Rows row_key (see `row_keys`), runs: for each text with repeated windows the runs (a, b) of their starts, byte offsets, b included.
 
     Texts shorter than `length`, null ones among them, have no windows.  Texts over SLICE bytes are taken in parts.
@@ -288,8 +288,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     counted = source.select("_text").mapInArrow(gram_task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    # The filter's size is fixed; a set bit too many costs only time.
-    sent = spark.sparkContext.broadcast(bit_filter(counted, "gram", filter_bits))
+    # The filter has a bound; a set bit too many costs only time.
+    counted = written(counted.select("gram"), "grams")
+    sent = spark.sparkContext.broadcast(bit_filter(counted, "gram", filter_bits or bits_for(counted.count())))
 
     def context_task(batches):
         held, names = None, None
