@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from shardloom.llm import textnp as tn
 from shardloom.llm.graph import written
 
-LEAF = 64
+LEAF, TOGETHER = 64, 2048
 
 
 class BallTree:
@@ -122,7 +122,8 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, to
                 done += scores.size
             continue
         ul, ur = bound(left, rows), bound(right, rows)
-        first = ul >= ur
+        # Above TOGETHER vectors each query goes to its better child first; below, a group stays together and follows its sum.
+        first = ul >= ur if hi - lo > TOGETHER else np.full(len(rows), ul.sum() >= ur.sum())
         # The stack is last in, first out: the preferred child of each group goes on last.
         for group, near, far, un, uf in ((first, left, right, ul, ur), (~first, right, left, ur, ul)):
             if group.any():
