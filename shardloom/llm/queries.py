@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardloom.llm import balltree, decontaminate, domain_lm, jaccard, langid, pieces, pii, repeats, toxicity, training_order, windows
+from shardloom.llm import balltree, decontaminate, domain_lm, jaccard, langid, pieces, pii, repeats, spelling, toxicity, training_order, windows
 
 QUERIES = {
     "op1_training_order": training_order.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_domain_lm": domain_lm.query,
     "op10_pieces": pieces.query,
+    "op12_spelling": spelling.query,
     "op13_windows": windows.query,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_jaccard": jaccard.ORACLE,
     "op6_topk": balltree.ORACLE,
     "op7_repeats": repeats.ORACLE,
+    "op12_spelling": spelling.ORACLE,
     "op13_windows": windows.ORACLE,
 }
