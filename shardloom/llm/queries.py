@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardloom.llm import balltree, decontaminate, domain_lm, jaccard, langid, pieces, pii, repeats, spelling, toxicity, training_order, windows
+from shardloom.llm import balltree, decontaminate, domain_lm, jaccard, langid, pieces, pii, repeats, spelling, toxicity, training_order, whitening, windows
 
 QUERIES = {
     "op1_training_order": training_order.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_domain_lm": domain_lm.query,
     "op10_pieces": pieces.query,
+    "op11_whitening": whitening.query,
     "op12_spelling": spelling.query,
     "op13_windows": windows.query,
 }
