@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shardloom.functions import expressions as X
 from shardloom.functions import vectors as V
 from shardloom.operators import grouping as G
+from shardloom.operators import heads as H
 from shardloom.operators import metrics as M
 from shardloom.operators import provenance as K
 from shardloom.operators import references as N
@@ -329,24 +330,24 @@ def g8(spark, d):
 
 
 _UPDATES = 30
-_SCHEDULE = f"""sizes AS (SELECT label::BIGINT AS cls, count(*) AS pool_size, count(*) FILTER (vec_id % 2 = 0 AND label > 0) AS synth_size FROM embeddings WHERE label < 3 GROUP BY 1),
-plan AS (SELECT u, c, 10 + CASE WHEN ((c - u) % 3 + 3) % 3 < 2 THEN 1 ELSE 0 END AS n FROM range({_UPDATES}) a(u), range(3) b(c)),
+_BASE, _EXTRA = divmod(32, CLASSES)
+_SCHEDULE = f"""sizes AS (SELECT label::BIGINT AS cls, count(*) AS pool_size, count(*) FILTER (vec_id % 2 = 0 AND label > 0) AS synth_size FROM embeddings GROUP BY 1),
+plan AS (SELECT u, c, {_BASE} + CASE WHEN ((c - u) % {CLASSES} + {CLASSES}) % {CLASSES} < {_EXTRA} THEN 1 ELSE 0 END AS n FROM range({_UPDATES}) a(u), range({CLASSES}) b(c)),
 placed AS (SELECT *, sum(n) OVER (PARTITION BY u ORDER BY c) - n AS before FROM plan),
-slots AS (SELECT u, c, u * 32 + before + k AS slot FROM placed, range(11) g(k) WHERE k < n),
+slots AS (SELECT u, c, u * 32 + before + k AS slot FROM placed, range({_BASE + 1}) g(k) WHERE k < n),
 schedule AS (SELECT seed, slot::BIGINT AS slot, u AS "update", c AS cls, floor({sql_draw("'real|' || seed || '|' || slot")} * pool_size)::BIGINT AS real_idx, floor({sql_draw("'view|' || seed || '|' || slot")} * 4)::BIGINT AS view,
   {sql_draw("'coin|' || seed || '|' || slot")} AS coin, floor({sql_draw("'synth|' || seed || '|' || slot")} * greatest(1, synth_size))::BIGINT AS synth_idx, synth_size
   FROM (SELECT u, c, slot::BIGINT AS slot, seed FROM slots, (VALUES (17), (29), (43)) s(seed)) x JOIN sizes ON sizes.cls = x.c)"""
 
 
-def _schedule(spark, d):
-    v = T.vectors(spark, d).where("label < 3")
+def _schedule(spark, v, updates=_UPDATES):
     sizes = v.groupBy(F.col("label").alias("cls")).agg(F.count(F.lit(1)).alias("pool_size"), F.count_if((F.col("vec_id") % 2 == 0) & (F.col("label") > 0)).alias("synth_size"))
-    return P.slot_schedule(spark, T.SEEDS, sizes, classes=3, updates=_UPDATES)
+    return P.slot_schedule(spark, T.SEEDS, sizes, classes=CLASSES, updates=updates)
 
 
 @query("g1_slot_schedule", f"WITH {_SCHEDULE} SELECT seed, slot, \"update\", cls, real_idx, view, round(coin, 9) AS coin, synth_idx FROM schedule")
 def g1(spark, d):
-    return _schedule(spark, d).select("seed", "slot", "update", "cls", "real_idx", "view", F.round("coin", 9).alias("coin"), "synth_idx")
+    return _schedule(spark, T.vectors(spark, d)).select("seed", "slot", "update", "cls", "real_idx", "view", F.round("coin", 9).alias("coin"), "synth_idx")
 
 
 _SOURCES = f"""{_SCHEDULE}, sources AS (SELECT seed, arm, slot, cls, syn AS synthetic, CASE WHEN syn THEN synth_idx ELSE real_idx END AS "index", CASE WHEN arm = 'A' THEN -1 ELSE view END::BIGINT AS view
@@ -355,28 +356,70 @@ _SOURCES = f"""{_SCHEDULE}, sources AS (SELECT seed, arm, slot, cls, syn AS synt
 
 @query("g2_arm_sources", f"WITH {_SOURCES} SELECT * FROM sources")
 def g2(spark, d):
-    return P.arm_sources(_schedule(spark, d))
+    return P.arm_sources(_schedule(spark, T.vectors(spark, d)))
 
 
 @query("g3_synthetic_share", f"WITH {_SOURCES} SELECT arm, round(avg(synthetic::INT), 6) AS overall, round(avg(synthetic::INT) FILTER (cls > 0), 6) AS defects FROM sources GROUP BY 1")
 def g3(spark, d):
-    return P.synthetic_share(P.arm_sources(_schedule(spark, d)))
+    return P.synthetic_share(P.arm_sources(_schedule(spark, T.vectors(spark, d))))
 
 
-def _features(spark, d):
-    """Pools of real vectors (views -1 to 3) and of synthetic ones (views 0 to 3), numbered within their class."""
-    v = T.vectors(spark, d).where("label < 3").select(F.col("label").alias("cls"), F.col("vec_id").alias("item"), F.col("vec_id").alias("rank"), "v")
+def _features(v):
+    """Pools of real vectors (views -1 to 3) and of synthetic ones (views 0 to 3), numbered within their class; a view stretches its vector."""
+    rows = v.select(F.col("label").alias("cls"), F.col("vec_id").alias("item"), F.col("vec_id").alias("rank"), "v")
+    stretched = lambda c: F.transform("v", lambda x: x * (1 + (c + 1) / 50.0))
     pool = lambda rows, synthetic, first: P.class_pools(rows, "item", "cls", "rank").join(rows.select("item", "v"), "item").select(
-        F.lit(synthetic).alias("synthetic"), "cls", "index", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(3).cast("long"))).alias("view"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("x")
-    )
-    return pool(v, False, -1).unionByName(pool(v.where("item % 2 = 0 and cls > 0"), True, 0))
+        F.lit(synthetic).alias("synthetic"), "cls", "index", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(3).cast("long"))).alias("view"), "v"
+    ).select("synthetic", "cls", "index", "view", stretched(F.col("view")).alias("vector"))
+    return pool(rows, False, -1).unionByName(pool(rows.where("item % 2 = 0 and cls > 0"), True, 0))
 
 
-@query("d5_slot_features", f"""WITH {_SOURCES}, pool AS (SELECT false AS synthetic, label AS cls, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, list_sum(embedding::DOUBLE[]) AS x FROM embeddings WHERE label < 3
-  UNION ALL SELECT true, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1, list_sum(embedding::DOUBLE[]) FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0)
-SELECT seed, arm, slot, round(x, 5) AS x FROM sources s JOIN pool p ON p.synthetic = s.synthetic AND p.cls = s.cls AND p.idx = s."index\"""")
+@query("d5_slot_features", f"""WITH {_SOURCES}, pool AS (SELECT false AS synthetic, label AS cls, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding::DOUBLE[] AS v FROM embeddings
+  UNION ALL SELECT true, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1, embedding::DOUBLE[] FROM embeddings WHERE label > 0 AND vec_id % 2 = 0)
+SELECT seed, arm, slot, unnest(range(64)) AS i, round(unnest(v) * (1 + (view + 1) / 50.0::DOUBLE), 5) + 0.0 AS x FROM sources s JOIN pool p ON p.synthetic = s.synthetic AND p.cls = s.cls AND p.idx = s."index\"""")
 def d5(spark, d):
-    return P.slot_features(P.arm_sources(_schedule(spark, d)), _features(spark, d)).select("seed", "arm", "slot", F.round("x", 5).alias("x"))
+    v = T.vectors(spark, d)
+    slots = P.slot_features(P.arm_sources(_schedule(spark, v)), _features(v))
+    return slots.select("seed", "arm", "slot", F.posexplode("vector").alias("i", "x")).select("seed", "arm", "slot", F.col("i").cast("long").alias("i"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+def _heads(spark, d):
+    """(heads of every epoch, their history, the vectors with splits): three arms and three seeds, 30 epochs of 32 updates."""
+    v = T.vectors(spark, d).withColumn("split", G.hash_split(F.col("vec_id").cast("string"), VERSION))
+    train = v.where("split = 'train'")
+    slots = P.slot_features(P.arm_sources(_schedule(spark, train, 30 * H.UPDATES_PER_EPOCH)), _features(train))
+    heads = H.fit_heads(slots, classes=CLASSES, size=64)
+    return heads, written(H.head_history(heads, v.where("split = 'val'"), "label", "v"), "history"), v
+
+
+@query("g4_matched_heads")
+def g4_heads(spark, d):
+    heads, history, _ = _heads(spark, d)
+    chosen = H.chosen_heads(heads, history)
+    return chosen.select("arm", "seed", "epoch", F.posexplode(F.arrays_zip("weights", "bias")).alias("cls", "h")).select("arm", "seed", "epoch", F.col("cls").cast("long").alias("cls"), "h.weights", "h.bias")
+
+
+@query("g4_head_history")
+def g4_history(spark, d):
+    return _heads(spark, d)[1]
+
+
+@query("g5_head_epochs")
+def g5_heads(spark, d):
+    return P.select_epoch(_heads(spark, d)[1], M.RUN, "val_macro_f1")
+
+
+@query("g6_head_export")
+def g6_heads(spark, d):
+    return P.select_export(P.select_epoch(_heads(spark, d)[1], M.RUN, "val_macro_f1"), T.SEEDS[0], "val_macro_f1")
+
+
+@query("h2_head_metrics")
+def h2_heads(spark, d):
+    heads, history, v = _heads(spark, d)
+    test = v.where("split = 'test'").select(F.col("vec_id").alias("item"), F.col("label").alias("true"), "v")
+    found = written(H.predict(H.chosen_heads(heads, history), test, ["item", "true"], "v"), "predictions")
+    return M.run_metrics(M.class_metrics(M.confusion(found, T.classes(spark)))).join(M.macro_auprc(M.average_precision(found)), M.RUN)
 
 
 @query("g4_fit_head")
