@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shardloom.functions.vectors import valid_vector
 from shardloom.operators import metrics as M
 from shardloom.operators.graph import written
+from shardloom.operators.shipping import ship_code
 from shardloom.operators.training import select_epoch
 
 RUN = ["seed", "arm"]
@@ -73,6 +74,7 @@ def fit_heads(
     Equal slots are ordered by their vectors, so the result doesn't depend on partitioning.  Slots without a valid vector or class
     are left out of their batch; a batch without slots is no update.  Loss is the mean over an epoch's updates, to 5 places.
     """
+    ship_code(slots.sparkSession)
     usable = slots.where(valid_vector(F.col("vector"), size) & F.col("cls").between(0, classes - 1))
     rows = usable.select(*RUN, F.col("slot").cast("long").alias("slot"), F.col("cls").cast("long").alias("cls"), F.col("vector").cast("array<double>").alias("vector"))
     runs = max(1, rows.select(*RUN).distinct().count())
@@ -143,6 +145,7 @@ def head_history(heads: DataFrame, validation: DataFrame, label: str = "label",
 
     A task counts (true, predicted) pairs of its rows for all heads; vectors leave no task.
     """
+    ship_code(heads.sparkSession)
     by = [*RUN, "epoch"]
     kinds = ", ".join(f"{c} {heads.schema[c].dataType.simpleString()}" for c in by)
     counts = heads.sparkSession.createDataFrame([], f"{kinds}, true long, pred long, n long")
@@ -184,6 +187,7 @@ def chosen_heads(heads: DataFrame, history: DataFrame) -> DataFrame:
 def predict(heads: DataFrame, rows: DataFrame, keep: list[str], vector: str = "vector") -> DataFrame:
     """arm, seed, the kept columns, pred and scores (softmax) of every row with a valid vector for each of the heads (one a run)."""
     spark = rows.sparkSession
+    ship_code(spark)
     kept = rows.select(*keep)
     run_kinds = ", ".join(f"{c} {heads.schema[c].dataType.simpleString()}" for c in RUN)
     types = [heads.select(c).limit(0).toArrow().schema.field(0).type for c in RUN]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _blocks(rows: DataFrame, block_rows: int) -> int:
-    return max(1, -(-rows.count() // block_rows))
+from shardloom.operators.cells import SAMPLE_ROWS, Cells, sample_of
+from shardloom.operators.graph import written
+from shardloom.operators.shipping import ship_code
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -17,53 +18,180 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def near_duplicate_pairs(rows: DataFrame, item: str, vector: str, threshold: float, *, block_rows: int = 4096) -> DataFrame:
+def _spread(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, each as often as `blocks` says, and 0, 1, .. within each."""
+    row = np.repeat(np.arange(len(blocks)), blocks)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+
+
+def _part(ids: pa.Array) -> np.ndarray:
+    """A number below 2**31 from each id."""
+    return (pd.util.hash_array(ids.to_numpy(zero_copy_only=False)) >> np.uint64(33)).astype(np.int64)
+
+
+def _cell_sizes(rows: DataFrame, cells: int, walk) -> tuple[np.ndarray, np.ndarray]:
+    """(own rows, guests) of every cell; `walk` gives (row, cell, guest) of vectors.  There are as many numbers as the tree has cells."""
+
+    def task(batches):
+        n = np.zeros(2 * cells, np.int64)
+        for batch in batches:
+            _, cell, guest = walk(_vectors(batch.column(0)))
+            n += np.bincount(2 * cell + guest, minlength=2 * cells)
+        yield pa.RecordBatch.from_pydict({"k": np.flatnonzero(n), "n": n[n > 0]})
+
+    out = np.zeros(2 * cells, np.int64)
+    for r in rows.mapInArrow(task, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
+    return out[::2], out[1::2]
+
+
+def _bounded(rows: DataFrame, tree: Cells) -> Cells:
+    """The tree with the boxes of all rows: as many numbers as it has cells and axes."""
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell, low, high = tree.boxes(_vectors(batch.column(0)))
+                n = low.shape[1]
+                yield pa.RecordBatch.from_pydict({"cell": np.repeat(cell, n), "i": np.tile(np.arange(n), len(cell)), "low": low.reshape(-1), "high": high.reshape(-1)})
+
+    axes = len(tree.axes) + 1
+    low, high = np.full((tree.count, axes), np.inf), np.full((tree.count, axes), -np.inf)
+    for r in rows.mapInArrow(task, "cell long, i long, low double, high double").groupBy("cell", "i").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[r.cell, r.i], high[r.cell, r.i] = r.low, r.high
+    return tree.bounded(low, high)
+
+
+def _known(rows: DataFrame):
+    """How many vectors (n) and their largest squared length (m)."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def near_duplicate_pairs(rows: DataFrame, item: str, vector: str, threshold: float, *, block_rows: int = 4096, sample_rows: int = SAMPLE_ROWS, report: dict | None = None) -> DataFrame:
     """Rows a, b, similarity for a < b with dot product >= threshold (5 places); zero vectors match nothing.
 
-    Vectors are unit length.  Blocks have about `block_rows` rows and each pair of blocks is one task, so a task holds two blocks whatever
-    the number of rows; equal vectors should be collapsed before (see `star_links`), only pairs that pass leave a task.
+    Vectors with a dot product of `threshold` are at most sqrt(2 m - 2 threshold) apart, m the largest squared length (1 for unit vectors), so each
+    is compared within its cell of a tree and visits only the cells that can hold a partner.  Vectors are written once.  A cell of more than `block_rows` rows is compared in pairs
+    of blocks, so a task holds two blocks whatever the number of rows.  Equal vectors should be collapsed before (see `star_links`); only pairs
+    that pass leave a task.  `report`, if given, gets rows, cells and compared (the share of all pairs).  A threshold of 0 or less is compared without pruning.
     """
-    dealt = rows.where(F.exists(vector, lambda x: x != 0))
-    blocks = _blocks(dealt, block_rows)
-    dealt = dealt.select(F.col(item).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_block"))
-    every = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "_id", "_v", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")
-    )
+    dealt = written(rows.where(F.exists(vector, lambda x: x != 0)).select(F.col(item).alias("_id"), F.col(vector).alias("_v")), "vectors")
+    ship_code(rows.sparkSession)
+    known = _known(dealt)
+    width = float(np.sqrt(max(2 * (known.m or 0) - 2 * threshold, 0)))
+    tree = _bounded(dealt.select("_v"), Cells.fit(sample_of(dealt, "_id", "_v", known.n, sample_rows), width))
+    own, guests = _cell_sizes(dealt.select("_v"), tree.count, lambda x: tree.meetings(x, width, once=True))
+    own_blocks, guest_blocks = -(-own // block_rows), -(-guests // block_rows)
+    if report is not None:
+        pairs = int(known.n) * (int(known.n) - 1) / 2
+        report |= {"rows": known.n, "cells": tree.count, "compared": float((own * (own - 1.0) / 2 + own * guests).sum() / pairs) if pairs else 0.0}
     kind = rows.schema[item].dataType.simpleString()
 
+    def deal(batches):
+        for batch in batches:
+            x = _vectors(batch.column(1))
+            row, cell, guest = tree.meetings(x, width, once=True)
+            # A row of its own cell meets each of its blocks of rows and of guests; a guest meets each block of rows.
+            block = _part(batch.column(0))[row] % np.where(guest, np.maximum(guest_blocks[cell], 1), own_blocks[cell])
+            at, k = _spread(np.where(guest, own_blocks[cell], own_blocks[cell] + guest_blocks[cell]))
+            row, cell, guest, block, n = row[at], cell[at], guest[at], block[at], own_blocks[cell[at]]
+            among = ~guest & (k < n)
+            i = np.where(guest, k, np.where(among, np.minimum(block, k), block))
+            j = np.where(guest, n + block, np.where(among, np.maximum(block, k), k))
+            # Of a pair of different blocks, the lower one is the left side; guests are always the right one.
+            right = guest | (among & (block > k))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(a.astype(np.int64)) for a in (cell, i, j)), pa.array(right)], names=["_id", "_v", "_cell", "_i", "_j", "_right"])
+
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-        block = table.column("_block").to_numpy()
-        left, right = (table.filter(pa.array(block == k)) for k in (i, j))
-        ids, other = left.column("_id").to_numpy(), right.column("_id").to_numpy()
+        right = table.column("_right").to_numpy(zero_copy_only=False).astype(bool)
+        same = table.column("_i")[0] == table.column("_j")[0]
+        left, other = (table, table) if same else (table.filter(pa.array(~right)), table.filter(pa.array(right)))
+        ids, names = left.column("_id").to_numpy(), other.column("_id").to_numpy()
         lo, hi, value = [ids[:0]], [ids[:0]], [np.zeros(0)]
-        if len(ids) and len(other):
-            own, m = _matrix(left.column("_v")), _matrix(right.column("_v")).T
+        if len(ids) and len(names):
+            x, m = _matrix(left.column("_v")), _matrix(other.column("_v")).T
             for a in range(0, len(ids), 512):
-                d = own[a : a + 512] @ m
-                x, y = np.nonzero(d >= threshold)
-                ok = ids[a + x] < other[y] if i == j else ids[a + x] != other[y]
-                x, y = x[ok], y[ok]
-                lo.append(np.minimum(ids[a + x], other[y]))
-                hi.append(np.maximum(ids[a + x], other[y]))
-                value.append(np.round(d[x, y], 5))
-        return pa.table({"a": np.concatenate(lo), "b": np.concatenate(hi), "similarity": np.concatenate(value)})
+                d = x[a : a + 512] @ m
+                p, q = np.nonzero(d >= threshold)
+                ok = ids[a + p] < names[q] if same else ids[a + p] != names[q]
+                p, q = p[ok], q[ok]
+                lo.append(np.minimum(ids[a + p], names[q]))
+                hi.append(np.maximum(ids[a + p], names[q]))
+                value.append(np.round(d[p, q], 5))
+        named = table.schema.field("_id").type
+        return pa.table({"a": pa.array(np.concatenate(lo), named), "b": pa.array(np.concatenate(hi), named), "similarity": np.concatenate(value)})
 
-    return every.groupBy("_i", "_j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    every = dealt.mapInArrow(deal, f"_id {kind}, _v array<double>, _cell long, _i long, _j long, _right boolean")
+    return every.groupBy("_cell", "_i", "_j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
-def max_similarity(queries: DataFrame, references: DataFrame, item: str, vector: str, *, block_rows: int = 4096, others: bool = False) -> DataFrame:
+def max_similarity(queries: DataFrame, references: DataFrame, item: str, vector: str, *, block_rows: int = 4096, others: bool = False, sample_rows: int = SAMPLE_ROWS, report: dict | None = None) -> DataFrame:
     """item, best, reference: the highest dot product and its reference (smallest id on ties); -1.0 and null without references.
 
-    With `others`, a query does not meet the reference with its own id.  Queries and references are dealt into blocks of about `block_rows`
-    rows; each pair of blocks is one task, and the block results meet per query.
+    With `others`, a query does not meet the reference with its own id.  References stay in their cells of a tree.  A query first meets one block of its own cell;
+    what it finds there bounds how far a better reference can be, and it visits only the blocks of cells within that distance.  A cell of more than
+    `block_rows` rows is several blocks.  `report`, if given, gets queries, references, cells and compared (the share of all pairs).
     """
     kind = references.schema[item].dataType.simpleString()
     own = queries.schema[item].dataType.simpleString()
-    n_q, n_r = _blocks(queries, block_rows), _blocks(references, block_rows)
-    dealt = lambda rows, n, name: rows.select(F.col(item).alias("_id"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(item), F.lit(n)).cast("int").alias(name))
-    q = dealt(queries, n_q, "_q").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    r = dealt(references, n_r, "_r").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q = queries.select(F.col(item).alias("_id"), F.col(vector).alias("_v"))
+    r = references.select(F.col(item).alias("_id"), F.col(vector).alias("_v"))
+    ship_code(queries.sparkSession)
+    known = _known(r)
+    tree = _bounded(r.select("_v"), Cells.fit(sample_of(r, "_id", "_v", known.n, sample_rows), 0.0))
+    sizes = _cell_sizes(r.select("_v"), tree.count, lambda x: (np.arange(len(x)), tree.homes(x), np.zeros(len(x), bool)))[0]
+    blocks = np.maximum(-(-sizes // block_rows), 1)
+    begin = np.cumsum(blocks) - blocks  # blocks of all cells in one row of numbers
+    largest = float(known.m or 0)
+
+    def first_block(batches):
+        for batch in batches:
+            cell = tree.homes(_vectors(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begin[cell] + _part(batch.column(0)) % blocks[cell])], names=["_id", "_v", "_block"])
+
+    def visits(batches):
+        for batch in batches:
+            x, found = _vectors(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            norm = (x * x).sum(axis=1)
+            # q.r = (|q|2 + |r|2 - |q - r|2) / 2, so a reference as good as the one found is within this width.
+            bound = np.sqrt(np.maximum(norm + largest - 2 * (found - 1e-6), 0))
+            row, cell, _ = tree.meetings(x, np.where(np.isnan(found), np.inf, bound), once=False)
+            at, k = _spread(blocks[cell])
+            row, cell = row[at], cell[at]
+            home = tree.homes(x)
+            new = begin[cell] + k != (begin[home] + _part(batch.column(0)) % blocks[home])[row]
+            row, cell, k = row[new], cell[new], k[new]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(begin[cell] + k)], names=["_id", "_v", "_block"])
+
+    def against(asking: DataFrame) -> DataFrame:
+        """The best reference of the blocks that the queries are sent to; of a block with many queries, references go to several tasks."""
+        parts = np.zeros(int(blocks.sum()), np.int64)
+        for row in asking.groupBy("_block").count().collect():
+            parts[row["_block"]] = -(-row["count"] // (4 * block_rows))
+
+        def ask(batches):
+            for batch in batches:
+                block = batch.column(2).to_numpy()
+                yield batch.append_column("_q", pa.array(_part(batch.column(0)) // 1024 % parts[block]))
+
+        def settle(batches):
+            for batch in batches:
+                cell = tree.homes(_vectors(batch.column(1)))
+                block = begin[cell] + _part(batch.column(0)) % blocks[cell]
+                row, k = _spread(parts[block])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(block[row]), pa.array(k)], names=["_id", "_v", "_block", "_q"])
+
+        keys = ["_block", "_q"]
+        left = asking.mapInArrow(ask, f"_id {own}, _v array<double>, _block long, _q long").groupBy(*keys)
+        right = r.mapInArrow(settle, f"_id {kind}, _v array<double>, _block long, _q long").groupBy(*keys)
+        return left.cogroup(right).applyInArrow(best, f"id {own}, best double, reference {kind}")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, refs = left.column("_id").to_numpy(), right.column("_id").to_numpy()
@@ -81,11 +209,21 @@ def max_similarity(queries: DataFrame, references: DataFrame, item: str, vector:
                 top.append(ids[a : a + 512][found])
                 value.append(d[np.arange(len(k)), k][found])
                 name.append(refs[k][found])
-        return pa.table({"id": np.concatenate(top), "best": np.concatenate(value), "reference": np.concatenate(name)})
-
-    found = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInArrow(best, f"id {own}, best double, reference {kind}")
-    top = found.groupBy("id").agg(F.min_by(F.struct("best", "reference"), F.struct(-F.col("best"), F.col("reference"))).alias("t"))
-    return queries.select(item).join(top, F.col(item) == F.col("id"), "left").select(item, F.coalesce("t.best", F.lit(-1.0)).alias("best"), F.col("t.reference").alias("reference"))
+        return pa.table({"id": pa.array(np.concatenate(top), left.schema.field("_id").type), "best": np.concatenate(value), "reference": pa.array(np.concatenate(name), right.schema.field("_id").type)})
+
+    top = lambda found: found.groupBy("id").agg(F.min_by(F.struct("best", "reference"), F.struct(-F.col("best"), F.col("reference"))).alias("t"))
+    where = f"_id {own}, _v array<double>, _block long"
+    first = written(top(against(q.mapInArrow(first_block, where))).select("id", "t.best", "t.reference"), "first")
+    onward = written(q.join(first.select(F.col("id").alias("_id"), "best"), "_id", "left").mapInArrow(visits, where), "onward")
+    if report is not None:
+        cell_of = np.repeat(np.arange(tree.count), blocks)
+        met = np.zeros(len(cell_of))
+        for row in onward.unionByName(q.mapInArrow(first_block, where)).groupBy("_block").count().collect():
+            met[row["_block"]] = row["count"]
+        asked = queries.count()
+        report |= {"queries": asked, "references": known.n, "cells": tree.count, "compared": float((met * (sizes / blocks)[cell_of]).sum() / max(asked * known.n, 1))}
+    found = top(first.unionByName(against(onward)))
+    return queries.select(item).join(found, F.col(item) == F.col("id"), "left").select(item, F.coalesce("t.best", F.lit(-1.0)).alias("best"), F.col("t.reference").alias("reference"))
 
 
 def overlap_audit(best: DataFrame, threshold: float) -> DataFrame:

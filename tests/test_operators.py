@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shardloom.operators import candidates as C
+from shardloom.operators import cells
 from shardloom.operators import grouping as G
 from shardloom.operators import metrics as M
 from shardloom.operators import provenance as K
@@ -52,6 +54,42 @@ def test_near_pairs_match_brute_force(spark):
     assert {(x.best, x.reference) for x in none} == {(-1.0, None)}
 
 
+@pytest.mark.parametrize("block_rows", [4096, 40])
+def test_cells_lose_no_pair_and_skip_most(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(cells, "LEAST_ROWS", 8)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    v = np.repeat(centres, 60, axis=0) + 0.25 * rng.normal(size=(720, 16))
+    v[:200] = centres[0] + 0.02 * rng.normal(size=(200, 16))  # a crowded cell
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[700:710] = v[700]
+    v[719] = 0
+    rows = spark.createDataFrame([(f"i{i:03d}", x.tolist()) for i, x in enumerate(v)], "i string, v array<double>")
+    s = v @ v.T
+    want = {(f"i{a:03d}", f"i{b:03d}"): round(s[a, b], 5) for a in range(720) for b in range(a + 1, 720) if s[a, b] >= 0.97}
+    report = {}
+    got = S.near_duplicate_pairs(rows, "i", "v", 0.97, block_rows=block_rows, sample_rows=400, report=report).collect()
+    assert {(x.a, x.b): x.similarity for x in got} == want and len(got) == len(want) > 20_000
+    assert report["cells"] > 5 and report["compared"] < 0.5
+    report = {}
+    best = {x.i: (x.best, x.reference) for x in S.max_similarity(rows, rows, "i", "v", block_rows=block_rows, others=True, sample_rows=400, report=report).collect()}
+    r = np.round(s, 6)
+    np.fill_diagonal(r, -np.inf)
+    assert best == {f"i{i:03d}": (r[i].max() + 0.0, f"i{int(r[i].argmax()):03d}") for i in range(720)}
+    assert report["compared"] < 0.6
+
+
+def test_vectors_of_any_length_are_not_pruned_away(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 4)) * rng.choice([0.2, 1.0, 5.0], size=(150, 1))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>")
+    s = v @ v.T
+    for t in (0.5, 10.0, -1.0):
+        want = {(a, b) for a in range(150) for b in range(a + 1, 150) if s[a, b] >= t}
+        assert {(x.a, x.b) for x in S.near_duplicate_pairs(rows, "i", "v", t, block_rows=30).collect()} == want
+    assert S.near_duplicate_pairs(rows.limit(0), "i", "v", 0.5).count() == 0 and S.max_similarity(rows.limit(0), rows, "i", "v").count() == 0
+
+
 def greedy_rule(vectors, version):
     """The greedy rule in plain Python: group -> counts by label."""
     total = {}
