@@ -8,27 +8,26 @@ a text's score is the mean over its tokens of the target's loss less the backgro
 the text is like the target.  A text's own occurrences are taken out of the counts that it is scored with, so
 neither model has seen it.
 
-Counts are taken over every token of every text and grow with the corpus.  Texts are dealt into chunks of about CHUNK_BYTES; a chunk
-sends each range of keys its own counts, once for each distinct key.  A range adds them up and
-answers every chunk with the sums of the keys it sent, in the same order.  How many chunks and ranges there are follows from the input, so a range's rows
-have one size; a frequent word or pair is one number for each chunk.
+Counts are taken over every token of every text and grow with the corpus.  Texts are packed into blocks of about BLOCK_BYTES, written once, so
+both passes meet the same blocks whatever cuts the input; a block sends each range of keys its own counts, once for each distinct key.  A range adds
+them up and answers every block with the sums of the keys it sent, in the same order.  How many blocks and ranges there are follows from the input,
+so a range's rows have one size; a frequent word or pair is one number for each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
+from shardloom.llm.blocks import packed, rows_of
 from shardloom.llm.graph import bit_filter, is_set, written
 
 MIX = 0.4
-#: Text bytes of a chunk, and of the input for each range of keys.
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+#: Text bytes of a block, and of the input for each range of keys.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 
 
 def _keys(column: pa.Array):
@@ -73,10 +72,8 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
 
 
-def _parts(source: DataFrame) -> tuple[int, int]:
-    """How many chunks and ranges."""
-    total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // RANGE_BYTES))
+def _ranges(source: DataFrame) -> int:
+    return max(1, -(-(source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // RANGE_BYTES))
 
 
 def _flagged(source: DataFrame, target: DataFrame, id_type: str, filter_bits: int) -> DataFrame:
@@ -84,17 +81,17 @@ def _flagged(source: DataFrame, target: DataFrame, id_type: str, filter_bits: in
     ids = target.select(F.col(target.columns[0]).cast(id_type).alias("id")).where("id is not null").distinct()
     sent = source.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("h")), "h", filter_bits))
     hashed = source.withColumn("_h", F.xxhash64("id"))
-    schema = f"id {id_type}, _text string, _chunk long"
+    schema = f"id {id_type}, _text string"
 
     def rows_that(hit):
         def task(batches):
             for batch in batches:
-                own = is_set(sent.value, batch.column(3).to_numpy().view(np.uint64)) == hit
-                yield batch.select(["id", "_text", "_chunk"]).filter(pa.array(own))
+                own = is_set(sent.value, batch.column(2).to_numpy().view(np.uint64)) == hit
+                yield batch.select(["id", "_text"]).filter(pa.array(own))
 
         return hashed.mapInArrow(task, schema)
 
-    near = rows_that(True).join(ids.withColumn("is_target", F.lit(True)).hint("shuffle_hash"), "id", "left").select("id", "_text", "_chunk", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    near = rows_that(True).join(ids.withColumn("is_target", F.lit(True)).hint("shuffle_hash"), "id", "left").select("id", "_text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     return near.unionByName(rows_that(False).withColumn("is_target", F.lit(False)))
 
 
@@ -109,14 +106,17 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     tn.ship_code(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    chunks, ranges = _parts(plain)
-    # A chunk is known by its rows, not their order; equal rows of different splits of the input go to different chunks.
-    dealt = plain.withColumn("_chunk", F.pmod(F.xxhash64("id", "_text", F.spark_partition_id()), F.lit(chunks)).cast("long"))
-    dealt = _flagged(dealt, target, id_type, filter_bits)
+    ranges = _ranges(plain)
+    blocks = packed(_flagged(plain, target, id_type, filter_bits), "_text", lambda rows: rows.num_rows, BLOCK_BYTES)
+
+    def count_task(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from counts_of(batch.column(0)[i].as_py(), rows_of(batch.column(1)[i]))
 
-    def count_task(key, batches):
+    def counts_of(block, rows):
         found = []
-        for part in tn.slices(batches, "_text"):
+        for part in tn.slices([rows], "_text"):
             words, word, pair = _keys(part.column("_text"))
             own = np.repeat(part.column("is_target").to_numpy(zero_copy_only=False).astype(bool), words.count)
             u, at = np.unique(np.concatenate((word, pair[pair > 0])), return_inverse=True)
@@ -128,7 +128,7 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
         for k in np.flatnonzero(np.diff(cut)).tolist():
             at = slice(cut[k], cut[k + 1])
             t, b = (np.ascontiguousarray(n[at, c]) for c in (0, 1))
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int64()), "range": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(keys[at])]), "t": tn.binary([_pack(t)]), "b": tn.binary([_pack(b)])})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "range": pa.array([k], pa.int64()), "keys": tn.binary([_pack_keys(keys[at])]), "t": tn.binary([_pack(t)]), "b": tn.binary([_pack(b)])})
 
     def answer_task(table: pa.Table) -> pa.Table:
         keys = [_unpack_keys(x) for x in table.column("keys")]
@@ -139,13 +139,16 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
         word = known & tn.U64(1) == 0
         first = np.arange(table.num_rows) == 0
         totals = {name: pa.array(np.where(first, int(x), 0)) for name, x in (("n_t", t[word].sum()), ("n_b", b[word].sum()), ("used", word.sum()))}
-        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "t": tn.binary([_pack(t[a]) for a in at]), "b": tn.binary([_pack(b[a]) for a in at]), **totals})
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "t": tn.binary([_pack(t[a]) for a in at]), "b": tn.binary([_pack(b[a]) for a in at]), **totals})
 
-    def score_task(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [(p, *_keys(p.column("_text"))) for p in tn.slices(texts.to_batches(), "_text")]
+    def score_task(own: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = rows_of(own.column("data")[0])
+        parts = [(p, *_keys(p.column("_text"))) for p in tn.slices([rows], "_text")]
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.concatenate((word, pair[pair > 0])) for _, _, word, pair in parts)]))
         order = np.argsort(answers.column("range").to_numpy()).tolist()
         n = [np.concatenate([np.zeros(0, np.int64), *(_unpack(answers.column(c)[i], np.int64) for i in order)]) for c in "tb"]
+        if len(n[0]) != len(keys):
+            raise ValueError("answers do not belong to this block")
         out = []
         for part, words, word, pair in parts:
             m = words.count
@@ -172,17 +175,15 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
             t, b = (np.where(none, np.nan, x / np.maximum(m, 1)) for x in loss)
             columns = [pa.array(x, pa.float64(), mask=none) for x in (t, b, t - b)]
             out.append(pa.RecordBatch.from_arrays([part.column("id"), pa.array(m, pa.int64()), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"]))
-        empty = pa.schema([texts.schema.field("id"), ("n_tokens", pa.int64()), *((x, pa.float64()) for x in ("target_loss", "background_loss", "score"))])
-        return pa.Table.from_batches(out) if out else empty.empty_table()
+        return pa.Table.from_batches(out)
 
-    count_task.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    counted = dealt.groupBy("_chunk").applyInArrow(count_task, "chunk long, range long, keys binary, t binary, b binary")
-    answers = written(counted.groupBy("range").applyInArrow(answer_task, "chunk long, range long, t binary, b binary, n_t long, n_b long, used long"), "answers")
+    counted = blocks.select("block", "data").mapInArrow(count_task, "block long, range long, keys binary, t binary, b binary")
+    answers = written(counted.groupBy("range").applyInArrow(answer_task, "block long, range long, t binary, b binary, n_t long, n_b long, used long"), "answers")
     sums = answers.agg(F.sum("n_t"), F.sum("n_b"), F.sum("used")).first()
     total, used = np.array([sums[0] or 0, sums[1] or 0], np.float64), float(sums[2] or 0)
     scale = np.where(total > 0, total[total > 0].min(initial=np.inf) / np.maximum(total, 1), 1.0)
     schema = f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double"
-    scored = dealt.groupBy("_chunk").cogroup(answers.select("chunk", "range", "t", "b").groupBy("chunk")).applyInArrow(score_task, schema)
+    scored = blocks.select("block", "data").groupBy("block").cogroup(answers.select("block", "range", "t", "b").groupBy("block")).applyInArrow(score_task, schema)
     return scored.withColumnRenamed("id", id_col)
 
 

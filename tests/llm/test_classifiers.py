@@ -126,13 +126,30 @@ def test_losses_match_a_plain_count(spark, monkeypatch):
     check_losses(spark, docs, [])
     r = random.Random(2)
     many = [(i, " ".join(f"w{min(r.randrange(300), r.randrange(300))}" for _ in range(r.randint(0, 60)))) for i in range(120)]
-    monkeypatch.setattr(domain_lm, "CHUNK_BYTES", 1500)  # several chunks and ranges
+    monkeypatch.setattr(domain_lm, "BLOCK_BYTES", 1500)  # several blocks and ranges
     monkeypatch.setattr(domain_lm, "RANGE_BYTES", 2500)
     check_losses(spark, many, [i for i in range(120) if i % 3 == 0])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert domain_lm.score(empty, empty.select("doc_id")).count() == 0
 
 
+def test_splits_of_the_input_between_counting_and_scoring_do_not_matter(spark, monkeypatch, tmp_path):
+    r = random.Random(5)
+    docs = [(i % 70, " ".join(f"w{r.randrange(80)}" for _ in range(r.randint(0, 50)))) for i in range(100)] + [(3, "w1 w2 w3")] * 40
+    target = list(range(0, 70, 4))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(domain_lm, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(domain_lm, "RANGE_BYTES", 2500)
+    plan = domain_lm.score(spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame([(k,) for k in target], "k long"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        got = sorted(map(tuple, plan.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted(plain_losses(docs, set(target)), key=repr)
+    assert len(got) == len(want) and all(abs((g[4] or 0) - ((w[2] or 0) - (w[3] or 0))) < 1e-9 and g[:2] == w[:2] for g, w in zip(got, want, strict=True))
+
+
 def test_default_parameters_learn_what_no_additive_model_can():
     """One of two words, but not both: additive weights get half of the rows right."""
     import numpy as np
