@@ -1,23 +1,24 @@
 """Training-order materialisation of token ids.
 
-Texts become token ids, texts are cut into sequences of at most `length` tokens (each text ends with `end_id`),
-and every sequence gets a slot of the training order:
+Texts become token ids, each text ends with `end_id`, and the texts, one after another, are cut into sequences of `length` tokens.  Every
+sequence gets a slot of the training order:
 
-* sequences are numbered 0 .. n - 1 without gaps: a task's rows count up from the sum over the tasks before it;
-* a keyed Feistel network permutes the numbers below the next power of 4; a result of n or more is put
+* texts stand in the order of a keyed hash of id and text (then id, text digest), whatever their partitions; a text's first token is
+  numbered by the tokens of all texts before it, from sums of sorted ranges;
+* a keyed Feistel network permutes the sequence numbers below the next power of 4; a result of n or more is put
   through the network again until it falls below n (cycle-walking), which makes a permutation of 0 .. n - 1;
 * slots are range-partitioned into shards of `shard_slots` slots.  A shard is one file with a fixed stride
-  of `2 * length` (16-bit ids, padded with `end_id`), so slot s is at byte (s % shard_slots) * stride of shard
-  s // shard_slots, and a reader resumes anywhere without an index.
+  of `2 * length` bytes (16-bit ids; the last sequence is padded with `end_id`), so slot s is at byte (s % shard_slots) * stride of the
+  file of shard s // shard_slots, and a reader resumes anywhere without an index.
 
-The tokens are written once (a table in the shared checkpoint folder) before they are numbered, so a lost
-executor can't renumber them.
+So the order depends on the rows and the key alone.  Tokens are written once (a table in the shared checkpoint folder).  A task that is tried again
+writes another file, and the manifest, which Spark commits, names the one that counts.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
 import uuid
 import zlib
 
@@ -26,7 +27,6 @@ import pyarrow as pa
 import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shardloom.llm import textnp as tn
 from shardloom.operators.graph import shared_path, written
@@ -57,11 +57,15 @@ def byte_pair_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows id, part, at, chunk, n_tokens, ids: the sequences of every text in order; ids are little-endian 16-bit.
+def text_key(key: int, name: str, digest: bytes) -> int:
+    """Where a text stands: a signed 64-bit hash of the key, the id as text and the text's digest."""
+    return int.from_bytes(hashlib.blake2b(name.encode() + b"|" + digest, digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
-    part and at number the sequences: at counts from 0 within a task's part.  Null and empty texts give one
-    sequence, the end token alone.
+
+def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, end_id: int, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows id, part, at (which tell rows apart), place, digest, n_tokens, ids: a text's 16-bit ids with the end token, compressed (a written table).
+
+    Null and empty texts are the end token alone.
     """
     tn.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
@@ -75,137 +79,178 @@ def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, length:
         codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})
         part, at = TaskContext.get().partitionId(), 0
         for batch in tn.slices(batches, "_text"):
-            rows, chunks, sizes, ids = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens = np.array([*codec.encode_ordinary(text or ""), end_id], np.uint16)
-                for c in range(0, len(tokens), length):
-                    cut = tokens[c : c + length]
-                    rows.append(i)
-                    chunks.append(c // length)
-                    sizes.append(len(cut))
-                    ids.append(cut.astype("<u2").tobytes())
-            n = len(rows)
+            n = batch.num_rows
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            places = [text_key(key, str(i), d) for i, d in zip(batch.column(0).to_pylist(), digests, strict=True)]
+            ids = [np.array([*codec.encode_ordinary(t), end_id], "<u2") for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n)), pa.array(chunks, pa.int64()), pa.array(sizes, pa.int64()), tn.binary(ids)],
-                names=[id_col, "part", "at", "chunk", "n_tokens", "ids"],
+                [
+                    batch.column(0), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n)), pa.array(places, pa.int64()), tn.binary(digests),
+                    pa.array([len(x) for x in ids], pa.int64()), tn.binary([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in ids]),
+                ],
+                names=[id_col, "part", "at", "place", "digest", "n_tokens", "ids"],
             )
             at += n
 
-    return source.mapInArrow(task, f"`{id_col}` {id_type}, part long, at long, chunk long, n_tokens long, ids binary")
+    return written(source.mapInArrow(task, f"`{id_col}` {id_type}, part long, at long, place long, digest binary, n_tokens long, ids binary"), "tokens")
 
 
-def assign_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """The sequences with a column slot, and how many there are.  `sequences` must be a written table."""
-    parts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row for each task that wrote sequences; their running sums number the parts.
-    base = parts.withColumn("_base", F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "_n", F.coalesce("_base", F.lit(0)).alias("_base"))
-    rows = base.collect()
-    total = sum(r._n for r in rows)
-    bases = {r.part: r._base for r in rows}
-    names = sequences.columns
-    slot_schema = sequences.select("*", F.lit(0).cast("long").alias("slot")).schema
+def token_numbers(tokens: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
+    """part, at and first (the number of the text's first token) of every text, and the number of all tokens.
+
+    Texts are sorted in ranges by place, id and digest; rows equal in all of them are the same text, so it doesn't matter which is first.
+    """
+    by = ["place", id_col, "digest", "part", "at"]
 
     def task(batches):
-        for batch in batches:
-            p, at = (batch.column(names.index(c)).to_numpy() for c in ("part", "at"))
-            u, inverse = np.unique(p, return_inverse=True)
-            number = at + np.array([bases[x] for x in u.tolist()], np.int64)[inverse]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(feistel(number, total, key))], names=[*names, "slot"])
+        from pyspark import TaskContext
 
-    return sequences.mapInArrow(task, slot_schema), total
+        span, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            before = total + np.cumsum(n) - n
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(len(n), span, np.int64)), pa.array(before)], names=["part", "at", "n_tokens", "span", "before"])
+
+    ordered = tokens.select("n_tokens", *by).repartitionByRange(*by).sortWithinPartitions(*by).select("part", "at", "n_tokens")
+    runs = written(ordered.mapInArrow(task, "part long, at long, n_tokens long, span long, before long"), "runs")
+    # One row for each range of the sort.
+    spans = sorted((r.span, r.n) for r in runs.groupBy("span").agg(F.sum("n_tokens").alias("n")).collect())
+    starts = np.cumsum([0, *(n for _, n in spans)]).tolist()
+    base = tokens.sparkSession.createDataFrame([(s, b) for (s, _), b in zip(spans, starts, strict=False)], "span long, base long")
+    return runs.join(F.broadcast(base), "span").select("part", "at", (F.col("base") + F.col("before")).alias("first")), starts[-1]
+
+
+def cut(tokens: DataFrame, first: DataFrame, total: int, key: int, *, length: int, id_col: str = "doc_id") -> DataFrame:
+    """Rows slot, at, id, chunk, n_tokens, ids: the pieces of every text, chunk by chunk, where they stand in their slots."""
+    sequences = -(-total // length)
+    id_type = tokens.schema[id_col].dataType.simpleString()
+    rows = tokens.select(id_col, "part", "at", "n_tokens", "ids").join(first.hint("shuffle_hash"), ["part", "at"]).select(id_col, "n_tokens", "ids", "first")
 
+    def task(batches):
+        for batch in batches:
+            start, size = batch.column(3).to_numpy(), batch.column(1).to_numpy()
+            for i in range(batch.num_rows):
+                raw = pa.decompress(batch.column(2)[i].as_py(), 2 * int(size[i]), codec="zstd", asbytes=True)
+                a, n = int(start[i]), int(size[i])
+                edge = np.unique(np.concatenate(([a], np.arange(a // length + 1, -(-(a + n) // length)) * length, [a + n])))
+                where = edge[:-1]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(feistel(where // length, sequences, key)), pa.array((where % length).astype(np.int64)), batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(where), np.int64))),
+                    pa.array(np.arange(len(where))), pa.array(np.diff(edge)), tn.binary([raw[2 * (x - a) : 2 * (y - a)] for x, y in zip(where.tolist(), edge[1:].tolist(), strict=True)]),
+                ], names=["slot", "at", "id", "chunk", "n_tokens", "ids"])
+
+    def gathered(batches):
+        # One text is a small batch; they leave in larger ones.
+        held, n = [], 0
+        for batch in task(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 4096:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def shard_file(path: str, shard: int) -> str:
-    return f"{path.rstrip('/')}/shard-{shard:09d}.bin"
+    return rows.mapInArrow(gathered, f"slot long, at long, id {id_type}, chunk long, n_tokens long, ids binary")
 
 
-def write_shards(sequences: DataFrame, total: int, path: str, *, length: int, pad_id: int, shard_slots: int) -> DataFrame:
-    """Write sequences (slot, ids) as files of `shard_slots` slots of 2 * length bytes; return their manifest (a written table).
+def write_shards(pieces: DataFrame, total: int, path: str, *, length: int, pad_id: int, shard_slots: int) -> None:
+    """Write the pieces as files of `shard_slots` slots of 2 * length bytes, and beside them the table `order`: a row for each piece, and for each
+    shard one with shard, first_slot, n_slots, stride, bytes, crc32 and file.
 
-    The manifest has shard, first_slot, n_slots, stride, bytes, crc32 and file.  A file is written under another name and then moved to
-    its own, so a task that is tried again leaves the same file and no reader meets half of one.  `path` is a folder that Arrow's file
-    systems and Spark both know (file, hdfs, s3, ...).
+    Each try of a task writes files of its own, and the table, committed by Spark, names those that count.  `path` is a folder that Arrow's
+    file systems and Spark both know (file, hdfs, s3, ...).
     """
-    shards = max(1, -(-total // shard_slots))
+    shards = max(1, -(-(-(-total // length)) // shard_slots))
     stride = 2 * length
     pad = np.uint16(pad_id).tobytes()
+    names = ["slot", "at", "id", "chunk", "n_tokens", "crc32", "shard", "byte_offset", "first_slot", "n_slots", "stride", "bytes", "file"]
+    kinds = dict.fromkeys(names, pa.int64()) | {"file": pa.string()}
+    per_task = max(1, shards // 4096, min(64, -(-shards // (8 * max(1, pieces.sparkSession.sparkContext.defaultParallelism)))))
 
     def task(batches):
         fs, _ = pa_fs.FileSystem.from_uri(path)
-        held: list[bytes] = []
+        held: dict[int, bytearray] = {}
         shard = -1
 
         def finished():
-            data, name = b"".join(held), shard_file(path, shard)
+            slots = sorted(held)
+            data = b"".join(bytes(held[s]) + pad * (length - len(held[s]) // 2) for s in slots)
+            name = f"{path.rstrip('/')}/shard-{shard:09d}-{uuid.uuid4().hex}.bin"
             _, target = pa_fs.FileSystem.from_uri(name)
-            draft = f"{target}.{uuid.uuid4().hex}"
-            fs.create_dir(os.path.dirname(target), recursive=True)
-            with fs.open_output_stream(draft) as f:
+            fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(target) as f:
                 f.write(data)
-            fs.move(draft, target)
-            return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard]), "first_slot": pa.array([shard * shard_slots]), "n_slots": pa.array([len(held)]), "stride": pa.array([stride]), "bytes": pa.array([len(data)]), "crc32": pa.array([zlib.crc32(data)]), "file": pa.array([name]),
-            })
+            held.clear()
+            own = {"shard": shard, "first_slot": slots[0], "n_slots": len(slots), "stride": stride, "bytes": len(data), "crc32": zlib.crc32(data), "file": name}
+            return pa.RecordBatch.from_arrays([pa.array([own.get(n)], id_type if n == "id" else kinds[n]) for n in names], names=names)
 
         for batch in batches:
-            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if s // shard_slots != shard:
+            id_type = batch.schema.field("id").type
+            slot = batch.column(0).to_numpy()
+            for i in [0, *(np.flatnonzero(np.diff(slot // shard_slots)) + 1).tolist()] if len(slot) else []:
+                if slot[i] // shard_slots != shard:
                     if held:
                         yield finished()
-                    held, shard = [], s // shard_slots
-                held.append(x + pad * (length - len(x) // 2))
+                    shard = int(slot[i] // shard_slots)
+                for k in range(i, batch.num_rows):
+                    if slot[k] // shard_slots != shard:
+                        break
+                    held.setdefault(int(slot[k]), bytearray()).extend(batch.column(5)[k].as_py())
+            n = batch.num_rows
+            crc = pa.array([zlib.crc32(x.as_py()) for x in batch.column(5)], pa.int64())
+            offset = pa.array(slot % shard_slots * stride + 2 * batch.column(1).to_numpy())
+            none = [pa.nulls(n, kinds[c]) for c in names[8:]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], crc, pa.array(slot // shard_slots), offset, *none], names=names)
         if held:
             yield finished()
 
-    # Shard numbers spread over tasks in order; a shard's slots are together and sorted.
-    ranged = (
-        sequences.select("slot", "ids").withColumn("_shard", F.floor(F.col("slot") / shard_slots))
-        .repartitionByRange(max(min(shards, 4096), -(-shards // 64)), "_shard").sortWithinPartitions("slot").select("slot", "ids")
-    )
-    kinds = "shard long, first_slot long, n_slots long, stride long, bytes long, crc32 long, file string"
-    return written(ranged.mapInArrow(task, kinds), "manifest")
+    # A task has a run of shards; their slots come together and in order.
+    ranged = pieces.repartitionById(-(-shards // per_task), F.floor(F.col("slot") / (shard_slots * per_task)).cast("int")).sortWithinPartitions("slot", "at")
+    id_kind = pieces.schema["id"].dataType.simpleString()
+    schema = ", ".join(f"{n} {id_kind if n == 'id' else 'string' if n == 'file' else 'long'}" for n in names)
+    ranged.mapInArrow(task, schema).write.option("compression", "zstd").parquet(f"{path.rstrip('/')}/order")
+
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """shard, first_slot, n_slots, stride, bytes, crc32, file of every shard."""
+    return spark.read.parquet(f"{path.rstrip('/')}/order").where("file is not null").select("shard", "first_slot", "n_slots", "stride", "bytes", "crc32", "file")
 
-def read_slots(spark: SparkSession, path: str, first: int, last: int, *, length: int, shard_slots: int) -> DataFrame:
+
+def read_slots(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """Rows slot, ids (16-bit ids with padding) for first <= slot < last, slots beyond the end left out.
 
-    Each shard of the range is one task's seek and sequential read; nothing else is read.
+    Each shard of the range is one seek and sequential read; nothing else is read.
     """
-    stride = 2 * length
     tn.ship_code(spark)
 
     def task(batches):
-        fs, _ = pa_fs.FileSystem.from_uri(path)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                _, target = pa_fs.FileSystem.from_uri(shard_file(path, shard))
-                if fs.get_file_info(target).type == pa_fs.FileType.NotFound:
-                    continue
-                base = shard * shard_slots
-                lo, hi = max(first, base), min(last, base + shard_slots)
+            for r in batch.to_pylist():
+                lo, hi = max(first, r["first_slot"]), min(last, r["first_slot"] + r["n_slots"])
+                fs, target = pa_fs.FileSystem.from_uri(r["file"])
                 with fs.open_input_file(target) as f:
-                    data = f.read_at((hi - lo) * stride, (lo - base) * stride)
-                n = len(data) // stride
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), tn.binary([data[i * stride : (i + 1) * stride] for i in range(n)])], names=["slot", "ids"])
+                    data = f.read_at((hi - lo) * r["stride"], (lo - r["first_slot"]) * r["stride"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), tn.binary([data[i * r["stride"] : (i + 1) * r["stride"]] for i in range(hi - lo)])], names=["slot", "ids"])
 
-    return spark.range(first // shard_slots, -(-last // shard_slots)).mapInArrow(task, "slot long, ids binary")
+    own = manifest(spark, path).where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("n_slots") > first))
+    return own.select("first_slot", "n_slots", "stride", "file").mapInArrow(task, "slot long, ids binary")
 
 
 def materialise(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: str, *, length: int = 512, end_id: int = 50256, key: int = 1, shard_slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards to `path`; return the order: slot, id, chunk, n_tokens, crc32 of the ids, shard, byte offset in the shard's file.
+    """Write the shards to `path`; return the order, a row for each piece of a text: slot, at (its first token in the slot), id, chunk (pieces of a text from
+    0), n_tokens, crc32 of its ids, shard, byte_offset (in the shard's file).
 
-    Null and empty texts give one sequence, the end token alone; ids may be null or repeated, every row has sequences of its own.  Other
-    columns are dropped.
+    Null and empty texts are the end token alone; ids may be null or repeated, every row has tokens of its own.  Other columns are
+    dropped.  The same rows and key give the same shards for any partitioning.
     """
-    spark = docs.sparkSession
-    table = shared_path(spark, "sequences")
-    tokenise(docs, ranks, pattern, length=length, end_id=end_id, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(table)
-    slotted, total = assign_slots(spark.read.parquet(table), key)
-    write_shards(slotted, total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
-    return slotted.select(
-        "slot", id_col, "chunk", "n_tokens", F.crc32("ids").alias("crc32"),
-        F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots * (2 * length)).alias("byte_offset"),
-    )
+    tokens = tokenise(docs, ranks, pattern, end_id=end_id, key=key, id_col=id_col, text_col=text_col)
+    first, total = token_numbers(tokens, id_col)
+    write_shards(cut(tokens, first, total, key, length=length, id_col=id_col), total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
+    order = docs.sparkSession.read.parquet(f"{path.rstrip('/')}/order").where("file is null")
+    return order.select("slot", "at", F.col("id").alias(id_col), "chunk", "n_tokens", "crc32", "shard", "byte_offset")
 
 
 def query(spark, sf_dir: str, folder: str = "/opt/tokenizers") -> DataFrame:
