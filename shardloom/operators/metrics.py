@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from shardloom.functions.draws import draw_below, rank_key
 from shardloom.functions.expressions import interval_side
+from shardloom.operators.graph import written
 from shardloom.operators.grouping import ranked_within
+from shardloom.operators.prefix import running_sums
 
 RUN = ["arm", "seed"]
 
@@ -50,14 +52,16 @@ def run_metrics(per_class: DataFrame, by: list[str] = RUN) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, by: list[str] = RUN, weight: str | None = None) -> DataFrame:
-    """by, cls, ap: one-vs-rest, step-wise over distinct scores; null if a class has no positive.  Needs the column scores."""
+    """by, cls, ap: one-vs-rest, step-wise over distinct scores; null if a class has no positive.  Needs the column scores.
+
+    Equal scores are added up first, and distinct ones are summed range by range, so no task holds a class.
+    """
     w = F.lit(1) if weight is None else F.col(weight)
     flat = rows.select(*by, "true", w.alias("_w"), F.posexplode("scores").alias("cls", "score"))
     level = flat.groupBy(*by, "cls", "score").agg(F.sum(F.when(F.col("true") == F.col("cls"), F.col("_w")).otherwise(0)).alias("_p"), F.sum("_w").alias("_a"))
-    down = Window.partitionBy(*by, "cls").orderBy(F.desc("score"))
-    total = F.sum("_p").over(Window.partitionBy(*by, "cls"))
-    steps = level.select(*by, "cls", F.try_divide(F.col("_p"), total).alias("_gain"), F.try_divide(F.sum("_p").over(down), F.sum("_a").over(down)).alias("_precision"))
-    return steps.groupBy(*by, "cls").agg(F.sum(F.col("_gain") * F.col("_precision")).alias("ap"))
+    steps = running_sums(level, [*by, "cls"], [F.col("score").desc()], {"_found": "_p", "_taken": "_a"})
+    precision = F.try_divide(F.col("_found") + F.col("_p"), F.col("_taken") + F.col("_a"))
+    return steps.groupBy(*by, "cls").agg(F.try_divide(F.sum(F.col("_p") * precision), F.sum("_p")).alias("ap"))
 
 
 def macro_auprc(ap: DataFrame, by: list[str] = RUN) -> DataFrame:
@@ -97,34 +101,99 @@ def resampled_metrics(rows: DataFrame, draws: DataFrame, classes: DataFrame, gro
     return run_metrics(class_metrics(confusion(weighted, classes, by, "_w"), by), by)
 
 
-def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *, block: int = 50) -> DataFrame:
+def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *, block: int = 50, range_rows: int = 1 << 16) -> DataFrame:
     """resample, arm, seed, macro_auprc: `average_precision` of every resample, each score counted with its group's multiplicity.
 
-    A task takes the scores of one run and class with `block` resamples, whose running sums are columns of one matrix.
+    The scores of a run and class are cut into ranges of about `range_rows`; a task takes one range with `block` resamples, whose running sums are
+    columns of one matrix and begin with what the ranges above hold.  Equal scores are added up where they are met, so ties make no range large.
     """
-    lists = draws.groupBy(group, F.floor(F.col("resample") / block).alias("_block")).agg(F.collect_list(F.struct((F.col("resample") % block).cast("int").alias("i"), F.col("multiplicity").alias("m"))).alias("_draws"))
+    names = [*RUN, "_cls", "_block"]
+    lists = draws.groupBy(group, F.floor(F.col("resample") / block).alias("_block")).agg(F.collect_list(F.struct((F.col("resample") % block).cast("int").alias("i"), F.col("multiplicity").cast("long").alias("m"))).alias("_draws"))
     flat = rows.select(*RUN, group, "true", F.posexplode("scores").alias("_cls", "_score"))
-    keyed = flat.select(*RUN, group, "_cls", "_score", (F.col("true") == F.col("_cls")).alias("_hit")).join(lists, group)
-
-    def precision(table: pa.Table) -> pa.Table:
-        score, hit = table.column("_score").to_numpy(), table.column("_hit").to_numpy()
-        drawn = table.column("_draws").combine_chunks()
-        at = np.repeat(np.arange(len(score)), drawn.value_lengths().to_numpy())
-        weight = np.zeros((len(score), block))
-        weight[at, drawn.flatten().field(0).to_numpy()] = drawn.flatten().field(1).to_numpy()
+    most = rows.groupBy(*RUN).count().agg(F.max("count")).first()[0] or 0
+    ranges = max(1, -(-most // range_rows))
+    cuts = {}
+    if ranges > 1:
+        at = F.percentile_approx("_score", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(20 * ranges))
+        cuts = {(*(r[c] for c in RUN), r["_cls"]): np.unique(r["at"]) for r in flat.groupBy(*RUN, "_cls").agg(at.alias("at")).collect()}
+    keyed = flat.select(*RUN, "_cls", group, "_score", (F.col("true") == F.col("_cls")).alias("_hit")).join(lists, group).select(*names, "_score", "_hit", "_draws")
+
+    def combine(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for c in range(len(names)):
+                words = batch.column(c).dictionary_encode()
+                code = code * len(words.dictionary) + words.indices.to_numpy()
+            score = batch.column(len(names)).to_numpy()
+            order = np.lexsort((-score, code))
+            code, score = code[order], score[order]
+            first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (score[1:] != score[:-1]))))
+            drawn = batch.column(len(names) + 2)
+            row = np.repeat(np.arange(len(score)), drawn.value_lengths().to_numpy())
+            weight = np.zeros((len(score), block), np.int64)
+            weight[row, drawn.flatten().field(0).to_numpy()] = drawn.flatten().field(1).to_numpy()
+            weight = weight[order]
+            hit = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64)[order]
+            taken, found = np.add.reduceat(weight, first, axis=0), np.add.reduceat(weight * hit[:, None], first, axis=0)
+            keys = [batch.column(c).take(pa.array(order[first])) for c in range(len(names))]
+            span = np.zeros(len(first), np.int64)
+            if cuts:
+                new = np.flatnonzero(np.concatenate(([True], np.diff(code[first]) != 0)))
+                for a, b in zip(new.tolist(), [*new[1:].tolist(), len(first)], strict=True):
+                    own = cuts[tuple(k[a].as_py() for k in keys[:-1])]
+                    span[a:b] = len(own) - np.searchsorted(own, score[first][a:b], side="right")
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(span), pa.array(score[first]), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (found, taken))], names=[*names, "_range", "_score", "p", "a"])
+
+    kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)
+    weighed = keyed.mapInArrow(combine, f"{kinds}, _range long, _score double, p binary, a binary")
+    matrix = lambda column: np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(-1, block)
+
+    def totals(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def batch_of():
+            columns = list(zip(*held, strict=True))
+            values = [pa.array([v[i].tobytes() for v in held.values()], pa.binary()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *values], names=[*names, "_range", "p", "a"])
+
+        for batch in batches:
+            types = [batch.column(c).type for c in range(len(names) + 1)]
+            both = np.stack((matrix(batch.column(len(names) + 2)), matrix(batch.column(len(names) + 3))), 1)
+            for k, v in zip(zip(*(batch.column(c).to_pylist() for c in range(len(names) + 1)), strict=True), both, strict=True):
+                held[k] = held[k] + v if k in held else v
+            if len(held) > 10_000:
+                yield batch_of()
+                held = {}
+        if held:
+            yield batch_of()
+
+    def carry(table: pa.Table) -> pa.Table:
+        span, place = np.unique(table.column("_range").to_numpy(), return_inverse=True)
+        p, a = np.zeros((len(span), block), np.int64), np.zeros((len(span), block), np.int64)
+        np.add.at(p, place, matrix(table.column("p")))
+        np.add.at(a, place, matrix(table.column("a")))
+        own = {c: pa.array([table.column(c)[0].as_py()] * len(span), table.schema.field(c).type) for c in names}
+        pack = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+        return pa.table({**own, "_range": span, "p0": pack(np.cumsum(p, axis=0) - p), "a0": pack(np.cumsum(a, axis=0) - a), "all": pack(np.repeat(p.sum(axis=0)[None], len(span), axis=0))})
+
+    def precision(table: pa.Table, carried: pa.Table) -> pa.Table:
+        score = table.column("_score").to_numpy()
         order = np.argsort(-score, kind="stable")
-        last = np.flatnonzero(np.append(score[order][1:] != score[order][:-1], True))
-        found = np.cumsum(weight[order] * hit[order][:, None], axis=0)[last]
-        taken = np.cumsum(weight[order], axis=0)[last]
-        gain = np.diff(found, axis=0, prepend=0)
-        ap = (gain * found / np.maximum(taken, 1)).sum(axis=0) / np.maximum(found[-1], 1)
-        own = {c: pa.array([table.column(c)[0].as_py()] * block, table.schema.field(c).type) for c in RUN}
-        number = table.column("_block")[0].as_py() * block + np.arange(block)
-        return pa.table({**own, "resample": pa.array(number), "ap": pa.array(ap, mask=found[-1] == 0)})
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in RUN)
-    ap = keyed.select(*RUN, "_cls", "_block", "_score", "_hit", "_draws").groupBy(*RUN, "_cls", "_block").applyInArrow(precision, f"{kinds}, resample long, ap double")
-    return ap.where("ap is not null").groupBy("resample", *RUN).agg(F.avg("ap").alias("macro_auprc"))
+        first = np.flatnonzero(np.concatenate(([True], score[order][1:] != score[order][:-1])))
+        p, a = (np.add.reduceat(matrix(table.column(c))[order], first, axis=0) for c in "pa")
+        p0, a0, total = (matrix(carried.column(c))[0] for c in ("p0", "a0", "all"))
+        ap = (p * (p0 + np.cumsum(p, axis=0)) / np.maximum(a0 + np.cumsum(a, axis=0), 1)).sum(axis=0) / np.maximum(total, 1)
+        own = {c: pa.array([table.column(c)[0].as_py()] * block, table.schema.field(c).type) for c in names[:-1]}
+        return pa.table({**own, "resample": pa.array(table.column("_block")[0].as_py() * block + np.arange(block)), "ap": pa.array(ap, mask=total == 0)})
+
+    sums = weighed.mapInArrow(totals, f"{kinds}, _range long, p binary, a binary")
+    carried = written(sums.groupBy(*names).applyInArrow(carry, f"{kinds}, _range long, p0 binary, a0 binary, all binary"), "carried")
+    own = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names[:-1])
+    parts = weighed.groupBy(*names, "_range").cogroup(carried.groupBy(*names, "_range")).applyInArrow(precision, f"{own}, resample long, ap double")
+    ap = parts.where("ap is not null").groupBy("resample", *RUN, "_cls").agg(F.sum("ap").alias("ap"))
+    return ap.groupBy("resample", *RUN).agg(F.avg("ap").alias("macro_auprc"))
 
 
 def per_seed_contrast(observed: DataFrame, arm: str, reference: str, metrics: list[str]) -> DataFrame:

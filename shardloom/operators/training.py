@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shardloom.functions.draws import draw, draw_below
+from shardloom.operators.prefix import running_sums
 
 
 def class_pools(rows: DataFrame, item: str, cls: str, rank: str) -> DataFrame:
-    """cls, item, index (from 0 in rank order), pool_size."""
-    own = Window.partitionBy(cls)
-    return rows.select(cls, item, (F.row_number().over(own.orderBy(rank, item)) - 1).cast("long").alias("index"), F.count(F.lit(1)).over(own).alias("pool_size"))
+    """cls, item, index (from 0 in order of rank and item), pool_size; a class is numbered range by range."""
+    own = rows.select(cls, item, *([rank] if rank not in (cls, item) else []), F.lit(1).cast("long").alias("_one"))
+    sizes = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("pool_size"))
+    return running_sums(own, [cls], [rank, item], {"index": "_one"}).join(sizes, cls).select(cls, item, "index", "pool_size")
 
 
 def slot_schedule(spark: SparkSession, seeds: list[int], sizes: DataFrame, *, classes: int, updates: int, batch: int = 32, views: int = 4) -> DataFrame:
