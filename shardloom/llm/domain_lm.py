@@ -27,7 +27,7 @@ from shardloom.llm.graph import bit_filter, is_set, written
 
 MIX = 0.4
 #: Text bytes of a block, and of the input for each range of keys.
-BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 
 
 def _keys(column: pa.Array):
