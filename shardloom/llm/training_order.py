@@ -11,8 +11,8 @@ sequence gets a slot of the training order:
   of `2 * length` bytes (16-bit ids; the last sequence is padded with `end_id`), so slot s is at byte (s % shard_slots) * stride of the
   file of shard s // shard_slots, and a reader resumes anywhere without an index.
 
-So the order depends on the rows and the key alone.  Tokens are written once (a table in the shared checkpoint folder).  A task that is tried again
-writes another file, and the manifest, which Spark commits, names the one that counts.
+So the order depends on the rows and the key alone.  Tokens are written once, bucketed by parts of a bounded size, so a part meets the numbers of its
+texts without another move.  A task that is tried again writes another file, and the manifest, which Spark commits, names the one that counts.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from shardloom.llm import textnp as tn
 from shardloom.operators.graph import shared_path, written
 
 ROUNDS = 6
+#: Text bytes of a part, and of a bucket of parts.
+PART_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -62,38 +64,46 @@ def text_key(key: int, name: str, digest: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode() + b"|" + digest, digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
-def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, end_id: int, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows id, part, at (which tell rows apart), place, digest, n_tokens, ids: a text's 16-bit ids with the end token, compressed (a written table).
+def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, name: str, *, end_id: int, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows id, part, at (which tell rows apart), place, digest, n_tokens, ids: a text's 16-bit ids with the end token, as the bucketed table `name`.
 
     Null and empty texts are the end token alone.
     """
-    tn.ship_code(docs.sparkSession)
+    spark = docs.sparkSession
+    tn.ship_code(spark)
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     id_type = source.schema[id_col].dataType.simpleString()
-    table = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary of at most 2**16 entries
+    table = spark.sparkContext.broadcast(ranks)  # a vocabulary of at most 2**16 entries
+    total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
 
     def task(batches):
         import tiktoken
         from pyspark import TaskContext
 
         codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, held = TaskContext.get().partitionId() << 24, 0, 0
         for batch in tn.slices(batches, "_text"):
             n = batch.num_rows
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            size = sum(map(len, texts))
+            if held and held + size > PART_BYTES:
+                part, at, held = part + 1, 0, 0
+            held += size
             digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
             places = [text_key(key, str(i), d) for i, d in zip(batch.column(0).to_pylist(), digests, strict=True)]
             ids = [np.array([*codec.encode_ordinary(t), end_id], "<u2") for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n)), pa.array(places, pa.int64()), tn.binary(digests),
-                    pa.array([len(x) for x in ids], pa.int64()), tn.binary([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in ids]),
+                    pa.array([len(x) for x in ids], pa.int64()), tn.binary([x.tobytes() for x in ids]),
                 ],
                 names=[id_col, "part", "at", "place", "digest", "n_tokens", "ids"],
             )
             at += n
 
-    return written(source.mapInArrow(task, f"`{id_col}` {id_type}, part long, at long, place long, digest binary, n_tokens long, ids binary"), "tokens")
+    rows = source.mapInArrow(task, f"`{id_col}` {id_type}, part long, at long, place long, digest binary, n_tokens long, ids binary")
+    rows.write.option("compression", "zstd").option("path", shared_path(spark, "tokens")).bucketBy(min(100_000, max(1, -(-total // BUCKET_BYTES))), "part").saveAsTable(name)
+    return spark.table(name)
 
 
 def token_numbers(tokens: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
@@ -126,34 +136,22 @@ def cut(tokens: DataFrame, first: DataFrame, total: int, key: int, *, length: in
     """Rows slot, at, id, chunk, n_tokens, ids: the pieces of every text, chunk by chunk, where they stand in their slots."""
     sequences = -(-total // length)
     id_type = tokens.schema[id_col].dataType.simpleString()
-    rows = tokens.select(id_col, "part", "at", "n_tokens", "ids").join(first.hint("shuffle_hash"), ["part", "at"]).select(id_col, "n_tokens", "ids", "first")
 
-    def task(batches):
-        for batch in batches:
-            start, size = batch.column(3).to_numpy(), batch.column(1).to_numpy()
-            for i in range(batch.num_rows):
-                raw = pa.decompress(batch.column(2)[i].as_py(), 2 * int(size[i]), codec="zstd", asbytes=True)
-                a, n = int(start[i]), int(size[i])
-                edge = np.unique(np.concatenate(([a], np.arange(a // length + 1, -(-(a + n) // length)) * length, [a + n])))
-                where = edge[:-1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(feistel(where // length, sequences, key)), pa.array((where % length).astype(np.int64)), batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(where), np.int64))),
-                    pa.array(np.arange(len(where))), pa.array(np.diff(edge)), tn.binary([raw[2 * (x - a) : 2 * (y - a)] for x, y in zip(where.tolist(), edge[1:].tolist(), strict=True)]),
-                ], names=["slot", "at", "id", "chunk", "n_tokens", "ids"])
-
-    def gathered(batches):
-        # One text is a small batch; they leave in larger ones.
-        held, n = [], 0
-        for batch in task(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= 4096:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    def task(own: pa.Table, numbers: pa.Table) -> pa.Table:
+        own, numbers = own.sort_by("at"), numbers.sort_by("at")
+        a, n = numbers.column("first").to_numpy(), own.column("n_tokens").to_numpy()
+        pieces = (a + n - 1) // length - a // length + 1
+        row = np.repeat(np.arange(len(a)), pieces)
+        chunk = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        where = np.maximum(a[row], (a[row] // length + chunk) * length)
+        size = np.minimum(a[row] + n[row], (where // length + 1) * length) - where
+        raw = b"".join(x.as_py() for x in own.column("ids"))
+        edges = np.concatenate(([0], np.cumsum(2 * size))).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+        return pa.table({"slot": feistel(where // length, sequences, key), "at": where % length, "id": own.column("id").combine_chunks().take(pa.array(row)), "chunk": chunk, "n_tokens": size, "ids": ids})
 
-    return rows.mapInArrow(gathered, f"slot long, at long, id {id_type}, chunk long, n_tokens long, ids binary")
+    rows = tokens.select(F.col(id_col).alias("id"), "part", "at", "n_tokens", "ids")
+    return rows.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(task, f"slot long, at long, id {id_type}, chunk long, n_tokens long, ids binary")
 
 
 def write_shards(pieces: DataFrame, total: int, path: str, *, length: int, pad_id: int, shard_slots: int) -> None:
@@ -246,9 +244,13 @@ def materialise(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: st
     Null and empty texts are the end token alone; ids may be null or repeated, every row has tokens of its own.  Other columns are
     dropped.  The same rows and key give the same shards for any partitioning.
     """
-    tokens = tokenise(docs, ranks, pattern, end_id=end_id, key=key, id_col=id_col, text_col=text_col)
-    first, total = token_numbers(tokens, id_col)
-    write_shards(cut(tokens, first, total, key, length=length, id_col=id_col), total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
+    name = f"tokens_{uuid.uuid4().hex}"
+    tokens = tokenise(docs, ranks, pattern, name, end_id=end_id, key=key, id_col=id_col, text_col=text_col)
+    try:
+        first, total = token_numbers(tokens, id_col)
+        write_shards(cut(tokens, first, total, key, length=length, id_col=id_col), total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone; its files stay in the shared folder
     order = docs.sparkSession.read.parquet(f"{path.rstrip('/')}/order").where("file is null")
     return order.select("slot", "at", F.col("id").alias(id_col), "chunk", "n_tokens", "crc32", "shard", "byte_offset")
 
