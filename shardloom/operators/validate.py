@@ -32,12 +32,29 @@ def stripped(c) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def with_copies(rows: DataFrame, id_col: str, salts: int = 16) -> DataFrame:
+    """The rows with _copies, how many rows share their id (null and '' are ids as well).
+
+    Ids are counted by partial aggregation and only repeated ones are joined, each to `salts` places, so rows of a frequent id are not one task's; blank
+    ids, which may be most rows, join nothing.
+    """
+    blank = F.coalesce(F.col(id_col).cast("string") == "", F.lit(True))
+    n = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    blanks = n.where(blank).agg(F.sum(F.when(F.col(id_col).isNull(), F.col("_n"))).alias("_null"), F.sum(F.when(F.col(id_col).isNotNull(), F.col("_n"))).alias("_empty"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    twice = n.where(~blank & (F.col("_n") > 1)).select(F.col(id_col).alias("_id"), "_n", spread.alias("_salt"))
+    keyed = rows.withColumn("_key", F.when(~blank, F.col(id_col))).withColumn("_place", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    joined = keyed.join(twice, (F.col("_key") == F.col("_id")) & (F.col("_place") == F.col("_salt")), "left").join(F.broadcast(blanks))  # one row
+    copies = F.when(F.col(id_col).isNull(), F.col("_null")).when(blank, F.col("_empty")).otherwise(F.coalesce("_n", F.lit(1)))
+    return joined.select(*rows.columns, copies.alias("_copies"))
+
+
 def record_rules(rows: DataFrame, id_col: str, caption: str, width: str, height: str, image: str | None = None) -> tuple[DataFrame, list]:
     """Rows with a copy count, and the rules of a captioned record in the order in which they refuse it.
 
     `image` (optional) names a column that is null where the image is missing.  All copies of an id break its rule.
     """
-    counted = rows.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    counted = with_copies(rows, id_col)
     i, c, w, h = map(F.col, (id_col, caption, width, height))
     return counted, [
         ("id", i.isNull() | (i.cast("string") == "") | (F.length(i.cast("string")) > 64), "id must have 1 to 64 characters"),
@@ -116,7 +133,7 @@ def validate_user_manifest(rows: DataFrame, listing: DataFrame, *, suffixes: tup
     Rules of the whole table (no rows, the set of classes) have a null key and come after those of the rows.
     """
     there = listing.select(F.col("path"), F.lit(True).alias("_there")).distinct()
-    r = rows.join(there, "path", "left").withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
+    r = with_copies(rows.join(there, "path", "left"), "image_id")
     found = violations(r, "image_id", [
         ("id", ~F.coalesce(F.col("image_id").rlike(ID_PATTERN), F.lit(False)), "id has unusual characters"),
         ("unique_id", F.col("_copies") > 1, "id must be unique"),
@@ -181,11 +198,12 @@ def verify_manifest(manifest: DataFrame, listing: DataFrame, suffixes: tuple[str
     return both.select("path", F.when(F.col("_there").isNull(), "missing").when(F.col("_listed").isNull(), "not listed").when(F.col("bytes") != F.col("_bytes"), "size differs").when(F.col("sha256") != F.col("_sha256"), "digest differs").when(~ok, "type not allowed").otherwise("ok").alias("status"))
 
 
-def verify_identity(manifest: DataFrame, expected: dict[str, str]) -> DataFrame:
-    """field, expected, found of every identity field (model, revision, staging source) of a manifest that is not as expected."""
-    found = manifest.select(*expected).distinct()
-    long = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.lit(v).alias("expected"), F.col(k).cast("string").alias("found")) for k, v in expected.items()])).alias("x")).select("x.*")
-    return long.where(~F.col("expected").eqNullSafe(F.col("found")))
+def verify_identity(manifest: DataFrame, expected: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """field, expected, found of every identity field (model, revision, staging source) of a manifest that is not as expected, for each of `by`, if given."""
+    by = by or []
+    found = manifest.select(*by, *[c for c in expected if c not in by]).distinct()
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(v).alias("expected"), F.col(k).cast("string").alias("found")) for k, v in expected.items()])
+    return found.select(*by, F.explode(fields).alias("x")).select(*by, "x.*").where(~F.col("expected").eqNullSafe(F.col("found")))
 
 
 def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
@@ -209,15 +227,17 @@ def compare_facts(expected: DataFrame, actual: DataFrame, key: str, value: str)
 def check_artifact(expected: DataFrame, actual: DataFrame, classes: DataFrame) -> DataFrame:
     """rule, key, status of an artifact's files (path, bytes, sha256) and classes (class, class_index).
 
-    The set of files must be exact, and sizes and digests equal; classes must be unique and numbered 0 .. n - 1.
+    The set of files must be exact, and sizes and digests equal; classes must be unique and numbered 0 .. n - 1, and there must be some.
     """
     fact = F.concat_ws(":", F.col("bytes").cast("string"), "sha256").alias("v")
     files = compare_facts(expected.select("path", fact), actual.select("path", fact), "path", "v").select(F.lit("file").alias("rule"), F.col("path").alias("key"), "status")
     twice = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("class"), F.col("class"), F.lit("repeated"))
     n = classes.agg(F.count(F.lit(1)).alias("_n"))
-    spots = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("i")).join(classes.groupBy(F.col("class_index").cast("long").alias("i")).agg(F.count(F.lit(1)).alias("c")), "i", "full_outer")
+    none = n.where("_n = 0").select(F.lit("class"), F.lit(""), F.lit("no classes"))
+    wanted = n.where("_n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_n") - 1, F.lit(0)))).alias("i"))
+    spots = wanted.join(classes.groupBy(F.col("class_index").cast("long").alias("i")).agg(F.count(F.lit(1)).alias("c")), "i", "full_outer")
     wrong = spots.where("c is null or c > 1").unionByName(spots.join(n).where("i >= _n and c = 1").select("i", "c")).select(F.lit("class_index"), F.col("i").cast("string"), F.when(F.col("c").isNull(), "missing").otherwise("unexpected"))
-    return files.union(twice).union(wrong)
+    return files.union(twice).union(none).union(wrong)
 
 
 def cited_facts(docs: DataFrame, key: str, text: str, pattern: str, facts: DataFrame, fact: str) -> tuple[DataFrame, DataFrame]:

@@ -720,6 +720,83 @@ def a1(spark, d):
     return scan_files(spark, d, pattern="*.parquet")
 
 
+def _text_files(spark, d):
+    """The texts as files, a file for each source and hundredth: (root, name of a file from its path)."""
+    from shardloom.operators.graph import shared_path
+
+    root = shared_path(spark, "texts")
+    rows = T.table(spark, d, "documents").select("source", F.pmod("doc_id", F.lit(100)).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text").write.partitionBy("source", "part").text(root)
+    return root, F.regexp_replace(F.regexp_extract("path", "source=([^/]+/part=[0-9]+)/", 1), "/part=", "-")
+
+
+_TEXT_FILES = """content AS (SELECT source || '-' || (doc_id % 100) AS name, doc_id % 100 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS c FROM documents GROUP BY ALL),
+files AS (SELECT name, part, octet_length(encode(c))::BIGINT AS bytes, sha256(c) AS sha256 FROM content)"""
+
+
+@query("a1_file_digests", f"WITH {_TEXT_FILES} SELECT name, bytes, sha256 FROM files")
+def a1_digests(spark, d):
+    """All texts written as files, listed and digested by streamed reads."""
+    from shardloom.sources.files import scan_files
+
+    root, name = _text_files(spark, d)
+    return scan_files(spark, root, pattern="*.txt").select(name.alias("name"), "bytes", "sha256")
+
+
+@query("c9_verify_files", f"""WITH {_TEXT_FILES} SELECT name AS path, CASE WHEN part % 10 = 3 THEN 'not listed' WHEN part % 10 = 1 THEN 'size differs' WHEN part % 10 = 2 THEN 'digest differs' ELSE 'ok' END AS status FROM files
+UNION ALL SELECT name || '-gone', 'missing' FROM files WHERE part % 10 = 4""")
+def c9_files(spark, d):
+    """A manifest with planted errors against the files: only those of the right size are opened."""
+    from shardloom.sources import ranged
+
+    root, name = _text_files(spark, d)
+    files = ranged.listing(spark, root, "*.txt").select((F.concat(name, F.lit(".txt"))).alias("path"), "bytes", F.col("path").alias("location"))
+    part = F.regexp_extract("path", "-([0-9]+).txt$", 1).cast("int") % 10
+    true = ranged.digest_files(files, "location").select("path", "bytes", "sha256", part.alias("k"))
+    manifest = true.where("k <> 3").select("path", (F.col("bytes") + F.when(F.col("k") == 1, 1).otherwise(0)).alias("bytes"), F.when(F.col("k") == 2, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = true.where("k = 4").select(F.concat(F.substring_index("path", ".txt", 1), F.lit("-gone.txt")).alias("path"), "bytes", "sha256")
+    return ranged.verify_files(manifest.unionByName(gone), files, (".txt",)).select(F.substring_index("path", ".txt", 1).alias("path"), "status")
+
+
+@query("a3_zip_members", "SELECT (doc_id // 50)::BIGINT AS archive, doc_id || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def a3(spark, d):
+    """All texts in archives of fifty, listed from their central directories and read back by byte ranges."""
+    from shardloom.operators.graph import shared_path
+    from shardloom.sources import ranged
+
+    root = shared_path(spark, "archives")
+    rows = T.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    ranged.write_zip(rows, "archive", "name", "content", root).count()
+    read = ranged.read_members(ranged.safe_members(ranged.zip_directory(spark, root), max_entries=100, max_member=1 << 28, max_total=1 << 36, suffixes=(".txt",)))
+    return read.select(F.regexp_extract("archive", "/([0-9]+).zip$", 1).cast("long").alias("archive"), "name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("c9_verify_identity", """SELECT lang || '/' || source AS model, field, expected, found FROM (
+SELECT DISTINCT lang, source, 'source' AS field, 'news' AS expected, source AS found FROM documents WHERE source IS DISTINCT FROM 'news'
+UNION SELECT lang, source, 'lang', 'en', lang FROM documents WHERE lang IS DISTINCT FROM 'en')""")
+def c9_identity(spark, d):
+    """Every language and source as a manifest's identity, against English news."""
+    rows = T.table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("model"), "lang", "source").distinct()
+    return R.verify_identity(rows, {"source": "news", "lang": "en"}, ["model"])
+
+
+@query("c12_check_artifact", """WITH x AS (SELECT p_partkey AS k, p_name FROM part), e AS (SELECT 'f' || k AS path, k AS bytes FROM x WHERE k % 9 <> 0), a AS (SELECT 'f' || k AS path, k + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS bytes FROM x WHERE k % 8 <> 0),
+f AS (SELECT coalesce(e.path, a.path) AS key, CASE WHEN a.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unexpected' WHEN e.bytes <> a.bytes THEN 'different' END AS status FROM e FULL JOIN a ON a.path = e.path),
+c AS (SELECT p_brand AS class, row_number() OVER (ORDER BY p_brand) + CASE WHEN p_brand LIKE '%3' THEN 1 ELSE -1 END AS i FROM (SELECT DISTINCT p_brand FROM part)), n AS (SELECT count(*) AS n FROM c),
+s AS (SELECT coalesce(g.i, u.i) AS i, u.c, n FROM (SELECT unnest(range(n)) AS i FROM n) g FULL JOIN (SELECT i, count(*) AS c FROM c GROUP BY 1) u ON u.i = g.i, n)
+SELECT 'file' AS rule, key, status FROM f WHERE status IS NOT NULL UNION ALL SELECT 'class_index', i::VARCHAR, CASE WHEN c IS NULL THEN 'missing' ELSE 'unexpected' END FROM s WHERE c IS NULL OR c > 1 OR i >= n""")
+def c12(spark, d):
+    """The parts as an artifact's files, some missing or changed, and the brands as its classes, some with another's number."""
+    from pyspark.sql.window import Window
+
+    k = F.col("p_partkey")
+    x = T.table(spark, d, "part").select(k.alias("k"))
+    facts = lambda rows, bytes: rows.select(F.concat(F.lit("f"), "k").alias("path"), bytes.alias("bytes"), F.sha2(F.col("k").cast("string").cast("binary"), 256).alias("sha256"))
+    brands = T.table(spark, d, "part").select(F.col("p_brand").alias("class")).distinct()  # a few dozen
+    classes = brands.select("class", (F.row_number().over(Window.orderBy("class")) + F.when(F.col("class").endswith("3"), 1).otherwise(-1)).alias("class_index"))
+    return R.check_artifact(facts(x.where("k % 9 <> 0"), F.col("k")), facts(x.where("k % 8 <> 0"), F.col("k") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)), classes)
+
+
 @query("a7_split_manifest", f"WITH {SPLIT} SELECT split, label, count(*) AS n FROM split_items GROUP BY ALL")
 def a7(spark, d):
     """Write the manifest, read it back, count."""

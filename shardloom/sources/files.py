@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,18 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardloom.sources import ranged
+
 # Fixed value: the column order of a split manifest.
 SPLIT_COLUMNS = ["image_id", "relpath", "product", "label", "official_split", "group_id", "split", "selected", "budget_rank", "exemplar", "exclusion_reason", "file_sha256", "pixel_sha256", "width", "height", "mode"]
 
 
 def scan_files(spark: SparkSession, root: str, *, digest: bool = True, pattern: str = "*") -> DataFrame:
-    """path, bytes and sha256 of every file below root; without `digest` contents are not read.
-
-    A row holds a whole file, so files of 2 GB and more can be listed, not digested.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    columns = ["path", F.col("length").alias("bytes")]
-    return files.select(*columns, F.sha2("content", 256).alias("sha256")) if digest else files.select(*columns)
+    """path, bytes and sha256 of every file below root; without `digest` no file is opened.  Files are read in chunks, whatever their size."""
+    files = ranged.listing(spark, root, pattern)
+    return ranged.digest_files(files) if digest else files
 
 
 def scan_images(spark: SparkSession, root: str, *, least: int = 64, most: int = 4096, refuse_deep: bool = True) -> DataFrame:
@@ -87,33 +83,16 @@ def image_signature(spark: SparkSession, root: str, side: int = 32) -> DataFrame
 def scan_zip_members(spark: SparkSession, root: str, *, content: bool = False, max_entries: int = 100_000, max_member: int = 1 << 28, max_total: int = 1 << 36) -> DataFrame:
     """archive, ord, name, size, is_symlink, encrypted (and content) of every member of the zip files below root.
 
-    Directories are skipped; a file that is no zip gives one row with a null name.  Archives are read in parallel.  Every member is
-    listed; the content of one that is beyond a ceiling (entries, bytes of a member, running total), a link or encrypted is null and never unpacked.
+    Directories are skipped; a file that is no zip gives one row with a null name.  Only central directories are read for the listing, and members
+    by their byte ranges.  Every member is listed; the content of one that is beyond a ceiling (entries, bytes of a member, running total), a link
+    or encrypted is null and never unpacked.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
-    kinds = "archive string, ord int, name string, size long, is_symlink boolean, encrypted boolean" + (", content binary" if content else "")
-    names = [f.split()[0] for f in kinds.split(", ")]
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                out, held, total = [], 0, 0
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for i, m in enumerate(x for x in z.infolist() if not x.is_dir()):
-                            link, locked = (m.external_attr >> 16) & 0o170000 == 0o120000, bool(m.flag_bits & 1)
-                            total += m.file_size
-                            skip = link or locked or i >= max_entries or m.file_size > max_member or total > max_total
-                            out.append((path, i, m.filename, m.file_size, link, locked) + ((None if skip else z.read(m),) if content else ()))
-                            held += 0 if skip or not content else m.file_size
-                            if held > 1 << 26 or len(out) >= 10_000:
-                                yield pd.DataFrame(out, columns=names)
-                                out, held = [], 0
-                except zipfile.BadZipFile:
-                    out.append((path, 0, None, None, None, None) + ((None,) if content else ()))
-                yield pd.DataFrame(out, columns=names)
-
-    return files.select("path", "content").mapInPandas(members, kinds)
+    names = ["archive", "ord", "name", "size", "is_symlink", "encrypted"]
+    entries = ranged.zip_directory(spark, root)
+    if not content:
+        return entries.select(*names)
+    read = ranged.read_members(ranged.within_limits(entries, max_entries=max_entries, max_member=max_member, max_total=max_total))
+    return entries.select(*names).join(read.select("archive", "ord", "content"), ["archive", "ord"], "left")
 
 
 def read_manifest_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
