@@ -7,7 +7,7 @@ sequence gets a slot of the training order:
   numbered by the tokens of all texts before it, from sums of sorted ranges;
 * a keyed Feistel network permutes the sequence numbers below the next power of 4; a result of n or more is put
   through the network again until it falls below n (cycle-walking), which makes a permutation of 0 .. n - 1;
-* slots are range-partitioned into shards of `shard_slots` slots.  A shard is one file with a fixed stride
+* slots are range-partitioned into runs of shards of `shard_slots` slots.  A shard is one file with a fixed stride
   of `2 * length` bytes (16-bit ids; the last sequence is padded with `end_id`), so slot s is at byte (s % shard_slots) * stride of the
   file of shard s // shard_slots, and a reader resumes anywhere without an index.
 
@@ -34,6 +34,8 @@ from shardloom.operators.graph import shared_path, written
 ROUNDS = 6
 #: Text bytes of a part, and of a bucket of parts.
 PART_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+#: Bytes of the shards that a task writes, unless one shard is larger.
+TASK_BYTES = 32 << 20
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, name: str,
             at += n
 
     rows = source.mapInArrow(task, f"`{id_col}` {id_type}, part long, at long, place long, digest binary, n_tokens long, ids binary")
-    rows.write.option("compression", "zstd").option("path", shared_path(spark, "tokens")).bucketBy(min(100_000, max(1, -(-total // BUCKET_BYTES))), "part").saveAsTable(name)
+    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").option("path", shared_path(spark, "tokens")).bucketBy(min(100_000, max(1, -(-total // BUCKET_BYTES))), "part").saveAsTable(name)
     return spark.table(name)
 
 
@@ -132,10 +134,18 @@ def token_numbers(tokens: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame,
     return runs.join(F.broadcast(base), "span").select("part", "at", (F.col("base") + F.col("before")).alias("first")), starts[-1]
 
 
-def cut(tokens: DataFrame, first: DataFrame, total: int, key: int, *, length: int, id_col: str = "doc_id") -> DataFrame:
-    """Rows slot, at, id, chunk, n_tokens, ids: the pieces of every text, chunk by chunk, where they stand in their slots."""
+def _shards_a_task(shard_slots: int, length: int) -> int:
+    return max(1, TASK_BYTES // (2 * length * shard_slots))
+
+
+def cut(tokens: DataFrame, first: DataFrame, total: int, key: int, *, length: int, shard_slots: int, id_col: str = "doc_id") -> DataFrame:
+    """Rows run, slot, at, id, chunk, n_tokens (lists), ids: the pieces of every text, chunk by chunk, and where they stand in their slots.
+
+    A part of the tokens sends each run of shards one row: its pieces, their ids joined and compressed together.
+    """
     sequences = -(-total // length)
     id_type = tokens.schema[id_col].dataType.simpleString()
+    slots = shard_slots * _shards_a_task(shard_slots, length)
 
     def task(own: pa.Table, numbers: pa.Table) -> pa.Table:
         own, numbers = own.sort_by("at"), numbers.sort_by("at")
@@ -145,71 +155,80 @@ def cut(tokens: DataFrame, first: DataFrame, total: int, key: int, *, length: in
         chunk = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         where = np.maximum(a[row], (a[row] // length + chunk) * length)
         size = np.minimum(a[row] + n[row], (where // length + 1) * length) - where
-        raw = b"".join(x.as_py() for x in own.column("ids"))
-        edges = np.concatenate(([0], np.cumsum(2 * size))).astype(np.int32)
-        ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
-        return pa.table({"slot": feistel(where // length, sequences, key), "at": where % length, "id": own.column("id").combine_chunks().take(pa.array(row)), "chunk": chunk, "n_tokens": size, "ids": ids})
+        raw = memoryview(b"".join(x.as_py() for x in own.column("ids")))
+        begin = 2 * (np.cumsum(size) - size)
+        slot = feistel(where // length, sequences, key)
+        order = np.lexsort((where % length, slot))
+        run, bounds = np.unique(slot[order] // slots, return_index=True)
+        bounds = np.append(bounds, len(order))
+        codec = pa.Codec("zstd", compression_level=3)
+        data = [codec.compress(b"".join(raw[begin[i] : begin[i] + 2 * size[i]] for i in order[x:y].tolist()), asbytes=True) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x)
+        number = lambda x, t: lists(pa.array(x[order], t))
+        return pa.table({
+            "run": run, "slot": number(slot, pa.int64()), "at": number(where % length, pa.int32()), "id": lists(own.column("id").combine_chunks().take(pa.array(row[order]))),
+            "chunk": number(chunk, pa.int32()), "n_tokens": number(size, pa.int32()), "ids": tn.binary(data),
+        })
 
     rows = tokens.select(F.col(id_col).alias("id"), "part", "at", "n_tokens", "ids")
-    return rows.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(task, f"slot long, at long, id {id_type}, chunk long, n_tokens long, ids binary")
+    return rows.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(task, f"run long, slot array<long>, at array<int>, id array<{id_type}>, chunk array<int>, n_tokens array<int>, ids binary")
 
 
 def write_shards(pieces: DataFrame, total: int, path: str, *, length: int, pad_id: int, shard_slots: int) -> None:
-    """Write the pieces as files of `shard_slots` slots of 2 * length bytes, and beside them the table `order`: a row for each piece, and for each
-    shard one with shard, first_slot, n_slots, stride, bytes, crc32 and file.
+    """Write the pieces (from `cut`) as files of `shard_slots` slots of 2 * length bytes, and beside them the table `order`: a row for each piece, and for
+    each shard one with shard, first_slot, n_slots, stride, bytes, crc32 and file.
 
-    Each try of a task writes files of its own, and the table, committed by Spark, names those that count.  `path` is a folder that Arrow's
-    file systems and Spark both know (file, hdfs, s3, ...).
+    Each try of a task writes files of its own, and the table, committed by Spark, names those that count.  A task holds the shards of one run.  `path` is a
+    folder that Arrow's file systems and Spark both know (file, hdfs, s3, ...).
     """
-    shards = max(1, -(-(-(-total // length)) // shard_slots))
+    per_task = _shards_a_task(shard_slots, length)
+    runs = max(1, -(-(-(-total // length)) // (shard_slots * per_task)))
     stride = 2 * length
     pad = np.uint16(pad_id).tobytes()
     names = ["slot", "at", "id", "chunk", "n_tokens", "crc32", "shard", "byte_offset", "first_slot", "n_slots", "stride", "bytes", "file"]
+    id_kind = pieces.schema["id"].dataType.elementType.simpleString()
     kinds = dict.fromkeys(names, pa.int64()) | {"file": pa.string()}
-    per_task = max(1, shards // 4096, min(64, -(-shards // (8 * max(1, pieces.sparkSession.sparkContext.defaultParallelism)))))
 
     def task(batches):
         fs, _ = pa_fs.FileSystem.from_uri(path)
-        held: dict[int, bytearray] = {}
-        shard = -1
-
-        def finished():
-            slots = sorted(held)
-            data = b"".join(bytes(held[s]) + pad * (length - len(held[s]) // 2) for s in slots)
-            name = f"{path.rstrip('/')}/shard-{shard:09d}-{uuid.uuid4().hex}.bin"
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        own = pa.Table.from_batches(rows)
+        flat = {c: pa.concat_arrays([x.flatten() for x in own.column(c).chunks]) for c in names[:5]}
+        slot, at, n = (flat[c].to_numpy().astype(np.int64) for c in ("slot", "at", "n_tokens"))
+        sizes = own.column("n_tokens").combine_chunks()
+        many = [2 * sum(x.as_py()) for x in sizes]
+        raw = memoryview(b"".join(pa.decompress(x.as_py(), k, codec="zstd", asbytes=True) for x, k in zip(own.column("ids"), many, strict=True)))
+        begin = 2 * (np.cumsum(n) - n)
+        order = np.lexsort((at, slot))
+        shard = slot[order] // shard_slots
+        for s in np.unique(shard).tolist():
+            at_shard = order[slice(*np.searchsorted(shard, [s, s + 1]).tolist())]
+            texts = [raw[begin[i] : begin[i] + 2 * n[i]] for i in at_shard.tolist()]
+            slots = int(slot[at_shard[-1]] - s * shard_slots + 1)
+            # Pieces fill their slots without gaps; only the last sequence of all is short, wherever its slot is.
+            data = bytearray().join(texts)
+            short = np.flatnonzero(np.bincount(slot[at_shard] - s * shard_slots, weights=n[at_shard]) < length)
+            for k in short.tolist():
+                have = int(n[at_shard][slot[at_shard] - s * shard_slots == k].sum())
+                data[k * stride + 2 * have : k * stride + 2 * have] = pad * (length - have)
+            name = f"{path.rstrip('/')}/shard-{s:09d}-{uuid.uuid4().hex}.bin"
             _, target = pa_fs.FileSystem.from_uri(name)
             fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(target) as f:
                 f.write(data)
-            held.clear()
-            own = {"shard": shard, "first_slot": slots[0], "n_slots": len(slots), "stride": stride, "bytes": len(data), "crc32": zlib.crc32(data), "file": name}
-            return pa.RecordBatch.from_arrays([pa.array([own.get(n)], id_type if n == "id" else kinds[n]) for n in names], names=names)
-
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            slot = batch.column(0).to_numpy()
-            for i in [0, *(np.flatnonzero(np.diff(slot // shard_slots)) + 1).tolist()] if len(slot) else []:
-                if slot[i] // shard_slots != shard:
-                    if held:
-                        yield finished()
-                    shard = int(slot[i] // shard_slots)
-                for k in range(i, batch.num_rows):
-                    if slot[k] // shard_slots != shard:
-                        break
-                    held.setdefault(int(slot[k]), bytearray()).extend(batch.column(5)[k].as_py())
-            n = batch.num_rows
-            crc = pa.array([zlib.crc32(x.as_py()) for x in batch.column(5)], pa.int64())
-            offset = pa.array(slot % shard_slots * stride + 2 * batch.column(1).to_numpy())
-            none = [pa.nulls(n, kinds[c]) for c in names[8:]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], crc, pa.array(slot // shard_slots), offset, *none], names=names)
-        if held:
-            yield finished()
+            made = {"shard": s, "first_slot": s * shard_slots, "n_slots": slots, "stride": stride, "bytes": len(data), "crc32": zlib.crc32(data), "file": name}
+            take = pa.array(at_shard)
+            crc = pa.array([zlib.crc32(x) for x in texts], pa.int64())
+            where = pa.array(slot[at_shard] % shard_slots * stride + 2 * at[at_shard])
+            none = [pa.nulls(len(take), kinds[c]) for c in names[8:]]
+            yield pa.RecordBatch.from_arrays([*(flat[c].take(take) if c == "id" else flat[c].take(take).cast(pa.int64()) for c in names[:5]), crc, pa.array(np.full(len(take), s)), where, *none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([made.get(c)], flat["id"].type if c == "id" else kinds[c]) for c in names], names=names)
 
-    # A task has a run of shards; their slots come together and in order.
-    ranged = pieces.repartitionById(-(-shards // per_task), F.floor(F.col("slot") / (shard_slots * per_task)).cast("int")).sortWithinPartitions("slot", "at")
-    id_kind = pieces.schema["id"].dataType.simpleString()
-    schema = ", ".join(f"{n} {id_kind if n == 'id' else 'string' if n == 'file' else 'long'}" for n in names)
-    ranged.mapInArrow(task, schema).write.option("compression", "zstd").parquet(f"{path.rstrip('/')}/order")
+    ranged = pieces.repartitionById(runs, F.col("run").cast("int"))
+    schema = ", ".join(f"{c} {id_kind if c == 'id' else 'string' if c == 'file' else 'long'}" for c in names)
+    ranged.select(*names[:5], "ids").mapInArrow(task, schema).write.option("compression", "zstd").parquet(f"{path.rstrip('/')}/order")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -248,7 +267,7 @@ def materialise(docs: DataFrame, path: str, ranks: dict[bytes, int], pattern: st
     tokens = tokenise(docs, ranks, pattern, name, end_id=end_id, key=key, id_col=id_col, text_col=text_col)
     try:
         first, total = token_numbers(tokens, id_col)
-        write_shards(cut(tokens, first, total, key, length=length, id_col=id_col), total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
+        write_shards(cut(tokens, first, total, key, length=length, shard_slots=shard_slots, id_col=id_col), total, path, length=length, pad_id=end_id, shard_slots=shard_slots)
     finally:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone; its files stay in the shared folder
     order = docs.sparkSession.read.parquet(f"{path.rstrip('/')}/order").where("file is null")
