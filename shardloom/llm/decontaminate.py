@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textnp as tn
-from shardloom.llm.graph import bit_filter, is_set, written
+from shardloom.llm.graph import bit_filter, bits_for, is_set, written
 
 MASKS = ("1101111", "1100010111", "11111001", "1110100011")
 #: Masks of items of fewer than 13 words.
@@ -32,6 +32,8 @@ SHORT = {
 }
 #: Diagonals of one text that are cut from it together.
 BLOCK = 4096
+#: Places that the windows of one seed go to.
+SALTS = 8
 
 
 def masks_of(n: int) -> tuple[str, ...]:
@@ -77,7 +79,7 @@ def _names(batch) -> pa.Array:
     return pa.array([hashlib.blake2b(str(i).encode() + b"\0" + buf[a:b].tobytes(), digest_size=16).digest() for i, a, b in zip(ids, off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
 
 
-def _overlaps(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_overlap: int, share: float, min_words: int, filter_bits: int):
+def _overlaps(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_overlap: int, share: float, min_words: int, filter_bits: int | None):
     """(written rows doc, id of the texts with a seed; rows doc, item, doc_start, item_start, n_words, n_equal)."""
     spark = docs.sparkSession
     tn.ship_code(spark)
@@ -108,7 +110,7 @@ def _overlaps(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, ite
     # Which masks are in use; at most 13 numbers.
     sizes = [r[0] for r in items.select(F.least("size", F.lit(13))).distinct().collect()]
     masks = sorted({m for n in sizes for m in masks_of(n)})
-    sent = spark.sparkContext.broadcast(bit_filter(seeds, "seed", filter_bits))
+    sent = spark.sparkContext.broadcast(bit_filter(seeds, "seed", filter_bits or bits_for(seeds.count())))
 
     def window_task(batches):
         for part in tn.slices(batches, "_text"):
@@ -130,11 +132,15 @@ def _overlaps(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, ite
             yield pa.RecordBatch.from_arrays([names.take(pa.array(back)), pa.array(np.concatenate(at)), pa.array(np.concatenate(seed).view(np.int64))], names=["doc", "at", "seed"])
 
     windows = source.mapInArrow(window_task, "doc binary, at long, seed long")
+    # A seed of a common passage or word may be most windows: they go to SALTS places by where they stand, each with the seeds.
+    placed = windows.withColumn("_salt", F.pmod("at", F.lit(SALTS)).cast("int"))
+    spread = seeds.withColumnRenamed("at", "_at").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = written(
-        windows.join(seeds.withColumnRenamed("at", "_at"), "seed").select("doc", "name", "size", (F.col("at") - F.col("_at")).alias("diagonal")).distinct(), "hits",
+        placed.join(spread, ["seed", "_salt"]).select("doc", "name", "size", (F.col("at") - F.col("_at")).alias("diagonal")).distinct(), "hits",
     )
     low = F.conv(F.hex(F.substring("doc", 1, 7)), 16, 10).cast("long")
-    met = spark.sparkContext.broadcast(bit_filter(hits.select(low.alias("h")).distinct(), "h", filter_bits))
+    named = hits.select(low.alias("h")).distinct()
+    met = spark.sparkContext.broadcast(bit_filter(named, "h", filter_bits or bits_for(named.count())))
 
     def word_task(batches):
         for part in tn.slices(batches, "_text"):
@@ -184,13 +190,14 @@ def _overlaps(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, ite
 
 
 def find(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-         min_overlap: int = 13, share: float = 0.8, min_words: int = 1, filter_bits: int = 24) -> DataFrame:
+         min_overlap: int = 13, share: float = 0.8, min_words: int = 1, filter_bits: int | None = None) -> DataFrame:
     """Rows id, item, doc_start, item_start, n_words, n_equal: the best overlap of a text with a test item.
 
     An overlap counts when it has at least `min_overlap` words (or `share` of the item's words, if fewer) and
     at least `share` of its words are equal; the best has most equal words, then fewest words, then the first place in text and item.
     Positions count words.  The masks meet every overlap at the default share and min_overlap; for lower ones some are missed.
-    Items of fewer than `min_words` words, null and empty texts meet nothing; repeated rows give repeated
+    Items of fewer than `min_words` words, null and empty texts meet nothing.  An item of one word removes every text with that word: set
+    `min_words` where tests may hold such items.  `item_col` holds whole numbers; repeated rows give repeated
     rows; items of one id with different texts are items of their own, and repeat the id.  Other columns are dropped.
     """
     texts, found = _overlaps(docs, tests, id_col, text_col, item_col, item_text, min_overlap, share, min_words, filter_bits)
@@ -198,7 +205,7 @@ def find(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                      min_overlap: int = 13, share: float = 0.8, min_words: int = 1, filter_bits: int = 24) -> DataFrame:
+                      min_overlap: int = 13, share: float = 0.8, min_words: int = 1, filter_bits: int | None = None) -> DataFrame:
     """The rows and columns of `docs` whose text has no such overlap (see `find`) with any test item.
 
     Texts without a candidate are passed on where they are; only the others are joined with what was found.
@@ -206,7 +213,7 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_i
     _, found = _overlaps(docs, tests, id_col, text_col, item_col, item_text, min_overlap, share, min_words, filter_bits)
     found = written(found.select("doc").distinct(), "found")
     low = F.conv(F.hex(F.substring("doc", 1, 7)), 16, 10).cast("long")
-    gone = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select(low.alias("h")), "h", filter_bits))
+    gone = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select(low.alias("h")), "h", filter_bits or bits_for(found.count())))
     at = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def named(batches):

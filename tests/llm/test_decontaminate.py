@@ -81,3 +81,14 @@ def test_masks_meet_every_pattern_of_replaced_words():
     for _ in range(3000):
         n = r.randint(21, 25)
         assert met(n, r.sample(range(n), n // 5), D.MASKS)
+
+
+def test_a_word_of_every_text_and_an_item_of_one_word(spark):
+    """One seed in every window and every text: all are found, and `min_words` is what keeps such items out."""
+    docs = spark.createDataFrame([(i, "the " * 50 + f"end{i}") for i in range(40)] + [(99, "other words")], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "the"), (2, " ".join(["the"] * 20))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find(docs, tests).collect()}
+    assert got == {(i, k) for i in range(40) for k in (1, 2)}
+    assert [r.doc_id for r in D.drop_contaminated(docs, tests).collect()] == [99]
+    one = tests.where("item_id = 1")
+    assert D.drop_contaminated(docs, one, min_words=2).count() == 41 and D.find(docs, tests, filter_bits=8).count() == 80
