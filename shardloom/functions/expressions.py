@@ -135,30 +135,41 @@ def captions_from_labels(rows: DataFrame, names: DataFrame, label: str, template
 
 
 def text_signature(rows: DataFrame, key: str, text: str, bins: int = 256, out: str = "signature") -> DataFrame:
-    """key and a vector of hashed token counts, centred and of unit length; a text without tokens has no row.
+    """key and a vector of hashed token counts, centred and of unit length, for every row; a text without tokens has no row.
 
-    A token is hashed once for each text that has it, and a text's bins become a vector in one Arrow step.
+    One Arrow pass counts and hashes a text's tokens where the text is; nothing is shuffled.
     """
+    import hashlib
+    from collections import Counter
+
     import numpy as np
     import pyarrow as pa
 
-    token = F.explode(F.split(normalised_text(F.col(text)), " "))
-    seen = rows.select(key, token.alias("_t")).where("_t <> ''").groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    bin_of = F.pmod(F.conv(F.substring(F.sha2(F.col("_t").cast("binary"), 256), 1, 8), 16, 10).cast("long"), F.lit(bins))
-    packed = seen.groupBy(key).agg(F.collect_list(F.struct(bin_of.alias("b"), F.col("_n").alias("n"))).alias("_p"))
     kind = rows.schema[key].dataType.simpleString()
 
     def dense(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten()
-            at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            x = np.zeros((len(lists), bins))
-            np.add.at(x, (at, flat.field(0).to_numpy(zero_copy_only=False)), flat.field(1).to_numpy(zero_copy_only=False))
-            x -= x.mean(axis=1, keepdims=True)
-            length = np.sqrt((x**2).sum(axis=1, keepdims=True))
-            x = np.where(length > 1e-6, x / np.maximum(length, 1e-6), 0.0)
-            cuts = pa.array(np.arange(0, (len(lists) + 1) * bins, bins, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(x.ravel()))], names=[key, out])
-
-    return packed.select(key, "_p").mapInArrow(dense, f"`{key}` {kind}, `{out}` array<double>")
+        known: dict[str, int] = {}
+
+        def bin_of(token):
+            if token not in known:
+                if len(known) >= 1 << 20:
+                    known.clear()
+                known[token] = int(hashlib.sha256(token.encode()).hexdigest()[:8], 16) % bins
+            return known[token]
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096)
+                x = np.zeros((batch.num_rows, bins))
+                for r, t in enumerate(batch.column(1).to_pylist()):
+                    for token, n in Counter((t or "").split(" ")).items():
+                        if token:
+                            x[r, bin_of(token)] += n
+                full = x.any(axis=1)
+                x = x[full] - x[full].mean(axis=1, keepdims=True)
+                length = np.sqrt((x**2).sum(axis=1, keepdims=True))
+                x = np.where(length > 1e-6, x / np.maximum(length, 1e-6), 0.0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * bins, pa.int32()), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(full)), vectors], names=[key, out])
+
+    return rows.select(key, normalised_text(F.col(text)).alias("_t")).mapInArrow(dense, f"`{key}` {kind}, `{out}` array<double>")

@@ -85,10 +85,10 @@ signature AS (SELECT d.item, d.b, CASE WHEN l > 1e-6 THEN x / l ELSE 0 END AS x
 _SIG_DOCS = _SIGNATURE.format(norm=T.NORM.replace("d.text", "text"), source="(SELECT doc_id AS item, text FROM documents)")
 
 
-@query("b7_text_signature", f"WITH {_SIG_DOCS} SELECT item, b::BIGINT AS bin, round(x, 6) + 0.0 AS value FROM signature WHERE abs(x) > 0.1")
+@query("b7_text_signature", f"WITH {_SIG_DOCS} SELECT item, b::BIGINT AS bin, round(x, 6) + 0.0 AS value FROM signature")
 def b7(spark, d):
     s = X.text_signature(T.table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text"), "item", "text")
-    return s.select("item", F.posexplode("signature").alias("b", "x")).where("abs(x) > 0.1").select("item", F.col("b").cast("long").alias("bin"), (F.round("x", 6) + 0.0).alias("value"))
+    return s.select("item", F.posexplode("signature").alias("b", "x")).select("item", F.col("b").cast("long").alias("bin"), (F.round("x", 6) + 0.0).alias("value"))
 
 
 def _terms(column: str) -> str:
@@ -797,9 +797,9 @@ def c12(spark, d):
     return R.check_artifact(facts(x.where("k % 9 <> 0"), F.col("k")), facts(x.where("k % 8 <> 0"), F.col("k") + F.when(F.col("k") % 7 == 0, 1).otherwise(0)), classes)
 
 
-@query("a7_split_manifest", f"WITH {SPLIT} SELECT split, label, count(*) AS n FROM split_items GROUP BY ALL")
+@query("a7_split_manifest", f"WITH {SPLIT} SELECT item::VARCHAR AS image_id, label, group_id, split, file_sha AS file_sha256, pixel_sha AS pixel_sha256, item % 2 = 0 AS selected FROM split_items")
 def a7(spark, d):
-    """Write the manifest, read it back, count."""
+    """Write the manifest and read it back."""
     from shardloom.operators.graph import shared_path
     from shardloom.sources.files import read_split_manifest, write_split_manifest
 
@@ -808,7 +808,7 @@ def a7(spark, d):
     )
     path = shared_path(spark, "manifest")
     write_split_manifest(rows, path)
-    return read_split_manifest(spark, path).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return read_split_manifest(spark, path).select("image_id", "label", "group_id", "split", "file_sha256", "pixel_sha256", "selected")
 
 
 @query("a6_jsonl", "SELECT conv_id, turn, role, text FROM conversations")

@@ -458,15 +458,15 @@ def k4(spark, d):
     return v.agg(F.count(F.lit(1)).alias("n"), (F.max(V.array_l1(F.col("v"), F.col("w"))) < 1.0).alias("passed"))
 
 
-@query("s1_stream_validate", "SELECT event_type, value >= 20 AND user_id % 9 <> 0 AS clean, count(*) AS n FROM events GROUP BY ALL")
+@query("s1_stream_validate", "SELECT event_id, event_type, user_id, value, value >= 20 AND user_id % 9 <> 0 AS clean FROM events")
 def s1(spark, d):
     from shardloom.operators.graph import shared_path
 
     good, bad, state = (shared_path(spark, n) for n in ("good", "bad", "state"))
     rows = Z.read_table(spark, f"{d}/events.parquet").select("event_id", "event_type", "value", "user_id")
     Z.stream_validate(rows, (F.col("value") < 20) | (F.col("user_id") % 9 == 0), good, bad, state).awaitTermination()
-    kept = lambda path, flag: spark.read.schema(rows.schema).parquet(path).withColumn("clean", F.lit(flag))
-    return kept(good, True).unionByName(kept(bad, False)).groupBy("event_type", "clean").agg(F.count(F.lit(1)).alias("n"))
+    kept = lambda path, flag: Z.read_committed(spark, path, f"{good}-commits", rows.schema).withColumn("clean", F.lit(flag))
+    return kept(good, True).unionByName(kept(bad, False))
 
 
 @query("s2_stream_first_seen", "SELECT count(DISTINCT (event_type, user_id)) AS n FROM events")
@@ -475,6 +475,17 @@ def s2(spark, d):
     return Z.drained(Z.stream_first_seen(rows, ["event_type", "user_id"], "ts", "3650 days")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s2_stream_eligibility", """WITH x AS (SELECT event_id, event_type, ts, user_id % 17 = 0 AS undecoded, value < 3 AS small, event_type || '|' || user_id AS digest FROM events),
+early AS (SELECT *, CASE WHEN undecoded THEN 'decode-failure' WHEN small THEN 'too small' END AS early FROM x),
+seen AS (SELECT event_id, row_number() OVER (PARTITION BY digest ORDER BY ts, event_id) AS k FROM early WHERE early IS NULL)
+SELECT event_id, CASE WHEN early IS NULL AND k = 1 THEN 'eligible' ELSE 'rejected' END AS status, coalesce(early, CASE WHEN k > 1 THEN 'exact duplicate of an earlier candidate' ELSE '' END) AS reason FROM early LEFT JOIN seen USING (event_id)""")
+def s2_rows(spark, d):
+    """Every event with status and reason: a user's first event of a type is eligible, unless a rule of the row refuses it."""
+    rows = Z.read_table(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id", "value", F.concat_ws("|", "event_type", "user_id").alias("digest"))
+    rules = [(F.col("user_id") % 17 == 0, "decode-failure"), (F.col("value") < 3, "too small")]
+    return Z.drained(Z.stream_eligibility(rows, "event_id", "digest", "ts", rules, delay="30 days", keep="3650 days"))
+
+
 @query("s3_stream_status", "SELECT event_type, count(*) AS attempted, count(*) FILTER (value > 50) AS usable FROM events GROUP BY 1")
 def s3(spark, d):
     rows = Z.read_table(spark, f"{d}/events.parquet")
@@ -487,6 +498,14 @@ def s3_windows(spark, d):
     return Z.drained(Z.stream_status(rows, "event_type", F.col("value") > 50, "ts"), "complete")
 
 
+@query("s3_closed_windows", """WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS attempted, count(*) FILTER (value > 50) AS usable FROM events GROUP BY ALL)
+SELECT * FROM w WHERE start + INTERVAL '1 day' <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL '1 day'""")
+def s3_closed(spark, d):
+    """The days that the watermark has closed, each appended once."""
+    rows = Z.read_table(spark, f"{d}/events.parquet")
+    return Z.drained(Z.stream_status(rows, "event_type", F.col("value") > 50, "ts"), "append")
+
+
 @query("s4_stream_hash_split", f"SELECT event_id, CASE WHEN {sql_draw(f"'{VERSION}|split|' || event_id")} < 0.6 THEN 'train' WHEN {sql_draw(f"'{VERSION}|split|' || event_id")} < 0.8 THEN 'val' ELSE 'test' END AS split FROM events")
 def s4(spark, d):
     rows = Z.read_table(spark, f"{d}/events.parquet").select("event_id")
