@@ -700,6 +700,20 @@ def k2(spark, d):
     return K.verify_frozen(frozen, now)
 
 
+@query("k2_held_out_rows", f"WITH {SPLIT} SELECT item, label, group_id, file_sha FROM split_items WHERE split = 'test'")
+def k2_held_out(spark, d):
+    """The test rows, opened behind a record of the training and validation rows and the manifest."""
+    from shardloom.operators import gate
+    from shardloom.operators.graph import shared_path
+
+    rows = T.split_items(spark, d).select("item", "label", "group_id", "file_sha", "split")
+    table, record = shared_path(spark, "splits"), shared_path(spark, "record")
+    gate.write_splits(rows, "split", table)
+    inputs = {"train": gate.read_split(spark, table, "split", "train"), "val": gate.read_split(spark, table, "split", "val"), "manifest": rows.select("item", "file_sha", "split")}
+    gate.freeze(inputs, record)
+    return gate.open_held_out(spark, record, inputs, table, inputs["manifest"]).select("item", "label", "group_id", "file_sha")
+
+
 @query("k7_run_summary", "SELECT event_type AS stage, round(sum(value), 3) AS seconds, max(value) AS peak, count(*) AS runs FROM events GROUP BY ROLLUP (event_type)")
 def k7(spark, d):
     return K.run_summary(T.table(spark, d, "events").withColumnRenamed("event_type", "stage"), "stage", "value", "value")
