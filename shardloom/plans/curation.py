@@ -785,6 +785,24 @@ def a3(spark, d):
     return read.select(F.regexp_extract("archive", "/([0-9]+).zip$", 1).cast("long").alias("archive"), "name", "size", F.sha2("content", 256).alias("sha256"))
 
 
+@query("a5_snapshot_manifest", """WITH x AS (SELECT coalesce(lang, 'none') || '-' || (doc_id % 100) AS k, doc_id || '.txt' AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents)
+SELECT k AS "modelId", 'r1' AS revision, 'store' AS staging_repo, 'r0' AS staging_revision, sum(bytes) OVER (PARTITION BY k)::BIGINT AS total_bytes, path, bytes, sha256 FROM x""")
+def a5(spark, d):
+    """A JSON manifest for each language and hundredth of the documents, written and read back."""
+    from shardloom.operators.graph import shared_path
+    from shardloom.sources.files import read_snapshot_manifest
+
+    root = shared_path(spark, "snapshots")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    files = T.table(spark, d, "documents").select(
+        F.concat_ws("-", F.coalesce("lang", F.lit("none")), F.pmod("doc_id", F.lit(100)).cast("string")).alias("k"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256")
+    )
+    one = files.groupBy("k").agg(F.collect_list(F.struct("path", "bytes", "sha256")).alias("files"), F.sum("bytes").alias("totalBytes"))
+    body = F.to_json(F.struct(F.col("k").alias("modelId"), F.lit("r1").alias("revision"), F.struct(F.lit("store").alias("repo"), F.lit("r0").alias("revision")).alias("staging"), "files", "totalBytes"))
+    one.select("k", body.alias("value")).write.partitionBy("k").text(root)
+    return read_snapshot_manifest(spark, f"{root}/*")
+
+
 @query("c9_verify_identity", """SELECT lang || '/' || source AS model, field, expected, found FROM (
 SELECT DISTINCT lang, source, 'source' AS field, 'news' AS expected, source AS found FROM documents WHERE source IS DISTINCT FROM 'news'
 UNION SELECT lang, source, 'lang', 'en', lang FROM documents WHERE lang IS DISTINCT FROM 'en')""")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardloom.sources import ranged
+from shardloom.operators.shipping import ship_code
+from shardloom.sources import headers, ranged
 
 # Fixed value: the column order of a split manifest.
 SPLIT_COLUMNS = ["image_id", "relpath", "product", "label", "official_split", "group_id", "split", "selected", "budget_rank", "exemplar", "exclusion_reason", "file_sha256", "pixel_sha256", "width", "height", "mode"]
@@ -22,34 +25,71 @@ def scan_files(spark: SparkSession, root: str, *, digest: bool = True, pattern:
     return ranged.digest_files(files) if digest else files
 
 
+_HEADER = "format string, width int, height int, mode string, bits int, deep boolean"
+
+
+def image_headers(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path, bytes, file_sha256, format, width, height, mode, bits, deep of every file below root; nulls where the header is no image's.
+
+    A file is read once, in chunks: the header from its first bytes (where a TIFF keeps its table), the digest along the way.  Nothing is decoded.
+    """
+    ship_code(spark)
+
+    def task(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with ranged.open_file(path) as f:
+                    found = headers.inspect(lambda at, n: f.read_at(n, at))  # noqa: B023
+                    f.seek(0)
+                    while chunk := f.read(ranged.CHUNK):
+                        digest.update(chunk)
+                rows.append((digest.hexdigest(), *(found or [None] * 6)))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["path", "bytes", "file_sha256", *(f.split()[0] for f in _HEADER.split(", "))])
+
+    return ranged.listing(spark, root, pattern).mapInArrow(task, f"path string, bytes long, file_sha256 string, {_HEADER}")
+
+
 def scan_images(spark: SparkSession, root: str, *, least: int = 64, most: int = 4096, refuse_deep: bool = True) -> DataFrame:
     """path, bytes, file_sha256, decode_ok, width, height, mode, pixel_sha256 of every file; one that is no image, or has a
     side outside the limits, is a row with decode_ok false.
 
-    mode is null for files that can't be decoded.  Images with more than 8 bits a sample are refused for the whole run, unless
-    `refuse_deep` is false; `high_bit_depth` lists them.
+    Size and mode (L, LA, P, RGB, ..) are the header's, null for files that are no image.  Images with more than 8 bits a sample are refused for the
+    whole run before anything is decoded, unless `refuse_deep` is false; `high_bit_depth` lists them.
     """
     if refuse_deep:
         deep = [r.path for r in high_bit_depth(spark, root).orderBy("path").limit(5).collect()]
         if deep:
             raise ValueError(f"images with more than 8 bits a sample are not supported: {', '.join(deep)}")
-    files = scan_files(spark, root).withColumnRenamed("sha256", "file_sha256")
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
+    files = image_headers(spark, root)
+    images = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*").where("width > 0")
     # The image reader gives file:/// where the file reader gives file:/.
     where = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    ok = (F.col("width") > 0) & (F.least("width", "height") >= least) & (F.greatest("width", "height") <= most)
     shape = F.concat_ws("x", "width", "height", "nChannels")
-    decoded = images.select(
-        where("origin").alias("_path"), "width", "height", F.when(F.col("nChannels") == 1, "L").when(F.col("nChannels") == 3, "RGB").when(F.col("nChannels") == 4, "RGBA").alias("mode"),
-        ok.alias("_ok"), F.when(ok, F.sha2(F.concat(shape.cast("binary"), F.lit(":").cast("binary"), "data"), 256)).alias("pixel_sha256"),
-    )
-    return files.join(decoded, where("path") == F.col("_path"), "left").withColumn("decode_ok", F.coalesce("_ok", F.lit(False))).drop("_path", "_ok")
+    decoded = images.select(where("origin").alias("_path"), F.sha2(F.concat(shape.cast("binary"), F.lit(":").cast("binary"), "data"), 256).alias("_pixels"))
+    fits = (F.least("width", "height") >= least) & (F.greatest("width", "height") <= most)
+    ok = F.coalesce(F.col("_pixels").isNotNull() & fits, F.lit(False))
+    return files.join(decoded, where("path") == F.col("_path"), "left").select("path", "bytes", "file_sha256", ok.alias("decode_ok"), "width", "height", "mode", F.when(ok, F.col("_pixels")).alias("pixel_sha256"))
 
 
 def high_bit_depth(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of PNG files with more than 8 bits a sample, by the header's bit-depth byte."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(root)
-    return files.select("path", F.conv(F.hex(F.substring("content", 25, 1)), 16, 10).cast("int").alias("bit_depth")).where("bit_depth > 8")
+    """path, bit_depth of image files with more than 8 bits a sample or floating point, by their headers; only first bytes are read."""
+    ship_code(spark)
+
+    def task(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with ranged.open_file(path) as f:
+                    found = headers.inspect(lambda at, n: f.read_at(n, at))  # noqa: B023
+                if found and found.deep:
+                    rows.append((path, found.bits))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.int32())], names=["path", "bit_depth"])
+
+    return ranged.listing(spark, root).mapInArrow(task, "path string, bit_depth int")
 
 
 def image_signature(spark: SparkSession, root: str, side: int = 32) -> DataFrame:

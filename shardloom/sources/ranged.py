@@ -34,7 +34,7 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"))
 
 
-def _open(path: str) -> pa.NativeFile:
+def open_file(path: str) -> pa.NativeFile:
     # The file scan reports file:/a for file:///a, and characters as they are.
     if re.match("(file:)?/", path):
         return pa_fs.LocalFileSystem().open_input_file(re.sub("^(file:)?/+", "/", path))
@@ -59,7 +59,7 @@ def digest_files(files: DataFrame, path: str = "path", opened: Accumulator | Non
                     out.append(None)
                     continue
                 digest = hashlib.sha256()
-                with _open(p) as f:
+                with open_file(p) as f:
                     while chunk := f.read(CHUNK):
                         digest.update(chunk)
                 if opened is not None:
@@ -98,7 +98,7 @@ def zip_directory(spark: SparkSession, root: str, pattern: str = "*.zip") -> Dat
             for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 try:
-                    with _open(path) as f, zipfile.ZipFile(f) as z:
+                    with open_file(path) as f, zipfile.ZipFile(f) as z:
                         files = [m for m in z.infolist() if not m.is_dir()]
                     for i, m in enumerate(files):
                         link = (m.external_attr >> 16) & 0o170000 == 0o120000
@@ -164,7 +164,7 @@ def read_members(entries: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
                     if row["archive"] != held:
                         if f is not None:
                             f.close()
-                        held, f = row["archive"], _open(row["archive"])
+                        held, f = row["archive"], open_file(row["archive"])
                     yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([_unpacked(f, row)], pa.binary())], names=[*names, "content"])
         finally:
             if f is not None:

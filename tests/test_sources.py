@@ -1,3 +1,4 @@
+import hashlib
 import struct
 import zipfile
 import zlib
@@ -29,6 +30,49 @@ def test_images_are_rows_even_when_broken(spark, tmp_path):
         A.scan_images(spark, str(tmp_path))
 
 
+def tiff(width, height, bits, samples=1, colour=1, floating=False, order="<"):
+    """A little or big endian header with its table after the pixels."""
+    data = bytes(width * height * samples * max(bits) // 8)
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, bits), (262, 3, [colour]), (277, 3, [samples]), *([(339, 3, [3])] if floating else [])]
+    at = 8 + len(data)
+    extra, table = b"", struct.pack(order + "H", len(tags))
+    for tag, kind, values in tags:
+        raw = struct.pack(order + f"{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            spot = at + 2 + 12 * len(tags) + 4 + len(extra)
+            extra += raw
+            raw = struct.pack(order + "I", spot)
+        table += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + data + table + bytes(4) + extra
+
+
+def jpeg(width, height, parts=3, bits=8):
+    return b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + bytes(14) + b"\xff\xc4" + struct.pack(">H", 5) + bytes(3) + b"\xff\xc2" + struct.pack(">HBHHB", 8 + 3 * parts, bits, height, width, parts) + bytes(3 * parts)
+
+
+def test_headers_name_size_mode_and_depth(spark, tmp_path):
+    def kind(depth, colour):
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 300, 200, depth, colour, 0, 0, 0)
+
+    files = {
+        "p.png": (kind(8, 3), ("PNG", 300, 200, "P", 8, False)), "la.png": (kind(8, 4), ("PNG", 300, 200, "LA", 8, False)), "rgba.png": (kind(8, 6), ("PNG", 300, 200, "RGBA", 8, False)),
+        "deep.png": (kind(16, 2), ("PNG", 300, 200, "RGB", 16, True)), "one.png": (kind(1, 0), ("PNG", 300, 200, "1", 1, False)),
+        "l.jpg": (jpeg(640, 480, 1), ("JPEG", 640, 480, "L", 8, False)), "c.jpg": (jpeg(640, 480, 4), ("JPEG", 640, 480, "CMYK", 8, False)), "d.jpg": (jpeg(9, 8, 1, 12), ("JPEG", 9, 8, "L", 12, True)),
+        "b.bmp": (b"BM" + bytes(12) + struct.pack("<IiiHH", 40, 70, -80, 1, 24), ("BMP", 70, 80, "RGB", 8, False)), "g.gif": (b"GIF89a" + struct.pack("<HH", 5, 6), ("GIF", 5, 6, "P", 8, False)),
+        "a.tif": (tiff(70, 65, [8, 8, 8], 3, 2), ("TIFF", 70, 65, "RGB", 8, False)), "big.tif": (tiff(70, 65, [16], order=">"), ("TIFF", 70, 65, "L", 16, True)),
+        "f.tif": (tiff(4, 4, [32], floating=True), ("TIFF", 4, 4, "L", 32, True)), "pal.tif": (tiff(4, 4, [8], colour=3), ("TIFF", 4, 4, "P", 8, False)),
+        "none.txt": (b"no image at all", (None,) * 6), "cut.png": (kind(8, 2)[:20], (None,) * 6), "cut.tif": (b"II*\0\xff\xff\0\0", (None,) * 6), "cut.jpg": (b"\xff\xd8\xff", (None,) * 6),
+    }
+    for name, (data, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r for r in A.image_headers(spark, str(tmp_path)).collect()}
+    assert {k: tuple(v[3:]) for k, v in got.items()} == {k: v for k, (_, v) in files.items()}
+    assert all(got[k].file_sha256 == hashlib.sha256(d).hexdigest() and got[k].bytes == len(d) for k, (d, _) in files.items())
+    assert {r.path.rsplit("/", 1)[1]: r.bit_depth for r in A.high_bit_depth(spark, str(tmp_path)).collect()} == {"deep.png": 16, "d.jpg": 12, "big.tif": 16, "f.tif": 32}
+    with pytest.raises(ValueError, match="big.tif.*d.jpg.*deep.png.*f.tif"):
+        A.scan_images(spark, str(tmp_path))
+
+
 def test_signatures(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(80, 70))
     (tmp_path / "b.png").write_bytes(png(80, 70, 9))
