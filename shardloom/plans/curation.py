@@ -286,19 +286,25 @@ def _listing(spark, d):
     return pinned.where("doc_id % 19 <> 0"), now.where("doc_id % 23 <> 0")
 
 
-@query("c9_verify_manifest", """WITH x AS (SELECT doc_id, 'd' || doc_id || CASE WHEN doc_id % 41 = 0 THEN '.exe' ELSE '.txt' END AS path FROM documents)
-SELECT path, CASE WHEN doc_id % 23 = 0 THEN 'missing' WHEN doc_id % 19 = 0 THEN 'not listed' WHEN doc_id % 17 = 0 THEN 'size differs' WHEN doc_id % 13 = 0 THEN 'digest differs' WHEN doc_id % 41 = 0 THEN 'type not allowed' ELSE 'ok' END AS status
-FROM x WHERE NOT (doc_id % 19 = 0 AND doc_id % 23 = 0)""")
+_LISTED = """now_there AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 41 = 0 THEN '.exe' ELSE '.txt' END AS path, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256, doc_id FROM documents),
+pinned AS (SELECT path, bytes + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS bytes, CASE WHEN doc_id % 13 = 0 THEN '0' ELSE sha256 END AS sha256 FROM now_there WHERE doc_id % 19 <> 0),
+listing AS (SELECT path, bytes, sha256 FROM now_there WHERE doc_id % 23 <> 0)"""
+
+
+@query("c9_verify_manifest", f"""WITH {_LISTED}
+SELECT coalesce(p.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'missing' WHEN p.path IS NULL THEN 'not listed' WHEN p.bytes <> l.bytes THEN 'size differs' WHEN p.sha256 <> l.sha256 THEN 'digest differs'
+  WHEN NOT regexp_matches(lower(coalesce(p.path, l.path)), '[.]txt$') THEN 'type not allowed' ELSE 'ok' END AS status
+FROM pinned p FULL JOIN listing l ON p.path = l.path""")
 def c9(spark, d):
     return R.verify_manifest(*_listing(spark, d), (".txt",))
 
 
-@query("c10_missing_files", "SELECT 'd' || doc_id || CASE WHEN doc_id % 41 = 0 THEN '.exe' ELSE '.txt' END AS path FROM documents WHERE doc_id % 23 = 0 AND doc_id % 19 <> 0")
+@query("c10_missing_files", f"WITH {_LISTED} SELECT path FROM pinned WHERE path NOT IN (SELECT path FROM listing)")
 def c10(spark, d):
     return R.missing_files(*_listing(spark, d)).select("path")
 
 
-@query("c11_verify_rows", "SELECT 'd' || doc_id || CASE WHEN doc_id % 41 = 0 THEN '.exe' ELSE '.txt' END AS path FROM documents WHERE doc_id % 23 <> 0 AND (doc_id % 13 = 0 OR doc_id % 19 = 0)")
+@query("c11_verify_rows", f"WITH {_LISTED} SELECT l.path FROM listing l LEFT JOIN pinned p ON p.path = l.path WHERE p.sha256 IS DISTINCT FROM l.sha256")
 def c11(spark, d):
     pinned, now = _listing(spark, d)
     return R.verify_rows(now, pinned, "path", "sha256")
@@ -693,7 +699,8 @@ def k1(spark, d):
     return K.freeze_record(_source_inputs(spark, d))
 
 
-@query("k2_verify_frozen", f"WITH {_INPUTS} SELECT name, CASE WHEN name = 'src1' THEN 'input missing' WHEN name = 'src2' THEN 'input changed' ELSE 'ok' END AS status FROM inputs")
+@query("k2_verify_frozen", f"""WITH {_INPUTS}, current AS (SELECT name, CASE WHEN name = 'src2' THEN '0' ELSE sha256 END AS sha256 FROM inputs WHERE name <> 'src1')
+SELECT coalesce(i.name, c.name) AS name, CASE WHEN c.name IS NULL THEN 'input missing' WHEN i.name IS NULL THEN 'not frozen' WHEN i.sha256 <> c.sha256 THEN 'input changed' ELSE 'ok' END AS status FROM inputs i FULL JOIN current c ON i.name = c.name""")
 def k2(spark, d):
     frozen = K.freeze_record(_source_inputs(spark, d))
     now = frozen.where("name <> 'src1'").withColumn("sha256", F.when(F.col("name") == "src2", "0").otherwise(F.col("sha256")))
