@@ -241,9 +241,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("block", "shard", "dim")), pa.array(top)], names=["block", "shard", "dim", "top"]).filter(pa.array(keep))
 
     # Small rows, one for each pair of a block and a shard: the blocked search of a stated query set over all rows.
-    balls = shard.select("shard", "dim", "centre", "radius").join(block.select("block", "dim", "q_centre", "q_radius", "q_norm", "lowest"), "dim")
-    pairs = written(balls.mapInArrow(bound_task, "block long, shard long, dim long, top double"), "pairs")
+    # Blocks are dealt to groups, each with the balls of all shards, so the pairs of one dimension are many tasks.
     blocks = max(1, block.count())
+    groups = min(blocks, 4096)
+    dealt_blocks = block.select("block", "dim", "q_centre", "q_radius", "q_norm", "lowest").withColumn("_group", F.pmod("block", F.lit(groups)).cast("int"))
+    met = shard.select("shard", "dim", "centre", "radius").withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    balls = met.join(dealt_blocks, ["dim", "_group"])
+    pairs = written(balls.mapInArrow(bound_task, "block long, shard long, dim long, top double"), "pairs")
     spread = max(1, -(-spark.sparkContext.defaultParallelism * 2 // blocks))
     tasks = (
         pairs.join(shard.select("shard", "dim", "tree"), ["shard", "dim"]).join(block.select("block", "dim", "q_ids", "q", "floor"), ["block", "dim"])
