@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_
     smaller id; fewer candidates give fewer rows.  Vectors that are null, empty or hold a null or
     non-finite component take no part, nor do rows without an id; queries meet candidates of their own length only.  Every
     candidate row counts, repeated ones too; rows that repeat a query's id and vector are one query.  Sums are exact while they
-    stay below 2**53.
+    stay below 2**53; a component whose floor(64 x) leaves 64 bits counts as the nearest 64-bit number.  Ids are whole numbers.
     """
     spark = vectors.sparkSession
     tn.ship_code(spark)

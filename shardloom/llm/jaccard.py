@@ -336,7 +336,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sho
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows and columns of `docs` whose id is the smallest of its component; rows with a null id stay.
 
-    Rows that repeat one id are versions of one document and stay or go together.
+    Rows that repeat one id are versions of one document and stay or go together.  Ids are whole numbers.
     """
     found = join(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()

@@ -206,6 +206,7 @@ def identify(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_
     """One row per document: id, lang_pred, score (calibrated probability of lang_pred).
 
     A text that is null or has no letter, or any text when no language was learned, gets `und` and score 0.
+    Repeated rows are answered each, a null id like any other; other columns are dropped.
     """
     tn.ship_code(docs.sparkSession)
     source = docs.select(

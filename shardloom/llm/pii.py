@@ -349,7 +349,7 @@ def find(docs: DataFrame, model: ShapeField, *, id_col: str = "doc_id", text_col
     """One row per document: id, spans and base_spans, arrays of (start, end, kind) by start, then kind.
 
     Offsets count code points, ends are exclusive.  An added span that touches a base span is dropped.
-    Null texts count as empty and have no spans.  Other columns of the input are dropped.
+    Null texts count as empty and have no spans.  Repeated rows and null ids have rows of their own.  Other columns of the input are dropped.
     """
     tn.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))

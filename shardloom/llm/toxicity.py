@@ -184,7 +184,9 @@ def score(docs: DataFrame, model: FactorModel, *, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, model: FactorModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` whose text scores below `threshold`; null and empty texts score the bias alone."""
+    """The rows and columns of `docs` whose text scores below `threshold`; null and empty texts score the bias alone.
+
+    Repeated rows stay or go together, since a score depends on the text alone; ids are not read."""
     tn.ship_code(docs.sparkSession)
     at = docs.columns.index(text_col)
 
