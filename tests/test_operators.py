@@ -102,6 +102,22 @@ def test_small_cells_share_a_block_and_large_ones_have_several():
     assert S._blocks(np.array([5, 5, 100, 3, 4]), 10)[0].tolist() == [0, 0, 1, 11, 11] and S._blocks(np.array([5, 5, 100, 3, 4]), 10)[1].tolist() == [1, 1, 10, 1, 1]
 
 
+def test_a_query_is_sent_in_small_batches_to_few_blocks(spark, monkeypatch):
+    """Random directions: no cell can be skipped, and a query is not copied once for each of the tree's cells."""
+    monkeypatch.setattr(cells, "LEAST_ROWS", 2)
+    kept, real = {}, S.written
+    monkeypatch.setattr(S, "written", lambda rows, name: kept.setdefault(name, real(rows, name)))
+    v = np.random.default_rng(6).normal(size=(2000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>")
+    report = {}
+    got = {x.i: x.reference for x in S.max_similarity(rows.where("i < 20"), rows, "i", "v", others=True, report=report).collect()}
+    s = v[:20] @ v.T
+    s[np.arange(20), np.arange(20)] = -2
+    assert got == dict(enumerate(s.argmax(axis=1).tolist()))
+    assert report["cells"] > 150 and kept["onward"].groupBy("_id").count().agg(F.max("count")).first()[0] <= 80
+
+
 def test_vectors_of_any_length_are_not_pruned_away(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(150, 4)) * rng.choice([0.2, 1.0, 5.0], size=(150, 1))
