@@ -85,11 +85,13 @@ def group_strata(rows: DataFrame, group: str = "group", label: str = "true") ->
 def bootstrap_draws(strata: DataFrame, resamples: int, seed: int, group: str = "group") -> DataFrame:
     """resample, group, multiplicity: in each stratum as many groups as it has, drawn with replacement.
 
-    One draw serves all arms and metrics.  Rows are resamples x groups, aggregated before they are joined.
+    One draw serves all arms and metrics.  Rows are resamples x groups: strata go to a task for every few resamples, which are drawn and counted there.
     """
-    slots = strata.select("stratum", F.col("index").alias("_slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    drawn = slots.select("resample", "stratum", draw_below(F.col("size"), "bootstrap", seed, F.col("resample"), F.col("stratum"), F.col("_slot")).alias("index"))
-    counted = drawn.groupBy("resample", "stratum", "index").agg(F.count(F.lit(1)).alias("multiplicity"))
+    step = max(1, -(-resamples // 100))
+    blocks = strata.select("stratum", F.col("index").alias("_slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(step))).alias("_from"))
+    slots = blocks.repartition(-(-resamples // step), "_from").withColumn("resample", F.explode(F.sequence("_from", F.least(F.col("_from") + (step - 1), F.lit(resamples - 1)))))
+    drawn = slots.select("_from", "resample", "stratum", draw_below(F.col("size"), "bootstrap", seed, F.col("resample"), F.col("stratum"), F.col("_slot")).alias("index"))
+    counted = drawn.groupBy("_from", "resample", "stratum", "index").agg(F.count(F.lit(1)).alias("multiplicity"))
     return counted.join(strata.select("stratum", F.col("index").cast("long").alias("index"), group), ["stratum", "index"]).select("resample", group, "multiplicity")
 
 

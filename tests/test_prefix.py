@@ -97,3 +97,12 @@ def test_class_pools_number_a_class_without_gaps(spark):
     for c in (True, False):
         own = sorted((i % 5, i) for i in range(500) if (i % 7 == 0) == c)
         assert all(got[(c, k)] == (i, len(own)) for k, (_, i) in enumerate(own))
+
+
+def test_draws_are_dealt_by_resamples(spark):
+    """No task draws all resamples, and each stratum gives as many groups as it has in every one of them."""
+    strata = spark.range(0, 300, numPartitions=1).select(F.concat(F.lit("g"), "id").alias("group"), F.when(F.col("id") < 100, "a").otherwise("b").alias("stratum"), F.when(F.col("id") < 100, F.col("id")).otherwise(F.col("id") - 100).alias("index"), F.when(F.col("id") < 100, 100).otherwise(200).alias("size"))
+    drawn = M.bootstrap_draws(strata, 250, 1)
+    assert {(x.s, x.r): x.n for x in drawn.join(strata, "group").groupBy(F.col("stratum").alias("s"), F.col("resample").alias("r")).agg(F.sum("multiplicity").alias("n")).collect()} == {(s, r): n for s, n in (("a", 100), ("b", 200)) for r in range(250)}
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_from" in plan and "hashpartitioning(resample" not in plan
