@@ -103,17 +103,51 @@ def resampled_metrics(rows: DataFrame, draws: DataFrame, classes: DataFrame, gro
     return run_metrics(class_metrics(confusion(weighted, classes, by, "_w"), by), by)
 
 
-def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *, block: int = 50, range_rows: int = 1 << 16) -> DataFrame:
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of counts as bytes, in the narrowest type that holds them all; a row of zeros is empty."""
+    x = np.ascontiguousarray(x, np.min_scalar_type(int(x.max(initial=0))))
+    full = x.any(axis=1)
+    ends = np.concatenate(([0], np.cumsum(full * (x.shape[1] * x.itemsize)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x[full].tobytes())])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The matrix of `_packed` rows, whatever type each has."""
+    out = np.zeros((len(column), width), np.int64)
+    at = 0
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64) if len(chunk) else np.zeros(1, np.int64)
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        size = np.diff(ends)
+        for n in np.unique(size[size > 0]):
+            own = np.flatnonzero(size == n)
+            out[at + own] = data[ends[own][:, None] + np.arange(n)].view(f"u{n // width}")
+        at += len(chunk)
+    return out
+
+
+def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *, block: int = 250, range_rows: int = 1 << 13) -> DataFrame:
     """resample, arm, seed, macro_auprc: `average_precision` of every resample, each score counted with its group's multiplicity.
 
     The scores of a run and class are cut into ranges of about `range_rows`; a task takes one range with `block` resamples, whose running sums are
     columns of one matrix and begin with what the ranges above hold.  Equal scores are added up where they are met, so ties make no range large.
+    Multiplicities travel as bytes, a row of a matrix for each score, mostly one byte a resample.
     """
     names = [*RUN, "_cls", "_block"]
-    lists = draws.groupBy(group, F.floor(F.col("resample") / block).alias("_block")).agg(F.collect_list(F.struct((F.col("resample") % block).cast("int").alias("i"), F.col("multiplicity").cast("long").alias("m"))).alias("_draws"))
-    flat = rows.select(*RUN, group, "true", F.posexplode("scores").alias("_cls", "_score"))
+    drawn = draws.groupBy(group, F.floor(F.col("resample") / block).alias("_block")).agg(F.collect_list((F.col("resample") % block).cast("int")).alias("_i"), F.collect_list(F.col("multiplicity").cast("long")).alias("_m"))
+
+    def pack(batches):
+        for batch in batches:
+            i, m = batch.column(2), batch.column(3)
+            weight = np.zeros((batch.num_rows, block), np.int64)
+            weight[np.repeat(np.arange(batch.num_rows), i.value_lengths().to_numpy()), i.flatten().to_numpy()] = m.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(weight)], names=[group, "_block", "_draws"])
+
+    lists = written(drawn.mapInArrow(pack, f"`{group}` {draws.schema[group].dataType.simpleString()}, _block long, _draws binary"), "lists")
     most = rows.groupBy(*RUN).count().agg(F.max("count")).first()[0] or 0
     ranges = max(1, -(-most // range_rows))
+    # A small table is few tasks, and every row becomes classes x blocks rows.
+    flat = rows.repartition(max(8, most // 512), group).select(*RUN, group, "true", F.posexplode("scores").alias("_cls", "_score"))
     cuts = {}
     if ranges > 1:
         at = F.percentile_approx("_score", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(20 * ranges))
@@ -121,9 +155,7 @@ def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *,
     keyed = flat.select(*RUN, "_cls", group, "_score", (F.col("true") == F.col("_cls")).alias("_hit")).join(lists, group).select(*names, "_score", "_hit", "_draws")
 
     def combine(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
             code = np.zeros(batch.num_rows, np.int64)
             for c in range(len(names)):
                 words = batch.column(c).dictionary_encode()
@@ -132,11 +164,7 @@ def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *,
             order = np.lexsort((-score, code))
             code, score = code[order], score[order]
             first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (score[1:] != score[:-1]))))
-            drawn = batch.column(len(names) + 2)
-            row = np.repeat(np.arange(len(score)), drawn.value_lengths().to_numpy())
-            weight = np.zeros((len(score), block), np.int64)
-            weight[row, drawn.flatten().field(0).to_numpy()] = drawn.flatten().field(1).to_numpy()
-            weight = weight[order]
+            weight = _unpacked(batch.column(len(names) + 2), block)[order]
             hit = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64)[order]
             taken, found = np.add.reduceat(weight, first, axis=0), np.add.reduceat(weight * hit[:, None], first, axis=0)
             keys = [batch.column(c).take(pa.array(order[first])) for c in range(len(names))]
@@ -146,26 +174,30 @@ def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *,
                 for a, b in zip(new.tolist(), [*new[1:].tolist(), len(first)], strict=True):
                     own = cuts[tuple(k[a].as_py() for k in keys[:-1])]
                     span[a:b] = len(own) - np.searchsorted(own, score[first][a:b], side="right")
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(span), pa.array(score[first]), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (found, taken))], names=[*names, "_range", "_score", "p", "a"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(span), pa.array(score[first]), _packed(found), _packed(taken)], names=[*names, "_range", "_score", "p", "a"])
 
     kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)
     weighed = keyed.mapInArrow(combine, f"{kinds}, _range long, _score double, p binary, a binary")
-    matrix = lambda column: np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(-1, block)
+    matrix = lambda column: _unpacked(column, block)
 
     def totals(batches):
         held: dict[tuple, np.ndarray] = {}
 
         def batch_of():
             columns = list(zip(*held, strict=True))
-            values = [pa.array([v[i].tobytes() for v in held.values()], pa.binary()) for i in (0, 1)]
+            values = [_packed(np.stack([v[i] for v in held.values()])) for i in (0, 1)]
             return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *values], names=[*names, "_range", "p", "a"])
 
         for batch in batches:
             types = [batch.column(c).type for c in range(len(names) + 1)]
             both = np.stack((matrix(batch.column(len(names) + 2)), matrix(batch.column(len(names) + 3))), 1)
-            for k, v in zip(zip(*(batch.column(c).to_pylist() for c in range(len(names) + 1)), strict=True), both, strict=True):
+            place: dict[tuple, list] = {}
+            for r, k in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(names) + 1)), strict=True)):
+                place.setdefault(k, []).append(r)
+            for k, own in place.items():
+                v = both[own].sum(axis=0)
                 held[k] = held[k] + v if k in held else v
-            if len(held) > 10_000:
+            if len(held) > 2_000:
                 yield batch_of()
                 held = {}
         if held:
@@ -177,8 +209,7 @@ def resampled_auprc(rows: DataFrame, draws: DataFrame, group: str = "group", *,
         np.add.at(p, place, matrix(table.column("p")))
         np.add.at(a, place, matrix(table.column("a")))
         own = {c: pa.array([table.column(c)[0].as_py()] * len(span), table.schema.field(c).type) for c in names}
-        pack = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-        return pa.table({**own, "_range": span, "p0": pack(np.cumsum(p, axis=0) - p), "a0": pack(np.cumsum(a, axis=0) - a), "all": pack(np.repeat(p.sum(axis=0)[None], len(span), axis=0))})
+        return pa.table({**own, "_range": span, "p0": _packed(np.cumsum(p, axis=0) - p), "a0": _packed(np.cumsum(a, axis=0) - a), "all": _packed(np.repeat(p.sum(axis=0)[None], len(span), axis=0))})
 
     def precision(table: pa.Table, carried: pa.Table) -> pa.Table:
         score = table.column("_score").to_numpy()

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,12 @@ def test_draws_are_dealt_by_resamples(spark):
     assert {(x.s, x.r): x.n for x in drawn.join(strata, "group").groupBy(F.col("stratum").alias("s"), F.col("resample").alias("r")).agg(F.sum("multiplicity").alias("n")).collect()} == {(s, r): n for s, n in (("a", 100), ("b", 200)) for r in range(250)}
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_from" in plan and "hashpartitioning(resample" not in plan
+
+
+def test_counts_travel_in_few_bytes():
+    x = np.array([[0, 0, 0], [1, 2, 255], [0, 7, 0]])
+    packed = M._packed(x)
+    assert packed.nbytes < 6 + 5 * 8 and (M._unpacked(packed, 3) == x).all()
+    wide = M._packed(np.array([[70_000, 0, 1], [0, 0, 0]]))
+    both = pa.chunked_array([packed.slice(1), wide, packed.slice(0, 0)])
+    assert M._unpacked(both, 3).tolist() == [[1, 2, 255], [0, 7, 0], [70_000, 0, 1], [0, 0, 0]]
