@@ -72,6 +72,7 @@ def stream_eligibility(rows: DataFrame, item: str, digest: str, time: str, rules
     'late' and changes no state.  Rows with a null digest or time are 'no digest' or 'no time'.  On a drained stream without late rows the
     result is that of the batch form.
     """
+    import numpy as np
     import pandas as pd
 
     early = F.when(F.col(digest).isNull(), "no digest").when(F.col(time).isNull(), "no time")
@@ -90,16 +91,20 @@ def stream_eligibility(rows: DataFrame, item: str, digest: str, time: str, rules
         if state.hasTimedOut:
             state.remove()
             return
-        own = pd.concat(list(chunks))[["item", "at"]].sort_values(["at", "item"], kind="stable")
-        late = own["at"] < state.getCurrentWatermarkMs()
-        reason = pd.Series("exact duplicate of an earlier candidate", index=own.index).mask(late, "late")
-        if not state.exists and (~late).any():
-            first = int((~late).to_numpy().argmax())
-            reason.iloc[first] = ""
-            state.update((int(own["at"].iloc[first]),))
+        # A digest has few rows and there are many digests: no pandas operation that plain arrays do as well.
+        own = list(chunks)
+        own = own[0] if len(own) == 1 else pd.concat(own)
+        when, items, watermark = own["at"].to_numpy(), own["item"].to_numpy(), state.getCurrentWatermarkMs()
+        late = when < watermark
+        reason = np.where(late, "late", "exact duplicate of an earlier candidate").astype(object)
+        if not state.exists and not late.all():
+            least = int(when[~late].min())
+            first = min(np.flatnonzero(~late & (when == least)), key=lambda k: items[k])
+            reason[first] = ""
+            state.update((least,))
         if state.exists:
-            state.setTimeoutTimestamp(max(state.get[0] + kept_for, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"item": own["item"], "status": reason.eq("").map({True: "eligible", False: "rejected"}), "reason": reason})
+            state.setTimeoutTimestamp(max(state.get[0] + kept_for, watermark + 1))
+        yield pd.DataFrame({"item": items, "status": np.where(reason == "", "eligible", "rejected"), "reason": reason})
 
     settled = passed.groupBy("digest").applyInPandasWithState(settle, f"item {kind}, status string, reason string", "seen long", "append", "EventTimeTimeout")
     return settled.unionByName(refused).withColumnRenamed("item", item)
