@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shardloom.llm import textnp as tn
 from shardloom.llm.graph import bit_filter, bits_for, is_set, written
@@ -36,6 +37,7 @@ LENGTH, K, SPLIT = 200, 48, 16
 #: Bytes of text, symbols of lanes, and rows of shards, that a task handles at once.
 SLICE, BATCH, ROWS = 3 << 18, 300_000, 12_000
 _POS = 22  # a stretch has fewer than 2**22 bytes
+_SPAN = 1 << 16  # a run inside a context has fewer windows
 
 
 def stretches(batches, length: int):
@@ -142,6 +144,16 @@ def repeated_windows(buf: np.ndarray, size: np.ndarray, shard: np.ndarray, lengt
     return out
 
 
+def filter_of(keys: DataFrame, column: str, bits: int | None) -> np.ndarray:
+    """A bit filter in which every key sets two bits, so few others pass; `bits` by the number of keys, if not given."""
+    two = keys.select(F.explode(F.array(column, F.shiftrightunsigned(column, 28))).alias(column))
+    return bit_filter(two, column, bits or bits_for(keys.count()))
+
+
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return is_set(words, keys) & is_set(words, keys >> tn.U64(28))
+
+
 def _words(digests: pa.Array) -> np.ndarray:
     """16-byte digests as rows of two numbers."""
     return np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
@@ -193,25 +205,27 @@ def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, fi
     """
     spark = pieces.sparkSession
     distinct = pieces.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.max("windows").alias("windows"))
-    distinct = written(distinct, "distinct")
-    shards = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
-    known = written(distinct.join(shards, "key").where("different > 1 or n > 1"), "known")
+    shard = Window.partitionBy("key")
+    known = distinct.withColumns({"different": F.count(F.lit(1)).over(shard), "least": F.min("n").over(shard)}).where("different > 1 or n > 1")
+    known = written(known, "known")
     # A piece that occurs twice repeats as a whole; a shard of such pieces alone needs no array.
     whole = known.where("n > 1").select("key", "piece", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("runs"))
     mixed = known.where("different > 1 and least = 1")
     small, large = mixed.where(F.col("different") <= shard_contexts), mixed.where(F.col("different") > shard_contexts)
 
-    wanted = spark.sparkContext.broadcast(bit_filter(mixed, "uid", filter_bits or bits_for(mixed.count())))
+    none = lambda kind: F.lit(None).cast(kind)
 
-    def with_data(columns: list[str]) -> DataFrame:
-        """One row with bytes for each piece of `mixed`, and perhaps a few that a fixed-size filter lets through."""
+    def with_data(some: DataFrame, columns: list[str]) -> DataFrame:
+        """For each piece of `some` a row with its count and one with its columns, and perhaps a few that a fixed-size filter lets through."""
+        wanted = spark.sparkContext.broadcast(filter_of(some, "uid", filter_bits))
 
         def pick_task(batches):
             for batch in batches:
-                yield batch.filter(pa.array(is_set(wanted.value, batch.column(columns.index("uid")).to_numpy().view(np.uint64))))
+                yield batch.filter(pa.array(passes(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
 
-        picked = pieces.select(columns)
-        return picked.mapInArrow(pick_task, picked.schema)
+        picked = pieces.select("key", "piece", "uid", *columns)
+        picked = picked.mapInArrow(pick_task, picked.schema).select("key", "piece", none("long").alias("n"), *columns)
+        return some.select("key", "piece", "n", *[none(picked.schema[c].dataType).alias(c) for c in columns]).unionByName(picked)
 
     def shard_task(batches):
         # Rows come by key and piece: first the one with the count, then the bytes.
@@ -229,9 +243,8 @@ def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, fi
         if rows:
             yield _solved(pa.Table.from_batches(held).combine_chunks(), length)
 
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = small.select("key", "piece", "n", none("binary").alias("data")).unionByName(with_data(["key", "piece", "uid", "data"]).select("key", "piece", none("long").alias("n"), "data"))
-    solved = rows.repartition("key").sortWithinPartitions("key", "piece", F.col("n").desc_nulls_last()).mapInArrow(shard_task, _COVER)
+    rows = with_data(small, ["data"]).repartition("key")
+    solved = rows.sortWithinPartitions("key", "piece", F.col("n").desc_nulls_last()).mapInArrow(shard_task, _COVER)
     out = whole.unionByName(solved)
     if width == 1 or large.isEmpty():
         return out
@@ -239,9 +252,17 @@ def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, fi
     finer = -(-width // SPLIT)
 
     def split_task(batches):
+        # Rows come by piece here too; of several with bytes the first one is taken.
+        counted = None
         for batch in batches:
             out = {name: [] for name in ("key", "piece", "n", "uid", "windows", "lead", "up_key", "up_piece", "skip", "data")}
             for r in batch.to_pylist():
+                if r["n"] is not None:
+                    counted = r
+                    continue
+                if counted is None or (r["key"], r["piece"]) != (counted["key"], counted["piece"]):
+                    continue
+                n, counted = counted["n"], None
                 lead, data = r["lead"], r["data"]
                 for c in range(max(0, lead - r["windows"] + 1) // finer, lead // finer + 1):
                     # Windows of this class have the anchor low .. high bytes after their start.
@@ -251,15 +272,15 @@ def cover(pieces: DataFrame, *, width: int, length: int, shard_contexts: int, fi
                     core = hashlib.blake2b(data[lead - low : lead - high + length], digest_size=8, salt=c.to_bytes(4, "little"), person=finer.to_bytes(4, "little")).digest()
                     mark = digest(own + (lead - t0).to_bytes(4, "little"))
                     uid = digest(r["piece"] + mark + r["key"].to_bytes(8, "little", signed=True))[:8]
-                    for name, value in zip(out, (int.from_bytes(core, "little", signed=True), mark, r["n"], int.from_bytes(uid, "little", signed=True), t1 - t0 + 1, lead - t0, r["key"], r["piece"], t0, own), strict=True):
+                    for name, value in zip(out, (int.from_bytes(core, "little", signed=True), mark, n, int.from_bytes(uid, "little", signed=True), t1 - t0 + 1, lead - t0, r["key"], r["piece"], t0, own), strict=True):
                         out[name].append(value)
             kinds = dict(key=pa.int64(), piece=pa.binary(), n=pa.int64(), uid=pa.int64(), windows=pa.int32(), lead=pa.int32(), up_key=pa.int64(), up_piece=pa.binary(), skip=pa.int32(), data=pa.binary())
             yield pa.RecordBatch.from_pydict({name: pa.array(values, kinds[name]) for name, values in out.items()})
 
-    whole_rows = large.select("key", "piece", "n", "uid").join(with_data(["key", "piece", "uid", "windows", "lead", "data"]), ["key", "piece", "uid"]).dropDuplicates(["key", "piece"])
-    parts = written(whole_rows.select("key", "piece", "n", "windows", "lead", "data").mapInArrow(split_task, _PIECES), "parts")
+    rows = with_data(large, ["windows", "lead", "data"]).repartition("key", "piece")
+    parts = written(rows.sortWithinPartitions("key", "piece", F.col("n").desc_nulls_last()).mapInArrow(split_task, _PIECES), "parts")
     below = cover(parts, width=finer, length=length, shard_contexts=shard_contexts, filter_bits=filter_bits)
-    moved = parts.select("key", "piece", "up_key", "up_piece", "skip").join(below, ["key", "piece"]).select(
+    moved = parts.select("key", "piece", "up_key", "up_piece", "skip").join(below.hint("merge"), ["key", "piece"]).select(
         F.col("up_key").alias("key"), F.col("up_piece").alias("piece"),
         F.transform("runs", lambda r: F.struct((r["a"] + F.col("skip")).alias("a"), (r["b"] + F.col("skip")).alias("b"))).alias("runs"),
     )
@@ -273,8 +294,28 @@ def row_keys(batch) -> list[bytes]:
     return [digest(str(i).encode() + b"\0" + buf[a:b].tobytes()) for i, a, b in zip(ids, off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
+def merge_runs(batches):
+    """Rows row_key, starts (first window * _SPAN + further windows, in any order): each row's runs, those that meet or overlap joined."""
+    for batch in batches:
+        lists = batch.column(1)
+        n, x = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        row, a = np.repeat(np.arange(len(n)), n), x // _SPAN
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], (a + x % _SPAN)[order]
+        # The last window so far of each row: rows are set apart before the maximum runs along.
+        apart = row * (int(b.max(initial=0)) + 2)
+        last = np.maximum.accumulate(b + apart)
+        first = np.ones(len(a), bool)
+        first[1:] = (row[1:] != row[:-1]) | (a[1:] + apart[1:] > last[:-1] + 1)
+        at = np.flatnonzero(first)
+        end = (last - apart)[np.append(at[1:], len(a)) - 1] if len(at) else at
+        cuts = np.searchsorted(row[at], np.arange(len(n) + 1)).astype(np.int32)
+        structs = pa.StructArray.from_arrays([pa.array(a[at]), pa.array(end)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), structs)], names=["row_key", "runs"])
+
+
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, filter_bits: int | None = None, shard_contexts: int = 8) -> DataFrame:
-    """Rows row_key (see `row_keys`), runs: for each text with repeated windows the runs (a, b) of their starts, byte offsets, b included.
+    """Rows row_key (see `row_keys`), runs: for each text with repeated windows the maximal runs (a, b) of their starts, byte offsets, b included.
 
     Texts shorter than `length`, null ones among them, have no windows.  Texts over SLICE bytes are taken in parts.
     """
@@ -290,7 +331,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     counted = source.select("_text").mapInArrow(gram_task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     # The filter has a bound; a set bit too many costs only time.
     counted = written(counted.select("gram"), "grams")
-    sent = spark.sparkContext.broadcast(bit_filter(counted, "gram", filter_bits or bits_for(counted.count())))
+    sent = spark.sparkContext.broadcast(filter_of(counted, "gram", filter_bits))
 
     def context_task(batches):
         held, names = None, None
@@ -298,7 +339,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
             if batch is not held:
                 held, names = batch, pa.array(row_keys(batch), pa.binary())
             row, w, count, lead, gram = anchors(buf, off, length, k)
-            hit = np.flatnonzero(is_set(sent.value, gram))
+            hit = np.flatnonzero(passes(sent.value, gram))
             row, w, count, lead, gram = (x[hit] for x in (row, w, count, lead, gram))
             raw = buf.tobytes()
             data = [raw[a:b] for a, b in zip(w.tolist(), (w + count + length - 1).tolist(), strict=True)]
@@ -314,10 +355,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     contexts = written(source.mapInArrow(context_task, "row binary, at long, key long, piece binary, uid long, windows int, lead int, data binary"), "contexts")
     pieces = contexts.withColumn("n", F.lit(1).cast("long"))
     covered = cover(pieces, width=length - k + 1, length=length, shard_contexts=shard_contexts, filter_bits=filter_bits)
-    placed = contexts.select("row", "at", "key", "piece").join(covered, ["key", "piece"])
-    runs = F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).cast("long").alias("a"), (r["b"] + F.col("at")).cast("long").alias("b")))
+    placed = contexts.select("row", "at", "key", "piece").join(covered.hint("merge"), ["key", "piece"]).select("row", "at", F.explode("runs").alias("r"))
+    starts = placed.select(F.col("row").alias("row_key"), ((F.col("at") + F.col("r.a")) * _SPAN + F.col("r.b") - F.col("r.a")).alias("start"))
     # A set: however many copies of one row there are, their runs are kept once.
-    return placed.select(F.col("row").alias("row_key"), runs.alias("runs")).groupBy("row_key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    return starts.groupBy("row_key").agg(F.collect_set("start").alias("starts")).mapInArrow(merge_runs, "row_key binary, runs array<struct<a:long,b:long>>")
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
@@ -330,7 +371,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     id_type = source.schema[id_col].dataType.simpleString()
     runs = written(find(source, id_col=id_col, text_col="_text", length=length, **options), "runs")
     low = runs.select(F.conv(F.hex(F.substring("row_key", 1, 7)), 16, 10).cast("long").alias("h"))
-    touched = source.sparkSession.sparkContext.broadcast(bit_filter(low, "h", 24))
+    touched = source.sparkSession.sparkContext.broadcast(filter_of(low, "h", None))
 
     out = f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary"
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
@@ -339,7 +380,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             keys = row_keys(batch)
             h = np.array([int.from_bytes(x[:7], "big") for x in keys], np.uint64)
-            yield batch.append_column("row_key", pa.array(keys, pa.binary())).filter(pa.array(is_set(touched.value, h) == hit))
+            yield batch.append_column("row_key", pa.array(keys, pa.binary())).filter(pa.array(passes(touched.value, h) == hit))
 
     def whole_task(batches):
         for part in tn.slices(touched_rows(batches, False), "_text", SLICE):

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shardloom.llm import balltree, graph, induced, jaccard, repeats
 
@@ -131,6 +132,23 @@ def test_one_passage_in_very_many_texts_is_split_into_sub_shards(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_runs_of_a_copied_text_are_one(spark):
+    """A copy is some 60 contexts, but one run; runs that only come near each other stay two."""
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    text, a, b = noise(5000), noise(260), noise(230)
+    docs = [(1, text), (2, "-" + text), (3, a + "!" + b), (4, a), (5, b), (6, noise(900))]
+    got = repeats.find(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted([tuple(x) for x in row.runs] for row in got.collect()) == sorted([[(0, 4800)], [(1, 4801)], [(0, 60), (261, 291)], [(0, 60)], [(0, 30)]])
+
+
+def test_few_keys_pass_a_filter_that_does_not_hold_them(spark):
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    sent = repeats.filter_of(keys, "h", 21)
+    own, other = (np.array([x.h for x in spark.range(a, a + 20_000).select(F.xxhash64("id").alias("h")).collect()], np.int64).view(np.uint64) for a in (0, 200_000))
+    assert repeats.passes(sent, own).all() and repeats.passes(sent, other).mean() < 0.04  # one bit a key: 0.09
+
+
 def test_suffix_arrays_and_repeated_prefixes():
     for seed in range(3):
         r = random.Random(seed)
