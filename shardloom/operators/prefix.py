@@ -15,10 +15,11 @@ from pyspark.sql.window import Window
 from shardloom.operators.graph import written
 
 
-def running_sums(rows: DataFrame, by: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
+def running_sums(rows: DataFrame, by: list[str], order: list[str | Column], values: dict[str, str], range_rows: int | None = None) -> DataFrame:
     """The rows with a column for each of `values` (new name -> numeric column): the sum over the rows of the same `by` before it in `order`.
 
     Rows equal in `by` and `order` stand in one range, in any order; add up ties first where they are many.  Nulls count as 0.
+    With `range_rows` there are as many ranges as it takes for so many rows each, whatever the number of shuffle partitions, so a task's sort does not grow with the rows.
     """
     kept = rows.columns
     flags = [F.col(c).asc() if isinstance(c, str) else c for c in order]
@@ -53,7 +54,8 @@ def running_sums(rows: DataFrame, by: list[str], order: list[str | Column], valu
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     schema = f"{columns}, _class string, _span int, " + ", ".join(f"`{n}` {k}" for n, k in kinds.items())
-    ordered = named.repartitionByRange(*by, "_class", *flags).sortWithinPartitions(*by, "_class", *flags).select(*kept, "_class")
+    ranges = [max(1, -(-rows.count() // range_rows))] if range_rows else []
+    ordered = named.repartitionByRange(*ranges, *by, "_class", *flags).sortWithinPartitions(*by, "_class", *flags).select(*kept, "_class")
     spans = written(ordered.mapInArrow(task, schema), "spans")
     totals = spans.groupBy("_class", "_span").agg(*[F.sum(c).alias(n) for n, c in values.items()])
     earlier = Window.partitionBy("_class").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a class

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shardloom.operators.prefix import running_sums
 from shardloom.operators.provenance import dataset_digest
 
 # The patterns of ids (and groups) and of class names.
 ID_PATTERN = r"^[A-Za-z0-9._-]{1,128}$"
 CLASS_PATTERN = r"^[a-z][a-z0-9_]{0,31}$"
+#: Entries of archives that a task sorts at once.
+RANGE_ROWS = 1 << 18
 
 
 def violations(rows: DataFrame, key: str, rules: list[tuple[str, Column, Column | str]]) -> DataFrame:
@@ -49,6 +52,20 @@ def with_copies(rows: DataFrame, id_col: str, salts: int = 16) -> DataFrame:
     return joined.select(*rows.columns, copies.alias("_copies"))
 
 
+def with_many(rows: DataFrame, by: list[str], name: str, above: int, salts: int = 16) -> DataFrame:
+    """The rows with `name`: how many rows share their values of `by` (null is a value as well), where these are more than `above`; else null.
+
+    Counts come from partial aggregation; only those above are joined, each to `salts` places, so rows of a frequent value are not one task's, and from a hash table, so the rows are not sorted.
+    """
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    many = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > above).select(*[F.col(c).alias(f"_by_{c}") for c in by], name, spread.alias("_salt"))
+    same = F.col("_place") == F.col("_salt")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = rows.withColumn("_place", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return placed.join(many.hint("shuffle_hash"), same, "left").select(*rows.columns, name)
+
+
 def record_rules(rows: DataFrame, id_col: str, caption: str, width: str, height: str, image: str | None = None) -> tuple[DataFrame, list]:
     """Rows with a copy count, and the rules of a captioned record in the order in which they refuse it.
 
@@ -101,13 +118,13 @@ def dataset_report(rows: DataFrame, caption: str, width: str, height: str, diges
 
 
 def archive_rules(entries: DataFrame, *, max_entries: int, max_member: int, max_total: int, suffixes: tuple[str, ...]) -> tuple[DataFrame, list]:
-    """Entries (archive, ord, name, size, is_symlink, encrypted) with running totals, and the rules of a safe archive."""
-    whole = Window.partitionBy("archive")
-    counted = entries.withColumns({
-        "_entries": F.count(F.lit(1)).over(whole),
-        "_copies": F.count(F.lit(1)).over(Window.partitionBy("archive", "name")),
-        "_total": F.sum("size").over(whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    })
+    """Entries (archive, ord, name, size, is_symlink, encrypted) with running totals, and the rules of a safe archive.
+
+    `ord` is any value that orders an archive's entries, a struct of several among them.  No archive is one task's: totals run along ranges, and entries and equal names are counted by partial aggregation.
+    """
+    summed = running_sums(entries, ["archive"], ["ord"], {"_before": "size"}, RANGE_ROWS)
+    summed = summed.withColumn("_total", F.col("_before") + F.coalesce("size", F.lit(0))).drop("_before")
+    counted = with_many(with_many(summed, ["archive", "name"], "_copies", 1), ["archive"], "_entries", max_entries)
     n = F.col("name")
     return counted, [
         ("entries", F.col("_entries") > max_entries, "too many entries"),
@@ -124,7 +141,7 @@ def archive_rules(entries: DataFrame, *, max_entries: int, max_member: int, max_
 
 def check_archive_entries(entries: DataFrame, **limits) -> DataFrame:
     counted, rules = archive_rules(entries, **limits)
-    return violations(counted.withColumn("_key", F.concat_ws(":", "archive", "ord")), "_key", rules)
+    return violations(counted.withColumn("_key", F.concat_ws(":", "archive", F.col("ord").cast("string"))), "_key", rules)
 
 
 def validate_user_manifest(rows: DataFrame, listing: DataFrame, *, suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png")) -> DataFrame:

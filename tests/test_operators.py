@@ -9,6 +9,7 @@ from shardloom.operators import candidates as C
 from shardloom.operators import cells
 from shardloom.operators import grouping as G
 from shardloom.operators import metrics as M
+from shardloom.operators import prefix
 from shardloom.operators import provenance as K
 from shardloom.operators import references as N
 from shardloom.operators import similarity as S
@@ -335,3 +336,28 @@ def test_digests_tell_columns_apart(spark):
 def test_replay_notices_missing_keys(spark):
     a = spark.createDataFrame([(1, 0.5, "x"), (2, 0.5, "y")], "k long, v double, d string")
     assert K.replay_check(a, a, "k", "v", "d").first().passed and not K.replay_check(a, a.limit(1), "k", "v", "d").first().passed
+
+
+def test_a_large_archive_is_many_ranges(spark, monkeypatch):
+    """Totals, entries and equal names of an archive that holds most rows, with null names and sizes, are those of a plain loop, and no task sorts all of it."""
+    r = random.Random(4)
+    rows = [(r.choice(["big"] * 8 + ["a", "b", None]), i, r.choice([None, "same.jpg", f"{i % 900}.jpg", "x.py"]), r.choice([None, 1, 5, 9]), False, False) for i in range(2000)]
+    r.shuffle(rows)
+    entries = spark.createDataFrame(rows, "archive string, ord int, name string, size long, is_symlink boolean, encrypted boolean")
+    spans = []
+    real = prefix.written
+    monkeypatch.setattr(prefix, "written", lambda rows, name: spans.append(real(rows, name)) or spans[-1])
+    monkeypatch.setattr(R, "RANGE_ROWS", 100)
+    limits = {"max_entries": 190, "max_member": 8, "max_total": 900, "suffixes": (".jpg",)}
+    got = sorted((x.key, x.rule) for x in R.check_archive_entries(entries, **limits).collect() if x.rule != "suffix")
+    assert spans[0].groupBy("_span").count().agg(F.max("count")).first()[0] < 400
+    want, total = [], {}
+    entries_of = {a: sum(x[0] == a for x in rows) for a in ("big", "a", "b", None)}
+    same = {}
+    for a, _, n, *_ in rows:
+        same[(a, n)] = same.get((a, n), 0) + 1
+    for a, i, n, s, *_ in sorted(rows, key=lambda x: x[1]):
+        total[a] = total.get(a, 0) + (s or 0)
+        broken = {"entries": entries_of[a] > 190, "duplicate": same[(a, n)] > 1, "member_size": (s or 0) > 8, "total_size": total[a] > 900}
+        want += [(f"{a}:{i}" if a else str(i), rule) for rule, b in broken.items() if b]
+    assert got == sorted(want) and {x for _, x in want} == set(broken)
