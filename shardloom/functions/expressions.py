@@ -150,7 +150,7 @@ def text_signature(rows: DataFrame, key: str, text: str, bins: int = 256, out: s
         """The bin of a token; no token has one beyond the last."""
 
         def __missing__(self, token):
-            if len(self) >= 1 << 20:
+            if len(self) >= 1 << 17:
                 self.clear()
             self[token] = b = int(hashlib.sha256(token.encode()).hexdigest()[:8], 16) % bins if token else bins
             return b
@@ -158,8 +158,8 @@ def text_signature(rows: DataFrame, key: str, text: str, bins: int = 256, out: s
     def dense(batches):
         bin_of = Bins().__getitem__
         for whole in batches:
-            for i in range(0, whole.num_rows, 4096):
-                batch = whole.slice(i, 4096)
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
                 x = np.zeros((batch.num_rows, bins))
                 for r, t in enumerate(batch.column(1).to_pylist()):
                     if t:
